@@ -147,7 +147,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) ->
     twice = hashes.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_twice(shards, segment_bits), "shard int, map binary")
     filters = spark.sparkContext.broadcast({r.shard: bytes(r.map) for r in twice.toLocalIterator()})
     suspects = table(docs.mapInArrow(_suspects(least_chars, shards, segment_bits, filters), "key binary, doc_id long").distinct())
-    keep = suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id")).where(F.col("n") >= least_docs)
+    keep = table(suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id")).where(F.col("n") >= least_docs))
     gone = suspects.join(keep, "key").where("doc_id != keep_id").groupBy("doc_id").agg(F.collect_list("key").alias("gone"))
     return docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_drop(least_chars), "doc_id long, text string, n_lines long, n_dropped long")
 
