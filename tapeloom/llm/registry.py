@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from tapeloom.llm import chat_format, exact_dedup, line_dedup, mixing, packing
+from tapeloom.llm import chat_format, exact_dedup, line_dedup, mixing, packing, substring_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_packing": packing.op3_packing,
     "op7_mixing": mixing.op7_mixing,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_chat_format": chat_format.op9_chat_format,
 }
 SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op8_substring_dedup": substring_dedup.OP8_SQL,
     "op9_chat_format": chat_format.OP9_SQL,
 }
