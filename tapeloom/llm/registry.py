@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tapeloom.llm import chat_format, exact_dedup, line_dedup, mixing, packing, substring_dedup
+from tapeloom.llm import chat_format, embedding_dedup, exact_dedup, line_dedup, mixing, packing, substring_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_packing": packing.op3_packing,
+    "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_chat_format": chat_format.op9_chat_format,
