@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapeloom.llm import chat_format, embedding_dedup, exact_dedup, line_dedup, mixing, packing, substring_dedup
+from tapeloom.llm import chat_format, embedding_dedup, exact_dedup, line_dedup, mixing, ngram_join, packing, substring_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_mixing": mixing.op7_mixing,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_chat_format": chat_format.op9_chat_format,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
@@ -19,4 +20,5 @@ SQL = {
     "op7_mixing": mixing.OP7_SQL,
     "op8_substring_dedup": substring_dedup.OP8_SQL,
     "op9_chat_format": chat_format.OP9_SQL,
+    "op10_ngram_join": ngram_join.OP10_SQL,
 }
