@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tapeloom.llm import chat_format, embedding_dedup, exact_dedup, line_dedup, mixing, ngram_join, packing, substring_dedup
+from tapeloom.llm import chat_format, embedding_dedup, exact_dedup, line_dedup, mixing, ngram_join, packing, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_packing": packing.op3_packing,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_sharding": sharding.op5_sharding,
     "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
