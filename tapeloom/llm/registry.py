@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tapeloom.llm import chat_format, embedding_dedup, exact_dedup, line_dedup, mixing, ngram_join, packing, sharding, substring_dedup, toxicity
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_ngram_join": ngram_join.op10_ngram_join,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
