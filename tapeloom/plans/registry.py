@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from tapeloom.plans import book, flow  # noqa: F401  they register their queries
+from tapeloom.plans.base import QUERIES, SQL  # noqa: F401
+
+FLAGSHIP = "asof_effective_spread"
