@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from tapeloom.llm.texts import slices
 
 END_ID, PAD_ID, LENGTH = 1, 0, 2048
 #: Words whose ids a worker remembers, at most.
-CACHE = 300_000
+CACHE = 500_000
 BLOCK = 1024
 PIECES = "array<struct<doc_id:bigint,start:bigint,length:bigint,doc_tokens:bigint>>"
 
@@ -34,10 +35,25 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_ASCII, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_ASCII[[*range(65, 91), *range(97, 123)]] = True
+_MARK[list(b".,;:!?")] = True
+
+
+def split_marks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Puts a space between a letter (ASCII or Latin-1) and a mark after it, where the pre-tokeniser
+    splits anyway, so that a word is one entry of the cache whatever mark follows."""
+    at = np.flatnonzero(_MARK[data[2:]]) + 2
+    one, two = data[at - 1], data[at - 2]
+    at = at[_ASCII[one] | (two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7)]
+    return np.insert(data, at, 32), offs + np.searchsorted(at, offs, "left")
+
+
 class Encoder:
     """Ids of whole texts, word by word: this vocabulary's pre-tokeniser drops white space and never
-    looks across it, so a text's ids are those of its words in turn. Words already seen cost a
-    dictionary look-up."""
+    looks across it, and it lower-cases, so a text's ids are those of its lower-cased words in turn.
+    Words already seen cost a dictionary look-up. Text that may hold a special token, or combining
+    marks that join to some small letters only, is neither lower-cased nor split at marks first."""
 
     _by_path: dict[str, Encoder] = {}
 
@@ -55,15 +71,20 @@ class Encoder:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
-        docs = [text.split() for text in texts]
+        raw = data.tobytes()
+        if not any(x in raw for x in (b"<|", b"\xcc", b"\xcd")):
+            data, offs = split_marks(data, offs)
+            raw = data.tobytes().lower()
+        docs = [raw[s:e].split() for s, e in zip(offs, offs[1:])]
         new = list(set().union(*docs).difference(self.cache))
-        if len(self.cache) + len(new) > CACHE:
-            self.cache, new = {}, list(set().union(*docs))
         found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
         self.cache.update((w, np.array(e.ids, "<u2").tobytes()) for w, e in zip(new, found))
-        return [b"".join(map(self.cache.__getitem__, words)) for words in docs]
+        out = [b"".join(map(self.cache.__getitem__, words)) for words in docs]
+        if len(self.cache) > CACHE:
+            self.cache = dict(islice(self.cache.items(), len(self.cache) - CACHE // 2, None))
+        return out
 
 
 TOKENS = "part int, start long, doc_id long, n long, ids binary"
@@ -78,8 +99,7 @@ def tokenise(docs: DataFrame, path: str) -> DataFrame:
         end = np.array([END_ID], "<u2").tobytes()
         for b in batches:
             for i, j, data, offs in slices(b.column(1)):
-                raw = data.tobytes()
-                ids = [x + end for x in encoder.encode([raw[s:e] for s, e in zip(offs, offs[1:])])]
+                ids = [x + end for x in encoder.encode(data, offs)]
                 n = np.array([len(x) // 2 for x in ids])
                 starts = start + np.cumsum(n) - n
                 start += int(n.sum())
