@@ -130,7 +130,8 @@ def law_of_one_price(spark, sf):
 
 
 @query("regime_split", f"""{PANEL}, q AS (SELECT symbol, quantile_cont(tcost, 0.25) AS lo, quantile_cont(tcost, 0.75) AS hi FROM pp GROUP BY symbol)
-SELECT symbol, {R("corr(vloop_mean, vloop_max) FILTER (WHERE tcost <= lo)")} AS corr_low, {R("corr(vloop_mean, vloop_max) FILTER (WHERE tcost >= hi)")} AS corr_high FROM pp JOIN q USING (symbol) GROUP BY symbol""")
+SELECT symbol, {R("CASE WHEN count(*) FILTER (WHERE tcost <= lo) >= 15 THEN corr(vloop_mean, vloop_max) FILTER (WHERE tcost <= lo) END")} AS corr_low,
+{R("CASE WHEN count(*) FILTER (WHERE tcost >= hi) >= 15 THEN corr(vloop_mean, vloop_max) FILTER (WHERE tcost >= hi) END")} AS corr_high FROM pp JOIN q USING (symbol) GROUP BY symbol""")
 def regime_split(spark, sf):
     r = xvenue.regime_corr(_gaps(spark, sf), ["symbol"], "vloop_mean", "vloop_max", "tcost")
     return r.select("symbol", r6(F.col("corr_low")).alias("corr_low"), r6(F.col("corr_high")).alias("corr_high"))
