@@ -179,3 +179,43 @@ def test_streams_match_the_batch_operators(spark, tmp_path):
     batch = {(r["symbol"], r["day"]): r["n"] for r in t.groupBy("symbol", F.floor(F.col("ts") / layout.DAY_US).alias("day")).agg(F.count("*").alias("n")).collect()}
     got = {(r["symbol"], r["start"].toordinal() - 719163): r["n"] for r in spark.read.parquet(f"{tmp_path}/w").collect()}
     assert got and all(batch[k] == n for k, n in got.items())
+
+
+def test_bursts_rearm_under_the_lower_mark(spark):
+    from tapeloom.operators import research
+
+    v = [1, 10, 12, 9, 11, 7, 10, 11, 3, 10]
+    s = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(v)], "k int, bar long, v double")
+    assert rows(research.bursts(s, ["k"], "v", 10.0, 8.0, 2), "bar") == [(1,), (6,), (9,)]
+
+
+def test_autoregression_against_numpy(spark):
+    from tapeloom.operators import research
+
+    rng = np.random.default_rng(5)
+    x = [0.0, 0.0]
+    for _ in range(800):
+        x.append(0.5 * x[-1] - 0.2 * x[-2] + rng.standard_normal())
+    d = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "k int, ts long, x double")
+    got = research.autoregression(d, ["k"], "x", 2, ["ts"]).first()
+    y = np.array(x)
+    want = np.linalg.lstsq(np.stack([y[1:-1], y[:-2]], axis=1), y[2:], rcond=None)[0]
+    assert np.allclose(got["phi"], want) and got["n"] == len(x) - 2
+    assert np.allclose(got["impulse"][:3], np.cumsum([1, want[0], want[0] ** 2 + want[1]]))
+
+
+def test_pin_recovers_its_parameters(spark):
+    from tapeloom.operators import research
+
+    rng = np.random.default_rng(6)
+    days = []
+    for day in range(150):
+        news, bad = rng.random() < 0.4, rng.random() < 0.5
+        days.append((1, day, int(rng.poisson(100 + (60 if news and not bad else 0))), int(rng.poisson(100 + (60 if news and bad else 0)))))
+    got = research.pin_fit(spark.createDataFrame(days, "k int, day long, buys long, sells long"), ["k"]).first()
+    assert abs(got["pin"] - 0.4 * 60 / (0.4 * 60 + 200)) < 0.03 and abs(got["eps"] - 100) < 8
+
+
+def test_two_scales_beat_all_returns(spark):
+    got = {r["estimator"]: r["rmse"] for r in registry.QUERIES["variance_study"](spark, SF).collect()}
+    assert got["two_scales"] < got["sparse"] < got["all"]
