@@ -191,3 +191,34 @@ def crossed(tob: DataFrame, symbol: str, step: int) -> DataFrame:
     bar = (F.floor(F.col("ts") / step) * step).alias("bar")
     last = tob.groupBy(symbol, "venue", bar).agg(F.max_by(F.struct("bid", "ask"), F.struct("ts", "seq")).alias("q"))
     return last.groupBy(symbol, "bar").agg(F.max("q.bid").alias("bid"), F.min("q.ask").alias("ask"), F.count("*").alias("venues")).withColumn("crossed", F.col("bid") > F.col("ask"))
+
+
+def refills(tob: DataFrame, by: list[str], drop: float, horizon: int, same: float = 1e-9) -> DataFrame:
+    """book_side, n, refilled, worsened: size drops at an unchanged price, by what comes first within
+    the horizon: half of the loss back at that price, or a worse price. A better price ends the wait."""
+    quotes = tob.select(*by, "ts", "seq", "bid", "ask", "bid_sz", "ask_sz")
+
+    def side(name, price, size, worse):
+        was = before(size, by)
+        fell = (F.abs(F.col(price) - before(price, by)) < same) & (was > F.col(size)) & (was - F.col(size) >= drop * was)
+        lost = quotes.withColumns({"_fell": fell, "lost": was - F.col(size)}).where("_fell").select(*by, "ts", "seq", F.col(price).alias("p0"), F.col(size).alias("s0"), "lost")
+        later = range_join(lost, quotes.select(*by, "ts", "seq", F.col(price).alias("p"), F.col(size).alias("s")), by, F.col("ts") + 1, F.col("ts") + horizon, horizon)
+        at = F.struct("r_ts", "r_seq")
+        move = (F.col("r_p") - F.col("p0")) * worse
+        first = later.groupBy(*by, "seq").agg(
+            F.min(F.when((F.abs(move) < same) & (F.col("r_s") - F.col("s0") >= 0.5 * F.col("lost")), at)).alias("back"),
+            F.min(F.when(move >= same, at)).alias("bad"),
+            F.min(F.when(move <= -same, at)).alias("good"),
+        )
+        return lost.join(first, [*by, "seq"], "left").select(F.lit(name).alias("book_side"), "back", "bad", "good")
+
+    rows = side("bid", "bid", "bid_sz", -1).unionByName(side("ask", "ask", "ask_sz", 1))
+    sooner = lambda a, *others: F.col(a).isNotNull() & ~F.coalesce(F.least(*(F.col(o) for o in others)) < F.col(a), F.lit(False))
+    return rows.groupBy("book_side").agg(F.count("*").alias("n"), F.count(F.when(sooner("back", "bad", "good"), 1)).alias("refilled"), F.count(F.when(sooner("bad", "back", "good"), 1)).alias("worsened"))
+
+
+def depth_before_trades(trades: DataFrame, tob: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, and the correlations of the sides' depth at a trade with its being a buy; mean depths."""
+    q = asof(trades, tob, by, ["bid_sz", "ask_sz"]).where("ref_ts IS NOT NULL AND side <> 0").withColumn("buy", (F.col("side") > 0).cast("double"))
+    mean = lambda c, k: F.avg(F.when(k, F.col(c)))
+    return q.groupBy(*by).agg(F.count("*").alias("n"), F.corr("bid_sz", "buy").alias("bid_buy"), F.corr("ask_sz", "buy").alias("ask_buy"), mean("ask_sz", F.col("side") < 0).alias("ask_at_sell"), mean("bid_sz", F.col("side") > 0).alias("bid_at_buy"))

@@ -188,3 +188,49 @@ def daily_counts(trades: DataFrame, by: list[str], day: int = 86_400_000_000) ->
     d = F.floor(F.col("ts") / day).alias("day")
     out = trades.groupBy(*by, d).agg(F.count(F.when(F.col("side") > 0, 1)).alias("buys"), F.count(F.when(F.col("side") < 0, 1)).alias("sells"), F.count("*").alias("n"), ((F.max("ts") - F.min("ts")) / 3.6e9).alias("span_h"))
     return out.withColumn("imbalance", (F.col("buys") - F.col("sells")) / F.col("n"))
+
+
+def time_split(rows: DataFrame, by: list[str], share: float) -> DataFrame:
+    """rows with train: ts at or under the key's quantile of ts."""
+    cut = rows.groupBy(*by).agg(F.floor(F.percentile("ts", F.lit(share))).alias("_cut"))
+    return rows.join(cut, by).withColumn("train", F.col("ts") <= F.col("_cut")).drop("_cut")
+
+
+def trade_var(rows: DataFrame, by: list[str], lags: int, horizon: int = 20) -> DataFrame:
+    """by, n, lambda (the trade's own effect), r2, impulse (array): a vector autoregression of mid moves
+    and trade signs, the sign also contemporaneous, and the cumulative response of the mid to a trade.
+    Cross products are sums in Spark; each key's system is solved in one row. rows: ts, seq, d_mid, side."""
+    import numpy as np
+    import pandas as pd
+
+    w = Window.partitionBy(*by).orderBy("ts", "seq")
+    names = ["m0", "q0", *(f"{v}{k}" for k in range(1, lags + 1) for v in "mq")]
+    cols = {f"{v}{k}": F.lag(c, k).over(w) if k else F.col(c) for k in range(lags + 1) for v, c in (("m", "d_mid"), ("q", "side"))}
+    own = rows.withColumns(cols).dropna(subset=names)
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    sums = own.groupBy(*by).agg(F.count("*").alias("n"), *(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i, j in pairs))
+
+    def solve(frames):
+        for f in frames:
+            out = []
+            for _, r in f.iterrows():
+                s = np.zeros((len(names), len(names)))
+                for i, j in pairs:
+                    s[i, j] = s[j, i] = r[f"s{i}_{j}"]
+                mid, sign = list(range(1, len(names))), list(range(2, len(names)))
+                if r["n"] <= 2 * len(names) or np.linalg.matrix_rank(s[np.ix_(mid, mid)]) < len(mid):
+                    continue
+                a = np.linalg.solve(s[np.ix_(mid, mid)], s[mid, 0])
+                b = np.linalg.solve(s[np.ix_(sign, sign)], s[sign, 1])
+                m, q, path = [0.0] * lags, [0.0] * lags, []
+                for h in range(horizon):
+                    past = [x for k in range(lags) for x in (m[k], q[k])]
+                    shock = 1.0 if h == 0 else float(b @ past)
+                    move = float(a @ [shock, *past])
+                    m, q = [move, *m[:-1]], [shock, *q[:-1]]
+                    path.append((path[-1] if path else 0.0) + move)
+                out.append((*(r[k] for k in by), int(r["n"]), float(a[0]), float(a @ s[mid, 0] / s[0, 0]), path))
+            yield pd.DataFrame(out, columns=[*by, "n", "lambda", "r2", "impulse"])
+
+    keys = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in by)
+    return sums.mapInPandas(solve, f"{keys}, n long, lambda double, r2 double, impulse array<double>")

@@ -146,3 +146,32 @@ def ignition(bars: DataFrame, by: list[str], quiet: float, move: float, least_ba
         return [(bar, moved, back)]
 
     return fold(rows, by, ["bar"], ["bar", "move_bps", "recovery"], lambda: [-(1 << 62)], step, "bar long, move_bps double, recovery double")
+
+
+def size_and_latency(trades: DataFrame, tob: DataFrame, by: list[str], quantiles: list[float]) -> DataFrame:
+    """by, sizes (array of quantiles), trades, quotes, and the median waits between trades and quotes."""
+    wait = lambda rows: rows.withColumn("w", F.col("ts") - before("ts", by))
+    t = wait(trades).groupBy(*by).agg(F.percentile("qty", F.array(*map(F.lit, quantiles))).alias("sizes"), F.count("*").alias("trades"), F.median("w").alias("trade_wait"))
+    q = wait(tob).groupBy(*by).agg(F.count("*").alias("quotes"), F.median("w").alias("quote_wait"))
+    return t.join(q, by, "left")
+
+
+def vanishing_improvements(trades: DataFrame, tob: DataFrame, by: list[str], cancel: int) -> DataFrame:
+    """by, improved, vanished: bids raised or asks lowered that are gone within `cancel` with no trade
+    against them in between."""
+    up, down = F.col("bid") > before("bid", by), F.col("ask") < before("ask", by)
+    w = Window.partitionBy(*by).orderBy("ts", "seq")
+    rows = tob.withColumns({"_dir": F.when(up, 1.0).when(down, -1.0), "_next": F.lead("ts").over(w), "_bid": F.lead("bid").over(w), "_ask": F.lead("ask").over(w)}).where("_dir IS NOT NULL")
+    gone = (F.col("_next") - F.col("ts") <= cancel) & F.when(F.col("_dir") > 0, F.col("_bid") < F.col("bid")).otherwise(F.col("_ask") > F.col("ask"))
+    rows = rows.withColumn("_gone", F.coalesce(gone, F.lit(False))).select(*by, "ts", "seq", "_dir", "_gone", "_next")
+    met = range_join(rows.where("_gone"), trades.select(*by, "ts", "side"), by, F.col("ts"), F.col("_next"), cancel)
+    hit = met.where(F.col("r_side") == -F.col("_dir")).select(*by, "seq").distinct().withColumn("_hit", F.lit(True))
+    return rows.join(hit, [*by, "seq"], "left").groupBy(*by).agg(F.count("*").alias("improved"), F.count(F.when(F.col("_gone") & F.col("_hit").isNull(), 1)).alias("vanished"))
+
+
+def share_near(rows: DataFrame, events: DataFrame, by: list[str], size: str, slack: int, k: int) -> DataFrame:
+    """bin, n, near: rows by quantile bin of size, and how many have an event within slack."""
+    e = rows.agg(F.percentile(size, F.array(*(F.lit(i / k) for i in range(1, k)))).alias("e")).first()["e"] or []
+    own = nearest(rows.select(*by, "ts", "seq", size), events.select(*by, "ts", F.col("ts").alias("seq")), by, [])
+    bin_ = sum(((F.col(size) >= F.lit(x)).cast("int") for x in e), F.lit(0))
+    return own.withColumn("bin", bin_).groupBy("bin").agg(F.count("*").alias("n"), F.count(F.when(F.abs(F.col("ref_ts") - F.col("ts")) <= slack, 1)).alias("near"))

@@ -221,3 +221,22 @@ def interval_matches(a: DataFrame, b: DataFrame, by: list[str], slack: int) -> D
         return [(s["n_a"], s["n_b"], s["n"], s["n"] / union if union else None, s["n"] / s["n_a"] if s["n_a"] else None, s["n"] / s["n_b"] if s["n_b"] else None)]
 
     return fold(rows, by, ["start_ts", "end_ts", "kind"], ["kind", "start_ts", "end_ts"], lambda: {"a": [], "b": [], "n": 0, "n_a": 0, "n_b": 0}, step, "n_a long, n_b long, n long, jaccard double, precision double, recall double", finish)
+
+
+def grid_coverage(rows: DataFrame, by: list[str], step: int) -> DataFrame:
+    """by, points, filled: edges of a grid from the first trade, and how many have a trade of their own."""
+    t0 = F.min("ts").over(Window.partitionBy(*by))
+    own = rows.withColumn("_k", F.floor((F.col("ts") - t0) / step))
+    return own.groupBy(*by).agg((F.max("_k") + 1).alias("points"), F.countDistinct("_k").alias("filled"))
+
+
+def scale_scan(points: DataFrame, by: list[str], steps: list[int]) -> DataFrame:
+    """by, step, tsrv_adj, nearest: the adjusted two-scale estimate at each step, and which of them lies
+    nearest to their median."""
+    out = None
+    for s in steps:
+        one = two_scales(points, by, s).select(*by, F.lit(s).alias("step"), "tsrv_adj")
+        out = one if out is None else out.unionByName(one)
+    middle = out.groupBy(*by).agg(F.median("tsrv_adj").alias("_m"))
+    w = Window.partitionBy(*by).orderBy(F.abs(F.col("tsrv_adj") - F.col("_m")), "step")
+    return out.join(middle, by).withColumn("nearest", F.row_number().over(w) == 1).drop("_m")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapeloom.plans import book, flow, patterns, research, vol  # noqa: F401  they register their queries
+from tapeloom.plans import book, flow, more, patterns, research, vol  # noqa: F401  they register their queries
 from tapeloom.plans.base import QUERIES, SQL  # noqa: F401
 
 FLAGSHIP = "asof_effective_spread"
