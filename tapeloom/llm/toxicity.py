@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples.
 
 Examples are a bounded sample of labelled documents. The vector space is TF-IDF over the terms that
-are significantly more frequent in toxic examples (log-likelihood ratio), with document frequencies
-over the whole corpus. An inverted index of the examples keeps, for each term and block of examples,
+stand out in toxic examples (by log-likelihood ratio and lift), with document frequencies over the
+whole corpus. An inverted index of the examples keeps, for each term and block of examples,
 the largest weight; a query visits blocks by their bound and stops when no block can hold a nearer
 example, so the k nearest by cosine are exact. Distance-weighted votes are calibrated by isotonic
 regression on the examples' own votes, each without itself. Every document is scored on its whole
@@ -24,8 +24,9 @@ from tapeloom.llm.texts import Words, slices
 
 #: Labelled documents that are learned from, at most (about): bounds what the driver and tasks hold.
 EXAMPLES = 20_000
-#: Terms, at most, and how sure each must be: twice the log-likelihood ratio, and toxic examples.
-TERMS, LEAST_RATIO, LEAST_TOXIC = 2048, 24.0, 3
+#: Terms, at most, and how sure each must be: twice the log-likelihood ratio, toxic examples, and how
+#: many times the examples' rate of toxic ones the term's own must be.
+TERMS, LEAST_RATIO, LEAST_TOXIC, LEAST_LIFT = 256, 24.0, 3, 3.0
 NEIGHBOURS, BLOCK, SOFT, PRIOR = 15, 64, 0.05, 2.0
 REJECT = 0.3
 #: Vectors whose neighbours a worker remembers.
@@ -66,7 +67,7 @@ def vocabulary(examples: DataFrame) -> np.ndarray:
 
     rate = (F.col("a") + F.col("b")) / float(n["n"])
     ratio = 2 * (part(F.col("a"), rate * toxic) + part(F.col("b"), rate * clean) + part(toxic - F.col("a"), (1 - rate) * toxic) + part(clean - F.col("b"), (1 - rate) * clean))
-    sure = counts.where((F.col("a") >= LEAST_TOXIC) & (F.col("a") * clean > F.col("b") * toxic)).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
+    sure = counts.where((F.col("a") >= LEAST_TOXIC) & (F.col("a") * float(n["n"]) >= LEAST_LIFT * toxic * (F.col("a") + F.col("b")))).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
     rows = sure.orderBy(F.desc("ratio"), "term").limit(TERMS).select("term").collect()
     return np.sort(np.array([r["term"] for r in rows], np.int64).view(np.uint64))
 
@@ -127,7 +128,6 @@ class Index:
         np.maximum.at(self.most, (term, self.example // BLOCK), self.weight)
         self.start = np.searchsorted(term * max(1, blocks) + self.example // BLOCK, np.arange(n_terms * max(1, blocks) + 1)) if len(own) else np.zeros(1, np.int64)
         self.blocks, self.cache = blocks, {}
-        self.knots = None
 
     def weigh(self, vector: bytes) -> tuple[np.ndarray, np.ndarray]:
         term, times = np.frombuffer(vector, np.int32).astype(np.int64).reshape(-1, 2).T
@@ -138,54 +138,56 @@ class Index:
         """(examples, cosines) of the k nearest; ties go to the smaller place in the index."""
         term, w = self.weigh(vector)
         bound = w @ self.most[term]
-        best, score = np.zeros(0, np.int64), np.zeros(0)
-        for k in np.argsort(-bound, kind="stable"):
-            if bound[k] <= 0 or len(score) == NEIGHBOURS and bound[k] < score[-1]:
+        order = np.argsort(-bound, kind="stable")
+        best, score, done = np.zeros(0, np.int64), np.zeros(0), 0
+        while done < len(order):
+            # a few blocks, then four times as many as so far, of those that can hold a nearer example
+            blocks = order[done : done + max(4, 4 * done)]
+            done += len(blocks)
+            blocks = blocks[bound[blocks] > 0] if len(score) < NEIGHBOURS else blocks[bound[blocks] >= score[-1]]
+            if not len(blocks):
                 break
-            dots = np.zeros(BLOCK)
-            for t, x in zip(term, w):
-                s, e = self.start[t * self.blocks + k], self.start[t * self.blocks + k + 1]
-                dots[self.example[s:e] - k * BLOCK] += x * self.weight[s:e]
-            hit = np.flatnonzero(dots > 0)
-            at = hit + k * BLOCK
+            at = (term[:, None] * self.blocks + blocks).ravel()
+            start, n = self.start[at], self.start[at + 1] - self.start[at]
+            at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+            dots = np.bincount(self.example[at], self.weight[at] * np.repeat(np.repeat(w, len(blocks)), n))
+            at = np.flatnonzero(dots)
             if without is not None:
-                hit, at = hit[self.ids[at] != without], at[self.ids[at] != without]
-            best, score = np.concatenate([best, at]), np.concatenate([score, dots[hit]])
-            order = np.lexsort((best, -score))[:NEIGHBOURS]
-            best, score = best[order], score[order]
+                at = at[self.ids[at] != without]
+            best, score = np.concatenate([best, at]), np.concatenate([score, dots[at]])
+            top = np.lexsort((best, -score))[:NEIGHBOURS]
+            best, score = best[top], score[top]
         return best, np.minimum(score, 1.0)
 
     def vote(self, best: np.ndarray, score: np.ndarray) -> float:
         w = 1 / (1 - score + SOFT)
         return float((w @ self.toxic[best] + PRIOR * self.base) / (w.sum() + PRIOR))
 
-    def calibrate(self, vectors: list[tuple[int, bytes]]) -> None:
-        """Pools adjacent violators over the votes of the examples, each without itself."""
-        label = dict(zip(self.ids.tolist(), self.toxic.tolist()))
-        seen = sorted((self.vote(*self.nearest(v, i)), label[i]) for i, v in vectors)
-        pools: list[list[float]] = []
-        for x, y in seen:
-            pools.append([x, x, y, 1.0])
-            while len(pools) > 1 and pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]:
-                last = pools.pop()
-                pools[-1] = [pools[-1][0], last[1], pools[-1][2] + last[2], pools[-1][3] + last[3]]
-        if pools:
-            self.knots = np.array([[(lo + hi) / 2, (t + self.base) / (n + 1)] for lo, hi, t, n in pools])
-
-    def score(self, vector: bytes) -> tuple[float, list[tuple[int, float, int]]]:
+    def score(self, vector: bytes, knots: np.ndarray | None) -> tuple[float, list[tuple[int, float, int]]]:
         """(score, evidence): evidence holds each neighbour's doc_id, cosine and label."""
         if not vector or not len(self.ids):
             return self.clean, []
         if vector not in self.cache:
             best, score = self.nearest(vector)
             raw = self.vote(best, score)
-            value = raw if self.knots is None else float(np.interp(raw, self.knots[:, 0], self.knots[:, 1]))
+            value = raw if knots is None else float(np.interp(raw, *knots))
             if len(self.cache) >= CACHE:
                 self.cache.clear()
             self.cache[vector] = value, [(int(self.ids[i]), float(s), int(self.toxic[i])) for i, s in zip(best, score)]
         return self.cache[vector]
 
 
+def calibration(votes: list[tuple[float, int]], base: float) -> np.ndarray | None:
+    """Pools adjacent violators over (vote, label): the pools' middles and smoothed rates."""
+    pools: list[list[float]] = []
+    for x, y in sorted(votes):
+        pools.append([x, x, y, 1.0])
+        while len(pools) > 1 and pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]:
+            last = pools.pop()
+            pools[-1] = [pools[-1][0], last[1], pools[-1][2] + last[2], pools[-1][3] + last[3]]
+    return np.array([[(lo + hi) / 2, (t + base) / (n + 1)] for lo, hi, t, n in pools]).T if pools else None
+
+
 EVIDENCE = "array<struct<doc_id:bigint,cosine:double,toxic:int>>"
 _EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
@@ -208,22 +210,31 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most_examples: int = EXAM
     share = min(1.0, most_examples / max(1, known.count()))
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
     # the sample is bounded by most_examples rows of two numbers
-    examples = table(docs.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]))
+    # of equal texts, one example: copies would make any of their words stand out
+    text = F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_text")
+    examples = table(docs.join(F.broadcast(sample), "doc_id").groupBy(text).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"), F.max("toxic").alias("toxic")).drop("_text"))
     names = vocabulary(examples)
     shared = spark.sparkContext.broadcast(names)
     vectors = table(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_vectors(shared), "doc_id long, held_out boolean, vector binary"))
     total, seen = max(1, vectors.count()), np.zeros(len(names), np.int64)
     for r in vectors.where("length(vector) > 0").select("vector").mapInArrow(_frequencies(len(names)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect() if len(names) else []:
         seen[r["term"]] = r["n"]
-    own = examples.select("doc_id", "toxic", "text").mapInArrow(_vectors(shared), "doc_id long, toxic int, vector binary").collect()
-    index = Index(np.log((total + 1) / (seen + 1)) + 1, [r["doc_id"] for r in own], [bytes(r["vector"]) for r in own], [r["toxic"] for r in own])
-    index.calibrate([(r["doc_id"], bytes(r["vector"])) for r in own if r["vector"]])
-    held = spark.sparkContext.broadcast(index)
+    known = table(examples.select("doc_id", "toxic", "text").mapInArrow(_vectors(shared), "doc_id long, toxic int, vector binary"))
+    own = known.collect()
+    held = spark.sparkContext.broadcast(Index(np.log((total + 1) / (seen + 1)) + 1, [r["doc_id"] for r in own], [bytes(r["vector"]) for r in own], [r["toxic"] for r in own]))
+
+    def vote(batches):
+        schema = pa.schema([("vote", pa.float64()), ("toxic", pa.int32())])
+        for b in batches:
+            yield batch(schema, [held.value.vote(*held.value.nearest(v.as_py(), i)) for i, v in zip(b.column(0).to_pylist(), b.column(2))], b.column(1))
+
+    votes = known.where("length(vector) > 0").repartition(32, "doc_id").mapInArrow(vote, "vote double, toxic int").collect()
+    knots = calibration([(r["vote"], r["toxic"]) for r in votes], held.value.base)
 
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("evidence", _EVIDENCE)])
         for b in batches:
-            found = [held.value.score(v.as_py()) for v in b.column(2)]
+            found = [held.value.score(v.as_py(), knots) for v in b.column(2)]
             evidence = [[{"doc_id": i, "cosine": c, "toxic": t} for i, c, t in e] for _, e in found]
             yield batch(schema, b.column(0), b.column(1), [s for s, _ in found], evidence)
 
