@@ -131,17 +131,13 @@ def components(edges: DataFrame) -> DataFrame:
     one node shuffle as plain rows, min() is pre-aggregated, and rounds grow with the logarithm of
     the longest path."""
     now = table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
-    nodes = now
-    size = now.count()
-    while size:
+    nodes, mark = now, None
+    # one row tells whether a round changed anything
+    while (last := mark) != (mark := tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())) and mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = table(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
+        large = table(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = table(large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u > v").distinct())
-        changed = small.exceptAll(now).isEmpty() and small.count() == size
-        now, size = small, small.count()
-        if changed:
-            break
+        now = table(large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u > v").distinct())
     roots = now.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -82,6 +82,9 @@ def test_substrings_across_and_inside_documents(spark):
     shared, twice = words(35, "s"), words(40, "t")
     docs = {1: words(10, "a") + shared + words(7, "b"), 2: words(3, "c") + shared, 3: twice + words(5, "d") + twice, 4: words(9, "e") + shared[:34], 5: ["x"] * 40, 6: words(34, "f")}
     got = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string")).collect()}
+    none = spark.createDataFrame([(None, " ".join(docs[6] + ["g"])), (7, " ".join(docs[6] + ["g", "h"]))], "doc_id long, text string")
+    with_none = {r["doc_id"]: r["text"] for r in substring_dedup.dedup_substrings(none).collect()}
+    assert with_none == {None: " ".join(docs[6] + ["g"]), 7: "h"}
     kept = {1: docs[1][:10] + docs[1][45:], 2: docs[2][:3], 3: docs[3][40:45], 4: docs[4], 5: [], 6: docs[6]}
     assert {k: r["text"].split() for k, r in got.items()} == kept
 
