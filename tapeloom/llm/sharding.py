@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.common import shards_for, table
 
-SHARDS, ROUNDS = 16, 4
+SHARDS, ROUNDS = 16, 5
 #: Rows that one task ranks (about).
 PER_BUCKET = 20_000
 PARTS = 1 << 20
@@ -42,6 +42,17 @@ def _pick(values: list, index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), index + 1)
 
 
+def _shares(room: list[int], asked: list) -> list[float]:
+    """The share of the nodes asking for each shard that get in, so that those who come fit in the room
+    and the places of those who leave; at most shards x shards numbers."""
+    share = [1.0] * len(room)
+    into = [sum(r["n"] for r in asked if r["to"] == t) for t in range(len(room))]
+    for _ in range(100):
+        out = [sum(r["n"] * share[r["to"]] for r in asked if r["shard"] == t) for t in range(len(room))]
+        share = [min(s, (r + o) / n) if n else 1.0 for s, r, o, n in zip(share, room, out, into)]
+    return share
+
+
 def propagate(links: DataFrame, quota: list[int], rounds: int) -> DataFrame:
     """(uid, hub, shard) of linked nodes; links: uid, hub, size (nodes of the hub)."""
     shards = len(quota)
@@ -52,13 +63,16 @@ def propagate(links: DataFrame, quota: list[int], rounds: int) -> DataFrame:
         counts = table(now.groupBy("hub", "shard").agg(F.count("*").alias("n")).groupBy("hub").agg(F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("n")))
         votes = now.join(counts, "hub").select("uid", "hub", "size", "shard", F.explode("n").alias("to", "n"))
         open_ = (F.col("to") == F.col("shard")) | (_pick(room, F.col("to")) > 0)
-        tie = F.xxhash64("hub", "to")
-        best = votes.where(open_).groupBy("uid", "shard", "to").agg(F.sum("n").alias("n"), F.max_by("hub", "n").alias("by"), F.max("size").alias("size"), F.max(tie).alias("tie"))
-        best = best.groupBy("uid", "shard").agg(F.max(F.struct("n", "tie", "to", "by", "size")).alias("best")).select("uid", "shard", "best.to", "best.by", "best.size")
-        best = table(best)
-        asked = {r["to"]: r["n"] for r in best.where("to != shard").groupBy("to").agg(F.count("*").alias("n")).collect()}
-        share = [min(1.0, room[t] / asked.get(t, 1)) for t in range(shards)]
-        whole = F.col("size") * 8 <= max(1, min(quota, default=1))
+        sums = votes.where(open_).groupBy("uid", "shard", "to").agg(F.sum("n").alias("n"), F.max_by("hub", "n").alias("by"), F.max("size").alias("size"), F.max(F.xxhash64("hub", "to")).alias("tie"))
+        # the best shards, as many as the node's largest group fills
+        least = max(1, min(quota, default=1))
+        first = F.slice(F.sort_array(F.collect_list(F.struct("n", "tie", "to", "by", "size")), asc=False), F.lit(1), F.ceil(F.max("size") / least).cast("int"))
+        best = sums.groupBy("uid", "shard").agg(first.alias("first"))
+        there = F.filter("first", lambda x: x["to"] == F.col("shard"))
+        some = F.element_at("first", F.pmod(F.xxhash64("uid"), F.size("first")).cast("int") + 1)
+        best = table(best.withColumn("best", F.when(F.size(there) > 0, F.element_at(there, 1)).otherwise(some)).select("uid", "shard", "best.to", "best.by", "best.size"))
+        share = _shares(room, best.where("to != shard").groupBy("shard", "to").agg(F.count("*").alias("n")).collect())
+        whole = F.col("size") * 8 <= least
         draw = F.pmod(F.when(whole, F.xxhash64("by", F.lit(k))).otherwise(F.xxhash64("uid", F.lit(k))), F.lit(PARTS)) / PARTS
         moved = best.select("uid", F.when(draw < _pick(share, F.col("to")), F.col("to")).otherwise(F.col("shard")).alias("shard"))
         now = table(now.drop("shard").join(moved, "uid"))
