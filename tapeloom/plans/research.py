@@ -226,15 +226,16 @@ def minute_joint_bars(spark, sf):
     return q.join(t, [*CELL, "bar"], "full").groupBy("venue").agg(F.count("*").alias("bars"), F.count("quotes").alias("quoted"), F.count("trades").alias("traded"), r6(F.corr("spread", "net")).alias("corr"))
 
 
-@query("common_bar_betas", f"""{CAL}, d AS (SELECT venue, ts // {DAY} AS bar, sum(r) AS r FROM cr WHERE symbol = 1 GROUP BY ALL), f AS (SELECT * FROM d WHERE bar IN (SELECT bar FROM d GROUP BY bar HAVING count(*) = (SELECT count(DISTINCT venue) FROM d))),
-m AS (SELECT *, avg(r) OVER (PARTITION BY bar) AS m FROM f WHERE r IS NOT NULL) SELECT venue, count(*) AS n, {R("regr_slope(r, m)")} AS beta, {R("regr_r2(r, m)")} AS r2 FROM m GROUP BY venue""")
+@query("common_bar_betas", f"""{CAL}, d AS (SELECT symbol, venue, ts // {DAY} AS bar, sum(r) AS r FROM cr GROUP BY ALL), v AS (SELECT symbol, count(DISTINCT venue) AS venues FROM d GROUP BY symbol),
+f AS (SELECT d.* FROM d JOIN v USING (symbol) WHERE (SELECT count(*) FROM d x WHERE x.symbol = d.symbol AND x.bar = d.bar) = venues),
+m AS (SELECT *, avg(r) OVER (PARTITION BY symbol, bar) AS m FROM f WHERE r IS NOT NULL) SELECT symbol, venue, count(*) AS n, {R("regr_slope(r, m)")} AS beta, {R("regr_r2(r, m)")} AS r2 FROM m GROUP BY ALL""")
 def common_bar_betas(spark, sf):
-    r = flow.calendar_returns(market.tape(spark, sf), CELL, HOUR).where("symbol = 1")
-    d = r.groupBy("venue", F.floor(F.col("ts") / DAY).alias("bar")).agg(F.sum("r").alias("r"))
-    venues = d.select("venue").distinct().count()
-    w = Window.partitionBy("bar")
-    f = d.withColumn("c", F.count("*").over(w)).where(F.col("c") == venues).where("r IS NOT NULL").withColumn("m", F.avg("r").over(w))
-    return f.groupBy("venue").agg(F.count("*").alias("n"), r6(F.regr_slope("r", "m")).alias("beta"), r6(F.regr_r2("r", "m")).alias("r2"))
+    r = flow.calendar_returns(market.tape(spark, sf), CELL, HOUR)
+    d = r.groupBy("symbol", "venue", F.floor(F.col("ts") / DAY).alias("bar")).agg(F.sum("r").alias("r"))
+    venues = d.groupBy("symbol").agg(F.countDistinct("venue").alias("venues"))
+    w = Window.partitionBy("symbol", "bar")
+    f = d.withColumn("c", F.count("*").over(w)).join(venues, "symbol").where("c = venues AND r IS NOT NULL").withColumn("m", F.avg("r").over(w))
+    return f.groupBy("symbol", "venue").agg(F.count("*").alias("n"), r6(F.regr_slope("r", "m")).alias("beta"), r6(F.regr_r2("r", "m")).alias("r2"))
 
 
 @query("funding_proxy", f"""{CAL}, a AS (SELECT venue, symbol, CASE WHEN row_number() OVER w >= 24 AND count(r) OVER (w ROWS 23 PRECEDING) >= 12 THEN avg(abs(r)) OVER (w ROWS 23 PRECEDING) END AS f FROM cr WINDOW w AS (PARTITION BY venue, symbol ORDER BY ts))
