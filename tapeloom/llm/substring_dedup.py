@@ -33,7 +33,7 @@ WINDOW = 35
 #: Bits of the filter of repeated blocks over all shards: 16 MB, whatever the corpus size.
 ANCHOR_BITS = 1 << 27
 #: Hashes that a task gathers before it sends them on.
-FLUSH = 4 << 20
+FLUSH = 2 << 20
 _SHARD = pa.schema([("shard", pa.int32()), ("kind", pa.int8()), ("data", pa.binary())])
 SHARD = "shard int, kind byte, data binary"
 #: Kinds of rows in the first pass: rolling hashes seen once, seen twice, blocks of the index.
@@ -109,6 +109,8 @@ TWICE = np.uint32(1 << 31)
 #: A settled place.
 SPOT = np.dtype([("doc", "<i8"), ("pos", "<u4")])
 OPEN, SETTLED = 0, 1
+#: Stands for a null doc_id, whose windows count for others.
+NO_ID = -(1 << 63)
 
 
 def _repeats(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +149,7 @@ def _windows(window: int, size: int, shards: int, segment_bits: int, anchors):
                     yield batch(_SHARD, [k], [kind], [data])
 
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = b.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
             for i, _, data, offs in slices(b.column(1)):
                 words = Words(data, offs)
                 at, hashes = words.runs(window)
@@ -165,7 +167,7 @@ def _windows(window: int, size: int, shards: int, segment_bits: int, anchors):
                     part["doc"], part["pos"] = ids[i + words.doc[at]], at - words.first[words.doc[at]]
                     held.append(part)
                     n += len(part)
-                if n >= FLUSH // 4:
+                if n >= FLUSH // 2:
                     yield from flush()
                     held, n = [], 0
         if n:
@@ -264,10 +266,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     first = docs.select("text").mapInArrow(_index_and_probe(size, shards), SHARD)
     maps = first.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_anchors(segment_bits), "shard int, map binary")
     anchors = spark.sparkContext.broadcast({r.shard: bytes(r.map) for r in maps.toLocalIterator()})
-    places = docs.where("doc_id IS NOT NULL").mapInArrow(_windows(window, size, shards, segment_bits, anchors), SHARD)
+    places = docs.mapInArrow(_windows(window, size, shards, segment_bits, anchors), SHARD)
     dealt = lambda rows: rows.repartition(shards, "shard").sortWithinPartitions("shard")
     spots = dealt(places).mapInArrow(_settle(shards), SHARD)
-    return _apply(docs, table(dealt(spots).mapInArrow(_starts, "doc_id long, runs binary")), window)
+    return _apply(docs, table(dealt(spots).mapInArrow(_starts, "doc_id long, runs binary").where(F.col("doc_id") != NO_ID)), window)
 
 
 def _apply(docs: DataFrame, starts: DataFrame, window: int) -> DataFrame:

@@ -17,7 +17,7 @@ WHITE = b" \t\n\x0b\x0c\r"
 GAP = np.zeros(256, bool)
 GAP[list(WHITE)] = True
 #: Text is taken in slices of about this many bytes, and at least one document.
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 _BYTE, _WORD, _WIDE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
