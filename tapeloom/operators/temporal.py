@@ -26,23 +26,29 @@ def asof(queries: DataFrame, refs: DataFrame, by: list[str], values: list[str],
     both = both.withColumn("_slice", F.floor(F.col("_t") / slice_))
     order = ["_t", F.desc("_q"), "_s"] if strict else ["_t", "_q", "_s"]
     found = F.last("_ref", ignorenulls=True).over(_rows([*by, "_slice"], *order))
-    carried = ref.groupBy(*by, F.floor(F.col("_t") / slice_).alias("_slice")).agg(F.max_by("_ref", F.struct("_t", "_s")).alias("_carry"))
-    carried = carried.withColumn("_to", F.lead("_slice").over(Window.partitionBy(*by).orderBy("_slice")))
-    into = carried.select(*by, "_carry", F.explode(F.sequence(F.col("_slice") + 1, F.coalesce("_to", F.col("_slice") + 1))).alias("_slice"))
-    last = carried.groupBy(*by).agg(F.max_by("_carry", "_slice").alias("_end"), F.max("_slice").alias("_after"))
-    out = both.withColumn("_found", found).where("_q = 1").join(into, [*by, "_slice"], "left").join(last, by, "left")
-    out = out.withColumn("_found", F.coalesce("_found", "_carry", F.when(F.col("_slice") > F.col("_after"), F.col("_end"))))
+    last = F.max_by("_ref", F.when(F.col("_q") == 0, F.struct("_t", "_s")))
+    into = F.last("_last", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    carried = both.groupBy(*by, "_slice").agg(last.alias("_last")).select(*by, "_slice", into.alias("_carry"))
+    out = both.withColumn("_found", found).where("_q = 1").join(carried, [*by, "_slice"], "left")
+    out = out.withColumn("_found", F.coalesce("_found", "_carry"))
     if tolerance is not None:
         out = out.withColumn("_found", F.when(F.col(at) - F.col("_found.ref_ts") <= tolerance, F.col("_found")))
     return out.select(*queries.columns, *(F.col(f"_found.{v}").alias(v) for v in ["ref_ts", *values]))
 
 
-def forward(queries: DataFrame, refs: DataFrame, by: list[str], values: list[str], *, at: str = "ts", strict: bool = True, tolerance: int | None = None) -> DataFrame:
-    """queries with `values` of the first row of refs after (not strict: at or after) `at`, and next_ts."""
+def forward(queries: DataFrame, refs: DataFrame, by: list[str], values: list[str], *, at: str = "ts", strict: bool = True, tolerance: int | None = None, slice_: int = DAY_US) -> DataFrame:
+    """queries with `values` of the first row of refs after (not strict: at or after) `at`, and next_ts;
+    by slices of time like asof."""
     ref = refs.select(*by, F.col("ts").alias("_t"), F.col("seq").alias("_s"), F.struct(F.col("ts").alias("next_ts"), *values).alias("_ref"))
     both = queries.withColumn("_t", F.col(at)).withColumn("_q", F.lit(1)).unionByName(ref.withColumn("_q", F.lit(0)), allowMissingColumns=True)
+    both = both.withColumn("_slice", F.floor(F.col("_t") / slice_))
     order = ["_t", "_q", "_s"] if strict else ["_t", F.desc("_q"), "_s"]
-    out = both.withColumn("_found", F.first("_ref", ignorenulls=True).over(_rows(by, *order, start=0, end=Window.unboundedFollowing))).where("_q = 1")
+    found = F.first("_ref", ignorenulls=True).over(_rows([*by, "_slice"], *order, start=0, end=Window.unboundedFollowing))
+    first = F.min_by("_ref", F.when(F.col("_q") == 0, F.struct("_t", "_s")))
+    into = F.first("_first", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_slice").rowsBetween(1, Window.unboundedFollowing))
+    carried = both.groupBy(*by, "_slice").agg(first.alias("_first")).select(*by, "_slice", into.alias("_carry"))
+    out = both.withColumn("_found", found).where("_q = 1").join(carried, [*by, "_slice"], "left")
+    out = out.withColumn("_found", F.coalesce("_found", "_carry"))
     if tolerance is not None:
         out = out.withColumn("_found", F.when(F.col("_found.next_ts") - F.col(at) <= tolerance, F.col("_found")))
     return out.select(*queries.columns, *(F.col(f"_found.{v}").alias(v) for v in ["next_ts", *values]))

@@ -45,8 +45,9 @@ def test_asof(quotes, asked, slice_):
     assert near[1, 19] == 10 and near[1, 94] is None
 
 
-def test_forward_and_nearest(quotes, asked):
-    got = {(r["k"], r["ts"]): r["next_ts"] for r in temporal.forward(asked, quotes, ["k"], ["v"]).collect()}
+@pytest.mark.parametrize("slice_", [7, 1000])
+def test_forward_and_nearest(quotes, asked, slice_):
+    got = {(r["k"], r["ts"]): r["next_ts"] for r in temporal.forward(asked, quotes, ["k"], ["v"], slice_=slice_).collect()}
     assert got[1, 9] == 10 and got[1, 10] == 20 and got[1, 500] is None and got[3, 1] is None
     got = {(r["k"], r["ts"]): r["ref_ts"] for r in temporal.nearest(asked, quotes, ["k"], ["v"]).collect()}
     assert got[1, 9] == 10 and got[1, 19] == 20 and got[1, 500] == 95
