@@ -127,15 +127,16 @@ def id_hashes(ids: pa.Array) -> np.ndarray:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b), copied both ways.
 
-    Large-star and small-star rounds, each written to the shared folder; a third of all edges at
-    one node shuffle as plain rows, min() is pre-aggregated, and rounds grow with the logarithm of
-    the longest path."""
+    Large-star and small-star rounds, each written to the shared folder; min() is pre-aggregated, a
+    node of a third of all edges is rows of a join that Spark can split, and rounds grow with the
+    logarithm of the longest path."""
     now = table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     nodes, mark = now, None
     # one row tells whether a round changed anything
     while (last := mark) != (mark := tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())) and mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that Spark can split the join at a node of very many edges
+        least = table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = table(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         now = table(large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u > v").distinct())
