@@ -23,7 +23,8 @@ from tapeloom.llm.common import table
 from tapeloom.llm.texts import slices
 
 END_ID, PAD_ID, LENGTH = 1, 0, 2048
-#: Words whose ids a worker remembers, at most.
+#: Bytes of text whose new words are tokenised in one call, and words whose ids a worker remembers.
+SLICE = 2 << 20
 CACHE = 500_000
 BLOCK = 1024
 PIECES = "array<struct<doc_id:bigint,start:bigint,length:bigint,doc_tokens:bigint>>"
@@ -98,7 +99,7 @@ def tokenise(docs: DataFrame, path: str) -> DataFrame:
         encoder, part, start = Encoder.of(path), TaskContext.get().partitionId(), 0
         end = np.array([END_ID], "<u2").tobytes()
         for b in batches:
-            for i, j, data, offs in slices(b.column(1)):
+            for i, j, data, offs in slices(b.column(1), SLICE):
                 ids = [x + end for x in encoder.encode(data, offs)]
                 n = np.array([len(x) // 2 for x in ids])
                 starts = start + np.cumsum(n) - n
