@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples.
 
 Examples are a bounded sample of labelled documents. The vector space is TF-IDF over the terms that
-stand out in toxic examples (by log-likelihood ratio and lift), with document frequencies over the
+stand out in toxic examples (by log-likelihood ratio), with document frequencies over the
 whole corpus. An inverted index of the examples keeps, for each term and block of examples,
 the largest weight; a query visits blocks by their bound and stops when no block can hold a nearer
 example, so the k nearest by cosine are exact. Distance-weighted votes are calibrated by isotonic
@@ -24,9 +24,8 @@ from tapeloom.llm.texts import Words, slices
 
 #: Labelled documents that are learned from, at most (about): bounds what the driver and tasks hold.
 EXAMPLES = 20_000
-#: Terms, at most, and how sure each must be: twice the log-likelihood ratio, toxic examples, and how
-#: many times the examples' rate of toxic ones the term's own must be.
-TERMS, LEAST_RATIO, LEAST_TOXIC, LEAST_LIFT = 256, 24.0, 3, 3.0
+#: Terms, at most, and how sure each must be: twice the log-likelihood ratio, and toxic examples.
+TERMS, LEAST_RATIO, LEAST_TOXIC = 256, 24.0, 3
 NEIGHBOURS, BLOCK, SOFT, PRIOR = 15, 64, 0.05, 2.0
 REJECT = 0.3
 #: Vectors whose neighbours a worker remembers.
@@ -67,7 +66,7 @@ def vocabulary(examples: DataFrame) -> np.ndarray:
 
     rate = (F.col("a") + F.col("b")) / float(n["n"])
     ratio = 2 * (part(F.col("a"), rate * toxic) + part(F.col("b"), rate * clean) + part(toxic - F.col("a"), (1 - rate) * toxic) + part(clean - F.col("b"), (1 - rate) * clean))
-    sure = counts.where((F.col("a") >= LEAST_TOXIC) & (F.col("a") * float(n["n"]) >= LEAST_LIFT * toxic * (F.col("a") + F.col("b")))).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
+    sure = counts.where((F.col("a") >= LEAST_TOXIC) & (F.col("a") * float(clean) > F.col("b") * float(toxic))).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
     rows = sure.orderBy(F.desc("ratio"), "term").limit(TERMS).select("term").collect()
     return np.sort(np.array([r["term"] for r in rows], np.int64).view(np.uint64))
 

@@ -176,6 +176,26 @@ def test_toxicity_without_labels_and_nearest_is_exact(spark, odd):
         assert np.allclose(score, np.sort(np.minimum(full @ full[q], 1))[::-1][:15])
 
 
+def labelled(toxic_share: int):
+    """240 texts of 30 common words, every toxic one with three insults, and their labels."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(240):
+        words = [f"w{rng.randrange(300)}" for _ in range(30)]
+        bad = i % 100 < toxic_share
+        for _ in range(3 * bad):
+            words[rng.randrange(30)] = rng.choice(["vile", "scum", "filth"])
+        rows.append((i, " ".join(words), int(bad)))
+    return rows
+
+
+@pytest.mark.parametrize("share", [12, 50, 80])
+def test_toxicity_does_not_depend_on_the_balance_of_labels(spark, share):
+    d = spark.createDataFrame(labelled(share), "doc_id long, text string, toxic int")
+    got = toxicity.score_toxicity(d, d.select("doc_id", "toxic")).join(d.select("doc_id", "toxic"), "doc_id").toPandas()
+    assert (got.predicted == got.toxic)[got.held_out].mean() > 0.95 and got.score.nunique() > 1
+
+
 def test_encoder_on_odd_characters():
     import pyarrow as pa
     from tokenizers import Tokenizer
