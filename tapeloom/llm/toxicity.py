@@ -1,9 +1,10 @@
 """Toxicity by the nearest labelled examples.
 
-Examples are a bounded sample of labelled documents. The vector space is TF-IDF over the terms that
-stand out in toxic examples (by log-likelihood ratio), with document frequencies over the
-whole corpus. An inverted index of the examples keeps, for each term and block of examples,
-the largest weight; a query visits blocks by their bound and stops when no block can hold a nearer
+Examples are a bounded sample of labelled documents. The vector space is TF-IDF over all terms of the
+examples, with document frequencies over the whole corpus; a term weighs more, never less, the surer
+it is more frequent in toxic examples (by log-likelihood ratio). Terms of no example count in a
+document's norm. An inverted index of the examples keeps, for each term and block of examples that
+has it, the largest weight; a query visits blocks by their bound and stops when no block can hold a nearer
 example, so the k nearest by cosine are exact. Distance-weighted votes are calibrated by isotonic
 regression on the examples' own votes, each without itself. Every document is scored on its whole
 text, in one pass that turns texts to short vectors; only the index, of bounded size, is broadcast.
@@ -11,6 +12,7 @@ text, in one pass that turns texts to short vectors; only the index, of bounded
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -24,8 +26,9 @@ from tapeloom.llm.texts import Words, slices
 
 #: Labelled documents that are learned from, at most (about): bounds what the driver and tasks hold.
 EXAMPLES = 20_000
-#: Terms, at most, and how sure each must be: twice the log-likelihood ratio, and toxic examples.
-TERMS, LEAST_RATIO, LEAST_TOXIC = 256, 24.0, 3
+#: How much more a term weighs that tells toxic examples from clean ones, and how large twice its
+#: log-likelihood ratio may be by chance (see relevance).
+SURER, CHANCE = 100.0, 10.83
 NEIGHBOURS, BLOCK, SOFT, PRIOR = 15, 64, 0.05, 2.0
 REJECT = 0.3
 #: Vectors whose neighbours a worker remembers.
@@ -41,53 +44,60 @@ def _terms(column: pa.Array):
         yield i, j, words.doc, words.hash
 
 
-def _term_counts(batches):
-    schema = pa.schema([("term", pa.int64()), ("toxic", pa.int64()), ("clean", pa.int64())])
+def _distinct(batches):
+    schema = pa.schema([("term", pa.int64())])
     for b in batches:
-        labels = b.column(1).to_numpy()
-        for i, _, rows, terms in _terms(b.column(0)):
-            own = np.unique(np.stack([terms, rows.astype(np.uint64)], axis=1), axis=0)
-            toxic = labels[i + own[:, 1].astype(np.int64)]
-            names, where = np.unique(own[:, 0], return_inverse=True)
-            n, t = np.bincount(where), np.bincount(where, toxic).astype(np.int64)
-            yield batch(schema, names.view(np.int64), t, n - t)
+        for *_, terms in _terms(b.column(0)):
+            yield batch(schema, np.unique(terms).view(np.int64))
 
 
 def vocabulary(examples: DataFrame) -> np.ndarray:
-    """Hashes of the terms, sorted; examples: text, toxic."""
+    """Hashes of all terms of the examples (text, toxic), sorted; none if their labels are of one kind."""
     n = examples.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
-    toxic, clean = n["t"] or 0, n["n"] - (n["t"] or 0)
-    if not toxic or not clean:
+    if not n["t"] or n["t"] == n["n"]:
         return np.zeros(0, np.uint64)
-    counts = examples.select("text", "toxic").mapInArrow(_term_counts, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+    found = examples.select("text").mapInArrow(_distinct, "term long").distinct().toArrow()
+    return np.sort(found.column(0).to_numpy().view(np.uint64))
+
+
+def relevance(term: np.ndarray, example: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
+    """For each of `size` terms 1, plus what its log-likelihood ratio adds where its rate in toxic
+    examples is above that in clean ones: by the root of twice the ratio above chance for each example,
+    which does not grow with their number. (term, example) are distinct pairs, toxic the examples' labels."""
+    n, t = len(toxic), float(toxic.sum())
+    both = np.bincount(term, minlength=size)
+    a = np.bincount(term, toxic[example], size)
+    b, rate = both - a, both / n
 
     def part(seen, expected):
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-300)), 0.0)
 
-    rate = (F.col("a") + F.col("b")) / float(n["n"])
-    ratio = 2 * (part(F.col("a"), rate * toxic) + part(F.col("b"), rate * clean) + part(toxic - F.col("a"), (1 - rate) * toxic) + part(clean - F.col("b"), (1 - rate) * clean))
-    sure = counts.where((F.col("a") >= LEAST_TOXIC) & (F.col("a") * float(clean) > F.col("b") * float(toxic))).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
-    rows = sure.orderBy(F.desc("ratio"), "term").limit(TERMS).select("term").collect()
-    return np.sort(np.array([r["term"] for r in rows], np.int64).view(np.uint64))
+    ratio = 2 * (part(a, rate * t) + part(b, rate * (n - t)) + part(t - a, (1 - rate) * t) + part(n - t - b, (1 - rate) * (n - t)))
+    return 1 + SURER * np.where(a * (n - t) > b * t, np.sqrt(np.maximum(ratio - CHANCE, 0.0) / n), 0.0)
 
 
 def _vectors(names):
-    """(id columns ..., text last) to (id columns ..., vector): packed pairs (term, times), or empty."""
+    """(id columns ..., text last) to (id columns ..., vector): packed pairs (term, times), where terms
+    of no example are pairs of the term after the last. Texts without a term of an example: empty."""
 
     def run(batches):
         own = names.value
         for b in batches:
             out = [b""] * b.num_rows
             for i, _, rows, terms in _terms(b.column(b.num_columns - 1)) if len(own) else ():
-                at = np.minimum(np.searchsorted(own, terms), len(own) - 1)
-                hit = own[at] == terms
-                pairs, times = np.unique(rows[hit].astype(np.int64) * len(own) + at[hit], return_counts=True)
-                row, term = np.divmod(pairs, len(own))
-                vectors = np.stack([term, times], axis=1).astype(np.int32)
+                if not len(terms):
+                    continue
+                new, where = np.unique(terms, return_inverse=True)
+                at = np.minimum(np.searchsorted(own, new), len(own) - 1)
+                at[own[at] != new] = len(own)
+                pairs, times = np.unique(rows.astype(np.int64) * len(new) + where, return_counts=True)
+                row, term = np.divmod(pairs, len(new))
+                vectors = np.stack([at[term], times], axis=1).astype(np.int32)
                 docs, first = np.unique(row, return_index=True)
+                known = np.add.reduceat(vectors[:, 0] < len(own), first, dtype=np.int64)
                 bounds = np.append(first, len(row))
-                for k, doc in enumerate(docs):
-                    out[i + doc] = vectors[bounds[k] : bounds[k + 1]].tobytes()
+                for k in np.flatnonzero(known):
+                    out[i + docs[k]] = vectors[bounds[k] : bounds[k + 1]].tobytes()
             yield pa.record_batch([*b.columns[:-1], pa.array(out, pa.binary())], names=[*b.schema.names[:-1], "vector"])
 
     return run
@@ -100,33 +110,52 @@ def _frequencies(size: int):
         seen = np.zeros(size, np.int64)
         for b in batches:
             joined = b"".join(x.as_py() for x in b.column(0))
-            seen += np.bincount(np.frombuffer(joined, np.int32)[::2], minlength=size)
+            seen += np.bincount(np.frombuffer(joined, np.int32)[::2], minlength=size + 1)[:size]
         hit = np.flatnonzero(seen)
         yield batch(schema, hit, seen[hit])
 
     return run
 
 
+def _spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all intervals [start, end), one after the other, and how many each has."""
+    n = end - start
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum()), n
+
+
 class Index:
     """A block-max inverted index of weighted examples; small enough to broadcast."""
 
     def __init__(self, idf: np.ndarray, ids: list[int], vectors: list[bytes], toxic: list[int]):
         self.idf, self.zero = idf, [(t) for v, t in zip(vectors, toxic) if not v]
         own = [(i, *self.weigh(v), t) for i, v, t in zip(ids, vectors, toxic) if v]
-        own.sort(key=lambda x: (tuple(x[1][np.argsort(-x[2], kind="stable")]), x[0]))  # like vectors share blocks
+        own.sort(key=lambda x: (tuple(x[1][np.argsort(-x[2], kind="stable")[:16]]), x[0]))  # like vectors share blocks
         self.ids, self.toxic = np.array([x[0] for x in own], np.int64), np.array([x[3] for x in own], float)
         self.base = (sum(toxic) + 1) / (len(toxic) + 2)
-        self.clean = (sum(self.zero) + 1) / (len(self.zero) + 2)
-        blocks, n_terms = -(-len(own) // BLOCK), len(idf)
+        self.clean = (sum(self.zero) + PRIOR * self.base) / (len(self.zero) + PRIOR)
         example = np.repeat(np.arange(len(own)), [len(x[1]) for x in own])
         term = np.concatenate([x[1] for x in own] or [np.zeros(0, np.int64)])
         weight = np.concatenate([x[2] for x in own] or [np.zeros(0)])
         order = np.lexsort((example, term))
-        self.example, term, self.weight = example[order], term[order], weight[order]
-        self.most = np.zeros((n_terms, blocks))
-        np.maximum.at(self.most, (term, self.example // BLOCK), self.weight)
-        self.start = np.searchsorted(term * max(1, blocks) + self.example // BLOCK, np.arange(n_terms * max(1, blocks) + 1)) if len(own) else np.zeros(1, np.int64)
-        self.blocks, self.cache = blocks, {}
+        self.example, self.weight = example[order].astype(np.int32), weight[order].astype(np.float32)
+        self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        self.blocks = -(-len(own) // BLOCK)
+        self._bound()
+
+    def _bound(self) -> None:
+        """An entry for each term and block that has it: block, largest weight, where its postings start."""
+        term, blocks = np.repeat(np.arange(len(self.idf)), np.diff(self.first)), max(1, self.blocks)
+        keys, start = np.unique(term * blocks + self.example // BLOCK, return_index=True)
+        self.block, self.start = (keys % blocks).astype(np.int32), np.append(start, len(term)).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0, np.float32)
+        self.entries, self.cache = np.searchsorted(keys, np.arange(len(self.idf) + 1) * blocks), {}
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("block", "start", "most", "entries", "cache")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._bound()
 
     def weigh(self, vector: bytes) -> tuple[np.ndarray, np.ndarray]:
         term, times = np.frombuffer(vector, np.int32).astype(np.int64).reshape(-1, 2).T
@@ -136,7 +165,9 @@ class Index:
     def nearest(self, vector: bytes, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest; ties go to the smaller place in the index."""
         term, w = self.weigh(vector)
-        bound = w @ self.most[term]
+        entry, n = _spans(self.entries[term], self.entries[term + 1])
+        w, block = np.repeat(w, n), self.block[entry]
+        bound = np.bincount(block, self.most[entry] * w, self.blocks) * (1 + 1e-12)  # sums in another order
         order = np.argsort(-bound, kind="stable")
         best, score, done = np.zeros(0, np.int64), np.zeros(0), 0
         while done < len(order):
@@ -146,10 +177,11 @@ class Index:
             blocks = blocks[bound[blocks] > 0] if len(score) < NEIGHBOURS else blocks[bound[blocks] >= score[-1]]
             if not len(blocks):
                 break
-            at = (term[:, None] * self.blocks + blocks).ravel()
-            start, n = self.start[at], self.start[at + 1] - self.start[at]
-            at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
-            dots = np.bincount(self.example[at], self.weight[at] * np.repeat(np.repeat(w, len(blocks)), n))
+            now = np.zeros(self.blocks, bool)
+            now[blocks] = True
+            hit = np.flatnonzero(now[block])
+            at, n = _spans(self.start[entry[hit]], self.start[entry[hit] + 1])
+            dots = np.bincount(self.example[at], self.weight[at] * np.repeat(w[hit], n))
             at = np.flatnonzero(dots)
             if without is not None:
                 at = at[self.ids[at] != without]
@@ -166,14 +198,16 @@ class Index:
         """(score, evidence): evidence holds each neighbour's doc_id, cosine and label."""
         if not vector or not len(self.ids):
             return self.clean, []
-        if vector not in self.cache:
+        key = hashlib.sha256(vector).digest()
+        if key not in self.cache:
             best, score = self.nearest(vector)
             raw = self.vote(best, score)
             value = raw if knots is None else float(np.interp(raw, *knots))
             if len(self.cache) >= CACHE:
                 self.cache.clear()
-            self.cache[vector] = value, [(int(self.ids[i]), float(s), int(self.toxic[i])) for i, s in zip(best, score)]
-        return self.cache[vector]
+            self.cache[key] = value, best, score
+        value, best, score = self.cache[key]
+        return value, [(int(self.ids[i]), float(s), int(self.toxic[i])) for i, s in zip(best, score)]
 
 
 def calibration(votes: list[tuple[float, int]], base: float) -> np.ndarray | None:
@@ -216,11 +250,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most_examples: int = EXAM
     shared = spark.sparkContext.broadcast(names)
     vectors = table(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_vectors(shared), "doc_id long, held_out boolean, vector binary"))
     total, seen = max(1, vectors.count()), np.zeros(len(names), np.int64)
-    for r in vectors.where("length(vector) > 0").select("vector").mapInArrow(_frequencies(len(names)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect() if len(names) else []:
-        seen[r["term"]] = r["n"]
+    if len(names):
+        counts = vectors.where("length(vector) > 0").select("vector").mapInArrow(_frequencies(len(names)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        seen[counts.column(0).to_numpy()] = counts.column(1).to_numpy()
     known = table(examples.select("doc_id", "toxic", "text").mapInArrow(_vectors(shared), "doc_id long, toxic int, vector binary"))
-    own = known.collect()
-    held = spark.sparkContext.broadcast(Index(np.log((total + 1) / (seen + 1)) + 1, [r["doc_id"] for r in own], [bytes(r["vector"]) for r in own], [r["toxic"] for r in own]))
+    own = known.toArrow()
+    own_vectors, toxic = own.column(2).to_pylist(), own.column(1).to_numpy()
+    terms = np.frombuffer(b"".join(own_vectors), np.int32)[::2]
+    extra = relevance(terms, np.repeat(np.arange(len(toxic)), [len(v) // 8 for v in own_vectors]), toxic, len(names)) if len(names) else np.zeros(0)
+    # the term after the last stands for each that no example has: as rare as can be, and no surer
+    idf = np.append((np.log((total + 1) / (seen + 1)) + 1) * extra, np.log(total + 1) + 1)
+    held = spark.sparkContext.broadcast(Index(idf, own.column(0).to_pylist(), own_vectors, toxic.tolist()))
 
     def vote(batches):
         schema = pa.schema([("vote", pa.float64()), ("toxic", pa.int32())])

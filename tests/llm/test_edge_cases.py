@@ -196,6 +196,18 @@ def test_toxicity_does_not_depend_on_the_balance_of_labels(spark, share):
     assert (got.predicted == got.toxic)[got.held_out].mean() > 0.95 and got.score.nunique() > 1
 
 
+def test_toxicity_weighs_all_words(spark):
+    rows = labelled(12)
+    insult, clean = next(r for r in rows if r[2]), next(r for r in rows if not r[2])
+    new = [(1000, "vile " + " ".join(f"w{i}" for i in range(300))), (1001, clean[1]), (1002, "vile " + " ".join(f"unseen{i}" for i in range(20_000)))]
+    d = spark.createDataFrame([(i, t) for i, t, _ in rows] + new, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(d, spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")).collect()}
+    assert max(e["cosine"] for e in got[1000]["evidence"]) < 0.99  # a long text that quotes one insult is not the insult
+    assert max(e["cosine"] for e in got[1002]["evidence"]) < 0.5  # nor where no example has its other words
+    assert got[insult[0]]["predicted"] == 1
+    assert len(got[1001]["evidence"]) == 15 and (clean[0], 1.0) in [(e["doc_id"], round(e["cosine"], 6)) for e in got[1001]["evidence"]]
+
+
 def test_encoder_on_odd_characters():
     import pyarrow as pa
     from tokenizers import Tokenizer
