@@ -214,23 +214,13 @@ def _block_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
     return a.join(b, "cell").where((F.col("a") <= F.col("b")) & (apart <= (epsilon + SLACK) ** 2)).select("a", "b").distinct()
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """vec_id, n_links, component_id, kept: a row for each row of vectors (vec_id, embedding).
-
-    Links: cosine, in double precision, of `cosine` or more. Vectors that are null, zero or hold null
-    or non-finite parts, of another length than the longest, or of null vec_id, link with nothing.
-    Rows that repeat a vec_id count as vectors of their own that link if they are near, and share one
-    row's component. Other columns are not read; an empty table gives no rows."""
+def _near(fine: DataFrame, dim: int, cosine: float) -> DataFrame:
+    """vec_id, n_links, component_id: a row for each row of fine (vec_id, v), all of length dim."""
     epsilon = float(np.sqrt(2 - 2 * cosine))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    dim = rows.where(_is_fine()).agg(F.max(F.size("embedding"))).first()[0]
-    if not dim:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    fine = rows.where(_is_fine(dim)).select("vec_id", F.col("embedding").alias("v"))
     members = table(fine.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     n = members.count()
     axes = _axes(members.select(F.col("rep").alias("vec_id"), "v"), n, dim)
-    own = vectors.sparkSession.sparkContext.broadcast(axes)
+    own = fine.sparkSession.sparkContext.broadcast(axes)
     size = min(4096, max(512, n // 24))
     placed = _ordered(members.select(F.col("rep").alias("vec_id"), "copies", "v"), axes, epsilon)
     parts = max(1, -(-n // (2 * size)))
@@ -245,9 +235,25 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     groups = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
     classes = members.join(links.withColumnRenamed("vec_id", "rep"), "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     classes = table(classes.select("v", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
-    known = fine.join(classes, "v").select("vec_id", "n_links", "component_id")
-    odd = rows.where(~_is_fine(dim)).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return known.unionByName(odd).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return fine.join(classes, "v").select("vec_id", "n_links", "component_id")
+
+
+def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """vec_id, n_links, component_id, kept: a row for each row of vectors (vec_id, embedding).
+
+    Links: cosine, in double precision, of `cosine` or more, between vectors of one length; each length
+    is a join of its own. Vectors that are null, zero or hold null or non-finite parts, or of null
+    vec_id, link with nothing. Rows that repeat a vec_id count as vectors of their own that link if
+    they are near, and those of one length share one row's component. Other columns are not read; an
+    empty table gives no rows."""
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    lengths = rows.where(_is_fine()).groupBy(F.size("embedding").alias("dim")).count().where("count > 1").orderBy("dim").collect()
+    dims = [r["dim"] for r in lengths]
+    linked = _is_fine() & F.size("embedding").isin(dims) if dims else F.lit(False)
+    alone = rows.where(~F.coalesce(linked, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for dim in dims:
+        alone = alone.unionByName(_near(rows.where(_is_fine(dim)).select("vec_id", F.col("embedding").alias("v")), dim, cosine))
+    return alone.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op6_embedding_dedup(spark, sf_dir: str) -> DataFrame:
