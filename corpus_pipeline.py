@@ -15,32 +15,52 @@ from tapeloom.llm.toxicity import score_toxicity
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _stay(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is in ids, where null is an id like others. Rows that repeat a doc_id
-    stay or go together."""
-    ids = ids.select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a unique number of each row, written so that it stays."""
+    return table(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _stay(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of the numbered docs whose number is in rows, which holds each once."""
+    return docs.join(rows.select("_row"), "_row", "left_semi").select(*COLUMNS)
+
+
+def _first(docs: DataFrame, groups: DataFrame, group: str) -> DataFrame:
+    """The number of each group's row of the smallest (doc_id, number), null doc_ids last; groups has
+    the numbers as doc_id."""
+    ids = docs.select("_row", F.col("doc_id").cast("long").alias("own_id"))
+    order = F.struct(F.col("own_id").isNull().alias("none"), "own_id", "_row")
+    named = groups.select(F.col("doc_id").alias("_row"), F.col(group).alias("_group")).join(ids, "_row")
+    return named.groupBy("_group").agg(F.min(order).alias("first")).select("first._row")
+
+
+def _by_row(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("_row").alias("doc_id"), "text")
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
-    scored = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _stay(docs, scored.where("predicted = 0").select("doc_id"))
+    docs = _numbered(docs)
+    scored = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), row="_row")
+    return _stay(docs, scored.where("predicted = 0"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of equal texts."""
-    return _stay(docs, exact_dedup(docs).where("kept").select("doc_id"))
+    """One row, of the smallest doc_id, of each group of equal texts."""
+    docs = _numbered(docs)
+    return _stay(docs, _first(docs, exact_dedup(_by_row(docs)), "keep_id"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near copies."""
-    return _stay(docs, ngram_join(docs).where("kept").select("doc_id"))
+    """One row, of the smallest doc_id, of each group of near copies."""
+    docs = _numbered(docs)
+    return _stay(docs, _first(docs, ngram_join(_by_row(docs)), "class_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mixture draws."""
-    return _stay(docs, mix(docs.select("doc_id", "text", "lang", "source")).where("sampled").select("doc_id"))
+    docs = _numbered(docs)
+    return _stay(docs, mix(docs.select("_row", "doc_id", "text", "lang", "source"), row="_row").where("sampled"))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,22 +61,24 @@ def rate_of(cells: DataFrame, budget: float, rounds: int = RATE_ROUNDS) -> float
     return rate
 
 
-def mix(docs: DataFrame, level: dict[str, float] = LEVEL, budget: float = BUDGET) -> DataFrame:
+def mix(docs: DataFrame, level: dict[str, float] = LEVEL, budget: float = BUDGET, row: str | None = None) -> DataFrame:
     """doc_id, source, lang, topic, tokens, probability, sampled: a row for each row of docs.
 
     tokens: words plus one, so no document weighs nothing. Null text is empty; null source, lang or
     doc_id are values of their own; a doc_id that repeats is decided alike. A topic column of docs
-    is used where there is one, else the text's class. Other columns are not read; no rows, no rows."""
+    is used where there is one, else the text's class. Other columns are not read, but for
+    `row`, if named, which each row of docs keeps; no rows, no rows."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     topic = F.col("topic").cast("string") if "topic" in docs.columns else topic_of(text)
     words = F.regexp_count(text, F.lit(f"[^{SPACE}]+"))
-    rows = table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), topic.alias("topic"), (words + 1).cast("long").alias("tokens")))
+    kept = [row] if row else []
+    rows = table(docs.select(*kept, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), topic.alias("topic"), (words + 1).cast("long").alias("tokens")))
     cells = rake(rows.groupBy(*level).agg(F.sum("tokens").alias("tokens")), level)
     chance = F.least(F.lit(1.0), F.lit(rate_of(cells, budget)) * F.col("weight") / F.col("tokens"))
     cells = cells.select(*(F.col(d).alias(f"cell_{d}") for d in level), chance.alias("probability"))
     same = [F.col(d).eqNullSafe(F.col(f"cell_{d}")) for d in level]
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") / float(16**13)
-    return rows.join(cells, same).select("doc_id", "source", "lang", "topic", "tokens", "probability", (draw < F.col("probability")).alias("sampled"))
+    return rows.join(cells, same).select(*kept, "doc_id", "source", "lang", "topic", "tokens", "probability", (draw < F.col("probability")).alias("sampled"))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

@@ -229,15 +229,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, most_examples: int = EXAMPLES) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, most_examples: int = EXAMPLES, row: str | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence: a row for each row of docs.
 
     Learned from rows of labels whose crc32(doc_id) mod 4 is not 2; null labels are none, and of a
     doc_id's labels the largest counts. The score uses the text alone. Null and empty texts, and texts
     without a known term, score as such examples do. With no labels, or of one kind, every score is
-    the labels' smoothed rate. A null doc_id is scored and not held out. Other columns are not read."""
+    the labels' smoothed rate. A null doc_id is scored and not held out. Other columns are not read, but for the long `row`, if named, which each
+    row of docs keeps."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own_row = (F.col(row) if row else F.lit(None)).cast("long").alias("_row")
+    docs = docs.select(own_row, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     known = table(known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     share = min(1.0, most_examples / max(1, known.count()))
@@ -248,7 +250,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most_examples: int = EXAM
     examples = table(docs.join(F.broadcast(sample), "doc_id").groupBy(text).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"), F.max("toxic").alias("toxic")).drop("_text"))
     names = vocabulary(examples)
     shared = spark.sparkContext.broadcast(names)
-    vectors = table(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_vectors(shared), "doc_id long, held_out boolean, vector binary"))
+    vectors = table(docs.select("_row", "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_vectors(shared), "_row long, doc_id long, held_out boolean, vector binary"))
     total, seen = max(1, vectors.count()), np.zeros(len(names), np.int64)
     if len(names):
         counts = vectors.where("length(vector) > 0").select("vector").mapInArrow(_frequencies(len(names)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
@@ -271,14 +273,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most_examples: int = EXAM
     knots = calibration([(r["vote"], r["toxic"]) for r in votes], held.value.base)
 
     def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("evidence", _EVIDENCE)])
+        schema = pa.schema([("_row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("evidence", _EVIDENCE)])
         for b in batches:
-            found = [held.value.score(v.as_py(), knots) for v in b.column(2)]
+            found = [held.value.score(v.as_py(), knots) for v in b.column(3)]
             evidence = [[{"doc_id": i, "cosine": c, "toxic": t} for i, c, t in e] for _, e in found]
-            yield batch(schema, b.column(0), b.column(1), [s for s, _ in found], evidence)
+            yield batch(schema, b.column(0), b.column(1), b.column(2), [s for s, _ in found], evidence)
 
-    scored = vectors.mapInArrow(run, f"doc_id long, held_out boolean, score double, evidence {EVIDENCE}")
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= REJECT).cast("int").alias("predicted"), "evidence")
+    scored = vectors.mapInArrow(run, f"_row long, doc_id long, held_out boolean, score double, evidence {EVIDENCE}")
+    return scored.select(*([F.col("_row").alias(row)] if row else []), "doc_id", "held_out", "score", (F.col("score") >= REJECT).cast("int").alias("predicted"), "evidence")
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
