@@ -3,8 +3,8 @@
 Pass 1 tokenises and writes the ids with each document's token offset inside its partition. The
 partitions' totals, summed twice (within blocks of partitions, then over blocks), give each
 partition's global offset. Pass 2 cuts the stream into fixed windows: a window whose tokens lie in
-one task is a complete record, the others are boundary records that `sequences` joins. Tokens never
-shuffle, but for the boundary records.
+one task is a complete record, the others are boundary records, which are joined. Tokens never shuffle,
+but for the boundary records.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,9 +24,11 @@ from tapeloom.llm.common import table
 from tapeloom.llm.texts import slices
 
 END_ID, PAD_ID, LENGTH = 1, 0, 2048
-#: Bytes of text whose new words are tokenised in one call, and words whose ids a worker remembers.
+#: Bytes of text that are split into words at once; new words that are tokenised in one call, joined to
+#: texts of JOINED words; bytes of words and ids that a worker remembers, with ENTRY for each besides.
 SLICE = 2 << 20
-CACHE = 500_000
+CALL, JOINED = 8_000, 100
+CACHE, ENTRY = 80 << 20, 160
 BLOCK = 1024
 PIECES = "array<struct<doc_id:bigint,start:bigint,length:bigint,doc_tokens:bigint>>"
 
@@ -54,7 +57,8 @@ class Encoder:
     """Ids of whole texts, word by word: this vocabulary's pre-tokeniser drops white space and never
     looks across it, and it lower-cases, so a text's ids are those of its lower-cased words in turn.
     Words already seen cost a dictionary look-up. Text that may hold a special token, or combining
-    marks that join to some small letters only, is neither lower-cased nor split at marks first."""
+    marks that join to some small letters only, is neither lower-cased nor split at marks first. A
+    tokenizer that does not work so, as probes show, is given whole texts."""
 
     _by_path: dict[str, Encoder] = {}
 
@@ -62,9 +66,12 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer, self.cache, self.held = Tokenizer.from_file(path), {}, 0
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
+        probe = ["AB", "ab", "a b", "a", "b", "a.", "."]
+        whole, low, two, one, other, marked, mark = (e.ids for e in self.tokenizer.encode_batch_fast(probe, add_special_tokens=False))
+        self.by_word = whole == low and two == one + other and marked == one + mark
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -72,19 +79,33 @@ class Encoder:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
+    def _learn(self, words: list[bytes]) -> None:
+        """Tokenises words, many joined by spaces in one text, and tells them apart by offsets."""
+        for s in range(0, len(words), CALL):
+            own = [w.decode() for w in words[s : s + CALL]]
+            groups = [own[k : k + JOINED] for k in range(0, len(own), JOINED)]
+            found = self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
+            for k, (group, e) in enumerate(zip(groups, found)):
+                starts = np.cumsum([0, *(len(w) + 1 for w in group)])
+                bounds = 2 * np.searchsorted(np.array([a for a, _ in e.offsets], np.int64), starts)
+                ids, first = np.array(e.ids, "<u2").tobytes(), s + k * JOINED
+                self.cache.update((w, ids[i:j]) for w, i, j in zip(words[first : first + len(group)], bounds.tolist(), bounds[1:].tolist()))
+                self.held += len(ids) + int(starts[-1]) + ENTRY * len(group)
+
     def encode(self, data: np.ndarray, offs: np.ndarray) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
         raw = data.tobytes()
+        if not self.by_word:
+            return [np.array(self.tokenizer.encode(raw[s:e].decode(), add_special_tokens=False).ids, "<u2").tobytes() for s, e in zip(offs, offs[1:])]
         if not any(x in raw for x in (b"<|", b"\xcc", b"\xcd")):
             data, offs = split_marks(data, offs)
             raw = data.tobytes().lower()
         docs = [raw[s:e].split() for s, e in zip(offs, offs[1:])]
-        new = list(set().union(*docs).difference(self.cache))
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.cache.update((w, np.array(e.ids, "<u2").tobytes()) for w, e in zip(new, found))
+        self._learn(list(set().union(*docs).difference(self.cache)))
         out = [b"".join(map(self.cache.__getitem__, words)) for words in docs]
-        if len(self.cache) > CACHE:
-            self.cache = dict(islice(self.cache.items(), len(self.cache) - CACHE // 2, None))
+        if self.held > CACHE:
+            self.cache = dict(islice(self.cache.items(), len(self.cache) // 2, None))
+            self.held //= 2
         return out
 
 
@@ -163,51 +184,68 @@ def _cut(length: int):
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
-    """Records (sequence_id, offset, complete, ids, pieces) that cover the token stream of docs.
-
-    Every document gives its ids and the end id, so empty and null texts give one token; a null
-    doc_id stays null; rows that repeat a doc_id are packed each. Every sequence but the last holds
-    `length` tokens. Other columns are not read; an empty table gives no records."""
+def records(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
+    """(sequence_id, offset, complete, ids, pieces): what each task has of each window, written."""
     tokens = tokenise(docs, path or default_tokenizer())
     at = tokens.join(partition_offsets(tokens), "part").select("doc_id", (F.col("base") + F.col("start")).alias("at"), "ids")
-    return at.mapInArrow(_cut(length), RECORDS)
-
-
-def sequences(records: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(sequence_id, input_ids, n_tokens, pieces): boundary records of a window are joined; input_ids
-    are padded to `length`, unless their number is a power of two already."""
-    one = lambda c: F.array(F.struct("offset", "ids", "pieces")) if c else F.collect_list(F.struct("offset", "ids", "pieces"))
-    whole = records.where("complete").select("sequence_id", one(True).alias("parts"))
-    cut = records.where("NOT complete").groupBy("sequence_id").agg(one(False).alias("parts"))
-
-    schema = pa.schema([("sequence_id", pa.int64()), ("input_ids", pa.list_(pa.int32())), ("n_tokens", pa.int64())])
+    return table(at.mapInArrow(_cut(length), RECORDS))
+
+
+_PLACED = pa.struct([pa.field(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "offset")])
+_SEQUENCE = pa.schema([("sequence_id", pa.int64()), ("input_ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("pieces", pa.list_(_PLACED))])
+SEQUENCE = "sequence_id long, input_ids array<int>, n_tokens long, pieces array<struct<doc_id:bigint,start:bigint,length:bigint,ids_crc32:bigint,doc_tokens:bigint,offset:bigint>>"
+#: Sequences that a task holds padded at once.
+PADDED = 256
+
+
+def _padded(length: int):
+    def made(b: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [np.frombuffer(x.as_buffer(), "<u2") for x in b.column(1)]
+        n = np.array([len(x) for x in rows], np.int64)
+        full = np.where(n & (n - 1) == 0, n, length)
+        first = np.cumsum(full) - full
+        flat = np.full(int(full.sum()), PAD_ID, "<i4")
+        for x, at in zip(rows, first.tolist()):
+            flat[at : at + len(x)] = x
+        own, each = b.column(2).flatten(), pc.list_value_length(b.column(2)).to_numpy()
+        size, bounds = own.field("length").to_numpy(), np.concatenate([[0], np.cumsum(each)])
+        before = np.concatenate([[0], np.cumsum(size)])
+        offset = before[:-1] - np.repeat(before[bounds[:-1]], each)
+        at = np.repeat(first, each) + offset
+        crc = [zlib.crc32(flat[i:j]) for i, j in zip(at.tolist(), (at + size).tolist())]
+        columns = [own.field("doc_id"), own.field("start"), own.field("length"), pa.array(crc, pa.int64()), own.field("doc_tokens"), pa.array(offset)]
+        ids = pa.ListArray.from_arrays(pa.array(np.append(first, len(flat)).astype(np.int32)), pa.array(flat))
+        placed = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.StructArray.from_arrays(columns, fields=list(_PLACED)))
+        return pa.record_batch([b.column(0), ids, pa.array(n), placed.cast(_SEQUENCE.field(3).type)], schema=_SEQUENCE)
 
     def run(batches):
         for b in batches:
-            ids = [np.frombuffer(b"".join(p["ids"] for p in sorted(x, key=lambda p: p["offset"])), "<u2").astype(np.int32) for x in b.column(1).to_pylist()]
-            padded = [x if len(x) & (len(x) - 1) == 0 else np.pad(x, (0, length - len(x)), constant_values=PAD_ID) for x in ids]
-            yield pa.record_batch([b.column(0), pa.array(padded, schema.field(1).type), pa.array([len(x) for x in ids], pa.int64())], schema=schema)
+            for s in range(0, b.num_rows, PADDED):
+                yield made(b.slice(s, PADDED))
 
-    return whole.unionByName(cut).mapInArrow(run, "sequence_id long, input_ids array<int>, n_tokens long")
+    return run
 
 
-def pieces(records: DataFrame) -> DataFrame:
-    """A row for each piece of a document, with the checksum of its ids as 32-bit integers."""
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    schema = pa.schema([(n, pa.int64()) for n in names])
+def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
+    """(sequence_id, input_ids, n_tokens, pieces): the token stream of docs in windows of `length`.
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for k, at, data, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
-                ids, done = np.frombuffer(data.as_buffer(), "<u2").astype("<u4"), 0
-                for p in own:
-                    rows.append((p["doc_id"], p["start"], p["length"], zlib.crc32(ids[done : done + p["length"]]), p["doc_tokens"], k, at + done))
-                    done += p["length"]
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(names), schema=schema)
-
-    return records.select("sequence_id", "offset", "ids", "pieces").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    Every document gives its ids and the end id, so empty and null texts give one token; a null
+    doc_id stays null; rows that repeat a doc_id are packed each. Every sequence but the last holds
+    `length` tokens; that is padded to `length`, unless it has a power of two already. pieces, in the order of
+    the sequence: doc_id, start (in its document), length, ids_crc32 (of the ids as 32-bit integers),
+    doc_tokens, offset (in the sequence). Other columns are not read; an empty table gives no sequences."""
+    found = records(docs, path, length)
+    whole = found.where("complete").select("sequence_id", "ids", "pieces")
+    parts = F.sort_array(F.collect_list(F.struct("offset", "ids", "pieces")))
+    cut = found.where("NOT complete").groupBy("sequence_id").agg(parts.alias("parts"))
+    joined = F.aggregate("parts", F.lit(b""), lambda s, p: F.concat(s, p["ids"]))
+    cut = cut.select("sequence_id", joined.alias("ids"), F.flatten(F.transform("parts", lambda p: p["pieces"])).alias("pieces"))
+    return whole.unionByName(cut).mapInArrow(_padded(length), SEQUENCE)
+
+
+def pieces(sequences: DataFrame) -> DataFrame:
+    """A row for each piece of a document in the sequences."""
+    return sequences.select("sequence_id", F.explode("pieces").alias("p")).select("p.doc_id", "p.start", "p.length", "p.ids_crc32", "p.doc_tokens", "sequence_id", "p.offset")
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from conftest import DATA, plain
@@ -82,10 +83,21 @@ def brute_components(links: np.ndarray, ids: np.ndarray) -> np.ndarray:
         label = new
 
 
-@pytest.mark.parametrize("sf", [SF, "check_h"])
-def test_embeddings(spark, sf):
-    got = run(spark, "op6_embedding_dedup", sf).sort_values("vec_id")
-    rows = spark.read.parquet(f"{DATA}/{sf}/embeddings.parquet").toPandas().sort_values("vec_id")
+@pytest.mark.parametrize("hot", [False, True])
+def test_embeddings(spark, tmp_path, hot):
+    """Against brute force; hot: with a large group of near vectors and one of equal vectors."""
+    rows = spark.read.parquet(f"{DATA}/{SF}/embeddings.parquet").toPandas()
+    if hot:
+        rng, dim = np.random.default_rng(6), len(rows.embedding[0])
+        one, two = rng.standard_normal(dim), rng.standard_normal(dim)
+        more = [*(one + 0.02 * rng.standard_normal((700, dim))), *([two] * 700)]
+        rows = pd.concat([rows, pd.DataFrame({"vec_id": np.arange(len(more)) + 10**6, "embedding": [x.astype(np.float32).tolist() for x in more], "label": 0})])
+        rows["embedding"] = [list(map(float, x)) for x in rows.embedding]
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+        got = registry.QUERIES["op6_embedding_dedup"](spark, str(tmp_path)).toPandas().sort_values("vec_id")
+    else:
+        got = run(spark, "op6_embedding_dedup").sort_values("vec_id")
+    rows = rows.sort_values("vec_id")
     v = np.stack(rows.embedding.to_numpy()).astype(float)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     links = v @ v.T >= 0.95
