@@ -62,3 +62,26 @@ def benjamini_hochberg(rows: DataFrame, p: str, by: list[str], ties: str) -> Dat
     raw = rows.withColumn("_rank", F.row_number().over(up)).withColumn("_raw", F.col(p) * n / F.col("_rank"))
     down = Window.partitionBy(*by).orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
     return raw.withColumn("q", F.least(F.lit(1.0), F.min("_raw").over(down))).drop("_rank", "_raw")
+
+
+def draw(*keys) -> Column:
+    """A number in [0, 1) from the md5 of the keys: the same in any engine, in any partitioning."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *keys)), 1, 13), 16, 10).cast("double") / float(16**13)
+
+
+#: The Poisson(1) distribution function at 0 to 5.
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
+
+
+def poisson_one(u: Column) -> Column:
+    """The inverse of the Poisson(1) distribution; 6 and over are 6."""
+    return sum(F.when(u >= p, 1).otherwise(0) for p in POISSON)
+
+
+def logistic_z(r: Column) -> Column:
+    """Fisher's z of a correlation."""
+    return F.ln((1 + r) / F.nullif(1 - r, F.lit(0.0))) / 2
+
+
+def from_z(z: Column) -> Column:
+    return (F.exp(2 * z) - 1) / (F.exp(2 * z) + 1)

@@ -93,19 +93,21 @@ def volume_multiples(trades: DataFrame, by: list[str], volume: float) -> DataFra
     return rows.where("_to > _from").select(*by, "ts", "seq", "px", F.explode(F.sequence(F.col("_from") + 1, F.col("_to"))).alias("bar"))
 
 
-def volume_buckets(trades: DataFrame, by: list[str], volume: float) -> DataFrame:
+def volume_buckets(trades: DataFrame, by: list[str], volume: float | str) -> DataFrame:
     """by, bucket, end_ts, volume, imbalance, px: a bucket closes when the volume since the last close
-    reaches `volume`; the counter starts anew, and the trailing part is dropped."""
+    reaches `volume` (or the column of that name); the counter starts anew, and the trailing part is
+    dropped."""
+    size = F.col(volume) if isinstance(volume, str) else F.lit(float(volume))
 
-    def step(s, ts, px, qty, side):
+    def step(s, ts, px, qty, side, full):
         s["n" if side < 0 else "p"] += qty
-        if s["n"] + s["p"] >= volume:
+        if s["n"] + s["p"] >= full:
             total, s["k"] = s["n"] + s["p"], s["k"] + 1
             out = [(s["k"], ts, total, abs(s["p"] - s["n"]) / total, s["p"] - s["n"], px)]
             s["n"] = s["p"] = 0.0
             return out
 
-    return fold(trades, by, ["ts", "seq"], ["ts", "px", "qty", "side"], lambda: {"n": 0.0, "p": 0.0, "k": 0}, step, "bucket long, end_ts long, volume double, imbalance double, net double, px double")
+    return fold(trades.withColumn("_full", size), by, ["ts", "seq"], ["ts", "px", "qty", "side", "_full"], lambda: {"n": 0.0, "p": 0.0, "k": 0}, step, "bucket long, end_ts long, volume double, imbalance double, net double, px double")
 
 
 def rolling_vpin(buckets: DataFrame, by: list[str], window: int) -> DataFrame:

@@ -11,26 +11,34 @@ from tapeloom.operators.temporal import asof, before, forward, nearest, range_jo
 
 
 def storm_bars(tob: DataFrame, by: list[str], bar: int) -> DataFrame:
-    """by, bar, updates, adds, cancels, moves, cancel_frac, hz, range_bps; bars without a quote count 0."""
-    pb, pa, ps, pz = (before(c, by) for c in ("bid", "ask", "bid_sz", "ask_sz"))
-    same_b, same_a = F.col("bid") == pb, F.col("ask") == pa
-    add = (same_b & (F.col("bid_sz") > ps)) | (same_a & (F.col("ask_sz") > pz))
-    cancel = (same_b & (F.col("bid_sz") < ps)) | (same_a & (F.col("ask_sz") < pz))
-    rows = tob.withColumns({"_add": add, "_cancel": cancel, "_move": ~(same_b & same_a)})
+    """by, bar, updates, adds, cancels, moves, cancel_frac, hz, size_hz, range_bps; bars without a quote
+    count 0. A quote adds (cancels) if the size of either side grows (shrinks), at whatever price; it moves
+    if a price changes. A key's first quote does none of these."""
+    first = F.row_number().over(Window.partitionBy(*by).orderBy("ts", "seq")) == 1
+    changed = {c: (F.col(c), before(c, by)) for c in ("bid", "ask", "bid_sz", "ask_sz")}
+    any_of = lambda test, *names: F.coalesce(test(*changed[names[0]]), F.lit(False)) | F.coalesce(test(*changed[names[1]]), F.lit(False))
+    add = any_of(lambda now, was: now > was * 1.0000001, "bid_sz", "ask_sz")
+    cancel = any_of(lambda now, was: now < was * 0.9999999, "bid_sz", "ask_sz")
+    still = F.coalesce((F.abs(F.col("bid") - changed["bid"][1]) < 1e-12) & (F.abs(F.col("ask") - changed["ask"][1]) < 1e-12), F.lit(False))
+    rows = tob.withColumns({"_add": add, "_cancel": cancel, "_move": ~still & ~first})
     count = lambda c: F.count(F.when(F.col(c), 1))
-    got = rows.groupBy(*by, F.floor(F.col("ts") / bar).alias("bar")).agg(F.count("*").alias("updates"), count("_add").alias("adds"), count("_cancel").alias("cancels"), count("_move").alias("moves"), (1e4 * div(F.max("mid") - F.min("mid"), F.avg("mid"))).alias("range_bps"))
+    mid = F.when(F.col("mid") > 0, F.col("mid"))
+    got = rows.groupBy(*by, F.floor(F.col("ts") / bar).alias("bar")).agg(F.count("*").alias("updates"), count("_add").alias("adds"), count("_cancel").alias("cancels"), count("_move").alias("moves"), (1e4 * div(F.max(mid) - F.min(mid), (F.max(mid) + F.min(mid)) / 2)).alias("range_bps"))
     ends = got.groupBy(*by).agg(F.min("bar").alias("lo"), F.max("bar").alias("hi"))
     every = ends.select(*by, F.explode(F.sequence("lo", "hi")).alias("bar"))
     full = every.join(got, [*by, "bar"], "left").fillna(0, ["updates", "adds", "cancels", "moves"])
-    return full.withColumns({"cancel_frac": div(F.col("cancels").cast("double"), (F.col("adds") + F.col("cancels")).cast("double")), "hz": F.col("updates") / (bar / 1e6)})
-
-
-def storms(bars: DataFrame, by: list[str], least_z: float, least_cancel: float, most_range: float) -> DataFrame:
-    """The bars whose count stands least_z deviations over the cell's mean, with enough cancels and a
-    quiet mid; unknown shares and ranges pass."""
-    w = Window.partitionBy(*by)
-    z = div(F.col("updates") - F.avg("updates").over(w), F.stddev_pop("updates").over(w))
-    ok = (F.col("z") >= least_z) & F.coalesce(F.col("cancel_frac") >= least_cancel, F.lit(True)) & F.coalesce(F.col("range_bps") <= most_range, F.lit(True))
+    sizes = F.col("adds") + F.col("cancels")
+    return full.withColumns({"cancel_frac": div(F.col("cancels").cast("double"), sizes.cast("double")), "hz": F.col("updates") / (bar / 1e6), "size_hz": sizes / (bar / 1e6)})
+
+
+def storms(bars: DataFrame, by: list[str], least_z: float = 4.0, least_cancel: float = 0.4, most_range: float = 10.0, least_hz: float = 10.0, sizes: bool = False) -> DataFrame:
+    """The bars whose rate of quotes (sizes: of size changes) stands least_z deviations over the cell's
+    mean and is least_hz at least, with enough cancels and a quiet mid; unknown shares and ranges pass.
+    z is 0 where all rates are equal; cells of fewer than five bars have no storms."""
+    w, rate = Window.partitionBy(*by), F.col("size_hz" if sizes else "hz")
+    spread = F.stddev_pop(rate).over(w)
+    z = F.when(spread < 1e-12, 0.0).otherwise((rate - F.avg(rate).over(w)) / spread)
+    ok = (F.col("z") >= least_z) & (rate >= least_hz) & F.coalesce(F.col("cancel_frac") >= least_cancel, F.lit(True)) & F.coalesce(F.col("range_bps") <= most_range, F.lit(True))
     return bars.withColumn("z", z).withColumn("_n", F.count("*").over(w)).where(ok & (F.col("_n") >= 5)).drop("_n")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.fold import fold
-from tapeloom.functions.stats import div
+from tapeloom.functions.stats import div, draw
 
 
 def tier(z: Column, marks: dict[str, float]) -> Column:
@@ -75,24 +75,24 @@ def mutual_information(rows: DataFrame, by: list[str], a: str, b: str) -> DataFr
 
 
 def bootstrap_mean(rows: DataFrame, by: list[str], column: str, draws: int, blocks: int, seed: int) -> DataFrame:
-    """by, n, mean, low, high: a Poisson bootstrap of the mean over hashed blocks of rows: each draw
-    weighs each block by a Poisson number from a hash, so rows are summed to blocks once and no sample
-    is ever collected. A 95 % interval."""
-    own = rows.where(F.col(column).isNotNull()).withColumn("_b", F.pmod(F.xxhash64("ts", "seq"), F.lit(blocks)))
-    sums = own.groupBy(*by, "_b").agg(F.sum(column).alias("s"), F.count("*").alias("c"))
-    each = sums.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = F.pmod(F.xxhash64("_b", "draw", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    # the inverse of the Poisson(1) distribution; 5 and over are 5
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563]
-    k = sum(F.when(u >= p, 1).otherwise(0) for p in steps)
-    drawn = each.withColumn("k", k).groupBy(*by, "draw").agg(div(F.sum(F.col("k") * F.col("s")), F.sum(F.col("k") * F.col("c")).cast("double")).alias("m"))
-    ends = drawn.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    return sums.groupBy(*by).agg(F.sum("c").alias("n"), (F.sum("s") / F.sum("c")).alias("mean")).join(ends, by)
+    """by, n, mean, low, high: a Poisson bootstrap of the mean over hashed blocks of rows, summed once; a
+    95 % interval."""
+    from tapeloom.operators.inference import block_bootstrap, mean_stat
+
+    block = F.floor(draw(F.lit(seed), F.col("ts"), F.col("seq")) * blocks)
+    sums = rows.where(F.col(column).isNotNull()).groupBy(*by, block.alias("_b")).agg(F.sum(column).alias("x"), F.count("*").cast("double").alias("n"))
+    ends = block_bootstrap(sums, by, "_b", ["n", "x"], mean_stat, draws, seed)
+    return sums.groupBy(*by).agg(F.sum("n").cast("long").alias("n")).join(ends, by).select(*by, "n", F.col("point").alias("mean"), "low", "high")
 
 
 def sign_shuffle(trades: DataFrame, by: list[str], draws: int, seed: int) -> DataFrame:
-    """by, observed, p: the share of random sign flips whose |sum of signed size| reaches the tape's."""
-    flip = lambda: F.when(F.pmod(F.xxhash64("seq", "draw", F.lit(seed)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    seen = trades.groupBy(*by).agg(F.abs(F.sum(F.col("side") * F.col("qty"))).alias("observed"))
-    null = trades.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).groupBy(*by, "draw").agg(F.abs(F.sum(flip() * F.col("qty"))).alias("s"))
-    return null.join(seen, by).groupBy(*by).agg(F.max("observed").alias("observed"), F.avg((F.col("s") >= F.col("observed")).cast("double")).alias("p"))
+    """by, observed, p: the share of random sign flips whose |sum of signed size| reaches the tape's. The
+    flips of a trade are the bits of one hash of its seq, at most 128; every draw is a sum of one aggregate."""
+    if draws > 128:
+        raise ValueError("a hash has 128 bits")
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.col("seq")))
+    words = trades.withColumns({f"_h{i}": F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long") for i in range(4)})
+    flip = lambda k: 1 - 2 * F.shiftright(F.col(f"_h{k // 32}"), k % 32).bitwiseAND(F.lit(1))
+    sums = words.groupBy(*by).agg(F.abs(F.sum(F.col("side") * F.col("qty"))).alias("observed"), *(F.abs(F.sum(flip(k) * F.col("qty"))).alias(f"_s{k}") for k in range(draws)))
+    reached = sum((F.col(f"_s{k}") >= F.col("observed")).cast("int") for k in range(draws))
+    return sums.select(*by, "observed", (reached / draws).alias("p"))

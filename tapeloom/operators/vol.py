@@ -62,16 +62,55 @@ def pre_averaged(points: DataFrame, by: list[str], kn: int) -> DataFrame:
     return r.withColumn("y", y).where("y IS NOT NULL").select(*by, "k", "y")
 
 
-def drift_burst(returns: DataFrame, by: list[str], taus: DataFrame, width: int) -> DataFrame:
-    """by, tau, v: sqrt(h) times the product of the t statistics just after and just before tau, under
-    one-sided uniform kernels of `width`. taus: by, tau."""
-    near = range_join(taus, returns.where("r IS NOT NULL").select(*by, "ts", "r"), by, F.col("tau") - width, F.col("tau") + width, 2 * width)
-    def t(inside):
-        s, q = F.sum(F.when(inside, F.col("r_r"))), F.sum(F.when(inside, F.col("r_r") * F.col("r_r")))
-        return s / F.nullif(F.sqrt(q), F.lit(0.0))
+def _burst(sums: DataFrame, by: list[str], k2: float, scale: float) -> DataFrame:
+    """T statistics S / sqrt(k2 Q) on either side, and the square root of the width times their product."""
+    t = lambda s, q: F.col(s) / F.nullif(F.sqrt(k2 * F.col(q)), F.lit(0.0))
+    out = sums.select(*by, "tau", t("sl", "ql").alias("t_minus"), t("sr", "qr").alias("t_plus"))
+    return out.withColumn("v", math.sqrt(scale) * F.col("t_minus") * F.col("t_plus"))
+
 
-    out = near.groupBy(*by, "tau").agg(t(F.col("r_ts") <= F.col("tau")).alias("left"), t(F.col("r_ts") > F.col("tau")).alias("right"))
-    return out.select(*by, "tau", (F.col("left") * F.col("right")).alias("v"))
+def drift_burst_uniform(returns: DataFrame, by: list[str], taus: DataFrame, width: int, unit: float = 1e6) -> DataFrame:
+    """by, tau, t_minus, t_plus, v as drift_burst, under one-sided uniform kernels of `width`."""
+    near = range_join(taus, returns.where("r IS NOT NULL").select(*by, "ts", "r"), by, F.col("tau") - width, F.col("tau") + width, 2 * width)
+    left, right = F.col("r_ts") <= F.col("tau"), F.col("r_ts") >= F.col("tau")
+    part = lambda side, x: F.sum(F.when(side, x))
+    r, rr = F.col("r_r"), F.col("r_r") * F.col("r_r")
+    sums = near.groupBy(*by, "tau").agg(part(left, r).alias("sl"), part(left, rr).alias("ql"), part(right, r).alias("sr"), part(right, rr).alias("qr"))
+    return _burst(sums, by, 1.0, width / unit)
+
+
+def drift_burst(returns: DataFrame, by: list[str], taus: DataFrame, width: int, unit: float = 1e6, reach: int = 40) -> DataFrame:
+    """by, tau, t_minus, t_plus, v: sqrt(h) times the product of the one-sided t statistics before and
+    after tau, under exponential kernels of `width` (h, in `unit`s). taus: by, tau.
+
+    Returns are summed once in buckets of the width; a tau takes the sums of `reach` buckets on either
+    side, decayed to it, and the returns of its own bucket one by one. What lies further weighs less than
+    the last digit of a double."""
+    h = float(width)
+    rows = returns.where("r IS NOT NULL").select(*by, "ts", "r").withColumn("_k", F.floor(F.col("ts") / width))
+    after = F.exp(-(F.col("ts") - F.col("_k") * width) / h)
+    to_end = F.exp((F.col("ts") - (F.col("_k") + 1) * width) / h)
+    rr = F.col("r") * F.col("r")
+    sums = rows.groupBy(*by, "_k").agg(F.sum(to_end * F.col("r")).alias("sl"), F.sum(to_end * rr).alias("ql"), F.sum(after * F.col("r")).alias("sr"), F.sum(after * rr).alias("qr"))
+    own = taus.select(*by, "tau").withColumn("_own", F.floor(F.col("tau") / width))
+    far = own.withColumn("_k", F.explode(F.sequence(F.col("_own") - reach, F.col("_own") + reach))).where("_k != _own").join(sums, [*by, "_k"])
+    back, ahead = F.exp(((F.col("_k") + 1) * width - F.col("tau")) / h), F.exp(-(F.col("_k") * width - F.col("tau")) / h)
+    left, right = F.when(F.col("_k") < F.col("_own"), back), F.when(F.col("_k") > F.col("_own"), ahead)
+    far = far.select(*by, "tau", *((side * F.col(c)).alias(c) for side, c in ((left, "sl"), (left, "ql"), (right, "sr"), (right, "qr"))))
+    near = own.withColumnRenamed("_own", "_k").join(rows, [*by, "_k"])
+    w = F.exp(-F.abs(F.col("ts") - F.col("tau")) / h)
+    before_, after_ = F.when(F.col("ts") <= F.col("tau"), w), F.when(F.col("ts") >= F.col("tau"), w)
+    near = near.select(*by, "tau", *((side * x).alias(c) for side, x, c in ((before_, F.col("r"), "sl"), (before_, rr, "ql"), (after_, F.col("r"), "sr"), (after_, rr, "qr"))))
+    total = far.unionByName(near).groupBy(*by, "tau").agg(*(F.sum(c).alias(c) for c in ("sl", "ql", "sr", "qr")))
+    return _burst(total, by, 0.5, width / unit)
+
+
+def least_burst(path: DataFrame, by: list[str]) -> DataFrame:
+    """by, min_v, tau, t_minus, t_plus, shape: the least v of each key, the earliest of equal ones. A V
+    falls and then rises, a Lambda rises and then falls."""
+    best = path.where("v IS NOT NULL").groupBy(*by).agg(F.min_by(F.struct("v", "tau", "t_minus", "t_plus"), F.struct("v", "tau")).alias("x"))
+    shape = F.when((F.col("x.t_minus") < 0) & (F.col("x.t_plus") > 0), "V").when((F.col("x.t_minus") > 0) & (F.col("x.t_plus") < 0), "Lambda").otherwise("other")
+    return best.select(*by, F.col("x.v").alias("min_v"), "x.tau", "x.t_minus", "x.t_plus", shape.alias("shape"))
 
 
 def garch(returns: DataFrame, by: list[str], omega: float, alpha: float, beta: float) -> DataFrame:
@@ -104,32 +143,39 @@ def kalman(rows: DataFrame, by: list[str], process: float, measure: float) -> Da
 
 
 def crash_events(filtered: DataFrame, by: list[str], least_z: float) -> DataFrame:
-    """by, run, start_ts, end_ts, prints, dp_pct, direction, z_peak of the runs with |z| at the mark or over."""
+    """by, run, start_ts, end_ts, end_seq, prints, dp_pct, direction, z_peak, first, last of the runs with
+    |z| at the mark or over. direction and dp_pct: of the larger excursion from the first price, down if
+    they are equal."""
     r = runs(filtered, by, F.abs("z") >= least_z)
+    place = F.struct("ts", "seq")
     out = r.groupBy(*by, "run").agg(
-        F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("prints"), F.min_by("px", F.struct("ts", "seq")).alias("first"),
-        F.min("px").alias("low"), F.max("px").alias("high"), F.max_by("z", F.abs("z")).alias("z_peak"),
+        F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.max_by("seq", place).alias("end_seq"), F.count("*").alias("prints"), F.min_by("px", place).alias("first"),
+        F.max_by("px", place).alias("last"), F.min("px").alias("low"), F.max("px").alias("high"), F.max_by("z", F.abs("z")).alias("z_peak"),
     )
     down, up = F.col("first") - F.col("low"), F.col("high") - F.col("first")
-    direction = F.when(up >= down, 1).otherwise(-1)
-    return out.select(*by, "run", "start_ts", "end_ts", "prints", (100 * F.greatest(up, down) / F.nullif(F.col("first"), F.lit(0.0))).alias("dp_pct"), direction.alias("direction"), "z_peak", "first", "low", "high")
+    direction = F.when(down >= up, -1).otherwise(1)
+    return out.select(*by, "run", "start_ts", "end_ts", "end_seq", "prints", (100 * F.greatest(up, down) / F.nullif(F.col("first"), F.lit(0.0))).alias("dp_pct"), direction.alias("direction"), "z_peak", "first", "last")
 
 
-def severity_gate(events: DataFrame, least_pct: float = 0.1, least_prints: int = 5, least_z: float | None = None) -> DataFrame:
+def severity_gate(events: DataFrame, least_pct: float = 0.1, least_prints: int = 5, least_z: float | None = None, least_us: int = 0) -> DataFrame:
+    """Events of a large enough move, number of prints, peak and length."""
     out = events.where((F.abs("dp_pct") >= least_pct) & (F.col("prints") >= least_prints))
+    if least_us > 0:
+        out = out.where(F.col("end_ts") - F.col("start_ts") >= least_us)
     return out if least_z is None else out.where(F.abs("z_peak") >= least_z)
 
 
-def recovery(events: DataFrame, trades: DataFrame, by: list[str], horizon: int) -> DataFrame:
-    """events with recovery: the largest rebound within the horizon over the move, 0 with no print, and
-    its class."""
-    met = range_join(events, trades.select(*by, "ts", "px"), by, F.col("end_ts") + 1, F.col("end_ts") + horizon, horizon)
-    back = met.groupBy(*by, "run").agg(F.max("r_px").alias("top"), F.min("r_px").alias("bottom"))
-    extreme = F.when(F.col("direction") > 0, F.col("high")).otherwise(F.col("low"))
-    rebound = F.when(F.col("direction") > 0, extreme - F.col("bottom")).otherwise(F.col("top") - extreme)
-    share = F.greatest(F.lit(0.0), F.coalesce(div(rebound, F.abs(extreme - F.col("first"))), F.lit(0.0)))
-    kind = F.when(F.col("recovery") >= 0.5, "v_shape").when(F.col("recovery") < 0.2, "continuation").otherwise("partial")
-    return events.join(back, [*by, "run"], "left").withColumn("recovery", share).withColumn("kind", kind)
+def recovery(events: DataFrame, trades: DataFrame, by: list[str], horizon: int, recovered: float = 0.5, continued: float = 0.2) -> DataFrame:
+    """events with recovery and kind. recovery: the largest way back from the last price, within the
+    horizon, over the way from the first price to the last; 0 without a later print, null where that way
+    is none, whose kind is unknown."""
+    met = range_join(events, trades.select(*by, "ts", "seq", "px"), by, F.col("end_ts"), F.col("end_ts") + horizon, max(1, horizon))
+    met = met.where((F.col("r_ts") > F.col("end_ts")) | (F.col("r_seq") > F.col("end_seq")))
+    back = met.groupBy(*by, "run").agg(F.max("r_px").alias("_top"), F.min("r_px").alias("_bottom"))
+    rebound = F.when(F.col("direction") > 0, F.col("last") - F.col("_bottom")).otherwise(F.col("_top") - F.col("last"))
+    share = F.greatest(F.lit(0.0), F.coalesce(rebound, F.lit(0.0))) / F.nullif(F.abs(F.col("last") - F.col("first")), F.lit(0.0))
+    kind = F.when(F.col("recovery").isNull(), "unknown").when(F.col("recovery") >= recovered, "v_recovery").when(F.col("recovery") < continued, "continuation").otherwise("partial")
+    return events.join(back, [*by, "run"], "left").withColumn("recovery", share).withColumn("kind", kind).drop("_top", "_bottom")
 
 
 def directional_runs(rows: DataFrame, by: list[str], most_us: int, least_pct: float, least_trades: int) -> DataFrame:

@@ -101,7 +101,7 @@ def scale_scan(spark, sf):
 @query("storms_near_trades", f"""{STORM}, st AS (SELECT venue, symbol, bar * {8 * HOUR} AS ts FROM sz WHERE z >= 1.5)
 SELECT venue, symbol, count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM tape t WHERE t.venue = st.venue AND t.symbol = st.symbol AND t.ts BETWEEN st.ts - {HOUR} AND st.ts + {HOUR})) AS near FROM st GROUP BY ALL""")
 def storms_near_trades(spark, sf):
-    b = hft.storms(hft.storm_bars(market.tob(spark, sf), CELL, 8 * HOUR), CELL, 1.5, 0.0, 1e9).withColumn("ts", F.col("bar") * 8 * HOUR)
+    b = hft.storms(hft.storm_bars(market.tob(spark, sf), CELL, 8 * HOUR), CELL, 1.5, 0.0, 1e9, 0.0).withColumn("ts", F.col("bar") * 8 * HOUR)
     return hft.near_share(b, market.tape(spark, sf), CELL, HOUR)
 
 

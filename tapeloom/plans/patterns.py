@@ -16,12 +16,12 @@ from tapeloom.sources import market
 from tapeloom.sources.market import CELL
 
 DAY = 24 * HOUR
-STORM = f""", s0 AS (SELECT *, lag(bid) OVER w AS pb, lag(ask) OVER w AS pa, lag(bid_sz) OVER w AS ps, lag(ask_sz) OVER w AS pz FROM tob WINDOW w AS {W}),
-s1 AS (SELECT venue, symbol, ts // {8 * HOUR} AS bar, count(*) AS updates, count(*) FILTER (WHERE (bid = pb AND bid_sz > ps) OR (ask = pa AND ask_sz > pz)) AS adds,
- count(*) FILTER (WHERE (bid = pb AND bid_sz < ps) OR (ask = pa AND ask_sz < pz)) AS cancels, count(*) FILTER (WHERE NOT (bid = pb AND ask = pa)) AS moves, 1e4 * (max(mid) - min(mid)) / avg(mid) AS range_bps FROM s0 GROUP BY ALL),
+STORM = f""", s0 AS (SELECT *, row_number() OVER w AS k, lag(bid) OVER w AS pb, lag(ask) OVER w AS pa, lag(bid_sz) OVER w AS ps, lag(ask_sz) OVER w AS pz FROM tob WINDOW w AS {W}),
+s1 AS (SELECT venue, symbol, ts // {8 * HOUR} AS bar, count(*) AS updates, count(*) FILTER (WHERE bid_sz > ps * 1.0000001 OR ask_sz > pz * 1.0000001) AS adds, count(*) FILTER (WHERE bid_sz < ps * 0.9999999 OR ask_sz < pz * 0.9999999) AS cancels,
+ count(*) FILTER (WHERE k > 1 AND NOT (abs(bid - pb) < 1e-12 AND abs(ask - pa) < 1e-12)) AS moves, 1e4 * (max(mid) - min(mid)) / ((max(mid) + min(mid)) / 2) AS range_bps FROM s0 GROUP BY ALL),
 s2 AS (SELECT venue, symbol, unnest(generate_series(min(bar), max(bar))) AS bar FROM s1 GROUP BY venue, symbol),
 sb AS (SELECT venue, symbol, bar, coalesce(updates, 0) AS updates, coalesce(adds, 0) AS adds, coalesce(cancels, 0) AS cancels, coalesce(moves, 0) AS moves, range_bps, cancels / nullif(adds + cancels, 0) AS cancel_frac FROM s2 LEFT JOIN s1 USING (venue, symbol, bar)),
-sz AS (SELECT *, (updates - avg(updates) OVER (PARTITION BY venue, symbol)) / nullif(stddev_pop(updates) OVER (PARTITION BY venue, symbol), 0) AS z FROM sb)
+sz AS (SELECT *, (updates - avg(updates) OVER (PARTITION BY venue, symbol)) / stddev_pop(updates) OVER (PARTITION BY venue, symbol) AS z, (adds + cancels - avg(adds + cancels) OVER (PARTITION BY venue, symbol)) / stddev_pop(adds + cancels) OVER (PARTITION BY venue, symbol) AS size_z FROM sb)
 """
 
 
@@ -31,10 +31,16 @@ def quote_storm_bars(spark, sf):
     return b.groupBy(*CELL).agg(F.count("*").alias("bars"), *(F.sum(c).alias(c) for c in ("updates", "adds", "cancels", "moves")), r6(F.avg("range_bps")).alias("range_bps"))
 
 
-@query("quote_storms", f"{STORM} SELECT venue, symbol, bar, updates, {R('z')} AS z FROM sz WHERE z >= 1.5 AND coalesce(cancel_frac >= 0, true) AND coalesce(range_bps <= 500, true)")
+@query("quote_storms", f"{STORM} SELECT venue, symbol, bar, updates, {R('z')} AS z FROM sz WHERE z >= 1.5 AND updates >= 1e-4 * {8 * 3600} AND coalesce(cancel_frac >= 0.4, true) AND coalesce(range_bps <= 500, true)")
 def quote_storms(spark, sf):
     b = hft.storm_bars(market.tob(spark, sf), CELL, 8 * HOUR)
-    return hft.storms(b, CELL, 1.5, 0.0, 500.0).select(*CELL, "bar", "updates", r6(F.col("z")).alias("z"))
+    return hft.storms(b, CELL, 1.5, 0.4, 500.0, 1e-4).select(*CELL, "bar", "updates", r6(F.col("z")).alias("z"))
+
+
+@query("size_storms", f"{STORM} SELECT venue, symbol, bar, adds, cancels, {R('size_z')} AS z FROM sz WHERE size_z >= 1.5 AND adds + cancels >= 1e-4 * {8 * 3600} AND coalesce(cancel_frac >= 0.4, true) AND coalesce(range_bps <= 500, true)")
+def size_storms(spark, sf):
+    b = hft.storm_bars(market.tob(spark, sf), CELL, 8 * HOUR)
+    return hft.storms(b, CELL, 1.5, 0.4, 500.0, 1e-4, sizes=True).select(*CELL, "bar", "adds", "cancels", r6(F.col("z")).alias("z"))
 
 
 @query("order_to_trade", f"{STORM}, c AS (SELECT venue, symbol, sum(cancels)::BIGINT AS cancels FROM sb GROUP BY ALL), t AS (SELECT venue, symbol, count(*) AS trades FROM tape GROUP BY ALL) SELECT venue, symbol, cancels, trades, {R('cancels / trades')} AS otr FROM c LEFT JOIN t USING (venue, symbol)")
@@ -104,14 +110,6 @@ def event_window_markout(spark, sf):
     return out.select("events", r6(F.col("mean")).alias("mean"), r6(F.col("median")).alias("median"))
 
 
-@query("ignition_events")
-def ignition_events(spark, sf):
-    """No SQL: events bar one another in turn; tests compare it with a plain loop."""
-    bar = F.floor(F.col("ts") / (4 * HOUR)).alias("bar")
-    b = market.tape(spark, sf).groupBy(*CELL, bar).agg(F.max_by("px", F.struct("ts", "seq")).alias("mid"))
-    return hft.ignition(b, CELL, 200.0, 100.0, 0.3, (2, 2, 4))
-
-
 PANEL = f""", pg AS (SELECT symbol, unnest(generate_series(min(ts) // {4 * HOUR} * {4 * HOUR}, max(ts) // {4 * HOUR} * {4 * HOUR}, {4 * HOUR}::BIGINT)) AS ts FROM tob GROUP BY symbol), pv AS (SELECT * FROM pg JOIN (SELECT DISTINCT symbol, venue FROM tob) USING (symbol)),
 pq AS (SELECT p.symbol, p.venue, p.ts, CASE WHEN p.ts - q.ts <= {8 * HOUR} THEN q.mid END AS mid, CASE WHEN p.ts - q.ts <= {8 * HOUR} THEN (q.ask - q.bid) / (2 * q.mid) END AS half FROM pv p ASOF LEFT JOIN tob q ON p.venue = q.venue AND p.symbol = q.symbol AND p.ts >= q.ts),
 pl AS (SELECT a.symbol, a.ts, count(*) AS pairs, max(abs(ln(a.mid / b.mid))) AS vloop_max, avg(abs(ln(a.mid / b.mid))) AS vloop_mean FROM pq a JOIN pq b ON a.symbol = b.symbol AND a.ts = b.ts AND a.venue < b.venue WHERE a.mid IS NOT NULL AND b.mid IS NOT NULL GROUP BY ALL),
@@ -219,14 +217,6 @@ def implied_book_map(spark, sf):
     return m.select("spot_bps", "shock", r6(F.col("gex_plus")).alias("gex_plus"))
 
 
-@query("delta_shock")
-def delta_shock(spark, sf):
-    """No SQL: DuckDB has no error function; tests compare it with math.erf."""
-    c = _chain(spark, sf)
-    d = options.delta_shock(F.col("flag"), F.lit(1200.0), F.col("strike"), F.col("ttm_years"), 0.0, F.col("iv"), 12.0, 0.01)
-    return c.select("instrument_id", r6(d).alias("d_delta"))
-
-
 @query("tier_ladder", f"{KF} SELECT venue, CASE WHEN abs(z) >= 3 THEN 'severe' WHEN abs(z) >= 2 THEN 'hot' WHEN abs(z) >= 1 THEN 'warm' ELSE 'none' END AS tier, count(*) AS n FROM kf GROUP BY ALL", recursive=True)
 def tier_ladder(spark, sf):
     k = vol.kalman(market.tape(spark, sf), CELL, 1e-10, 1e-5)
@@ -242,12 +232,6 @@ def risk_clock(spark, sf):
     return r.groupBy("venue").agg(F.count("*").alias("n"), r6(F.avg("risk")).alias("risk"))
 
 
-@query("sleeve_trades")
-def sleeve_trades(spark, sf):
-    """No SQL: one position at a time; tests compare it with a plain loop."""
-    return policy.sleeve(vol.kalman(market.tape(spark, sf), CELL, 1e-10, 1e-5), CELL, 2.0, 4 * HOUR, 1.0)
-
-
 @query("drawdown", f""", a AS (SELECT month, venue, avg(y) AS y FROM panel GROUP BY ALL), d AS (SELECT month, venue, y - lag(y) OVER (PARTITION BY venue ORDER BY month) AS pnl FROM a), e AS (SELECT venue, month, sum(pnl) OVER (PARTITION BY venue ORDER BY month ROWS UNBOUNDED PRECEDING) AS eq FROM d WHERE pnl IS NOT NULL),
 x AS (SELECT venue, greatest(0, max(eq) OVER (PARTITION BY venue ORDER BY month ROWS UNBOUNDED PRECEDING)) - eq AS dd FROM e) SELECT venue, count(*) AS n, {R("max(dd)")} AS deepest FROM x GROUP BY venue""")
 def drawdown(spark, sf):
@@ -272,19 +256,6 @@ def false_discovery(spark, sf):
     return out.select(*CELL, r6(F.col("p")).alias("p"), r6(F.col("q")).alias("q"))
 
 
-@query("bootstrap_mean_markout")
-def bootstrap_mean_markout(spark, sf):
-    """No SQL: the draws are hashes; tests check the interval's cover."""
-    m = flow.markouts(market.tape(spark, sf), market.tob(spark, sf), CELL, [HOUR])
-    return policy.bootstrap_mean(m, ["symbol"], "markout", 200, 64, 7)
-
-
-@query("sign_shuffle")
-def sign_shuffle(spark, sf):
-    """No SQL: the draws are hashes; tests check its level."""
-    return policy.sign_shuffle(market.tape(spark, sf), CELL, 100, 17)
-
-
 @query("json_payload", "SELECT event_type, count(*) AS n, sum((props->>'k')::BIGINT)::BIGINT AS k FROM events GROUP BY ALL")
 def json_payload(spark, sf):
     e = market.read(spark, sf, "events").withColumn("p", F.from_json("props", "k bigint"))

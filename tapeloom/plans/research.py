@@ -181,14 +181,6 @@ def event_study(spark, sf):
     return r6s(research.event_study(s, s.where("n >= 10"), CELL, "n", 2), "mean", keep=("lag", "n"))
 
 
-@query("activity_bursts")
-def activity_bursts(spark, sf):
-    """No SQL: a trigger with hysteresis; tests compare it with a plain loop."""
-    d = flow.daily_counts(market.tape(spark, sf), CELL)
-    s = d.select(*CELL, F.col("day").alias("bar"), F.col("n").cast("double").alias("n"))
-    return research.bursts(s, CELL, "n", 10.0, 8.0, 2)
-
-
 @query("leave_one_out", f"""{DAYS}, m AS (SELECT symbol, day * 10 + venue AS id, (buys - sells) / n AS i, n FROM dc), x AS (SELECT a.symbol, a.id, corr(b.i, b.n) AS r FROM m a JOIN m b ON a.symbol = b.symbol AND a.id <> b.id GROUP BY ALL)
 SELECT symbol, {R("min(r)")} AS low, {R("max(r)")} AS high FROM x GROUP BY symbol""")
 def leave_one_out(spark, sf):
@@ -248,7 +240,7 @@ def funding_proxy(spark, sf):
     return f.groupBy(*CELL).agg(F.count("f").alias("n"), r6(F.avg("f") * 1e4).alias("funding"))
 
 
-@query("post_event_markout", f"""{KF}, kd AS (SELECT *, CASE WHEN high - first >= first - low THEN 1 ELSE -1 END AS direction FROM ke), a AS (SELECT e.direction, e.end_ts, t.px AS p0, e.venue, e.symbol, e.end_ts + {DAY} AS then_ts FROM kd e ASOF JOIN tape t ON t.venue = e.venue AND t.symbol = e.symbol AND e.end_ts >= t.ts)
+@query("post_event_markout", f"""{KF}, kd AS (SELECT *, CASE WHEN first - low >= high - first THEN -1 ELSE 1 END AS direction FROM ke), a AS (SELECT e.direction, e.end_ts, t.px AS p0, e.venue, e.symbol, e.end_ts + {DAY} AS then_ts FROM kd e ASOF JOIN tape t ON t.venue = e.venue AND t.symbol = e.symbol AND e.end_ts >= t.ts)
 SELECT a.venue, count(*) AS n, {R("avg(a.direction * 1e4 * (t.px - a.p0) / a.p0)")} AS mean_bps FROM a ASOF JOIN tape t ON t.venue = a.venue AND t.symbol = a.symbol AND a.then_ts >= t.ts WHERE t.ts > a.end_ts GROUP BY a.venue""", recursive=True)
 def post_event_markout(spark, sf):
     t = market.tape(spark, sf)
@@ -269,9 +261,3 @@ def autoregression(spark, sf):
 def pin_maximum_likelihood(spark, sf):
     """No SQL: an optimiser; tests recover known parameters from simulated days."""
     return research.pin_fit(flow.daily_counts(market.tape(spark, sf), CELL), CELL)
-
-
-@query("variance_study")
-def variance_study(spark, sf):
-    """No SQL: simulated paths; tests check the order of the estimators."""
-    return research.variance_study(spark, 40, 2000, 5e-4, 20, 42)

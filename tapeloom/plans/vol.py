@@ -53,16 +53,37 @@ def pre_averaged_returns(spark, sf):
     return y.groupBy(*CELL).agg(F.count("y").alias("n"), r6(F.sum(F.col("y") * F.col("y")) * 1e3).alias("rv"))
 
 
-@query("drift_burst_path", f"""{CAL}, tau AS (SELECT venue, symbol, unnest(generate_series((min(ts) // {DAY} + 1) * {DAY}, (max(ts) // {DAY}) * {DAY}, {DAY}::BIGINT)) AS tau FROM tape GROUP BY venue, symbol),
-s AS (SELECT t.venue, t.symbol, tau, sum(r) FILTER (WHERE r.ts <= tau) / nullif(sqrt(sum(r * r) FILTER (WHERE r.ts <= tau)), 0) AS l, sum(r) FILTER (WHERE r.ts > tau) / nullif(sqrt(sum(r * r) FILTER (WHERE r.ts > tau)), 0) AS g
-  FROM tau t JOIN cr r ON r.venue = t.venue AND r.symbol = t.symbol AND r.r IS NOT NULL AND r.ts BETWEEN tau - {12 * HOUR} AND tau + {12 * HOUR} GROUP BY ALL)
-SELECT venue, symbol, tau, {R("l * g")} AS v FROM s""")
-def drift_burst_path(spark, sf):
+TAU = f"{CAL}, tau AS (SELECT venue, symbol, unnest(generate_series((min(ts) // {DAY} + 1) * {DAY}, (max(ts) // {DAY}) * {DAY}, {DAY}::BIGINT)) AS tau FROM tape GROUP BY venue, symbol)"
+BURST = f"""{TAU}, s AS (SELECT t.venue, t.symbol, tau, exp(-abs(r.ts - tau) / {12.0 * HOUR}) AS w, r.r, r.ts FROM tau t JOIN cr r ON r.venue = t.venue AND r.symbol = t.symbol AND r.r IS NOT NULL),
+tt AS (SELECT venue, symbol, tau, sum(w * r) FILTER (WHERE ts <= tau) / nullif(sqrt(0.5 * sum(w * r * r) FILTER (WHERE ts <= tau)), 0) AS l, sum(w * r) FILTER (WHERE ts >= tau) / nullif(sqrt(0.5 * sum(w * r * r) FILTER (WHERE ts >= tau)), 0) AS g FROM s GROUP BY ALL),
+vv AS (SELECT venue, symbol, tau, l, g, sqrt({12.0 * HOUR} / 1e6) * l * g AS v FROM tt)
+"""
+
+
+def _burst(spark, sf, of=vol.drift_burst):
     t = market.tape(spark, sf)
     r = flow.calendar_returns(t, CELL, HOUR)
     ends = t.groupBy(*CELL).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
     taus = ends.select(*CELL, F.explode(F.sequence((F.floor(F.col("lo") / DAY) + 1) * DAY, F.floor(F.col("hi") / DAY) * DAY, F.lit(DAY))).alias("tau"))
-    return vol.drift_burst(r, CELL, taus, 12 * HOUR).select(*CELL, "tau", r6(F.col("v")).alias("v"))
+    return of(r, CELL, taus, 12 * HOUR)
+
+
+@query("drift_burst_path", f"{BURST} SELECT venue, symbol, tau, {R('l')} AS t_minus, {R('g')} AS t_plus, {R('v')} AS v FROM vv")
+def drift_burst_path(spark, sf):
+    return _burst(spark, sf).select(*CELL, "tau", *(r6(F.col(c)).alias(c) for c in ("t_minus", "t_plus", "v")))
+
+
+@query("drift_burst_uniform", f"""{TAU}, s AS (SELECT t.venue, t.symbol, tau, sum(r) FILTER (WHERE r.ts <= tau) / nullif(sqrt(sum(r * r) FILTER (WHERE r.ts <= tau)), 0) AS l, sum(r) FILTER (WHERE r.ts >= tau) / nullif(sqrt(sum(r * r) FILTER (WHERE r.ts >= tau)), 0) AS g
+  FROM tau t JOIN cr r ON r.venue = t.venue AND r.symbol = t.symbol AND r.r IS NOT NULL AND r.ts BETWEEN tau - {12 * HOUR} AND tau + {12 * HOUR} GROUP BY ALL)
+SELECT venue, symbol, tau, {R(f"sqrt({12.0 * HOUR} / 1e6) * l * g")} AS v FROM s""")
+def drift_burst_uniform(spark, sf):
+    return _burst(spark, sf, vol.drift_burst_uniform).select(*CELL, "tau", r6(F.col("v")).alias("v"))
+
+
+@query("drift_burst_least", f"""{BURST}, b AS (SELECT *, row_number() OVER (PARTITION BY venue, symbol ORDER BY v, tau) AS k FROM vv WHERE v IS NOT NULL)
+SELECT venue, symbol, {R("v")} AS min_v, tau, CASE WHEN l < 0 AND g > 0 THEN 'V' WHEN l > 0 AND g < 0 THEN 'Lambda' ELSE 'other' END AS shape FROM b WHERE k = 1""")
+def drift_burst_least(spark, sf):
+    return vol.least_burst(_burst(spark, sf), CELL).select(*CELL, r6(F.col("min_v")).alias("min_v"), "tau", "shape")
 
 
 BAR = f""", br AS (SELECT venue, symbol, ts // {HOUR} * {HOUR} AS ts, arg_max(px, seq) AS px FROM tape GROUP BY ALL), bx AS (SELECT *, ln(px / lag(px) OVER (PARTITION BY venue, symbol ORDER BY ts)) AS r FROM br)
@@ -89,7 +110,7 @@ SELECT f.venue, f.symbol, n.k, n.ts, n.seq, n.px, f.x + (f.p + 1e-10 * (n.ts - f
  (f.p + 1e-10 * (n.ts - f.ts) / 1e6) * (1 - (f.p + 1e-10 * (n.ts - f.ts) / 1e6) / (f.p + 1e-10 * (n.ts - f.ts) / 1e6 + 1e-5)), (n.y - f.x) / sqrt(f.p + 1e-10 * (n.ts - f.ts) / 1e6 + 1e-5)
  FROM kf f JOIN k0 n ON n.venue = f.venue AND n.symbol = f.symbol AND n.k = f.k + 1),
 ki AS (SELECT *, CASE WHEN abs(z) >= 2 AND coalesce(lag(abs(z)) OVER {W}, 0) < 2 THEN 1 ELSE 0 END AS st FROM kf), kr AS (SELECT *, sum(st) OVER (PARTITION BY venue, symbol ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS run FROM ki),
-ke AS (SELECT venue, symbol, run, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS prints, arg_min(px, seq) AS first, min(px) AS low, max(px) AS high, arg_max(z, abs(z)) AS z_peak FROM kr WHERE abs(z) >= 2 GROUP BY ALL)
+ke AS (SELECT venue, symbol, run, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS prints, arg_min(px, seq) AS first, arg_max(px, seq) AS last, max(seq) AS end_seq, min(px) AS low, max(px) AS high, arg_max(z, abs(z)) AS z_peak FROM kr WHERE abs(z) >= 2 GROUP BY ALL)
 """
 
 
@@ -102,19 +123,19 @@ def kalman_innovations(spark, sf):
     return _filtered(spark, sf).groupBy(*CELL).agg(F.count("*").alias("n"), r6(F.sum(F.abs("z"))).alias("total"), r6(F.max("z")).alias("most"))
 
 
-@query("crash_events", f"""{KF} SELECT venue, symbol, run::BIGINT AS run, start_ts, end_ts, prints, {R("100 * greatest(high - first, first - low) / first")} AS dp_pct, CASE WHEN high - first >= first - low THEN 1 ELSE -1 END AS direction, {R("z_peak")} AS z_peak FROM ke""", recursive=True)
+@query("crash_events", f"""{KF} SELECT venue, symbol, run::BIGINT AS run, start_ts, end_ts, prints, {R("100 * greatest(high - first, first - low) / first")} AS dp_pct, CASE WHEN first - low >= high - first THEN -1 ELSE 1 END AS direction, {R("z_peak")} AS z_peak FROM ke""", recursive=True)
 def crash_events(spark, sf):
     e = vol.crash_events(_filtered(spark, sf), CELL, 2.0)
     return e.select(*CELL, "run", "start_ts", "end_ts", "prints", r6(F.col("dp_pct")).alias("dp_pct"), "direction", r6(F.col("z_peak")).alias("z_peak"))
 
 
-RECOVERY = f"""{KF}, kd AS (SELECT *, CASE WHEN high - first >= first - low THEN 1 ELSE -1 END AS direction FROM ke),
-kb AS (SELECT e.venue, e.symbol, e.run, max(t.px) AS top, min(t.px) AS bottom FROM kd e JOIN tape t ON t.venue = e.venue AND t.symbol = e.symbol AND t.ts BETWEEN e.end_ts + 1 AND e.end_ts + {4 * HOUR} GROUP BY ALL),
-kx AS (SELECT kd.*, greatest(0, coalesce((CASE WHEN direction > 0 THEN high - bottom ELSE top - low END) / nullif(abs(CASE WHEN direction > 0 THEN high - first ELSE low - first END), 0), 0)) AS recovery FROM kd LEFT JOIN kb USING (venue, symbol, run))
+RECOVERY = f"""{KF}, kd AS (SELECT *, CASE WHEN first - low >= high - first THEN -1 ELSE 1 END AS direction FROM ke),
+kb AS (SELECT e.venue, e.symbol, e.run, max(t.px) AS top, min(t.px) AS bottom FROM kd e JOIN tape t ON t.venue = e.venue AND t.symbol = e.symbol AND t.seq > e.end_seq AND t.ts BETWEEN e.end_ts AND e.end_ts + {4 * HOUR} GROUP BY ALL),
+kx AS (SELECT kd.*, greatest(0, coalesce(CASE WHEN direction > 0 THEN last - bottom ELSE top - last END, 0)) / nullif(abs(last - first), 0) AS recovery FROM kd LEFT JOIN kb USING (venue, symbol, run))
 """
 
 
-@query("recovery_classes", f"""{RECOVERY} SELECT symbol, CASE WHEN recovery >= 0.5 THEN 'v_shape' WHEN recovery < 0.2 THEN 'continuation' ELSE 'partial' END AS kind, count(*) AS n, {R("avg(recovery)")} AS recovery FROM kx GROUP BY ALL""", recursive=True)
+@query("recovery_classes", f"""{RECOVERY} SELECT symbol, CASE WHEN recovery IS NULL THEN 'unknown' WHEN recovery >= 0.5 THEN 'v_recovery' WHEN recovery < 0.2 THEN 'continuation' ELSE 'partial' END AS kind, count(*) AS n, {R("avg(recovery)")} AS recovery FROM kx GROUP BY ALL""", recursive=True)
 def recovery_classes(spark, sf):
     t = market.tape(spark, sf)
     e = vol.recovery(vol.crash_events(_filtered(spark, sf), CELL, 2.0), t, CELL, 4 * HOUR)
@@ -146,12 +167,6 @@ def tick_rule_accuracy(spark, sf):
     return t.groupBy("venue").agg(F.count("*").alias("n"), F.count(F.when(F.col("rule") == F.col("side"), 1)).alias("hits"))
 
 
-@query("directional_runs")
-def directional_runs(spark, sf):
-    """No SQL: a greedy scan; tests compare it with a plain loop."""
-    return vol.directional_runs(market.tape(spark, sf), CELL, 24 * HOUR, 0.5, 3)
-
-
 def _spans(rows, length):
     return rows.select("symbol", F.col("ts").alias("start_ts"), (F.col("ts") + length).alias("end_ts"))
 

@@ -73,10 +73,23 @@ def thinned(rows: DataFrame, by: list[str], per: int, most: int) -> DataFrame:
 
 def trades_from_json(lines: DataFrame) -> DataFrame:
     """tape columns from feed messages, one JSON object a line (column value): {"channel": "trades",
-    "data": [{"px", "sz", "time" (ms), "tid", "side" ("B": buyer)}]}; other channels are left out."""
-    schema = "channel string, data array<struct<px: string, sz: string, time: bigint, tid: bigint, side: string>>"
-    m = lines.select(F.from_json("value", schema).alias("m")).where("m.channel = 'trades'").select(F.explode("m.data").alias("d"))
-    return m.select((F.col("d.time") * 1000).alias("ts"), F.col("d.tid").alias("seq"), F.col("d.px").cast("double").alias("px"), F.col("d.sz").cast("double").alias("qty"), F.when(F.col("d.side") == "B", 1.0).otherwise(-1.0).alias("side"))
+    "data": a print or a list of them}. A print has px or price, sz or qty, time (ms), tid, and side: B,
+    BUY or 1 in any case is a buyer, all else a seller. Other channels, lines that are no JSON and prints
+    with a malformed or non-positive price, size or time are left out; a missing tid is 0."""
+    one = "struct<px: string, price: string, sz: string, qty: string, time: string, tid: string, side: string>"
+    m = lines.select(F.from_json("value", "channel string, data string").alias("m")).where("m.channel = 'trades'")
+    listed = F.when(F.ltrim("m.data").startswith("["), F.col("m.data")).otherwise(F.concat(F.lit("["), F.col("m.data"), F.lit("]")))
+    d = m.select(F.explode(F.from_json(listed, f"array<{one}>")).alias("d")).select("d.*")
+
+    def number(kind: str, *names: str):
+        """The first that is there, not empty and not zero, as the feed's readers take it."""
+        texts = [F.nullif(F.trim(n), F.lit("")) for n in names]
+        return F.coalesce(*texts, F.lit("0")).try_cast(kind)
+
+    px, qty, ms, tid = number("double", "px", "price"), number("double", "sz", "qty"), number("long", "time"), number("long", "tid")
+    buys = F.coalesce(F.upper("side").isin("B", "BUY", "1"), F.lit(False))
+    out = d.select((ms * 1000).alias("ts"), tid.alias("seq"), px.alias("px"), qty.alias("qty"), F.when(buys, 1.0).otherwise(-1.0).alias("side"))
+    return out.where("px > 0 AND qty > 0 AND ts > 0 AND seq IS NOT NULL")
 
 
 def append_json(rows: DataFrame, path: str) -> None:

@@ -12,6 +12,8 @@ def table(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tapeloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/market-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from conftest import DATA
 from tapeloom.functions.stats import benjamini_hochberg
-from tapeloom.operators import options, policy, temporal, vol
+from tapeloom.operators import hft, options, policy, temporal, vol
 from tapeloom.plans import registry
 from tapeloom.sources import layout, market
 from tapeloom.sources.market import CELL
@@ -150,12 +150,14 @@ def test_files(spark, tmp_path):
     lo, hi = layout.day_bounds("2024-01-03")[0], layout.day_bounds("2024-01-05")[1]
     assert back.count() == t.where((F.col("ts") >= lo) & (F.col("ts") < hi) & (F.col("venue") == 1)).count() > 0
     assert "PartitionFilters: [isnotnull(day" in back._jdf.queryExecution().executedPlan().toString()
-    lines = spark.createDataFrame([('{"channel":"trades","data":[{"px":"1.5","sz":"2","time":7,"tid":9,"side":"B"}]}',), ('{"channel":"book"}',), ("not json",)], "value string")
-    assert rows(layout.trades_from_json(lines), "ts", "seq", "px", "qty", "side") == [(7000, 9, 1.5, 2.0, 1.0)]
-    thin = layout.thinned(t, CELL, layout.DAY_US, 2)
-    assert thin.groupBy(*CELL, F.floor(F.col("ts") / layout.DAY_US)).count().agg(F.max("count")).first()[0] == 2
-    sides = spark.createDataFrame([(1, 0.0), (1, 1.0), (2, -1.0), (2, 1.0)], "k int, side double")
-    assert rows(layout.normalized_side(sides, ["k"]), "k", "side") == [(1, -1.0), (1, 1.0), (2, -1.0), (2, 1.0)]
+    lines = [
+        '{"channel":"trades","data":[{"px":"1.5","sz":"2","time":7,"tid":9,"side":"B"},{"px":"x","sz":"2","time":7,"tid":9,"side":"B"},{"px":"-1","sz":"2","time":7,"tid":9,"side":"B"}]}',
+        '{"channel":"trades","data":{"price":3.5,"qty":1,"time":"8","tid":null,"side":"buy"}}', '{"channel":"trades","data":[{"px":"1","sz":"2","time":0},{"px":"1","time":3},{"px":"2","sz":"1","time":4,"side":"A"},{"px":"2","sz":"1","time":4,"side":1}]}',
+        '{"channel":"book"}', "not json", '{"channel":"trades"}', None,
+    ]
+    got = layout.trades_from_json(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert sorted(rows(got, "ts", "seq", "px", "qty", "side")) == [(4000, 0, 2.0, 1.0, -1.0), (4000, 0, 2.0, 1.0, 1.0), (7000, 9, 1.5, 2.0, 1.0), (8000, 0, 3.5, 1.0, 1.0)]
+
 
 
 def test_streams_match_the_batch_operators(spark, tmp_path):
@@ -218,5 +220,50 @@ def test_pin_recovers_its_parameters(spark):
 
 
 def test_two_scales_beat_all_returns(spark):
-    got = {r["estimator"]: r["rmse"] for r in registry.QUERIES["variance_study"](spark, SF).collect()}
-    assert got["two_scales"] < got["sparse"] < got["all"]
+    """On made paths of constant volatility with noise."""
+    rng, n = np.random.default_rng(10), 2000
+    paths = [np.cumsum(rng.standard_normal(n) * 0.01 / math.sqrt(n)) + 5e-4 * rng.standard_normal(n) for _ in range(10)]
+    points = spark.createDataFrame([(i, k, float(v)) for i, x in enumerate(paths) for k, v in enumerate(x)], "p int, k long, x double")
+    got = vol.two_scales(points, ["p"], 20).toPandas()
+    error = {c: ((got[c] - 1e-4) ** 2).mean() for c in ("all", "sparse", "tsrv_adj")}
+    assert error["tsrv_adj"] < error["sparse"] < error["all"]
+
+
+def test_crash_events_by_hand(spark):
+    """A run of one print is a tie and counts as down; a run that comes back to where it began has no
+    known recovery; else the way back is taken from the last price."""
+    z = [(0, 0, 100.0, 5.0), (1, 1, 100.0, 0.0), (2, 2, 100.0, 5.0), (3, 3, 90.0, -6.0), (4, 4, 95.0, 0.0), (9, 5, 99.0, 0.0), (20, 6, 100.0, 5.0), (21, 7, 110.0, 7.0), (22, 8, 100.0, 5.0), (23, 9, 100.0, 0.0), (30, 10, 100.0, 9.0), (31, 11, 104.0, 9.0)]
+    f = spark.createDataFrame([("a", *x) for x in z], "k string, ts long, seq long, px double, z double")
+    e = vol.crash_events(f, ["k"], 4.0)
+    assert sorted(rows(e, "start_ts", "prints", "dp_pct", "direction", "z_peak")) == [(0, 1, 0.0, -1, 5.0), (2, 2, 10.0, -1, -6.0), (20, 3, 10.0, 1, 7.0), (30, 2, 4.0, 1, 9.0)]
+    got = vol.recovery(e, f.select("k", "ts", "seq", "px"), ["k"], 5)
+    assert sorted(rows(got, "start_ts", "recovery", "kind"), key=str) == [(0, None, "unknown"), (2, 0.5, "v_recovery"), (20, None, "unknown"), (30, 0.0, "continuation")]
+    assert vol.severity_gate(e, 1.0, 2, 6.5, 2).count() == 1
+
+
+def test_storm_bars_by_hand(spark):
+    """Sizes count at whatever price; one quote may add and cancel; the range is over the middle of its ends."""
+    q = [(0, 10.0, 12.0, 5.0, 5.0), (1, 10.0, 12.0, 6.0, 4.0), (2, 11.0, 12.0, 7.0, 4.0), (10, 11.0, 12.0, 7.0, 4.0), (30, 8.0, 9.0, 1.0, 9.0)]
+    tob = spark.createDataFrame([("a", t, i, b, a, (a + b) / 2, bs, as_) for i, (t, b, a, bs, as_) in enumerate(q)], "k string, ts long, seq long, bid double, ask double, mid double, bid_sz double, ask_sz double")
+    bars = hft.storm_bars(tob, ["k"], 10)
+    got = sorted(rows(bars, "bar", "updates", "adds", "cancels", "moves", "cancel_frac", "range_bps"))
+    assert got[:2] == [(0, 3, 2, 1, 1, 1 / 3, 1e4 * 0.5 / 11.25), (1, 1, 0, 0, 0, None, 0.0)] and got[2] == (2, 0, 0, 0, 0, None, None) and got[3][:5] == (3, 1, 1, 1, 1)
+    assert hft.storms(bars, ["k"], 1.0, 0.0, 1e9, 0.0).count() == 0  # fewer than five bars
+
+
+def test_drift_burst_by_loop(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    ts, r = np.sort(rng.integers(0, 4_000_000, 300)), rng.standard_normal(300)
+    d = spark.createDataFrame([("a", int(t), float(x)) for t, x in zip(ts, r)], "k string, ts long, r double")
+    taus = [500_000, 1_000_000, int(ts[150]), 3_300_000]
+    got = {x["tau"]: x for x in vol.drift_burst(d, ["k"], spark.createDataFrame([("a", t) for t in taus], "k string, tau long"), 200_000).collect()}
+    for tau in taus:
+        side = []
+        for m in (ts <= tau, ts >= tau):
+            w = np.exp(-np.abs(ts[m] - tau) / 200_000)
+            side.append((w @ r[m]) / np.sqrt(0.5 * (w @ r[m] ** 2)))
+        assert np.allclose([got[tau]["t_minus"], got[tau]["t_plus"], got[tau]["v"]], [*side, np.sqrt(0.2) * side[0] * side[1]])
+    least = vol.least_burst(spark.createDataFrame([tuple(x) for x in got.values()], "k string, tau long, t_minus double, t_plus double, v double"), ["k"]).first()
+    assert least["min_v"] == min(x["v"] for x in got.values())
