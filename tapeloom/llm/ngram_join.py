@@ -20,17 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import ID_FILTER_BITS, Bloom, batch, components, id_filter, id_hashes, mix64, table
+from tapeloom.llm.common import ID_FILTER_BITS, Bloom, batch, components, id_filter, id_hashes, table
 from tapeloom.llm.embedding_dedup import _Forest
-from tapeloom.llm.texts import Words, _power, slices
+from tapeloom.llm.texts import Words, slices
 
 SHINGLE, THRESHOLD = 5, (4, 5)
 #: A pair at the threshold shares no band with probability (1 - 0.8**4)**24 = 3e-6.
 BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 STEP, TOLERANCE = 16, 1e-7
-#: Members of a bucket whose pairs one task compares, and of a block of a family (about).
-BUCKET, FAMILY_BLOCK = 512, 128
+#: Members of a bucket whose pairs one task compares (those of a larger one are compared as a family's),
+#: and members and words of a block of a family (about).
+BUCKET, FAMILY_BLOCK, BLOCK_WORDS = 512, 128, 1 << 20
 
 _rng = np.random.default_rng(20_240_531)
 _XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -59,23 +60,11 @@ def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
     rows = words.doc[at]
     count = np.diff(words.first)
     short = np.flatnonzero((count > 0) & (count < SHINGLE))
-    rows, hashes = np.concatenate([rows, short]), np.concatenate([hashes, sequences(words)[0][short]])
+    rows, hashes = np.concatenate([rows, short]), np.concatenate([hashes, words.sequences(0)[short]])
     order = np.argsort(rows, kind="stable")
     return rows[order], hashes[order]
 
 
-def sequences(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each document's sequence of words."""
-    first, last = words.first[:-1], words.first[1:]
-    out = []
-    for base in (0x9FB21C651E98DF25, 0xC13FA9A902A6328F):
-        up, down = _power(base, len(words) + 1)
-        sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words.hash * up[: len(words)], out=sums[1:])
-        out.append(mix64((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)))
-    return out[0], out[1]
-
-
 def signatures(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows that have shingles, their signatures of 16-bit MinHash values)."""
     x = (hashes >> np.uint64(32)).astype(np.uint32)
@@ -90,7 +79,8 @@ def signatures(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.nda
     return own, out
 
 
-_DOC = pa.schema([("doc_id", pa.int64()), ("class", pa.int64()), ("words_hash", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_DOC = pa.schema([("doc_id", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+DOC = "doc_id long, one long, two long, n long, bands array<long>"
 
 
 def _sign(batches):
@@ -102,8 +92,8 @@ def _sign(batches):
             at = np.full(j - i, len(own))
             at[own] = np.arange(len(own))
             lists = pa.ListArray.from_arrays(np.arange(len(own) + 1, dtype=np.int32) * BANDS, pa.array(bands.ravel()))
-            one, two = sequences(words)
-            yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists.take(pa.array(np.where(at < len(own), at, 0), mask=at == len(own)))], schema=_DOC)
+            one, two = (pa.array(words.sequences(form).view(np.int64)) for form in (0, 1))
+            yield pa.record_batch([b.column(0).slice(i, j - i), one, two, pa.array(np.diff(words.first)), lists.take(pa.array(np.where(at < len(own), at, 0), mask=at == len(own)))], schema=_DOC)
 
 
 def alive(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -171,7 +161,7 @@ def families(classes: DataFrame) -> DataFrame:
 
 
 def _sets(known):
-    schema = pa.schema([("class", pa.int64()), ("grams", pa.binary())])
+    schema = pa.schema([("one", pa.int64()), ("two", pa.int64()), ("grams", pa.binary())])
 
     def run(batches):
         bloom = Bloom(ID_FILTER_BITS, data=known.value)
@@ -184,7 +174,7 @@ def _sets(known):
                 rows, hashes = shingles(words)
                 own, first = np.unique(rows, return_index=True)
                 bounds = np.append(first, len(rows))
-                yield batch(schema, sequences(words)[0].view(np.int64)[own], [np.unique(hashes[bounds[k] : bounds[k + 1]]).tobytes() for k in range(len(own))])
+                yield batch(schema, *(words.sequences(form).view(np.int64)[own] for form in (0, 1)), [np.unique(hashes[bounds[k] : bounds[k + 1]]).tobytes() for k in range(len(own))])
 
     return run
 
@@ -287,18 +277,19 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     a class only where there is no other. Other columns are not read; an empty table gives no rows."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
-    signed = table(docs.mapInArrow(_sign, "doc_id long, class long, words_hash long, bands array<long>"))
-    key = F.xxhash64("class", "words_hash").alias("class")
-    signed = signed.select("doc_id", F.col("class").alias("words"), key, "bands")
+    signed = table(docs.mapInArrow(_sign, DOC))
     full = signed.where("bands IS NOT NULL")
-    classes = table(full.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("words").alias("words"), F.first("bands").alias("bands")))
+    # 128 bits of hash name a class: among 10**11 classes, two meet with a chance of 10**-17
+    classes = full.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = table(classes.withColumn("class", F.monotonically_increasing_id()))
     near = table(families(classes))
-    sizes = near.groupBy("component").agg(F.ceil(F.count("*") / FAMILY_BLOCK).alias("blocks"))
+    near = table(near.join(classes.select(F.col("class").alias("node"), "n"), "node"))
+    sizes = near.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / FAMILY_BLOCK, F.sum("n") / BLOCK_WORDS)).alias("blocks"))
     members = near.join(table(sizes), "component").select(F.col("node").alias("class"), F.col("component").alias("family"), "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
     members = table(members.join(classes, "class"))
     known = spark.sparkContext.broadcast(id_filter(members.where("rep IS NOT NULL"), "rep").map.tobytes())
-    grams = docs.mapInArrow(_sets(known), "words long, grams binary")
-    rows = members.join(grams, "words").select("family", "block", "blocks", "class", "copies", "bands", "grams")
+    grams = docs.mapInArrow(_sets(known), "one long, two long, grams binary")
+    rows = members.join(grams, ["one", "two"]).select("family", "block", "blocks", "class", "copies", "bands", "grams")
     packed = table(rows.repartition("family", "block").sortWithinPartitions("family", "block").mapInArrow(_pack, PACKED))
     alone = packed.where("blocks = 1").select(*DATA).mapInArrow(_verify, "class long, links long, root long")
     many = packed.where("blocks > 1")
@@ -308,11 +299,11 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     found = table(alone.unionByName(pairs))
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("class").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "class")
-    named = classes.select("class", "rep", "copies").join(links, "class", "left").join(groups, "class", "left")
-    named = table(named.select("class", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class").alias("component")))
+    named = classes.select("class", "one", "two", "rep", "copies").join(links, "class", "left").join(groups, "class", "left")
+    named = table(named.select("one", "two", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class").alias("component")))
     first = named.groupBy("component").agg(F.min("rep").alias("class_id"))
-    named = table(named.join(first, "component").select("class", "n_links", "class_id"))
-    linked = full.join(named, "class").select("doc_id", "class_id", "n_links")
+    named = table(named.join(first, "component").select("one", "two", "n_links", "class_id"))
+    linked = full.join(named, ["one", "two"]).select("doc_id", "class_id", "n_links")
     empty = signed.where("bands IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 

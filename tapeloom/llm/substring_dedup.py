@@ -163,7 +163,7 @@ def _windows(window: int, size: int, shards: int, segment_bits: int, anchors):
                 if near.any():
                     part = np.zeros(int(near.sum()), PLACE)
                     at, part["hash"] = at[near], hashes[near]
-                    part["more"] = words.runs(window, wide=True)[1][near] >> np.uint64(32)
+                    part["more"] = words.runs(window, 1)[1][near] >> np.uint64(32)
                     part["doc"], part["pos"] = ids[i + words.doc[at]], at - words.first[words.doc[at]]
                     held.append(part)
                     n += len(part)
