@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.stats import div
+from tapeloom.operators.flow import quantiles
 from tapeloom.operators.temporal import asof, before, range_join
 
 BPS = 1e4
@@ -179,9 +180,8 @@ def depth_moments(l2: DataFrame, most_level: int = 5) -> DataFrame:
 
 def quantity_moments(rows: DataFrame, qty: str, powers: list[float], cuts: list[float]) -> DataFrame:
     """One row: power means, and the variance under each quantile over that under the 90 % one."""
-    edges = rows.agg(F.percentile(qty, F.array(*map(F.lit, [0.9, *cuts]))).alias("e"))
     out = [F.pow(F.avg(F.pow(F.col(qty), p)), 1 / p).alias(f"m{str(p).replace('.', '_')}") for p in powers]
-    e = edges.first()["e"] or [None] * (len(cuts) + 1)
+    e = quantiles(rows, qty, [0.9, *cuts])
     v = [F.var_pop(F.when(F.col(qty) <= F.lit(x).cast("double"), F.col(qty))) for x in e]
     return rows.agg(*out, *(div(x, v[0]).alias(f"v{k}") for k, x in enumerate(v[1:], 1)))
 

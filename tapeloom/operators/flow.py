@@ -28,10 +28,33 @@ def markouts(trades: DataFrame, quotes: DataFrame, by: list[str], horizons: list
     return later.withColumn("markout", F.col("side") * BPS * div(F.col("mid") - F.col("mid0"), F.col("mid0")))
 
 
+def quantiles(rows: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Exact interpolated quantiles of a column over all rows. Distinct values are counted and sorted in
+    range partitions; the partitions' sizes tell where each rank lies, and only the values at the ranks
+    asked for come to the driver."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    part = table(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    starts, total = [], 0
+    for r in sorted(part.groupBy("part").agg(F.sum("n").alias("n")).collect(), key=lambda r: r["part"]):
+        starts.append((r["part"], total))
+        total += r["n"]
+    if not total:
+        return [None] * len(shares)
+    place = rows.sparkSession.createDataFrame(starts, "part int, start long")
+    w = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ends = part.withColumn("end", F.sum("n").over(w)).join(place, "part").select("v", (F.col("start") + F.col("end") - F.col("n")).alias("low"), (F.col("start") + F.col("end")).alias("high"))
+    at = [s * (total - 1) for s in shares]
+    ranks = sorted({k for x in at for k in (math.floor(x), math.ceil(x))})
+    hit = [(F.col("low") <= k) & (F.col("high") > k) for k in ranks]
+    found = ends.select("v", *(h.alias(f"h{i}") for i, h in enumerate(hit))).where(" OR ".join(f"h{i}" for i in range(len(ranks)))).collect()
+    value = {k: next(r["v"] for r in found if r[f"h{i}"]) for i, k in enumerate(ranks)}
+    return [value[math.floor(x)] + (value[math.ceil(x)] - value[math.floor(x)]) * (x - math.floor(x)) for x in at]
+
+
 def adverse_selection(marked: DataFrame, least: int = 8) -> DataFrame:
     """side, size_bin, n, mean_bps by side and by quartile of notional."""
     rows = marked.withColumn("notional", F.col("qty") * F.col("px"))
-    e = rows.agg(F.percentile("notional", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("e")).first()["e"] or [None] * 3
+    e = quantiles(rows, "notional", [0.25, 0.5, 0.75])
     bin_ = F.when(F.col("notional") < F.lit(e[0]), 0).when(F.col("notional") < F.lit(e[1]), 1).when(F.col("notional") < F.lit(e[2]), 2).otherwise(3)
     sets = [[F.col("side")], [F.col("size_bin")]]
     return rows.withColumn("size_bin", bin_).groupingSets(sets, "side", "size_bin").agg(F.count("*").alias("n"), F.avg("markout").alias("mean_bps")).where(F.col("n") >= least)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.fold import fold
 from tapeloom.functions.stats import div
+from tapeloom.operators.flow import quantiles
 from tapeloom.operators.temporal import asof, before, forward, nearest, range_join
 
 
@@ -179,7 +180,7 @@ def vanishing_improvements(trades: DataFrame, tob: DataFrame, by: list[str], can
 
 def share_near(rows: DataFrame, events: DataFrame, by: list[str], size: str, slack: int, k: int) -> DataFrame:
     """bin, n, near: rows by quantile bin of size, and how many have an event within slack."""
-    e = rows.agg(F.percentile(size, F.array(*(F.lit(i / k) for i in range(1, k)))).alias("e")).first()["e"] or []
+    e = [x for x in quantiles(rows, size, [i / k for i in range(1, k)]) if x is not None]
     own = nearest(rows.select(*by, "ts", "seq", size), events.select(*by, "ts", F.col("ts").alias("seq")), by, [])
     bin_ = sum(((F.col(size) >= F.lit(x)).cast("int") for x in e), F.lit(0))
     return own.withColumn("bin", bin_).groupBy("bin").agg(F.count("*").alias("n"), F.count(F.when(F.abs(F.col("ref_ts") - F.col("ts")) <= slack, 1)).alias("near"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapeloom.plans import book, decisions, estimators, flow, inference, more, patterns, research, scans, vol  # noqa: F401  they register their queries
+from tapeloom.plans import book, decisions, estimators, flow, inference, more, patterns, research, scans, streams, vol  # noqa: F401  they register their queries
 from tapeloom.plans.base import QUERIES, SQL  # noqa: F401
 
 FLAGSHIP = "asof_effective_spread"

@@ -95,3 +95,34 @@ def volume_buckets(stream: DataFrame, by: list[str], volume: float) -> DataFrame
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Runs over all that is there and stops; the sink is Parquet, exactly once."""
     stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def drain_to_days(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """The same, into a folder for each batch, in it folders by day and venue. A batch that is run again
+    after a failure replaces its own folder, so that each row is there once."""
+    from tapeloom.sources.layout import write_days
+
+    def write(rows: DataFrame, batch: int) -> None:
+        write_days(rows.drop("event_time"), f"{path}/batch={batch}", mode="overwrite")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def sleeve(stream: DataFrame, by: list[str], enter_z: float, hold: int, cost_bps: float) -> DataFrame:
+    """by, entry_ts, exit_ts, direction, entry, exit, pnl_bps as in the batch operator, with the open
+    position as state. stream: ts, seq, px, z."""
+
+    def step(key, frames, state: GroupState):
+        opened, t, way, at = state.get if state.exists else (False, 0, 0, 0.0)
+        rows, out = pd.concat(list(frames)).sort_values(["ts", "seq"]), []
+        for ts, px, z in zip(rows.ts, rows.px, rows.z):
+            if opened and ts >= t + hold:
+                out.append((*key, t, ts, way, at, px, 1e4 * way * (px - at) / at - 2 * cost_bps))
+                opened = False
+            if not opened and z == z and abs(z) >= enter_z and px:
+                opened, t, way, at = True, int(ts), -1 if z > 0 else 1, float(px)
+        state.update((bool(opened), int(t), int(way), float(at)))
+        yield pd.DataFrame(out, columns=[*by, "entry_ts", "exit_ts", "direction", "entry", "exit", "pnl_bps"])
+
+    schema = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in by) + ", entry_ts long, exit_ts long, direction int, entry double, exit double, pnl_bps double"
+    return stream.groupBy(*by).applyInPandasWithState(step, schema, "opened boolean, t long, way int, at double", "append", GroupStateTimeout.NoTimeout)

@@ -175,6 +175,14 @@ def test_streams_match_the_batch_operators(spark, tmp_path):
     jobs.drain(jobs.kalman_z(clean(), CELL, 1e-10, 1e-5), f"{tmp_path}/z", f"{tmp_path}/c1")
     want = {r["seq"]: r["z"] for r in vol.kalman(t, CELL, 1e-10, 1e-5).collect()}
     assert {r["seq"]: pytest.approx(r["z"]) for r in spark.read.parquet(f"{tmp_path}/z").collect()} == want
+    scored = spark.read.parquet(f"{tmp_path}/z").orderBy("ts", "seq").coalesce(1)
+    scored.write.option("maxRecordsPerFile", 150).parquet(f"{tmp_path}/scored")
+    again = spark.readStream.schema(scored.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/scored")
+    jobs.drain(jobs.sleeve(again, CELL, 2.0, 3_600_000_000, 1.0), f"{tmp_path}/s", f"{tmp_path}/c4")
+    legs = (*CELL, "entry_ts", "exit_ts", "direction", "pnl_bps")
+    assert rows(spark.read.parquet(f"{tmp_path}/s"), *legs) == rows(policy.sleeve(scored, CELL, 2.0, 3_600_000_000, 1.0), *legs)
+    jobs.drain_to_days(clean(), f"{tmp_path}/days", f"{tmp_path}/c5")
+    assert layout.read_days(spark, f"{tmp_path}/days").count() == t.count()
     jobs.drain(jobs.volume_buckets(clean(), CELL, 20.0), f"{tmp_path}/b", f"{tmp_path}/c2")
     key = (*CELL, "bucket", "end_ts", "volume", "imbalance")
     assert rows(spark.read.parquet(f"{tmp_path}/b"), *key) == rows(flow.volume_buckets(t, CELL, 20.0), *key)
@@ -267,3 +275,98 @@ def test_drift_burst_by_loop(spark):
         assert np.allclose([got[tau]["t_minus"], got[tau]["t_plus"], got[tau]["v"]], [*side, np.sqrt(0.2) * side[0] * side[1]])
     least = vol.least_burst(spark.createDataFrame([tuple(x) for x in got.values()], "k string, tau long, t_minus double, t_plus double, v double"), ["k"]).first()
     assert least["min_v"] == min(x["v"] for x in got.values())
+
+
+def lagged(columns: dict, lags: int) -> dict:
+    """Each series at lags 0 to lags, from the first row that has them all."""
+    n = len(next(iter(columns.values())))
+    return {f"{v}{k}": np.asarray(x)[lags - k : n - k] for k in range(lags + 1) for v, x in columns.items()}
+
+
+def test_information_share_against_numpy(spark):
+    from tapeloom.operators import xvenue
+
+    rng, n, lags = np.random.default_rng(11), 400, 2
+    common = np.cumsum(rng.standard_normal(n)) * 0.01
+    mids = {0: np.exp(5 + common + 0.003 * rng.standard_normal(n)), 1: np.exp(5 + np.concatenate([[0], common[:-1]]) + 0.01 * rng.standard_normal(n))}
+    panel = spark.createDataFrame([(1, v, t, float(x)) for v, m in mids.items() for t, x in enumerate(m)], "symbol int, venue int, ts long, mid double")
+    got = xvenue.information_share(panel, ["symbol"], 0, 1, lags).first()
+    x = lagged({"a": np.diff(np.log(mids[0])), "b": np.diff(np.log(mids[1]))}, lags)
+    past = np.stack([x[f"{v}{k}"] for k in range(1, lags + 1) for v in "ab"], axis=1)
+    now = np.stack([x["a0"], x["b0"]], axis=1)
+    coef = np.linalg.lstsq(past, now, rcond=None)[0]
+    resid = now - past @ coef
+    omega = resid.T @ resid / len(now)
+    psi = np.linalg.inv(np.eye(2) - sum(coef[2 * k : 2 * k + 2].T for k in range(lags))).mean(axis=0)
+    total = psi @ omega @ psi
+    first = (psi @ np.linalg.cholesky(omega))[0] ** 2 / total
+    last = 1 - (psi[::-1] @ np.linalg.cholesky(omega[::-1, ::-1]))[0] ** 2 / total
+    assert got["n"] == len(now) and np.allclose([got["share_a_low"], got["share_a_high"]], sorted([first, last]))
+
+
+def test_trade_var_against_numpy(spark):
+    from tapeloom.operators import flow
+
+    rng, n, lags = np.random.default_rng(12), 500, 2
+    side = np.sign(rng.standard_normal(n) + 0.3 * np.concatenate([[0], rng.standard_normal(n - 1)]))
+    move = 0.5 * side + 0.2 * np.concatenate([[0], side[:-1]]) + 0.1 * rng.standard_normal(n)
+    d = spark.createDataFrame([(1, t, t, float(m), float(q)) for t, (m, q) in enumerate(zip(move, side))], "k int, ts long, seq long, d_mid double, side double")
+    got = flow.trade_var(d, ["k"], lags, 5).first()
+    x = lagged({"m": move, "q": side}, lags)
+    past = [x[f"{v}{k}"] for k in range(1, lags + 1) for v in "mq"]
+    a = np.linalg.lstsq(np.stack([x["q0"], *past], axis=1), x["m0"], rcond=None)[0]
+    b = np.linalg.lstsq(np.stack(past, axis=1), x["q0"], rcond=None)[0]
+    m, q, path = [0.0] * lags, [0.0] * lags, []
+    for h in range(5):
+        before = [v for k in range(lags) for v in (m[k], q[k])]
+        shock = 1.0 if h == 0 else b @ before
+        step = a @ [shock, *before]
+        m, q = [step, *m[:-1]], [shock, *q[:-1]]
+        path.append(step)
+    assert np.isclose(got["lambda"], a[0]) and np.allclose(got["impulse"], np.cumsum(path))
+
+
+def test_hac_fit_against_numpy(spark):
+    from tapeloom.operators import inference
+
+    rng, n, lags = np.random.default_rng(13), 300, 3
+    x = rng.standard_normal((n, 2))
+    y = 1 + x @ [0.5, -2] + rng.standard_normal(n) * (1 + np.abs(x[:, 0]))
+    d = spark.createDataFrame([("a", t, float(v), float(p), float(q)) for t, (v, (p, q)) in enumerate(zip(y, x))] + [("b", 0, 1.0, 1.0, 1.0)], "k string, t long, y double, p double, q double")
+    got = inference.hac_ols(d, ["k"], "y", ["p", "q"], ["t"], lags).collect()
+    assert [r["k"] for r in got] == ["a"]
+    z = np.column_stack([np.ones(n), x])
+    beta = np.linalg.lstsq(z, y, rcond=None)[0]
+    u = (y - z @ beta)[:, None] * z
+    s = u.T @ u + sum((1 - k / (lags + 1)) * (u[k:].T @ u[:-k] + u[:-k].T @ u[k:]) for k in range(1, lags + 1))
+    back = np.linalg.inv(z.T @ z)
+    assert np.allclose(got[0]["beta"], beta) and np.allclose(got[0]["se"], np.sqrt(np.diag(back @ s @ back)))
+
+
+def test_quantiles_over_all_rows(spark):
+    from tapeloom.operators import flow
+
+    rng = np.random.default_rng(14)
+    v = np.round(rng.standard_normal(1000), 2)
+    d = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double").repartition(7)
+    assert np.allclose(flow.quantiles(d, "v", [0.0, 0.1, 0.5, 0.77, 1.0]), np.quantile(v, [0.0, 0.1, 0.5, 0.77, 1.0]))
+    assert flow.quantiles(d.limit(0), "v", [0.5]) == [None]
+
+
+def test_survival_pauses_and_policies_by_hand(spark):
+    from tapeloom.operators import decisions, estimators
+
+    tob = spark.createDataFrame([("a", 0, 0, 9.0, 10.0, 5.0, 5.0), ("a", 10, 1, 8.0, 9.0, 5.0, 5.0), ("a", 20, 2, 9.5, 10.5, 2.0, 2.0)], "k string, ts long, seq long, bid double, ask double, bid_sz double, ask_sz double")
+    trades = spark.createDataFrame([("a", 5, 0, 4.0, -1.0), ("a", 12, 1, 3.0, -1.0), ("a", 15, 2, 2.0, -1.0), ("a", 16, 3, 9.0, 1.0)], "k string, ts long, seq long, qty double, side double")
+    got = estimators.touch_survival(tob, trades, ["k"], 1.0, [0], 1, 18)
+    # the bid of 9 fills when the ask has come down to it, with the second sale after that; the others never
+    assert rows(got, "starts", "filled", "mean_us") == [(3, 1, 15.0)]
+    events = spark.createDataFrame([("a", 1, 100, "widen"), ("a", 2, 105, "halt"), ("a", 3, 200, "observe")], "k string, run long, end_ts long, tier string")
+    pauses = decisions.fire_pauses(events, 10)
+    assert rows(pauses, "run", "start_ts", "end_ts") == [(1, 100, 110), (2, 105, 115)]
+    at = spark.createDataFrame([("a", t, t) for t in (99, 100, 109, 114, 115)], "k string, ts long, seq long")
+    assert [r["ts"] for r in decisions.in_pause(at, pauses, ["k"]).where("paused").orderBy("ts").collect()] == [100, 109, 114]
+    own = events.select("k", "run", F.col("end_ts").alias("ts"), F.col("run").alias("seq"))
+    assert rows(decisions.in_pause(own, pauses, ["k"], "run"), "run", "paused") == [(1, False), (2, True), (3, False)]
+    acts = decisions.event_actions(events.withColumn("nested", F.col("run") == 1), F.col("nested"))
+    assert rows(acts, "run", "kind", "size_mult", "pull", "action") == [(1, "ladder_fire", 0.0, True, "nest_hard_pause"), (2, "ladder_fire", 0.0, True, "halt_aggressive"), (3, "ladder_observe", 1.0, False, "observe")]
