@@ -17,27 +17,42 @@ ID_FILTER_BITS = 1 << 25
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
+    """The folder that driver and executors share. Where none is set, one of our own in local mode (tests);
+    on a cluster, an error: other machines would not see it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tapeloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def table(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and any
     executor can read it after another is lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables of this application; call it when the results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def made() -> int:
+    """How many tables have been made so far; see release."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, keep_last: int = 0) -> None:
+    """Deletes the tables made after the first `since`, but for the last ones; for when results are written."""
+    gone = _made[since : len(_made) - keep_last]
+    del _made[since : since + len(gone)]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shards_for(rows: int, per_shard: int, least: int) -> int:
@@ -124,6 +139,64 @@ def id_hashes(ids: pa.Array) -> np.ndarray:
     return mix64(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
 
 
+def split_by_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of docs whose doc_id is not among ids, the others and some false positives), so that only the
+    others need a join. docs: doc_id, text. ids: doc_id."""
+    known = docs.sparkSession.sparkContext.broadcast(id_filter(ids, "doc_id").map.tobytes())
+
+    def hit(batches):
+        bloom = Bloom(ID_FILTER_BITS, data=known.value)
+        for b in batches:
+            if b.num_rows:
+                yield pa.record_batch([*b.columns, pa.array(bloom.has(id_hashes(b.column(0))))], names=["doc_id", "text", "hit"])
+
+    marked = docs.select("doc_id", "text").mapInArrow(hit, "doc_id long, text string, hit boolean")
+    return marked.where("NOT hit").drop("hit"), marked.where("hit").drop("hit")
+
+
+#: Most segments of a filter that is made by shards: each shard ORs its bits into one of them.
+SEGMENTS = 1 << 14
+
+
+def segments_for(shards: int, bits: int) -> tuple[int, int]:
+    """(segments, bits of each) of a filter of `bits` in all, whatever the number of shards."""
+    segments = min(shards, SEGMENTS)
+    return segments, bits // segments // 8 * 8
+
+
+def merged_segments(maps: DataFrame) -> dict[int, bytes]:
+    """The filter's segments, ORed over the shards that share them: rows (segment int, map binary)."""
+    schema = pa.schema([("segment", pa.int32()), ("map", pa.binary())])
+
+    def merge(batches):
+        at, held = None, None
+        for b in batches:
+            for k, m in zip(b.column(0).to_pylist(), b.column(1)):
+                m = np.frombuffer(m.as_buffer(), np.uint8)
+                if k != at:
+                    if held is not None:
+                        yield batch(schema, [at], [held.tobytes()])
+                    at, held = k, m.copy()
+                else:
+                    held |= m
+        if held is not None:
+            yield batch(schema, [at], [held.tobytes()])
+
+    merged = maps.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, map binary")
+    return {r.segment: bytes(r.map) for r in merged.toLocalIterator()}
+
+
+def in_segments(hashes: np.ndarray, segment: np.ndarray, maps: dict[int, bytes], bits: int) -> np.ndarray:
+    """Whether each hash is in its segment's filter."""
+    hit, order = np.zeros(len(hashes), bool), np.argsort(segment, kind="stable")
+    ends = np.flatnonzero(np.diff(segment[order])) + 1
+    for part in np.split(order, ends) if len(order) else ():
+        data = maps.get(int(segment[part[0]]))
+        if data is not None:
+            hit[part] = Bloom(bits, data=data).has(hashes[part])
+    return hit
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b), copied both ways.
 

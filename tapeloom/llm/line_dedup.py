@@ -3,11 +3,13 @@
 1. Each task sends the 64-bit hashes of its line keys (each at most once per document, twice per
    task) packed by hash shard: 8 bytes a line at most, no text.
 2. A shard keeps a once-seen filter while its hashes stream by; a hash already in it enters the
-   twice-seen filter, whose bits are the shard's segment of one filter of constant size.
+   twice-seen filter, in the shard's segment of one filter of constant size. Shards beyond the number
+   of segments share them.
 3. That filter, of a size fixed by TWICE_BITS, picks suspected repeats while the documents are read
    again. Only those shuffle, as 16-byte digests of the key with the doc_id; exact counts and the
    largest doc_id come from a pre-aggregated groupBy. A full filter costs shuffle, never results.
-4. Documents join the keys they lose; a common key stays rows of a skew-splittable join.
+4. Documents that lose a line (picked by a filter of constant size over their ids) join the keys they
+   lose; the others pass by. A common key stays rows of a skew-splittable join.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import Bloom, batch, mix64, packed, shards_for, table
+from tapeloom.llm.common import Bloom, batch, in_segments, merged_segments, mix64, packed, segments_for, shards_for, split_by_ids, table
 
 #: Bits of the twice-seen filter over all shards: 16 MB, whatever the corpus size.
 TWICE_BITS = 1 << 27
@@ -47,8 +49,8 @@ def _key_hashes(least: int, shards: int):
             values, counts = np.unique(np.array(seen, np.uint64), return_counts=True)
             values = np.concatenate([values, values[counts > 1]])
             seen.clear()
-            for k, data in packed((values % np.uint64(shards)).astype(np.int64), values, shards):
-                yield batch(schema, [k], [data])
+            found = list(packed((values % np.uint64(shards)).astype(np.int64), values, shards))
+            yield batch(schema, [k for k, _ in found], [data for _, data in found])
 
         for b in batches:
             for text in b.column(0):
@@ -61,28 +63,28 @@ def _key_hashes(least: int, shards: int):
     return run
 
 
-def _twice(shards: int, segment_bits: int):
-    schema = pa.schema([("shard", pa.int32()), ("map", pa.binary())])
+def _twice(segments: int, segment_bits: int):
+    schema = pa.schema([("segment", pa.int32()), ("map", pa.binary())])
 
     def run(batches):
         shard, once, twice = None, None, None
         for b in batches:
-            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for k, data in zip(b.column(0).to_pylist(), b.column(1)):
                 if k != shard:
                     if twice is not None:
-                        yield batch(schema, [shard], [twice.map.tobytes()])
+                        yield batch(schema, [shard % segments], [twice.map.tobytes()])
                     shard, once, twice = k, Bloom(ONCE_BITS), Bloom(segment_bits)
-                values = mix64(np.frombuffer(data, np.uint64))
+                values = mix64(np.frombuffer(data.as_buffer(), np.uint64))
                 values, counts = np.unique(values, return_counts=True)
                 twice.add(values[once.has(values) | (counts > 1)])
                 once.add(values)
         if twice is not None:
-            yield batch(schema, [shard], [twice.map.tobytes()])
+            yield batch(schema, [shard % segments], [twice.map.tobytes()])
 
     return run
 
 
-def _suspects(least: int, shards: int, segment_bits: int, filters):
+def _suspects(least: int, shards: int, segments: int, segment_bits: int, filters):
     schema = pa.schema([("key", pa.binary()), ("doc_id", pa.int64())])
 
     def run(batches):
@@ -97,14 +99,8 @@ def _suspects(least: int, shards: int, segment_bits: int, filters):
                 hashes.extend(map(xxhash.xxh3_64_intdigest, own))
                 ids.extend([doc_id] * len(own))
             hashes = np.array(hashes, np.uint64)
-            shard = (hashes % np.uint64(shards)).astype(np.int64)
-            hit = np.zeros(len(hashes), bool)
-            order = np.argsort(shard, kind="stable")
-            bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-            for k in np.flatnonzero(np.diff(bounds)):
-                if k in maps:
-                    at = order[bounds[k] : bounds[k + 1]]
-                    hit[at] = Bloom(segment_bits, data=maps[k]).has(mix64(hashes[at]))
+            segment = (hashes % np.uint64(shards)).astype(np.int64) % segments
+            hit = in_segments(mix64(hashes), segment, maps, segment_bits)
             at = np.flatnonzero(hit)
             yield batch(schema, [blake2b(keys[i], digest_size=16).digest() for i in at], [ids[i] for i in at])
 
@@ -141,15 +137,18 @@ def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) ->
     doc_id count once and are treated alike. Other columns are not read. Empty tables: no rows."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shards = shards_for(docs.count(), 5000, 64)
-    segment_bits = max(1 << 10, TWICE_BITS // shards // 8 * 8)
+    segments, segment_bits = segments_for(shards, TWICE_BITS)
     spark = docs.sparkSession
     hashes = docs.select("text").mapInArrow(_key_hashes(least_chars, shards), "shard int, hashes binary")
-    twice = hashes.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_twice(shards, segment_bits), "shard int, map binary")
-    filters = spark.sparkContext.broadcast({r.shard: bytes(r.map) for r in twice.toLocalIterator()})
-    suspects = table(docs.mapInArrow(_suspects(least_chars, shards, segment_bits, filters), "key binary, doc_id long").distinct())
+    twice = hashes.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_twice(segments, segment_bits), "segment int, map binary")
+    filters = spark.sparkContext.broadcast(merged_segments(twice))
+    suspects = table(docs.mapInArrow(_suspects(least_chars, shards, segments, segment_bits, filters), "key binary, doc_id long").distinct())
     keep = table(suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id")).where(F.col("n") >= least_docs))
-    gone = suspects.join(keep, "key").where("doc_id != keep_id").groupBy("doc_id").agg(F.collect_list("key").alias("gone"))
-    return docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_drop(least_chars), "doc_id long, text string, n_lines long, n_dropped long")
+    gone = table(suspects.join(keep, "key").where("doc_id != keep_id").groupBy("doc_id").agg(F.collect_list("key").alias("gone")))
+    whole, touched = split_by_ids(docs, gone)
+    out = "doc_id long, text string, n_lines long, n_dropped long"
+    whole = whole.withColumn("gone", F.lit(None).cast("array<binary>")).mapInArrow(_drop(least_chars), out)
+    return whole.unionByName(touched.join(gone, "doc_id", "left").mapInArrow(_drop(least_chars), out))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import Bloom, batch, id_filter, id_hashes, mix64, packed, shards_for, table
+from tapeloom.llm.common import Bloom, batch, in_segments, merged_segments, mix64, packed, segments_for, shards_for, split_by_ids, table
 from tapeloom.llm.texts import Words, slices
 
 WINDOW = 35
@@ -40,6 +40,12 @@ SHARD = "shard int, kind byte, data binary"
 ONCE, MORE, BLOCK = 0, 1, 2
 
 
+def _rows(kind: int, parts) -> pa.RecordBatch:
+    """A row for each shard that has data."""
+    parts = list(parts)
+    return batch(_SHARD, [k for k, _ in parts], [kind] * len(parts), [data for _, data in parts])
+
+
 def _split(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Shard and 32 further bits of each hash: with more shards for more text, a shard's chance of a
     false match stays the same, and every match is checked in step 2."""
@@ -54,8 +60,7 @@ def _index_and_probe(size: int, shards: int):
             values, counts = np.unique(np.concatenate(rolling), return_counts=True)
             for kind, part in ((ONCE, values[counts == 1]), (MORE, values[counts > 1]), (BLOCK, np.unique(np.concatenate(blocks)))):
                 shard, low = _split(part, shards)
-                for k, data in packed(shard, low, shards):
-                    yield batch(_SHARD, [k], [kind], [data])
+                yield _rows(kind, packed(shard, low, shards))
 
         for b in batches:
             for _, _, data, offs in slices(b.column(0)):
@@ -73,9 +78,9 @@ def _index_and_probe(size: int, shards: int):
     return run
 
 
-def _anchors(segment_bits: int):
-    """Blocks that are seen anywhere else, as a filter of the shard's own."""
-    schema = pa.schema([("shard", pa.int32()), ("map", pa.binary())])
+def _anchors(segments: int, segment_bits: int):
+    """Blocks that are seen anywhere else, as a filter in the shard's segment."""
+    schema = pa.schema([("segment", pa.int32()), ("map", pa.binary())])
 
     def run(batches):
         for shard, held in _by_shard(batches):
@@ -86,23 +91,11 @@ def _anchors(segment_bits: int):
             hits = np.intersect1d(blocks, np.union1d(once[counts > 1], more))
             bloom = Bloom(segment_bits)
             bloom.add(mix64(hits.astype(np.uint64)))
-            yield batch(schema, [shard], [bloom.map.tobytes()])
+            yield batch(schema, [shard % segments], [bloom.map.tobytes()])
 
     return run
 
 
-def _has_anchor(hashes: np.ndarray, maps: dict[int, bytes], shards: int, segment_bits: int) -> np.ndarray:
-    shard, low = _split(hashes, shards)
-    hit = np.zeros(len(hashes), bool)
-    order = np.argsort(shard, kind="stable")
-    bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-    for k in np.flatnonzero(np.diff(bounds)):
-        if k in maps:
-            at = order[bounds[k] : bounds[k + 1]]
-            hit[at] = Bloom(segment_bits, data=maps[k]).has(mix64(low[at].astype(np.uint64)))
-    return hit
-
-
 #: A window to settle: 96 bits of hash and its place, whose top bit says "seen twice here".
 PLACE = np.dtype([("hash", "<u8"), ("more", "<u4"), ("doc", "<i8"), ("pos", "<u4")])
 TWICE = np.uint32(1 << 31)
@@ -132,7 +125,7 @@ def _spots(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _windows(window: int, size: int, shards: int, segment_bits: int, anchors):
+def _windows(window: int, size: int, shards: int, segments: int, segment_bits: int, anchors):
     def run(batches):
         maps, held, n = anchors.value, [], 0
 
@@ -145,8 +138,7 @@ def _windows(window: int, size: int, shards: int, segment_bits: int, anchors):
             values["pos"] |= np.where(repeated, TWICE, 0).astype(np.uint32)
             settled = _spots(values[repeated & ~first])
             for kind, part, by in ((OPEN, values[first], "hash"), (SETTLED, settled, "doc")):
-                for k, data in packed(_shard_of(part[by], shards), part, shards):
-                    yield batch(_SHARD, [k], [kind], [data])
+                yield _rows(kind, packed(_shard_of(part[by], shards), part, shards))
 
         for b in batches:
             ids = b.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -157,7 +149,8 @@ def _windows(window: int, size: int, shards: int, segment_bits: int, anchors):
                     continue
                 small, probes = words.runs(size)
                 sums = np.zeros(len(words) + 1, np.int64)
-                sums[small + 1] = _has_anchor(probes, maps, shards, segment_bits)
+                shard, low = _split(probes, shards)
+                sums[small + 1] = in_segments(mix64(low.astype(np.uint64)), shard % segments, maps, segment_bits)
                 sums = np.cumsum(sums)
                 near = sums[at + window - size + 1] - sums[at] > 0
                 if near.any():
@@ -207,8 +200,7 @@ def _settle(shards: int):
                 again = np.bincount(group, 1 + (values["pos"] >> np.uint32(31)))[group] > 1
                 spots.append(_spots(values[again]))
             spots = np.concatenate(spots)
-            for k, data in packed(_shard_of(spots["doc"], shards), spots, shards):
-                yield batch(_SHARD, [k], [SETTLED], [data])
+            yield _rows(SETTLED, packed(_shard_of(spots["doc"], shards), spots, shards))
 
     return run
 
@@ -262,33 +254,21 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark, size = docs.sparkSession, (window + 1) // 2
     shards = shards_for(docs.count(), 2000, 64)
-    segment_bits = max(1 << 10, ANCHOR_BITS // shards // 8 * 8)
+    segments, segment_bits = segments_for(shards, ANCHOR_BITS)
     first = docs.select("text").mapInArrow(_index_and_probe(size, shards), SHARD)
-    maps = first.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_anchors(segment_bits), "shard int, map binary")
-    anchors = spark.sparkContext.broadcast({r.shard: bytes(r.map) for r in maps.toLocalIterator()})
-    places = docs.mapInArrow(_windows(window, size, shards, segment_bits, anchors), SHARD)
+    maps = first.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_anchors(segments, segment_bits), "segment int, map binary")
+    anchors = spark.sparkContext.broadcast(merged_segments(maps))
+    places = docs.mapInArrow(_windows(window, size, shards, segments, segment_bits, anchors), SHARD)
     dealt = lambda rows: rows.repartition(shards, "shard").sortWithinPartitions("shard")
     spots = dealt(places).mapInArrow(_settle(shards), SHARD)
     return _apply(docs, table(dealt(spots).mapInArrow(_starts, "doc_id long, runs binary").where(F.col("doc_id") != NO_ID)), window)
 
 
 def _apply(docs: DataFrame, starts: DataFrame, window: int) -> DataFrame:
-    known = docs.sparkSession.sparkContext.broadcast(id_filter(starts, "doc_id").map.tobytes())
-
-    def hit(batches):
-        from tapeloom.llm.common import ID_FILTER_BITS
-
-        bloom = Bloom(ID_FILTER_BITS, data=known.value)
-        for b in batches:
-            if b.num_rows:
-                own = bloom.has(id_hashes(b.column(0)))
-                yield pa.record_batch([*b.columns, pa.array(own)], names=["doc_id", "text", "hit"])
-
-    marked = docs.mapInArrow(hit, "doc_id long, text string, hit boolean")
     out = "doc_id long, text string, n_words long, n_removed long"
-    clean = marked.where("NOT hit").select("doc_id", "text", F.lit(None).cast("binary").alias("runs")).mapInArrow(_remove(window), out)
-    touched = marked.where("hit").select("doc_id", "text").join(starts, "doc_id", "left").mapInArrow(_remove(window), out)
-    return clean.unionByName(touched)
+    clean, touched = split_by_ids(docs, starts)
+    clean = clean.withColumn("runs", F.lit(None).cast("binary")).mapInArrow(_remove(window), out)
+    return clean.unionByName(touched.join(starts, "doc_id", "left").mapInArrow(_remove(window), out))
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
