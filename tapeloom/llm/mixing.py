@@ -1,7 +1,8 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Documents are summed to cells (source, lang, topic) once. Iterative proportional fitting rakes the
-cells' token weights to a target share of each value of each dimension; then a rate is found at
+cells' token weights to a target share of each value of each dimension, until all of them are met; then
+a rate is found at
 which min(1, rate x weight / tokens) keeps the budgeted share of all tokens on average, and each
 document is kept or not by comparing that probability with a number made from its doc_id. Only the
 table of cells is raked; the documents meet it in one join, broadcast by Spark where it is small.
@@ -14,9 +15,13 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.common import table
 
-#: How strongly each dimension is levelled: its target shares are its token shares to this power.
+#: How strongly each dimension is levelled where no targets are given: its target shares are its token
+#: shares to this power.
 LEVEL = {"source": 0.5, "lang": 0.7, "topic": 0.8}
-BUDGET, ROUNDS, RATE_ROUNDS = 0.6, 8, 8
+#: Share of the tokens that is kept. Rounds between two looks at how far the sums are from the targets,
+#: how far they may be, relatively, and rounds at most.
+BUDGET, ROUNDS, NEAR, MOST_ROUNDS = 0.6, 8, 1e-10, 80
+RATE_ROUNDS = 8
 #: The class of a text by the first marker it contains; else prose.
 TOPICS = {"contact": ["@", "://"], "legal": ["icense", "opyright"], "table": [" | ", "\t"]}
 SPACE = r"\x20\x09-\x0D"
@@ -32,19 +37,36 @@ def topic_of(text: Column) -> Column:
     return out
 
 
-def rake(cells: DataFrame, level: dict[str, float] = LEVEL, rounds: int = ROUNDS) -> DataFrame:
-    """cells (the dimensions, tokens) with weight, whose sums over each value of each dimension
-    come to the targets. Every value keeps a positive target; the total stays the tokens' total."""
+def _goals(cells: DataFrame, level: dict[str, float], targets: dict[str, dict]) -> DataFrame:
+    """cells with goal_<dimension>: the tokens that its value shall have in all."""
     over = {d: F.sum("tokens").over(Window.partitionBy(d)) for d in level}
-    cells = cells.withColumn("tokens", F.col("tokens").cast("double")).withColumns({f"goal_{d}": F.pow(over[d], F.lit(level[d])) for d in level})
-    cells = table(cells.withColumns({f"part_{d}": F.col("tokens") / over[d] for d in level}))
-    sums = cells.agg(F.sum("tokens").alias("total"), *(F.sum(F.col(f"goal_{d}") * F.col(f"part_{d}")).alias(d) for d in level)).first()
-    out = cells.withColumn("weight", F.col("tokens"))
-    for _ in range(rounds):
-        for d in level:
-            goal = F.col(f"goal_{d}") / F.lit(sums[d] or 1.0) * F.lit(sums["total"] or 0.0)
-            out = out.withColumn("weight", F.col("weight") * (goal / F.sum("weight").over(Window.partitionBy(d))))
-    return table(out.select(*level, "tokens", "weight"))
+    given = {d: F.create_map(*(F.lit(x) for k, v in t.items() for x in (k, float(v)))) for d, t in targets.items() if t}
+    named = cells.withColumns({f"given_{d}": F.try_element_at(m, F.coalesce(F.col(d), F.lit(""))) for d, m in given.items()})
+    free = named.agg(F.lit(0), *(F.sum(F.when(F.col(f"given_{d}").isNull(), F.col("tokens")).otherwise(0.0)).alias(d) for d in given)).first() if given else {}
+    goals = {d: F.pow(over[d], F.lit(level[d])) if d not in given else F.coalesce(F.col(f"given_{d}"), over[d] / F.lit(free[d] or 1.0) * max(0.0, 1 - sum(map(float, targets[d].values())))) for d in level}
+    raw = table(named.withColumns({f"goal_{d}": g for d, g in goals.items()} | {f"part_{d}": F.col("tokens") / over[d] for d in level}))
+    sums = raw.agg(F.sum("tokens").alias("total"), *(F.sum(F.col(f"goal_{d}") * F.col(f"part_{d}")).alias(d) for d in level)).first()
+    scaled = {f"goal_{d}": F.col(f"goal_{d}") / F.lit(sums[d] or 1.0) * F.lit(sums["total"] or 0.0) for d in level}
+    return raw.withColumns(scaled).select(*level, "tokens", *scaled)
+
+
+def rake(cells: DataFrame, level: dict[str, float] = LEVEL, targets: dict[str, dict] | None = None) -> DataFrame:
+    """cells (the dimensions, tokens) with weight, whose sums over each value of each dimension come to
+    the targets; the total stays the tokens' total. targets: shares of values by dimension ("" stands for
+    null); values not named share what is left by their tokens; dimensions not named are levelled."""
+    goals = table(_goals(cells.withColumn("tokens", F.col("tokens").cast("double")), level, targets or {}))
+    out, done = goals.withColumn("weight", F.col("tokens")), 0
+    while done < MOST_ROUNDS:
+        for _ in range(ROUNDS):
+            for d in level:
+                held = F.sum("weight").over(Window.partitionBy(d))
+                out = out.withColumn("weight", F.when(held > 0, F.col("weight") * (F.col(f"goal_{d}") / held)).otherwise(0.0))
+        out, done = table(out), done + ROUNDS
+        seen = out.withColumns({f"off_{d}": F.abs(F.sum("weight").over(Window.partitionBy(d)) / F.nullif(F.col(f"goal_{d}"), F.lit(0.0)) - 1) for d in level})
+        most = seen.agg(*(F.coalesce(F.max(f"off_{d}"), F.lit(0.0)) for d in level)).first()
+        if max(most) < NEAR:
+            break
+    return out.select(*level, "tokens", "weight")
 
 
 def rate_of(cells: DataFrame, budget: float, rounds: int = RATE_ROUNDS) -> float:
@@ -61,19 +83,20 @@ def rate_of(cells: DataFrame, budget: float, rounds: int = RATE_ROUNDS) -> float
     return rate
 
 
-def mix(docs: DataFrame, level: dict[str, float] = LEVEL, budget: float = BUDGET, row: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, level: dict[str, float] = LEVEL, budget: float = BUDGET, row: str | None = None, targets: dict[str, dict] | None = None) -> DataFrame:
     """doc_id, source, lang, topic, tokens, probability, sampled: a row for each row of docs.
 
     tokens: words plus one, so no document weighs nothing. Null text is empty; null source, lang or
     doc_id are values of their own; a doc_id that repeats is decided alike. A topic column of docs
-    is used where there is one, else the text's class. Other columns are not read, but for
-    `row`, if named, which each row of docs keeps; no rows, no rows."""
+    is used where there is one, else the text's class. targets: see rake; targets that contradict each
+    other, or name no value that is there, are met as nearly as the rounds come. Other columns are not
+    read, but for `row`, if named, which each row of docs keeps; no rows, no rows."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     topic = F.col("topic").cast("string") if "topic" in docs.columns else topic_of(text)
     words = F.regexp_count(text, F.lit(f"[^{SPACE}]+"))
     kept = [row] if row else []
     rows = table(docs.select(*kept, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), topic.alias("topic"), (words + 1).cast("long").alias("tokens")))
-    cells = rake(rows.groupBy(*level).agg(F.sum("tokens").alias("tokens")), level)
+    cells = rake(rows.groupBy(*level).agg(F.sum("tokens").alias("tokens")), level, targets)
     chance = F.least(F.lit(1.0), F.lit(rate_of(cells, budget)) * F.col("weight") / F.col("tokens"))
     cells = cells.select(*(F.col(d).alias(f"cell_{d}") for d in level), chance.alias("probability"))
     same = [F.col(d).eqNullSafe(F.col(f"cell_{d}")) for d in level]
@@ -98,9 +121,10 @@ def mix_sql(documents: str = "documents", level: dict[str, float] = LEVEL, budge
         "scale AS (SELECT sum(tokens) AS total, " + ", ".join(f"sum(goal_{d} * part_{d}) AS sum_{d}" for d in level) + " FROM goals)",
         "r0 AS (SELECT * FROM goals, scale)",
     ]
-    for k, d in enumerate(list(level) * ROUNDS):
+    rounds = 5 * ROUNDS  # as many as the rows of the oracle need to meet the targets
+    for k, d in enumerate(list(level) * rounds):
         out.append(f"r{k + 1} AS (SELECT * REPLACE (weight * (goal_{d} / sum_{d} * total / sum(weight) OVER (PARTITION BY {d})) AS weight) FROM r{k})")
-    last = f"r{len(level) * ROUNDS}"
+    last = f"r{len(level) * rounds}"
     out.append("q0 AS (SELECT NULL::DOUBLE AS rate)")
     for k in range(RATE_ROUNDS):
         full = "coalesce(weight * rate >= tokens, false)"
