@@ -3,7 +3,8 @@
 Unit vectors at cosine c lie sqrt(2 - 2c) = epsilon apart. Vectors are rotated to principal axes
 (fitted on a bounded sample; that steers speed only), ordered by their grid cells of side epsilon on
 the leading axes, and cut into blocks that are intervals of that order. Blocks whose boxes lie within
-epsilon of each other meet in one row; a task joins such a pair by recursion, halving intervals and
+epsilon of each other are a pair; pairs are dealt in tiles of a few blocks a side, so a block travels
+once for each tile, not for each pair. A task joins a pair by recursion, halving intervals and
 skipping halves whose boxes are further apart, down to small products of matrices.
 
 Pairs are never rows: a joined pair of blocks gives, for each vector with links, their number and a
@@ -15,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import batch, components, table
@@ -26,6 +27,8 @@ SAMPLE = 20_000
 #: Leading axes of the grid; axes of the boxes (more of them skip more).
 AXES, BOX_AXES = 4, 16
 LEAF = 512
+#: Blocks on a side of a tile, and axes whose cells two blocks must share to be compared at all.
+TILE, PAIR_AXES = 4, 2
 SLACK = 1e-6
 
 
@@ -183,35 +186,65 @@ def _join(a: _Side, b: _Side, i0: int, i1: int, j0: int, j1: int, cosine: float,
             _join(a, b, i0, i1, *p, cosine, epsilon, forest)
 
 
-def _join_pairs(cosine: float, epsilon: float, axes):
+def _join_tiles(cosine: float, epsilon: float, axes):
+    """Rows (tile, pairs, block, ids, copies, vectors), sorted by tile: a tile's blocks are held, and its
+    pairs of blocks joined."""
     schema = pa.schema([("vec_id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
+    def joined(held: dict, pairs: list):
+        for p in pairs:
+            one, two = held[p["a"]], held[p["b"]]
+            forest = _Forest()
+            for side in (one, two):
+                side.links = np.zeros(len(side.ids), np.int64)
+            _join(one, two, 0, len(one.ids), 0, len(two.ids), cosine, epsilon, forest)
+            for side in (one,) if one is two else (one, two):
+                hit = np.flatnonzero(side.links)
+                if len(hit):
+                    yield batch(schema, side.ids[hit], side.links[hit], [forest.root(int(x)) for x in side.ids[hit]])
+
     def run(batches):
+        at, held, pairs = None, {}, []
         for b in batches:
             for row in range(b.num_rows):
-                left, right, *data = (c[row].as_py() for c in b.columns)
-                one = _Side(*data[:3], axes.value)
-                two = one if left == right else _Side(*data[3:], axes.value)
-                forest = _Forest()
-                _join(one, two, 0, len(one.ids), 0, len(two.ids), cosine, epsilon, forest)
-                for side in (one,) if one is two else (one, two):
-                    hit = np.flatnonzero(side.links)
-                    if len(hit):
-                        yield batch(schema, side.ids[hit], side.links[hit], [forest.root(int(x)) for x in side.ids[hit]])
+                tile = b.column(0)[row].as_py()
+                if tile != at:
+                    yield from joined(held, pairs)
+                    at, held, pairs = tile, {}, b.column(1)[row].as_py()
+                held[b.column(2)[row].as_py()] = _Side(*(b.column(k)[row].as_py() for k in (3, 4, 5)), axes.value)
+        yield from joined(held, pairs)
 
     return run
 
 
 def _block_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
-    """Pairs of blocks whose boxes may be within epsilon: they share a cell of the first axis, one of
+    """Pairs of blocks whose boxes may be within epsilon: they share a cell of the leading axes, one of
     them widened by a cell to either side."""
-    cell = lambda c: F.floor(F.element_at(c, 1) / epsilon)
+    cell = lambda c, k: F.floor(F.element_at(c, k) / epsilon)
+    names = [f"cell{k}" for k in range(1, PAIR_AXES + 1)]
+
+    def spread(rows, wide):
+        for k, name in enumerate(names, 1):
+            rows = rows.withColumn(name, F.explode(F.sequence(cell("low", k) - wide, cell("high", k) + wide)))
+        return rows
+
     boxes = blocks.select("block", "low", "high")
-    a = boxes.select(F.col("block").alias("a"), F.col("low").alias("a_low"), F.col("high").alias("a_high"), F.explode(F.sequence(cell("low") - 1, cell("high") + 1)).alias("cell"))
-    b = boxes.select(F.col("block").alias("b"), F.col("low").alias("b_low"), F.col("high").alias("b_high"), F.explode(F.sequence(cell("low"), cell("high"))).alias("cell"))
+    a = spread(boxes, 1).select(F.col("block").alias("a"), F.col("low").alias("a_low"), F.col("high").alias("a_high"), *names)
+    b = spread(boxes, 0).select(F.col("block").alias("b"), F.col("low").alias("b_low"), F.col("high").alias("b_high"), *names)
     gaps = F.zip_with(F.zip_with("a_low", "b_high", lambda x, y: x - y), F.zip_with("b_low", "a_high", lambda x, y: x - y), lambda x, y: F.greatest(F.lit(0.0), x, y))
     apart = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x)
-    return a.join(b, "cell").where((F.col("a") <= F.col("b")) & (apart <= (epsilon + SLACK) ** 2)).select("a", "b").distinct()
+    return a.join(b, names).where((F.col("a") <= F.col("b")) & (apart <= (epsilon + SLACK) ** 2)).select("a", "b").distinct()
+
+
+def _tiles(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(tile, pairs, block, ids, copies, vectors): each block once for each tile that has a pair of it."""
+    number = F.row_number().over(Window.orderBy("block")) - 1  # of blocks, thousands of vectors each
+    side = table(blocks.select("block", F.floor(number / TILE).alias("side")))
+    own = pairs.join(side.select(F.col("block").alias("a"), F.col("side").alias("i")), "a").join(side.select(F.col("block").alias("b"), F.col("side").alias("j")), "b")
+    own = own.withColumn("tile", F.struct(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")))
+    tiles = table(own.groupBy("tile").agg(F.collect_list(F.struct("a", "b")).alias("pairs")).withColumn("tile", F.monotonically_increasing_id()))
+    met = tiles.select("tile", "pairs", F.explode(F.array_distinct(F.flatten(F.transform("pairs", lambda p: F.array(p["a"], p["b"]))))).alias("block"))
+    return met.join(blocks.select("block", "ids", "copies", "vectors"), "block").select("tile", "pairs", "block", "ids", "copies", "vectors")
 
 
 def _near(fine: DataFrame, dim: int, cosine: float) -> DataFrame:
@@ -227,10 +260,9 @@ def _near(fine: DataFrame, dim: int, cosine: float) -> DataFrame:
     ordered = placed.repartitionByRange(parts, "cells", "vec_id").sortWithinPartitions("cells", "vec_id")
     blocks = table(ordered.select("vec_id", "copies", "v").mapInArrow(_blocks(size, own), BLOCK))
     pairs = table(_block_pairs(blocks, epsilon))
-    data = ["ids", "copies", "vectors"]
-    met = pairs.join(blocks.select(F.col("block").alias("a"), *(F.col(c).alias(f"a_{c}") for c in data)), "a")
-    met = met.join(blocks.select(F.col("block").alias("b"), *(F.col(c).alias(f"b_{c}") for c in data)), "b")
-    found = table(met.select("a", "b", *(f"a_{c}" for c in data), *(f"b_{c}" for c in data)).mapInArrow(_join_pairs(cosine, epsilon, own), "vec_id long, links long, root long"))
+    tiles = _tiles(pairs, blocks)
+    dealt = tiles.repartition("tile").sortWithinPartitions("tile")
+    found = table(dealt.mapInArrow(_join_tiles(cosine, epsilon, own), "vec_id long, links long, root long"))
     links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
     classes = members.join(links.withColumnRenamed("vec_id", "rep"), "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
@@ -258,3 +290,17 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 def op6_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP6_SQL = f"""
+WITH RECURSIVE ev AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+ef AS (
+    SELECT vec_id, len(e) AS dim, e FROM ev
+    WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+eu AS (SELECT vec_id, dim, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM ef),
+el AS (SELECT a.vec_id AS a, b.vec_id AS b FROM eu a JOIN eu b ON a.dim = b.dim AND a.vec_id <> b.vec_id AND list_dot_product(a.u, b.u) >= {COSINE}),
+reach(a, b) AS (SELECT a, b FROM el UNION SELECT reach.a, el.b FROM reach JOIN el ON el.a = reach.b),
+em AS (SELECT a, min(b) AS least FROM reach GROUP BY a), en AS (SELECT a, count(*) AS n FROM el GROUP BY a)
+SELECT ev.vec_id, coalesce(en.n, 0) AS n_links, least(ev.vec_id, coalesce(em.least, ev.vec_id)) AS component_id, ev.vec_id = least(ev.vec_id, coalesce(em.least, ev.vec_id)) AS kept
+FROM ev LEFT JOIN en ON en.a = ev.vec_id LEFT JOIN em ON em.a = ev.vec_id
+"""

@@ -21,6 +21,7 @@ QUERIES = {
 SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op6_embedding_dedup": embedding_dedup.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op8_substring_dedup": substring_dedup.OP8_SQL,
     "op9_chat_format": chat_format.OP9_SQL,
