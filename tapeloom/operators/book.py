@@ -118,16 +118,23 @@ def constraint_flips(tob: DataFrame, by: list[str], constrained: Column, value:
 
 
 def book_events(tob: DataFrame, by: list[str], size_step: float = 0.05) -> DataFrame:
-    """Rows with code: +-1 bid price, +-2 bid size, +-3 ask price, +-4 ask size, in that order; 0 none."""
+    """The quotes that change the touch, with code: 1 the bid improves, -1 worsens; 3 its size grows, -3
+    shrinks, by size_step or more of what it was; 2 the ask improves, -2 worsens; 4, -4 its size. The
+    first of these that holds; prices within 1e-12 are equal."""
     b, a, bs, as_ = (before(c, by) for c in ("bid", "ask", "bid_sz", "ask_sz"))
-    sized = lambda now, was: F.abs(now - was) > size_step * was
-    code = (
-        F.when(b.isNull(), F.lit(None)).when(F.col("bid") != b, F.signum(F.col("bid") - b) * 1).when(sized(F.col("bid_sz"), bs), F.signum(F.col("bid_sz") - bs) * 2)
-        .when(F.col("ask") != a, F.signum(F.col("ask") - a) * 3).when(sized(F.col("ask_sz"), as_), F.signum(F.col("ask_sz") - as_) * 4).otherwise(0.0)
-    )
+    moved = lambda now, was: F.when(now > was + 1e-12, 1).when(now < was - 1e-12, -1)
+    sized = lambda now, was: F.when(was > 0, F.when((now - was) / was >= size_step, 1).when((now - was) / was <= -size_step, -1))
+    code = F.coalesce(moved(F.col("bid"), b), 3 * sized(F.col("bid_sz"), bs), -2 * moved(F.col("ask"), a), 4 * sized(F.col("ask_sz"), as_))
     return tob.withColumn("code", code.cast("int")).where("code IS NOT NULL")
 
 
+def event_shares(events: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, improved, worsened, improve_share of book events."""
+    count = lambda *codes: F.count(F.when(F.col("code").isin(*codes), 1))
+    out = events.groupBy(*by).agg(F.count("*").alias("n"), count(1, 2).alias("improved"), count(-1, -2).alias("worsened"))
+    return out.withColumn("improve_share", F.col("improved") / F.col("n"))
+
+
 def resilience(tob: DataFrame, events: DataFrame, by: list[str], horizons: list[int]) -> DataFrame:
     """horizon, n, mean depth ratio and mean move (bps) after events; needs a newer quote by then."""
     quotes = tob.withColumn("depth", F.col("bid_sz") + F.col("ask_sz"))
@@ -162,14 +169,17 @@ def cancel_proxy(tob: DataFrame, trades: DataFrame, by: list[str], drop: float,
     return rows.withColumn("kind", kind).rollup("book_side", "kind").agg(F.count("*").alias("n"), F.sum("lost").alias("lost")).where("kind IS NOT NULL OR book_side IS NULL")
 
 
-def time_to_touch(tob: DataFrame, by: list[str], offsets: list[float], tick: float, horizon: int, stride: int) -> DataFrame:
-    """offset, n, touched, median wait: a buy order `offset` ticks under the bid of every stride-th
-    quote, and the first later quote within the horizon whose ask reaches it."""
+def time_to_touch(tob: DataFrame, by: list[str], offsets: list[float], tick: float, horizon: int, stride: int, sells: bool = False) -> DataFrame:
+    """offset, n, touched, median wait: an order to buy `offset` ticks under the bid of every stride-th
+    quote (sells: to sell that far over its ask), and the first later quote within the horizon whose other
+    side reaches it."""
+    own, other, way = ("ask", "bid", 1) if sells else ("bid", "ask", -1)
     w = Window.partitionBy(*by).orderBy("ts", "seq")
     starts = tob.withColumn("k", F.row_number().over(w) - 1).where(F.col("k") % stride == 0)
-    starts = starts.select(*by, "ts", "k", "bid", F.explode(F.array(*map(F.lit, offsets))).alias("offset")).withColumn("limit", F.col("bid") - F.col("offset") * tick)
-    met = range_join(starts, tob.select(*by, "ts", "ask"), by, F.col("ts") + 1, F.col("ts") + horizon, horizon)
-    first = met.where(F.col("r_ask") <= F.col("limit")).groupBy(*by, "k", "offset").agg((F.min("r_ts") - F.first("ts")).alias("wait"))
+    starts = starts.select(*by, "ts", "k", own, F.explode(F.array(*map(F.lit, offsets))).alias("offset")).withColumn("limit", F.col(own) + way * F.col("offset") * tick)
+    met = range_join(starts, tob.select(*by, "ts", other), by, F.col("ts") + 1, F.col("ts") + horizon, horizon)
+    reached = F.col(f"r_{other}") >= F.col("limit") if sells else F.col(f"r_{other}") <= F.col("limit")
+    first = met.where(reached).groupBy(*by, "k", "offset").agg((F.min("r_ts") - F.first("ts")).alias("wait"))
     return starts.join(first, [*by, "k", "offset"], "left").groupBy("offset").agg(F.count("*").alias("n"), F.count("wait").alias("touched"), F.median("wait").alias("wait"))
 
 

@@ -191,6 +191,36 @@ def huang_stoll(rows: DataFrame, by: list[str], half: Column) -> DataFrame:
     return fit.join(turn, by).select(*by, "n", "reversal", (1 + div(F.col("beta_b"), F.col("beta_a"))).alias("lambda"), div(F.col("beta_a"), F.col("half")).alias("traded_share"))
 
 
+def spread_components(rows: DataFrame, by: list[str], half: float, least: int = 60) -> DataFrame:
+    """by, n, reversal, lambda_ab, adverse, inventory, restricted_adverse, restricted_inventory: the parts
+    of a half spread that are adverse selection and inventory cost. lambda_ab: from price changes on the
+    change of sign and the last one; adverse, inventory: from price changes over the half spread on three
+    signs; restricted: the first part from mid changes given lambda_ab, held between 0 and it. rows: ts,
+    seq, px, mid, side; trades without a side, or without two before it, are left out. Sums of products in
+    Spark, solved by Cramer's rule in columns."""
+    w = Window.partitionBy(*by).orderBy("ts", "seq")
+    lag = lambda c, k: F.lag(c, k).over(w)
+    own = rows.withColumns({"_y": F.col("px") - lag("px", 1), "_m": F.col("mid") - lag("mid", 1), "_0": F.col("side"), "_1": lag("side", 1), "_2": lag("side", 2)})
+    own = own.where("_y IS NOT NULL AND _m IS NOT NULL AND _0 <> 0 AND _1 <> 0 AND _2 <> 0")
+    names = ["0", "1", "2"]
+    product = {f"s{a}{b}": F.sum(F.col(f"_{a}") * F.col(f"_{b}")) for i, a in enumerate(names) for b in names[i:]}
+    product |= {f"{v}{a}": F.sum(F.col(f"_{v}") * F.col(f"_{a}")) for v in "ym" for a in names}
+    s = own.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col("_0") != F.col("_1")).cast("double")).alias("reversal"), *(v.alias(k) for k, v in product.items())).where(F.col("n") >= least)
+    c = F.col
+    det2 = c("s00") * c("s11") - c("s01") * c("s01")
+    both = div(c("y0") * c("s11") - c("y1") * c("s01") + c("y1") * c("s00") - c("y0") * c("s01"), det2)
+    three = lambda a, b, d: a[0] * (b[1] * d[2] - b[2] * d[1]) - a[1] * (b[0] * d[2] - b[2] * d[0]) + a[2] * (b[0] * d[1] - b[1] * d[0])
+    one, two, last, y = [c("s00"), c("s01"), c("s02")], [c("s01"), c("s11"), c("s12")], [c("s02"), c("s12"), c("s22")], [c("y0"), c("y1"), c("y2")]
+    det3 = three(one, two, last)
+    second, third = div(three(one, y, last), det3) / half, div(three(one, two, y), det3) / half
+    turn = F.nullif(1 - 2 * c("reversal"), F.lit(0.0))
+    out = s.withColumns({"lambda_ab": both / half, "adverse": -third / turn}).withColumn("inventory", second + 1 - c("adverse"))
+    raw = -(c("m2") / half - c("lambda_ab") * c("s12")) / (turn * c("s22"))
+    held = F.when(c("lambda_ab") <= 0, raw).otherwise(F.least(F.greatest(raw, F.lit(0.0)), c("lambda_ab")))
+    out = out.withColumn("restricted_adverse", held)
+    return out.select(*by, "n", "reversal", "lambda_ab", "adverse", "inventory", "restricted_adverse", (c("lambda_ab") - c("restricted_adverse")).alias("restricted_inventory"))
+
+
 def ma1(returns: DataFrame, by: list[str], r: str) -> DataFrame:
     """by, theta: the invertible MA(1) root from uncentred autocovariances; null if there is none."""
     rows = returns.where(F.col(r).isNotNull()).withColumn("_l", before(r, by))

@@ -188,9 +188,9 @@ def tercile_interaction(spark, sf):
     return ranked.groupBy("liq", "x_tercile").agg(F.count("*").alias("n"), r6(F.avg("y")).alias("mean_y"))
 
 
-EV = """, ev AS (SELECT *, CASE WHEN bid <> pb THEN sign(bid - pb) WHEN abs(bid_sz - ps) > 0.05 * ps THEN 2 * sign(bid_sz - ps) WHEN ask <> pa THEN 3 * sign(ask - pa)
-  WHEN abs(ask_sz - pz) > 0.05 * pz THEN 4 * sign(ask_sz - pz) ELSE 0 END::INT AS code FROM (
-  SELECT *, lag(bid) OVER w AS pb, lag(ask) OVER w AS pa, lag(bid_sz) OVER w AS ps, lag(ask_sz) OVER w AS pz FROM tob WINDOW w AS (PARTITION BY venue, symbol ORDER BY ts, seq)) WHERE pb IS NOT NULL)
+EV = """, ev AS (SELECT * FROM (SELECT *, coalesce(CASE WHEN bid > pb + 1e-12 THEN 1 WHEN bid < pb - 1e-12 THEN -1 END, CASE WHEN ps > 0 THEN CASE WHEN (bid_sz - ps) / ps >= 0.05 THEN 3 WHEN (bid_sz - ps) / ps <= -0.05 THEN -3 END END,
+  CASE WHEN ask < pa - 1e-12 THEN 2 WHEN ask > pa + 1e-12 THEN -2 END, CASE WHEN pz > 0 THEN CASE WHEN (ask_sz - pz) / pz >= 0.05 THEN 4 WHEN (ask_sz - pz) / pz <= -0.05 THEN -4 END END) AS code FROM (
+  SELECT *, lag(bid) OVER w AS pb, lag(ask) OVER w AS pa, lag(bid_sz) OVER w AS ps, lag(ask_sz) OVER w AS pz FROM tob WINDOW w AS (PARTITION BY venue, symbol ORDER BY ts, seq))) WHERE code IS NOT NULL)
 """
 
 
@@ -240,6 +240,28 @@ def time_to_touch(spark, sf):
     return book.time_to_touch(market.tob(spark, sf), CELL, [0.0, 50.0, 100.0], 0.005, 8 * HOUR, 5)
 
 
+@query("time_to_touch_sells", f""", s AS (SELECT venue, symbol, ts, ask, row_number() OVER (PARTITION BY venue, symbol ORDER BY ts, seq) - 1 AS k FROM tob),
+o AS (SELECT *, unnest([0.0, 50.0, 100.0]) AS off FROM s WHERE k % 5 = 0),
+w AS (SELECT o.*, (SELECT min(q.ts) FROM tob q WHERE q.venue = o.venue AND q.symbol = o.symbol AND q.ts > o.ts AND q.ts <= o.ts + {8 * HOUR} AND q.bid >= o.ask + o.off * 0.005) - o.ts AS wait FROM o)
+SELECT off::DOUBLE AS "offset", count(*) AS n, count(wait) AS touched, median(wait) AS wait FROM w GROUP BY off""")
+def time_to_touch_sells(spark, sf):
+    return book.time_to_touch(market.tob(spark, sf), CELL, [0.0, 50.0, 100.0], 0.005, 8 * HOUR, 5, sells=True)
+
+
+@query("lob_event_shares", f"{EV} SELECT venue, symbol, count(*) AS n, count(*) FILTER (WHERE code IN (1, 2)) AS improved, count(*) FILTER (WHERE code IN (-1, -2)) AS worsened, {R('count(*) FILTER (WHERE code IN (1, 2)) / count(*)')} AS improve_share FROM ev GROUP BY ALL")
+def lob_event_shares(spark, sf):
+    e = book.event_shares(book.book_events(market.tob(spark, sf), CELL), CELL)
+    return e.select(*CELL, "n", "improved", "worsened", r6(F.col("improve_share")).alias("improve_share"))
+
+
+@query("lob_event_intensity", f"""{EV}, eb AS (SELECT venue, symbol, min(ts) AS lo, unnest(range(((max(ts) - min(ts)) // {12 * HOUR})::BIGINT)) AS bar FROM ev GROUP BY venue, symbol), ec AS (SELECT e.venue, e.symbol, (e.ts - x.lo) // {12 * HOUR} AS bar, count(*) AS n FROM ev e JOIN (SELECT venue, symbol, min(ts) AS lo FROM ev GROUP BY ALL) x USING (venue, symbol) GROUP BY ALL),
+ef AS (SELECT b.venue, b.symbol, b.bar, coalesce(n, 0)::DOUBLE AS n FROM eb b LEFT JOIN ec USING (venue, symbol, bar)), eg AS (SELECT *, lag(n) OVER (PARTITION BY venue, symbol ORDER BY bar) AS l FROM ef)
+SELECT venue, symbol, count(*) AS bars, {R(f"avg(n) / {12 * 3600.0} * 1e3")} AS rate, {R("corr(n, l)")} AS acf1 FROM eg GROUP BY ALL""")
+def lob_event_intensity(spark, sf):
+    i = flow.intensity(book.book_events(market.tob(spark, sf), CELL), CELL, 12 * HOUR)
+    return i.select(*CELL, "bars", r6(F.col("rate") * 1e3).alias("rate"), r6(F.col("acf1")).alias("acf1"))
+
+
 @query("l2_depth_moments", f"SELECT side, level, count(*) AS n, {R('avg(qty)')} AS mean FROM l2 WHERE level < 5 GROUP BY ALL")
 def l2_depth_moments(spark, sf):
     out = book.depth_moments(market.l2(spark, sf))

@@ -235,6 +235,18 @@ def huang_stoll(spark, sf):
     return out.select(*CELL, "n", *(r6(F.col(c)).alias(c) for c in ("reversal", "lambda", "traded_share")))
 
 
+@query("spread_components", f""", a AS (SELECT t.venue, t.symbol, t.ts, t.seq, t.px, t.side, q.mid FROM {ASOF}), d AS (SELECT venue, symbol, px - lag(px) OVER {W} AS y, mid - lag(mid) OVER {W} AS m, side AS a0, lag(side) OVER {W} AS a1, lag(side, 2) OVER {W} AS a2 FROM a),
+s AS (SELECT venue, symbol, count(*) AS n, avg((a0 <> a1)::INT) AS p, sum(a0 * a0) AS s00, sum(a0 * a1) AS s01, sum(a0 * a2) AS s02, sum(a1 * a1) AS s11, sum(a1 * a2) AS s12, sum(a2 * a2) AS s22, sum(y * a0) AS y0, sum(y * a1) AS y1, sum(y * a2) AS y2, sum(m * a2) AS m2 FROM d WHERE y IS NOT NULL AND m IS NOT NULL AND a2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 8),
+e AS (SELECT *, s00 * (s11 * s22 - s12 * s12) - s01 * (s01 * s22 - s12 * s02) + s02 * (s01 * s12 - s11 * s02) AS det, ((y0 * s11 - y1 * s01) + (y1 * s00 - y0 * s01)) / (s00 * s11 - s01 * s01) / 0.01 AS l FROM s),
+f AS (SELECT *, (s00 * (y1 * s22 - y2 * s12) - y0 * (s01 * s22 - s12 * s02) + s02 * (s01 * y2 - y1 * s02)) / det / 0.01 AS c1, (s00 * (s11 * y2 - s12 * y1) - s01 * (s01 * y2 - y1 * s02) + y0 * (s01 * s12 - s11 * s02)) / det / 0.01 AS c2, -(m2 / 0.01 - l * s12) / ((1 - 2 * p) * s22) AS raw FROM e),
+g AS (SELECT *, -c2 / nullif(1 - 2 * p, 0) AS adv, CASE WHEN l <= 0 THEN raw ELSE least(greatest(raw, 0), l) END AS radv FROM f)
+SELECT venue, symbol, n, {R("p")} AS reversal, {R("l")} AS lambda_ab, {R("adv")} AS adverse, {R("c1 + 1 - adv")} AS inventory, {R("radv")} AS restricted_adverse, {R("l - radv")} AS restricted_inventory FROM g""")
+def spread_components(spark, sf):
+    rows = asof(market.tape(spark, sf), market.tob(spark, sf), CELL, ["mid"])
+    out = flow.spread_components(rows, CELL, 0.01, 8)
+    return out.select(*CELL, "n", *(r6(F.col(c)).alias(c) for c in ("reversal", "lambda_ab", "adverse", "inventory", "restricted_adverse", "restricted_inventory")))
+
+
 @query("next_mid_change", f""", ch AS (SELECT * FROM (SELECT *, lag(mid) OVER {W} AS was FROM tob) WHERE mid <> was), n0 AS (SELECT t.*, q.mid FROM {ASOF}),
 n1 AS (SELECT n.venue, n.side, n.mid, CASE WHEN c.ts - n.ts <= {4 * HOUR} THEN c.mid END AS next_mid FROM n0 n ASOF LEFT JOIN ch c ON n.venue = c.venue AND n.symbol = c.symbol AND n.ts < c.ts)
 SELECT venue, count(next_mid) AS n, {R("avg(side * (next_mid - mid))")} AS move FROM n1 GROUP BY venue""")

@@ -370,3 +370,25 @@ def test_survival_pauses_and_policies_by_hand(spark):
     assert rows(decisions.in_pause(own, pauses, ["k"], "run"), "run", "paused") == [(1, False), (2, True), (3, False)]
     acts = decisions.event_actions(events.withColumn("nested", F.col("run") == 1), F.col("nested"))
     assert rows(acts, "run", "kind", "size_mult", "pull", "action") == [(1, "ladder_fire", 0.0, True, "nest_hard_pause"), (2, "ladder_fire", 0.0, True, "halt_aggressive"), (3, "ladder_observe", 1.0, False, "observe")]
+
+
+def test_fire_pause_clock_of_one_event(spark):
+    """400 prints a second apart and one firing event at 50 s: sizes are full before it, nothing for five
+    minutes from it on, and full again after that."""
+    from tapeloom.operators import decisions
+
+    prints = spark.range(400).select(F.lit("a").alias("k"), (F.col("id") * 1_000_000).alias("ts"), F.col("id").alias("seq"))
+    events = spark.createDataFrame([("a", 1, 50_000_000, "widen")], "k string, run long, end_ts long, tier string")
+    clock = decisions.in_pause(prints, decisions.fire_pauses(events, 300_000_000), ["k"])
+    size = {r["seq"]: 0.0 if r["paused"] else 1.0 for r in clock.collect()}
+    assert [size[t] for t in (10, 49, 50, 80, 349, 350, 360)] == [1.0, 1.0, 0.0, 0.0, 0.0, 1.0, 1.0]
+
+
+def test_book_events_by_hand(spark):
+    from tapeloom.operators import book
+
+    q = [(10.0, 11.0, 5.0, 5.0), (10.1, 11.0, 5.0, 5.0), (10.1, 11.0, 5.25, 5.0), (10.1, 11.0, 5.25, 5.1), (10.1, 10.9, 5.25, 5.1), (10.1, 10.9, 5.25, 4.0), (10.0, 11.0, 9.0, 9.0), (10.0, 11.0, 9.0, 9.0)]
+    tob = spark.createDataFrame([("a", i, i, *x) for i, x in enumerate(q)], "k string, ts long, seq long, bid double, ask double, bid_sz double, ask_sz double")
+    e = book.book_events(tob, ["k"])
+    assert rows(e, "ts", "code") == [(1, 1), (2, 3), (4, 2), (5, -4), (6, -1)]
+    assert rows(book.event_shares(e, ["k"]), "n", "improved", "worsened") == [(5, 2, 1)]
