@@ -1,21 +1,23 @@
 """Toxicity by the nearest labelled examples.
 
-Examples are a bounded sample of labelled documents. The vector space is TF-IDF over all terms of the
-examples, with document frequencies over the whole corpus; a term weighs more, never less, the surer
-it is more frequent in toxic examples (by log-likelihood ratio). Terms of no example count in a
-document's norm. An inverted index of the examples keeps, for each term and block of examples that
-has it, the largest weight; a query visits blocks by their bound and stops when no block can hold a nearer
-example, so the k nearest by cosine are exact. Distance-weighted votes are calibrated by isotonic
-regression on the examples' own votes, each without itself. Every document is scored on its whole
-text, in one pass that turns texts to short vectors; only the index, of bounded size, is broadcast.
+Examples are a bounded sample of labelled documents, taken by their texts. The vector space is TF-IDF
+over all terms of the examples, with document frequencies over the whole corpus; a term weighs more,
+never less, the surer it is more frequent in toxic examples (by log-likelihood ratio). Terms of no
+example count in a document's norm. Examples of equal vectors are one, with the share of them that is
+toxic as its label. An inverted index holds the examples' postings; those of a common term are cut
+into blocks of examples, with the largest weight of each. A query sums its rarer terms, bounds by block
+what its common terms can add, and reads these only where an example may be among the k nearest by
+cosine, so these are exact, ties with the last included. Distance-weighted votes are calibrated by
+isotonic regression on the examples' own votes, each without itself. Every document is scored on its
+whole text; only the index, of bounded size, is broadcast.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -29,10 +31,18 @@ EXAMPLES = 20_000
 #: How much more a term weighs that tells toxic examples from clean ones, and how large twice its
 #: log-likelihood ratio may be by chance (see relevance).
 SURER, CHANCE = 100.0, 10.83
-NEIGHBOURS, BLOCK, SOFT, PRIOR = 15, 64, 0.05, 2.0
+NEIGHBOURS, SOFT = 15, 0.05
+#: Rates are smoothed by so many examples, of which so many in one are toxic.
+PRIOR, RARE = 2.0, 0.1
 REJECT = 0.3
+#: A term that one in COMMON examples has, but not of more weight than its rarity gives, is common.
+#: Examples in a block; those whose cosines a query knows before it bounds the others; cosines that
+#: are nearer to each other than TIE are equal.
+COMMON, BLOCK, FIRST, TIE = 20, 256, 60, 1e-6
 #: Vectors whose neighbours a worker remembers.
-CACHE = 50_000
+CACHE = 20_000
+#: Parts in which document frequencies are summed.
+SEGMENTS = 64
 #: All ASCII but letters and digits stands between terms.
 GAP = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
@@ -60,154 +70,208 @@ def vocabulary(examples: DataFrame) -> np.ndarray:
     return np.sort(found.column(0).to_numpy().view(np.uint64))
 
 
-def relevance(term: np.ndarray, example: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
-    """For each of `size` terms 1, plus what its log-likelihood ratio adds where its rate in toxic
-    examples is above that in clean ones: by the root of twice the ratio above chance for each example,
-    which does not grow with their number. (term, example) are distinct pairs, toxic the examples' labels."""
-    n, t = len(toxic), float(toxic.sum())
-    both = np.bincount(term, minlength=size)
-    a = np.bincount(term, toxic[example], size)
-    b, rate = both - a, both / n
+def relevance(both: np.ndarray, a: np.ndarray, n: int, t: int) -> np.ndarray:
+    """For each term 1, plus what its log-likelihood ratio adds where its rate in toxic examples is above
+    that in clean ones: by the root of twice the ratio above chance for each example, which does not grow
+    with their number. both, a: how many of n examples, and of the t toxic ones, have the term."""
+    b, rate = both - a, both / max(1, n)
 
     def part(seen, expected):
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-300)), 0.0)
 
     ratio = 2 * (part(a, rate * t) + part(b, rate * (n - t)) + part(t - a, (1 - rate) * t) + part(n - t - b, (1 - rate) * (n - t)))
-    return 1 + SURER * np.where(a * (n - t) > b * t, np.sqrt(np.maximum(ratio - CHANCE, 0.0) / n), 0.0)
+    return 1 + SURER * np.where(a * (n - t) > b * t, np.sqrt(np.maximum(ratio - CHANCE, 0.0) / max(1, n)), 0.0)
+
+
+def _counted(column: pa.Array, names: np.ndarray):
+    """For each slice of texts: its first row, the rows that have terms, where each one's terms start
+    (and end), the terms' places in names (len(names): in no example) in the order in which they first
+    occur, and how often each does."""
+    for i, _, rows, terms in _terms(column):
+        if not len(terms):
+            continue
+        where, new = pd.factorize(terms)
+        at = np.full(len(new), len(names))
+        if len(names):
+            place = np.minimum(np.searchsorted(names, new), len(names) - 1)
+            at = np.where(names[place] == new, place, at)
+        code, pairs = pd.factorize(rows.astype(np.int64) * len(new) + where)
+        row, term = np.divmod(pairs, len(new))
+        docs, first = np.unique(row, return_index=True)
+        yield i, docs, np.append(first, len(row)), at[term], np.bincount(code)
 
 
 def _vectors(names):
-    """(id columns ..., text last) to (id columns ..., vector): packed pairs (term, times), where terms
-    of no example are pairs of the term after the last. Texts without a term of an example: empty."""
+    """(doc_id, toxic, text) to (doc_id, toxic, vector): packed pairs (term, times); no terms: empty."""
 
     def run(batches):
-        own = names.value
         for b in batches:
             out = [b""] * b.num_rows
-            for i, _, rows, terms in _terms(b.column(b.num_columns - 1)) if len(own) else ():
-                if not len(terms):
-                    continue
-                new, where = np.unique(terms, return_inverse=True)
-                at = np.minimum(np.searchsorted(own, new), len(own) - 1)
-                at[own[at] != new] = len(own)
-                pairs, times = np.unique(rows.astype(np.int64) * len(new) + where, return_counts=True)
-                row, term = np.divmod(pairs, len(new))
-                vectors = np.stack([at[term], times], axis=1).astype(np.int32)
-                docs, first = np.unique(row, return_index=True)
-                known = np.add.reduceat(vectors[:, 0] < len(own), first, dtype=np.int64)
-                bounds = np.append(first, len(row))
-                for k in np.flatnonzero(known):
-                    out[i + docs[k]] = vectors[bounds[k] : bounds[k + 1]].tobytes()
-            yield pa.record_batch([*b.columns[:-1], pa.array(out, pa.binary())], names=[*b.schema.names[:-1], "vector"])
+            for i, docs, bounds, term, times in _counted(b.column(2), names.value) if len(names.value) else ():
+                pairs = np.stack([term, times], axis=1).astype(np.int32)
+                for k, doc in enumerate(docs.tolist()):
+                    own = pairs[bounds[k] : bounds[k + 1]]
+                    out[i + doc] = own[np.argsort(own[:, 0])].tobytes()  # equal vectors are equal bytes
+            yield pa.record_batch([*b.columns[:2], pa.array(out, pa.binary())], names=["doc_id", "toxic", "vector"])
 
     return run
 
 
-def _frequencies(size: int):
-    schema = pa.schema([("term", pa.int32()), ("n", pa.int64())])
+def frequencies(docs: DataFrame, names) -> tuple[int, np.ndarray]:
+    """(documents, how many of them have each term): a task sends its counts in SEGMENTS parts."""
+    size = len(names.value)
+    width = -(-size // SEGMENTS)
+    schema = pa.schema([("segment", pa.int32()), ("docs", pa.int64()), ("counts", pa.binary())])
 
-    def run(batches):
-        seen = np.zeros(size, np.int64)
+    def count(batches):
+        seen, n = np.zeros(width * SEGMENTS, np.int64), 0
         for b in batches:
-            joined = b"".join(x.as_py() for x in b.column(0))
-            seen += np.bincount(np.frombuffer(joined, np.int32)[::2], minlength=size + 1)[:size]
-        hit = np.flatnonzero(seen)
-        yield batch(schema, hit, seen[hit])
+            n += b.num_rows
+            for *_, term, _ in _counted(b.column(0), names.value):
+                seen += np.bincount(term[term < size], minlength=len(seen))
+        yield batch(schema, range(SEGMENTS), [n] * SEGMENTS, [part.astype(np.uint32).tobytes() for part in seen.reshape(SEGMENTS, width)])
 
-    return run
+    def merge(batches):
+        total: dict[int, list] = {}
+        for b in batches:
+            for k, n, data in zip(*(c.to_pylist() for c in b.columns)):
+                old = total.setdefault(k, [0, np.zeros(width, np.int64)])
+                old[0] += n
+                old[1] += np.frombuffer(data, np.uint32)
+        yield batch(schema, list(total), [n for n, _ in total.values()], [m.tobytes() for _, m in total.values()])
 
+    kind = "segment int, docs long, counts binary"
+    rows = docs.select("text").mapInArrow(count, kind).repartition(16, "segment").mapInArrow(merge, kind).collect()
+    seen = np.zeros((SEGMENTS, width), np.int64)
+    for r in rows:
+        seen[r["segment"]] = np.frombuffer(r["counts"], np.int64)
+    return max((r["docs"] for r in rows), default=0), seen.ravel()[:size]
 
-def _spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of all intervals [start, end), one after the other, and how many each has."""
-    n = end - start
-    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum()), n
+
+def _digest(vector: np.ndarray) -> bytes:
+    return hashlib.blake2b(vector.tobytes(), digest_size=16).digest()
 
 
 class Index:
-    """A block-max inverted index of weighted examples; small enough to broadcast."""
-
-    def __init__(self, idf: np.ndarray, ids: list[int], vectors: list[bytes], toxic: list[int]):
-        self.idf, self.zero = idf, [(t) for v, t in zip(vectors, toxic) if not v]
-        own = [(i, *self.weigh(v), t) for i, v, t in zip(ids, vectors, toxic) if v]
-        own.sort(key=lambda x: (tuple(x[1][np.argsort(-x[2], kind="stable")[:16]]), x[0]))  # like vectors share blocks
-        self.ids, self.toxic = np.array([x[0] for x in own], np.int64), np.array([x[3] for x in own], float)
-        self.base = (sum(toxic) + 1) / (len(toxic) + 2)
-        self.clean = (sum(self.zero) + PRIOR * self.base) / (len(self.zero) + PRIOR)
-        example = np.repeat(np.arange(len(own)), [len(x[1]) for x in own])
-        term = np.concatenate([x[1] for x in own] or [np.zeros(0, np.int64)])
-        weight = np.concatenate([x[2] for x in own] or [np.zeros(0)])
-        order = np.lexsort((example, term))
-        self.example, self.weight = example[order].astype(np.int32), weight[order].astype(np.float32)
-        self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        self.blocks = -(-len(own) // BLOCK)
-        self._bound()
+    """A block-max inverted index of weighted examples; small enough to broadcast.
+
+    idf: the weight of each term, and of terms of no example at the end; surer: whether it has more
+    than its rarity gives. Vectors are packed pairs (term, times), empty for an example without terms."""
+
+    def __init__(self, idf: np.ndarray, surer: np.ndarray, examples: pa.Table):
+        """examples: doc_id, toxic, vector."""
+        self.idf = idf
+        ids, toxic = (np.asarray(examples.column(k).to_numpy()) for k in (0, 1))
+        size = np.asarray(pc.binary_length(examples.column(2)).to_numpy()) // 8
+        vectors = [np.frombuffer(v.as_buffer(), np.int32) for chunk in examples.column(2).chunks for v in chunk]
+        self.base = (int(toxic.sum()) + PRIOR * RARE) / (len(toxic) + PRIOR)
+        none = toxic[size == 0]
+        self.clean = (int(none.sum()) + PRIOR * self.base) / (len(none) + PRIOR)
+        classes: dict[bytes, list] = {}
+        for k in np.flatnonzero(size):
+            own = classes.setdefault(_digest(vectors[k]), [int(ids[k]), 0, 0, k])
+            own[0], own[1], own[2] = min(own[0], int(ids[k])), own[1] + 1, own[2] + int(toxic[k])
+        # like norms share blocks; nothing depends on doc_ids
+        own = sorted((float(np.linalg.norm(self._raw(vectors[c[3]])[1])), name) for name, c in classes.items())
+        n, total = len(own), sum(int(size[classes[name][3]]) for _, name in own)
+        self.ids = np.array([classes[name][0] for _, name in own], np.int64)
+        self.toxic = np.array([classes[name][2] / classes[name][1] for _, name in own])
+        self.place = {name: k for k, (_, name) in enumerate(own)}
+        term, weight, example = np.empty(total, np.int32), np.empty(total, np.float32), np.empty(total, np.uint16 if n <= 1 << 16 else np.uint32)
+        end = 0
+        for k, (norm, name) in enumerate(own):
+            t, w = self._raw(vectors[classes[name][3]])
+            at, end = slice(end, end + len(t)), end + len(t)
+            term[at], weight[at], example[at] = t, w / norm, k
+        order = np.argsort(term, kind="stable")
+        self.first = np.searchsorted(term, np.arange(len(idf) + 1), sorter=order)
+        self.example, self.weight = example[order], weight[order]
+        self.is_common = (np.diff(self.first) * COMMON > max(n, BLOCK)) & ~np.append(surer, True)
+        self.rows, self.cache = None, {}
 
     def _bound(self) -> None:
-        """An entry for each term and block that has it: block, largest weight, where its postings start."""
-        term, blocks = np.repeat(np.arange(len(self.idf)), np.diff(self.first)), max(1, self.blocks)
-        keys, start = np.unique(term * blocks + self.example // BLOCK, return_index=True)
-        self.block, self.start = (keys % blocks).astype(np.int32), np.append(start, len(term)).astype(np.int32)
-        self.most = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0, np.float32)
-        self.entries, self.cache = np.searchsorted(keys, np.arange(len(self.idf) + 1) * blocks), {}
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("block", "start", "most", "entries", "cache")}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self._bound()
-
-    def weigh(self, vector: bytes) -> tuple[np.ndarray, np.ndarray]:
-        term, times = np.frombuffer(vector, np.int32).astype(np.int64).reshape(-1, 2).T
-        w = (1 + np.log(times)) * self.idf[term]
+        """The common terms' weights, a row an example, and the largest of each block; made where used."""
+        n, common = len(self.ids), np.flatnonzero(self.is_common)
+        self.column = np.full(len(self.idf), -1)
+        self.column[common] = np.arange(len(common))
+        self.rows = np.zeros((n, len(common)), np.float32)
+        for k, t in enumerate(common.tolist()):
+            at = slice(self.first[t], self.first[t + 1])
+            self.rows[self.example[at], k] = self.weight[at]
+        start = np.arange(0, n, BLOCK)
+        self.most = np.maximum.reduceat(self.rows, start, axis=0) if n else np.zeros((0, len(common)), np.float32)
+        self.sizes = np.diff(np.append(start, n))
+        self.rest = np.linalg.norm(self.rows, axis=1)
+
+    def _raw(self, vector: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        term, times = vector.reshape(-1, 2).T
+        return term, (1 + np.log(times)) * self.idf[term]
+
+    def weigh(self, vector: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        term, w = self._raw(vector)
         return term, w / np.linalg.norm(w)
 
-    def nearest(self, vector: bytes, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest; ties go to the smaller place in the index."""
-        term, w = self.weigh(vector)
-        entry, n = _spans(self.entries[term], self.entries[term + 1])
-        w, block = np.repeat(w, n), self.block[entry]
-        bound = np.bincount(block, self.most[entry] * w, self.blocks) * (1 + 1e-12)  # sums in another order
-        order = np.argsort(-bound, kind="stable")
-        best, score, done = np.zeros(0, np.int64), np.zeros(0), 0
-        while done < len(order):
-            # a few blocks, then four times as many as so far, of those that can hold a nearer example
-            blocks = order[done : done + max(4, 4 * done)]
-            done += len(blocks)
-            blocks = blocks[bound[blocks] > 0] if len(score) < NEIGHBOURS else blocks[bound[blocks] >= score[-1]]
-            if not len(blocks):
-                break
-            now = np.zeros(self.blocks, bool)
-            now[blocks] = True
-            hit = np.flatnonzero(now[block])
-            at, n = _spans(self.start[entry[hit]], self.start[entry[hit] + 1])
-            dots = np.bincount(self.example[at], self.weight[at] * np.repeat(w[hit], n))
-            at = np.flatnonzero(dots)
-            if without is not None:
-                at = at[self.ids[at] != without]
-            best, score = np.concatenate([best, at]), np.concatenate([score, dots[at]])
-            top = np.lexsort((best, -score))[:NEIGHBOURS]
-            best, score = best[top], score[top]
-        return best, np.minimum(score, 1.0)
+    def _sums(self, term: np.ndarray, w: np.ndarray) -> np.ndarray:
+        start, end = self.first[term], self.first[term + 1]
+        spans = list(map(slice, start.tolist(), end.tolist()))
+        if not spans:
+            return np.zeros(len(self.ids))
+        at, weight = np.concatenate([self.example[x] for x in spans]), np.concatenate([self.weight[x] for x in spans])
+        weight *= np.repeat(w.astype(np.float32), end - start)
+        return np.bincount(at, weight, len(self.ids))
+
+    def nearest(self, term: np.ndarray, w: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the k nearest, and of all that tie with the last."""
+        if self.rows is None:
+            self._bound()
+        column = self.column[term]
+        common = column >= 0
+        dots = self._sums(term[~common], w[~common])
+        if without is not None:
+            dots[without] = -2.0
+        at = None
+        if common.any():
+            rest = np.zeros(self.rows.shape[1], np.float32)
+            rest[column[common]] = w[common]
+            first = np.argpartition(dots, max(0, len(dots) - FIRST))[-FIRST:]
+            known = dots[first] + self.rows[first] @ rest
+            least = np.partition(known, -NEIGHBOURS)[-NEIGHBOURS] if len(known) >= NEIGHBOURS else 0.0
+            most = np.minimum(np.repeat(self.most @ rest, self.sizes), np.linalg.norm(rest) * self.rest)
+            most += dots
+            at = np.flatnonzero(most >= max(least, 0.0) - TIE)
+            for s in range(0, len(at), 4096):
+                part = at[s : s + 4096]
+                dots[part] += self.rows[part] @ rest
+        at = np.flatnonzero(dots > 0) if at is None else at[dots[at] > 0]
+        score = dots[at]
+        if len(at) > NEIGHBOURS:
+            keep = score >= np.partition(score, -NEIGHBOURS)[-NEIGHBOURS] - TIE
+            at, score = at[keep], score[keep]
+        order = np.lexsort((at, -score))
+        return at[order], np.minimum(score[order], 1.0)
 
     def vote(self, best: np.ndarray, score: np.ndarray) -> float:
         w = 1 / (1 - score + SOFT)
         return float((w @ self.toxic[best] + PRIOR * self.base) / (w.sum() + PRIOR))
 
-    def score(self, vector: bytes, knots: np.ndarray | None) -> tuple[float, list[tuple[int, float, int]]]:
-        """(score, evidence): evidence holds each neighbour's doc_id, cosine and label."""
-        if not vector or not len(self.ids):
-            return self.clean, []
-        key = hashlib.sha256(vector).digest()
+    def own_vote(self, vector: np.ndarray) -> float:
+        """An example's vote without itself and its equals."""
+        return self.vote(*self.nearest(*self.weigh(vector), self.place[_digest(vector)]))
+
+    def score(self, term: np.ndarray, times: np.ndarray, knots: np.ndarray | None) -> tuple[float, np.ndarray, np.ndarray]:
+        """(score, neighbours, cosines) of a text's terms; terms of no example come last in idf."""
+        known = term < len(self.idf) - 1
+        if not known.any() or not len(self.ids):
+            return self.clean, np.zeros(0, np.int64), np.zeros(0)
+        key = _digest(np.stack([term, times]))
         if key not in self.cache:
-            best, score = self.nearest(vector)
+            w = (1 + np.log(times)) * self.idf[term]
+            best, score = self.nearest(term[known], w[known] / np.linalg.norm(w))
             raw = self.vote(best, score)
-            value = raw if knots is None else float(np.interp(raw, *knots))
             if len(self.cache) >= CACHE:
                 self.cache.clear()
-            self.cache[key] = value, best, score
-        value, best, score = self.cache[key]
-        return value, [(int(self.ids[i]), float(s), int(self.toxic[i])) for i, s in zip(best, score)]
+            self.cache[key] = raw if knots is None else float(np.interp(raw, *knots)), best, score
+        return self.cache[key]
 
 
 def calibration(votes: list[tuple[float, int]], base: float) -> np.ndarray | None:
@@ -221,8 +285,9 @@ def calibration(votes: list[tuple[float, int]], base: float) -> np.ndarray | Non
     return np.array([[(lo + hi) / 2, (t + base) / (n + 1)] for lo, hi, t, n in pools]).T if pools else None
 
 
-EVIDENCE = "array<struct<doc_id:bigint,cosine:double,toxic:int>>"
-_EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+#: toxic: of the examples that share the neighbour's vector, the share that is.
+EVIDENCE = "array<struct<doc_id:bigint,cosine:double,toxic:double>>"
+_EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.float64())]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -235,51 +300,58 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most_examples: int = EXAM
     Learned from rows of labels whose crc32(doc_id) mod 4 is not 2; null labels are none, and of a
     doc_id's labels the largest counts. The score uses the text alone. Null and empty texts, and texts
     without a known term, score as such examples do. With no labels, or of one kind, every score is
-    the labels' smoothed rate. A null doc_id is scored and not held out. Other columns are not read, but for the long `row`, if named, which each
-    row of docs keeps."""
+    the labels' smoothed rate. A null doc_id is scored and not held out. Other columns are not
+    read, but for the long `row`, if named, which each row of docs keeps. Evidence: the neighbours'
+    smallest doc_ids, cosines and shares of toxic examples."""
     spark = docs.sparkSession
     own_row = (F.col(row) if row else F.lit(None)).cast("long").alias("_row")
     docs = docs.select(own_row, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
-    known = table(known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    share = min(1.0, most_examples / max(1, known.count()))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-    # the sample is bounded by most_examples rows of two numbers
+    known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # of equal texts, one example: copies would make any of their words stand out
-    text = F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_text")
-    examples = table(docs.join(F.broadcast(sample), "doc_id").groupBy(text).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"), F.max("toxic").alias("toxic")).drop("_text"))
-    names = vocabulary(examples)
-    shared = spark.sparkContext.broadcast(names)
-    vectors = table(docs.select("_row", "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_vectors(shared), "_row long, doc_id long, held_out boolean, vector binary"))
-    total, seen = max(1, vectors.count()), np.zeros(len(names), np.int64)
-    if len(names):
-        counts = vectors.where("length(vector) > 0").select("vector").mapInArrow(_frequencies(len(names)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-        seen[counts.column(0).to_numpy()] = counts.column(1).to_numpy()
-    known = table(examples.select("doc_id", "toxic", "text").mapInArrow(_vectors(shared), "doc_id long, toxic int, vector binary"))
-    own = known.toArrow()
-    own_vectors, toxic = own.column(2).to_pylist(), own.column(1).to_numpy()
-    terms = np.frombuffer(b"".join(own_vectors), np.int32)[::2]
-    extra = relevance(terms, np.repeat(np.arange(len(toxic)), [len(v) // 8 for v in own_vectors]), toxic, len(names)) if len(names) else np.zeros(0)
+    name = F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("name")
+    named = table(docs.select("doc_id", name).join(known, "doc_id").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")))
+    share = min(1.0, most_examples / max(1, named.count()))
+    # by the text's digest; the sample is bounded by most_examples rows of a digest and two numbers
+    sample = named.where(F.conv(F.substring("name", 1, 8), 16, 10).cast("long") < int(share * (1 << 32)))
+    found = docs.select("doc_id", "text", name).join(F.broadcast(sample), ["doc_id", "name"])
+    examples = table(found.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("toxic").alias("toxic"), F.first("text").alias("text")).drop("name"))
+    names = spark.sparkContext.broadcast(vocabulary(examples))
+    size = len(names.value)
+    total, seen = frequencies(docs, names) if size else (0, np.zeros(0, np.int64))
+    (n, both), (t, bad) = (frequencies(x, names) if size else (0, seen) for x in (examples, examples.where("toxic = 1")))
+    extra = relevance(both, bad, n, t)
+    known = table(examples.select("doc_id", "toxic", "text").mapInArrow(_vectors(names), "doc_id long, toxic int, vector binary"))
     # the term after the last stands for each that no example has: as rare as can be, and no surer
     idf = np.append((np.log((total + 1) / (seen + 1)) + 1) * extra, np.log(total + 1) + 1)
-    held = spark.sparkContext.broadcast(Index(idf, own.column(0).to_pylist(), own_vectors, toxic.tolist()))
+    index = Index(idf, extra > 1, known.toArrow())
+    base, held = index.base, spark.sparkContext.broadcast(index)
+    del index
 
     def vote(batches):
         schema = pa.schema([("vote", pa.float64()), ("toxic", pa.int32())])
         for b in batches:
-            yield batch(schema, [held.value.vote(*held.value.nearest(v.as_py(), i)) for i, v in zip(b.column(0).to_pylist(), b.column(2))], b.column(1))
+            yield batch(schema, [held.value.own_vote(np.frombuffer(v.as_buffer(), np.int32)) for v in b.column(2)], b.column(1))
 
-    votes = known.where("length(vector) > 0").repartition(32, "doc_id").mapInArrow(vote, "vote double, toxic int").collect()
-    knots = calibration([(r["vote"], r["toxic"]) for r in votes], held.value.base)
+    votes = known.where("length(vector) > 0").repartition(32, "doc_id").mapInArrow(vote, "vote double, toxic int").collect() if size else []
+    knots = calibration([(r["vote"], r["toxic"]) for r in votes], base)
 
     def run(batches):
         schema = pa.schema([("_row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("evidence", _EVIDENCE)])
         for b in batches:
-            found = [held.value.score(v.as_py(), knots) for v in b.column(3)]
-            evidence = [[{"doc_id": i, "cosine": c, "toxic": t} for i, c, t in e] for _, e in found]
-            yield batch(schema, b.column(0), b.column(1), b.column(2), [s for s, _ in found], evidence)
-
-    scored = vectors.mapInArrow(run, f"_row long, doc_id long, held_out boolean, score double, evidence {EVIDENCE}")
+            index, none = held.value, np.zeros(0, np.int64)
+            scores, found = np.full(b.num_rows, index.clean), [(none, np.zeros(0))] * b.num_rows
+            for i, rows, bounds, term, times in _counted(b.column(3), names.value):
+                for k, doc in enumerate(rows.tolist()):
+                    at = slice(bounds[k], bounds[k + 1])
+                    scores[i + doc], *found[i + doc] = index.score(term[at], times[at], knots)
+            best, cosine = (np.concatenate([none, *x]) for x in zip(*found)) if found else (none, none)
+            evidence = pa.StructArray.from_arrays([pa.array(index.ids[best.astype(np.int64)]), pa.array(cosine, pa.float64()), pa.array(index.toxic[best.astype(np.int64)])], fields=list(_EVIDENCE.value_type))
+            ends = np.concatenate([[0], np.cumsum([len(x) for x, _ in found])]).astype(np.int32)
+            yield batch(schema, b.column(0), b.column(1), b.column(2), scores, pa.ListArray.from_arrays(ends, evidence, type=_EVIDENCE))
+
+    rows = docs.select("_row", "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    scored = rows.mapInArrow(run, f"_row long, doc_id long, held_out boolean, score double, evidence {EVIDENCE}")
     return scored.select(*([F.col("_row").alias(row)] if row else []), "doc_id", "held_out", "score", (F.col("score") >= REJECT).cast("int").alias("predicted"), "evidence")
 
 

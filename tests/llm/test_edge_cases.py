@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,19 @@ def test_lines(spark):
     assert [(got[i]["text"], got[i]["n_lines"], got[i]["n_dropped"]) for i in (1, 2, 3, 4, 5, None)] == [("own", 3, 2), ("own", 2, 1), (LINE, 1, 0), ("short\nshort", 2, 0), ("", 1, 0), (LINE, 1, 0)]
 
 
+def test_filters_of_fewer_segments_than_shards(spark, monkeypatch):
+    """Shards that share a segment, and a filter of few bits, change no result."""
+    monkeypatch.setattr(common, "SEGMENTS", 4)
+    monkeypatch.setattr(line_dedup, "TWICE_BITS", 1 << 10)
+    monkeypatch.setattr(substring_dedup, "ANCHOR_BITS", 1 << 10)
+    shared = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, f"{LINE}\nown line of document number {i}\n{shared} own{i}") for i in range(50)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(d).collect()}
+    assert lines == {i: int(i < 49) for i in range(50)}
+    assert {r["n_removed"] for r in substring_dedup.dedup_substrings(d).collect()} == {40}
+
+
 def test_exact_index_inserts_deletes_and_resizes(spark):
     n = 3000
     docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % (n - 1)).cast("string")).alias("text"))
@@ -59,6 +73,26 @@ def test_exact_index_inserts_deletes_and_resizes(spark):
     assert fewer.lookup(docs.where("doc_id = 5")).first()["keep_id"] is None
     again = fewer.insert(docs.where("doc_id IN (0, 5)"))
     assert live(again) == live(index)
+    assert {r["keep_id"] for r in again.compact().lookup(docs.where("doc_id IN (0, 5, 7)")).collect()} == {0, 5, 7}
+
+
+def test_exact_index_reads_stored_rows_on_hits_only(spark):
+    """New texts miss the filters, but for a few false hits, and a full filter is made anew."""
+    make = lambda a, b: spark.range(a, b).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    index = exact_dedup.build_index(make(0, 3000))
+    added = exact_dedup._digests(make(3000, 9000), index.buckets).select("bucket", "digest", "doc_id").mapInArrow(exact_dedup._pre_aggregated, exact_dedup.ROW)
+    kinds = {r["kind"]: r["count"] for r in index._run(added).groupBy("kind").count().collect()}
+    assert kinds[exact_dedup.NEW] + kinds.get(exact_dedup.HIT, 0) == 6000 and kinds.get(exact_dedup.FULL)
+    few = exact_dedup._digests(make(3000, 3400), index.buckets).select("bucket", "digest", "doc_id").mapInArrow(exact_dedup._pre_aggregated, exact_dedup.ROW)
+    kinds = {r["kind"]: r["count"] for r in index._run(few).groupBy("kind").count().collect()}
+    assert kinds[exact_dedup.NEW] >= 395
+    more = index.insert(make(2000, 9000))
+    assert {(r["keep_id"], r["group_size"]) for r in more.live.collect()} == {(i, 2 if 2000 <= i < 3000 else 1) for i in range(9000)}
+    got = {r["doc_id"]: r["keep_id"] for r in more.lookup(make(8990, 9010)).collect()}
+    assert got == {i: i if i < 9000 else None for i in range(8990, 9010)}
+    left = more.delete(spark.range(0, 9000, 2).withColumnRenamed("id", "doc_id"))
+    assert {r["keep_id"] for r in left.live.collect()} == set(range(1, 9000, 2))
+    assert {r["keep_id"] for r in left.lookup(make(0, 50)).collect()} == {None, *range(1, 50, 2)}
 
 
 def test_cuckoo_filter():
@@ -148,6 +182,28 @@ def test_sharding_splits_a_group_of_a_third_of_all_rows(spark):
     assert spread["hot"] <= 12 and (spread[spread.index.str.startswith("g")] > 1).mean() < 0.35
 
 
+def test_sharding_cuts_few_links_and_stops(spark):
+    """Cut edges against all pairs by hand, and against a start by hash; a second run moves nothing more."""
+    rng = random.Random(12)
+    links = [(u, u % 40) for u in range(400)] + [(u, 100 + rng.randrange(6)) for u in range(0, 400, 20)]
+    d = spark.createDataFrame([(u, str(h).encode()) for u, h in links], "uid long, hub binary")
+    sizes = {h: sum(1 for _, x in links if x == h) for _, h in links}
+    sized = d.join(spark.createDataFrame([(str(h).encode(), n) for h, n in sizes.items()], "hub binary, size long"), "hub")
+    placed = sharding.propagate(sized, [50] * 8, sharding.ROUNDS)
+    shard = {r["uid"]: r["shard"] for r in placed.collect()}
+
+    def cut(where):
+        pairs = [(a, b) for a, ha in links for b, hb in links if a < b and ha == hb]
+        return len(pairs), sum(where[a] != where[b] for a, b in pairs)
+
+    got = sharding.cut_edges(placed).first()
+    assert (got["edges"], got["cut"]) == cut(shard)
+    start = {r["uid"]: r["s"] for r in d.select("uid", F.pmod(F.xxhash64("uid"), F.lit(8)).alias("s")).collect()}
+    assert got["cut"] < 0.3 * cut(start)[1]
+    balanced = sharding.balanced_shards(d.select("uid").distinct(), d, 8).toPandas()
+    assert balanced.groupby("shard").size().tolist() == [50] * 8 and cut(dict(zip(balanced.uid, balanced["shard"])))[1] < 0.5 * cut(start)[1]
+
+
 def test_mixing_meets_the_marginals(spark):
     rows = [(i, "w " * (10 + i % 50), ["en", "de", None][i % 3], f"s{i % 7 % 4}") for i in range(600)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("topic", F.when(F.col("doc_id") % 5 == 0, "a").otherwise("b"))
@@ -159,21 +215,43 @@ def test_mixing_meets_the_marginals(spark):
     assert np.allclose((want / want.sum()).sort_values().to_numpy(), (have / have.sum()).sort_values().to_numpy(), rtol=0.02)
 
 
+def test_mixing_to_given_targets(spark):
+    rows = [(i, "w " * (10 + i % 50), ["en", "de", None][i % 3], f"s{i % 7 % 4}") for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("topic", F.when(F.col("doc_id") % 5 == 0, "a").otherwise("b"))
+    targets = {"lang": {"en": 0.5, "": 0.2}, "topic": {"a": 0.4, "b": 0.6}}
+    cells = mixing.rake(mixing.mix(d).groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")), targets=targets).toPandas()
+    share = lambda c: (cells.groupby(c, dropna=False).weight.sum() / cells.weight.sum()).to_dict()
+    lang = {k if isinstance(k, str) else "": v for k, v in share("lang").items()}
+    assert {k: round(v, 6) for k, v in lang.items()} == {"en": 0.5, "": 0.2, "de": 0.3}
+    assert {k: round(v, 6) for k, v in share("topic").items()} == {"a": 0.4, "b": 0.6}
+    want = cells.groupby("source").tokens.sum() ** mixing.LEVEL["source"]
+    assert np.allclose(sorted(want / want.sum()), sorted(share("source").values()), rtol=1e-6)
+    got = mixing.mix(d, budget=0.4, targets=targets).toPandas()
+    assert abs((got.probability * got.tokens).sum() / got.tokens.sum() - 0.4) < 1e-6
+
+
 def test_toxicity_without_labels_and_nearest_is_exact(spark, odd):
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     got = toxicity.score_toxicity(odd, none).collect()
     assert len(got) == len(ODD) and len({r["score"] for r in got}) == 1
     assert toxicity.score_toxicity(odd.limit(0), none).count() == 0
     rng = np.random.default_rng(3)
-    vectors = [np.stack([np.sort(rng.choice(50, k, replace=False)), rng.integers(1, 5, k)], axis=1).astype(np.int32).tobytes() for k in rng.integers(1, 6, 700)]
-    index = toxicity.Index(rng.random(50) + 1, list(range(700)), vectors, rng.integers(0, 2, 700).tolist())
-    full = np.zeros((700, 50))
-    for v, i in zip(vectors, range(700)):
+    sets = [rng.choice(50, k, replace=False) for k in rng.integers(1, 6, 700)] + [np.append(rng.choice(5, 2, replace=False), 50 + k % 40) for k in range(700)]
+    vectors = [np.stack([np.sort(x), rng.integers(1, 5, len(x))], axis=1).astype(np.int32).tobytes() for x in sets]
+    idf = np.append(rng.random(90) + 1, 3.0)
+    index = toxicity.Index(idf, np.zeros(90, bool), pa.table({"doc_id": range(1400), "toxic": rng.integers(0, 2, 1400), "vector": vectors}))
+    assert index.is_common.sum() > 3
+    distinct = sorted((np.frombuffer(v, np.int32) for v in set(vectors)), key=lambda v: index.place[toxicity._digest(v)])
+    full = np.zeros((len(distinct), 90))
+    for i, v in enumerate(distinct):
         t, w = index.weigh(v)
         full[i, t] = w
-    for q in range(0, 700, 50):
-        _, score = index.nearest(vectors[q])
-        assert np.allclose(score, np.sort(np.minimum(full @ full[q], 1))[::-1][:15])
+    for q in range(0, len(distinct), 40):
+        best, score = index.nearest(*index.weigh(distinct[q]))
+        want = np.minimum(full @ full[q], 1)
+        least = np.sort(want)[::-1][14]
+        assert len(best) >= 15 and np.allclose(score, np.sort(want[want >= least - 5e-7])[::-1], atol=1e-5)
+        assert np.allclose(want[best], score, atol=1e-5)
 
 
 def labelled(toxic_share: int):
@@ -209,7 +287,6 @@ def test_toxicity_weighs_all_words(spark):
 
 
 def test_encoder_on_odd_characters():
-    import pyarrow as pa
     from tokenizers import Tokenizer
 
     from tapeloom.llm.texts import slices
@@ -224,9 +301,38 @@ def test_encoder_on_odd_characters():
 
 
 def test_sequences_join_boundary_records(spark):
+    from tokenizers import Tokenizer
+
     docs = spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word and more "), (F.col("id") % 200).cast("int")).alias("text")).repartition(7)
-    records = packing.pack(docs)
-    made = packing.sequences(records).toPandas()
-    total = packing.pieces(records).toPandas().length.sum()
-    assert made.n_tokens.sum() == total and made.sequence_id.is_unique
+    records = packing.records(docs)
+    assert records.where("NOT complete").count() > 7
+    made = packing.pack(docs).toPandas().sort_values("sequence_id")
+    assert made.sequence_id.tolist() == list(range(len(made)))
     assert all(len(x) == 2048 or len(x) & (len(x) - 1) == 0 for x in made.input_ids)
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    ids = {r["doc_id"]: [*t.encode(r["text"], add_special_tokens=False).ids, 1] for r in docs.collect()}
+    stream = [x for row in made.itertuples() for x in row.input_ids[: row.n_tokens]]
+    want = [x for row in made.itertuples() for p in row.pieces for x in ids[p["doc_id"]][p["start"] : p["start"] + p["length"]]]
+    assert stream == want and len(stream) == sum(map(len, ids.values()))
+
+
+def test_packing_with_a_cased_tokenizer():
+    """A tokenizer that tells cases apart, or works across spaces, is given whole texts."""
+    import json
+    import pathlib
+
+    from tokenizers import Tokenizer
+
+    from tapeloom.llm.texts import slices
+
+    path = next((str(p) for p in sorted(pathlib.Path(packing.default_tokenizer()).parent.glob("*.json")) if _cased(json, p)), None)
+    if path is None:
+        pytest.skip("no cased tokenizer here")
+    texts, t = ["The Cat. the cat", "A b\nC", ""], Tokenizer.from_file(path)
+    for i, j, data, offs in slices(pa.array(texts)):
+        assert [np.frombuffer(x, "<u2").tolist() for x in packing.Encoder(path).encode(data, offs)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def _cased(json, path) -> bool:
+    made = json.loads(path.read_text())
+    return "model" in made and "Lowercase" not in json.dumps(made.get("normalizer")) and len(made["model"].get("vocab", ())) <= 1 << 16
