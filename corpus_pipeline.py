@@ -1,70 +1,78 @@
-"""A corpus pipeline of five stages, each one of the operators over all documents it is given."""
+"""A corpus pipeline of five stages, each one of the operators over all documents it is given.
+
+A stage numbers the rows it is given, and decides each by itself: rows that share a doc_id, or have none,
+are rows of their own. Null texts count as empty. An empty table gives an empty table. Columns of documents
+are kept as they are, whatever their names (but for ROW, which no column may have)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import table
+from tapeloom.llm.common import made, release, table
 from tapeloom.llm.exact_dedup import exact_dedup
 from tapeloom.llm.mixing import mix
 from tapeloom.llm.ngram_join import ngram_join
 from tapeloom.llm.packing import pack, pieces
 from tapeloom.llm.toxicity import score_toxicity
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+ROW = "_number_of_the_row"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """docs with a unique number of each row, written so that it stays."""
-    return table(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
+    return table(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def _stay(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows of the numbered docs whose number is in rows, which holds each once."""
-    return docs.join(rows.select("_row"), "_row", "left_semi").select(*COLUMNS)
+    return docs.join(rows.select(ROW), ROW, "left_semi").drop(ROW)
 
 
 def _first(docs: DataFrame, groups: DataFrame, group: str) -> DataFrame:
     """The number of each group's row of the smallest (doc_id, number), null doc_ids last; groups has
     the numbers as doc_id."""
-    ids = docs.select("_row", F.col("doc_id").cast("long").alias("own_id"))
-    order = F.struct(F.col("own_id").isNull().alias("none"), "own_id", "_row")
-    named = groups.select(F.col("doc_id").alias("_row"), F.col(group).alias("_group")).join(ids, "_row")
-    return named.groupBy("_group").agg(F.min(order).alias("first")).select("first._row")
+    ids = docs.select(ROW, F.col("doc_id").cast("long").alias("own_id"))
+    order = F.struct(F.col("own_id").isNull().alias("none"), "own_id", ROW)
+    named = groups.select(F.col("doc_id").alias(ROW), F.col(group).alias("_group")).join(ids, ROW)
+    return named.groupBy("_group").agg(F.min(order).alias("first")).select(f"first.{ROW}")
 
 
 def _by_row(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("_row").alias("doc_id"), "text")
+    return docs.select(F.col(ROW).alias("doc_id"), "text")
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic."""
+    """Documents that are not predicted toxic. Empty texts score as empty examples do; without labels of
+    both kinds all have one score, and stay unless that reaches the mark."""
     docs = _numbered(docs)
-    scored = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), row="_row")
+    scored = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), row=ROW)
     return _stay(docs, scored.where("predicted = 0"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, of the smallest doc_id, of each group of equal texts."""
+    """One row, of the smallest doc_id, of each group of equal texts; of several such rows, the first.
+    Null and empty texts are one group."""
     docs = _numbered(docs)
     return _stay(docs, _first(docs, exact_dedup(_by_row(docs)), "keep_id"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, of the smallest doc_id, of each group of near copies."""
+    """One row, of the smallest doc_id, of each group of near copies. Texts without words are no copies
+    of each other here."""
     docs = _numbered(docs)
     return _stay(docs, _first(docs, ngram_join(_by_row(docs)), "class_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mixture draws."""
+    """The documents that the mixture draws; rows that share a doc_id and a cell are drawn alike."""
     docs = _numbered(docs)
-    return _stay(docs, mix(docs.select("_row", "doc_id", "text", "lang", "source"), row="_row").where("sampled"))
+    own = [c for c in (ROW, "doc_id", "text", "lang", "source", "topic") if c in docs.columns]
+    return _stay(docs, mix(docs.select(*own), row=ROW).where("sampled"))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document in the packed sequences."""
+    """A row for each piece of a document in the packed sequences; an empty text is one token."""
     return pieces(pack(docs))
 
 
@@ -80,9 +88,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages in turn; what a stage leaves is written, and the tables that it made are deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), made()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = table(docs)
+            release(spark, before, keep_last=1)
     return docs
