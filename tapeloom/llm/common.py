@@ -41,16 +41,16 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def made() -> int:
-    """How many tables have been made so far; see release."""
-    return len(_made)
+def tables_made() -> list[str]:
+    """The paths of the tables that have been made and not released."""
+    return list(_made)
 
 
-def release(spark: SparkSession, since: int = 0, keep_last: int = 0) -> None:
-    """Deletes the tables made after the first `since`, but for the last ones; for when results are written."""
-    gone = _made[since : len(_made) - keep_last]
-    del _made[since : since + len(gone)]
-    for name in gone:
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables; for when what was made from them is written."""
+    for name in paths:
+        if name in _made:
+            _made.remove(name)
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
