@@ -2,14 +2,19 @@
 
 A stage numbers the rows it is given, and decides each by itself: rows that share a doc_id, or have none,
 are rows of their own. Null texts count as empty. An empty table gives an empty table. Columns of documents
-are kept as they are, whatever their names (but for ROW, which no column may have)."""
+are kept as they are, whatever their names (but for ROW, which no column may have).
+
+What a stage returns is to be written before the next one is called: as soon as that has numbered and
+written its rows, it deletes the tables that the stage before has made."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import made, release, table
+from tapeloom.llm.common import release, table, tables_made
 from tapeloom.llm.exact_dedup import exact_dedup
 from tapeloom.llm.mixing import mix
 from tapeloom.llm.ngram_join import ngram_join
@@ -17,11 +22,29 @@ from tapeloom.llm.packing import pack, pieces
 from tapeloom.llm.toxicity import score_toxicity
 
 ROW = "_number_of_the_row"
+#: Tables that the stage before has made.
+_left: list[str] = []
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """docs with a unique number of each row, written so that it stays."""
-    return table(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    out = table(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    release(docs.sparkSession, _left)
+    _left.clear()
+    return out
+
+
+def _stage(decide):
+    """A stage whose tables the next one deletes."""
+
+    @functools.wraps(decide)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        before = set(tables_made())
+        out = decide(spark, docs, sf_dir)
+        _left.extend(name for name in tables_made() if name not in before)
+        return out
+
+    return run_stage
 
 
 def _stay(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -42,6 +65,7 @@ def _by_row(docs: DataFrame) -> DataFrame:
     return docs.select(F.col(ROW).alias("doc_id"), "text")
 
 
+@_stage
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic. Empty texts score as empty examples do; without labels of
     both kinds all have one score, and stay unless that reaches the mark."""
@@ -50,6 +74,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return _stay(docs, scored.where("predicted = 0"))
 
 
+@_stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, of the smallest doc_id, of each group of equal texts; of several such rows, the first.
     Null and empty texts are one group."""
@@ -57,6 +82,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _stay(docs, _first(docs, exact_dedup(_by_row(docs)), "keep_id"))
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, of the smallest doc_id, of each group of near copies. Texts without words are no copies
     of each other here."""
@@ -64,6 +90,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _stay(docs, _first(docs, ngram_join(_by_row(docs)), "class_id"))
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mixture draws; rows that share a doc_id and a cell are drawn alike."""
     docs = _numbered(docs)
@@ -71,6 +98,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _stay(docs, mix(docs.select(*own), row=ROW).where("sampled"))
 
 
+@_stage
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document in the packed sequences; an empty text is one token."""
     return pieces(pack(docs))
@@ -88,11 +116,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn; what a stage leaves is written, and the tables that it made are deleted."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), made()
+    """The stages in turn, each on what the one before has left, written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = table(docs)
-            release(spark, before, keep_last=1)
+            release(spark, last)
+            last = tables_made()[-1:]
     return docs
