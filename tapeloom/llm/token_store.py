@@ -24,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,68 +139,46 @@ def _keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), column.is_null().to_numpy(zero_copy_only=False)
 
 
-def _tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, row, ids), written: a row for each document."""
-    schema, end = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("ids", pa.binary())]), np.array([end_id], "<u2").tobytes()
-
-    def run(batches):
-        encoder = Encoder.of(path)
-        for b in batches:
-            for i, j, data, offs in slices(b.column(2), SLICE):
-                yield batch(schema, b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), [x + end for x in encoder.encode(data, offs)])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
-    return table(rows.mapInArrow(run, "doc_id long, row long, ids binary"))
-
-
 WRITTEN = "kind int, doc_id long, shard long, entry long, n long, ids long, name string"
 _WRITTEN = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("shard", pa.int64()), ("entry", pa.int64()), ("n", pa.int64()), ("ids", pa.int64()), ("name", pa.string())])
 SHARD, PLACE = 0, 1
 
 
-def _writer(folder: str):
-    """Writes shard files; gives a row for each shard, and one for each run of a key in a shard."""
-    from pyspark import TaskContext
+def _writer(folder: str, path: str, end_id: int):
+    """Tokenises sorted rows (doc_id, text) and writes shard files; gives a row for each shard, and one for each run
+    of a key in a shard."""
 
     def run(batches):
+        encoder, end = Encoder.of(path), np.array([end_id], "<u2").tobytes()
         store, root = fs.FileSystem.from_uri(folder)
-        part, k, out, ends, at, name = TaskContext.get().partitionId(), 0, None, [], 0, ""
-
-        def open_next():
-            nonlocal out, ends, at, name
-            name, ends, at = f"shard-{part:06d}-{k:06d}-{uuid.uuid4().hex}.ids", [], 0
-            out = store.open_output_stream(f"{root}/{name}")
+        part, k, out, ends, at, docs, name = TaskContext.get().partitionId(), 0, None, [], 0, 0, ""
 
         def close() -> pa.RecordBatch:
-            table_of_ends = np.concatenate(ends)
-            out.write(table_of_ends.tobytes())
-            out.write(struct.pack(FOOTER, len(table_of_ends), at, MAGIC))
+            out.write(np.concatenate(ends).tobytes())
+            out.write(struct.pack(FOOTER, docs, at, MAGIC))
             out.close()
-            return batch(_WRITTEN, [SHARD], [None], [part << 32 | k], [0], [len(table_of_ends)], [at], [name])
+            return batch(_WRITTEN, [SHARD], [None], [part << 32 | k], [0], [docs], [at], [name])
 
-        docs = 0
         for b in batches:
-            done = 0
-            while done < b.num_rows:
-                if out is None:
-                    open_next()
-                    docs = 0
-                ids = b.column(1).slice(done)
-                size = np.array([len(x.as_buffer()) // 2 if x.is_valid else 0 for x in ids], np.int64)
-                sums = at + np.cumsum(size)
-                take = min(SHARD_DOCS - docs, int(np.searchsorted(2 * sums, SHARD_BYTES)) + 1, len(ids))
-                for x in ids.slice(0, take):
-                    out.write(x.as_buffer())
-                keys, none = _keys(b.column(0).slice(done, take))
-                new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (none[1:] != none[:-1])]))
-                count = np.diff(np.append(new, take))
-                own = b.column(0).slice(done, take).take(pa.array(new))
-                yield batch(_WRITTEN, np.full(len(new), PLACE, np.int32), own, np.full(len(new), part << 32 | k), docs + new, count, pa.nulls(len(new), pa.int64()), pa.nulls(len(new), pa.string()))
-                ends.append(sums[:take].astype("<u8"))
-                at, docs, done = int(sums[take - 1]), docs + take, done + take
-                if 2 * at >= SHARD_BYTES or docs >= SHARD_DOCS:
-                    yield close()
-                    out, k = None, k + 1
+            for i, j, data, offs in slices(b.column(1), SLICE):
+                ids, doc_ids, done = [x + end for x in encoder.encode(data, offs)], b.column(0).slice(i, j - i), 0
+                while done < len(ids):
+                    if out is None:
+                        name, ends, at, docs = f"shard-{part:06d}-{k:06d}-{uuid.uuid4().hex}.ids", [], 0, 0
+                        out = store.open_output_stream(f"{root}/{name}")
+                    sums = at + np.cumsum([len(x) // 2 for x in ids[done:]])
+                    take = min(SHARD_DOCS - docs, int(np.searchsorted(2 * sums, SHARD_BYTES)) + 1, len(sums))
+                    out.write(b"".join(ids[done : done + take]))
+                    own = doc_ids.slice(done, take)
+                    keys, none = _keys(own)
+                    new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (none[1:] != none[:-1])]))
+                    nulls = pa.nulls(len(new), pa.int64())
+                    yield batch(_WRITTEN, np.full(len(new), PLACE, np.int32), own.take(pa.array(new)), np.full(len(new), part << 32 | k), docs + new, np.diff(np.append(new, take)), nulls, nulls.cast(pa.string()))
+                    ends.append(sums[:take].astype("<u8"))
+                    at, docs, done = int(sums[take - 1]), docs + take, done + take
+                    if 2 * at >= SHARD_BYTES or docs >= SHARD_DOCS:
+                        yield close()
+                        out, k = None, k + 1
         if out is not None:
             yield close()
 
@@ -349,10 +328,10 @@ def write_store(docs: DataFrame, path: str | None = None, end_id: int = END_ID)
     folder = f"{shared_dir(spark)}/ids-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root)
-    tokens = _tokenised(docs, path or default_tokenizer(), end_id)
     # row parts equal keys, so that a key of a third of all rows is many tasks
-    ordered = tokens.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "ids")
-    written = table(ordered.mapInArrow(_writer(folder), WRITTEN))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    ordered = rows.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
+    written = table(ordered.mapInArrow(_writer(folder, path or default_tokenizer(), end_id), WRITTEN))
     # a row for each 64 MB of ids or million documents
     before = F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("ids")
     shards = table(written.where(f"kind = {SHARD}").select("shard", "name", F.col("n").alias("docs"), "ids", before.alias("base")))
