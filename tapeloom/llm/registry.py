@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tapeloom.llm import chat_format, embedding_dedup, exact_dedup, line_dedup, mixing, ngram_join, packing, sharding, substring_dedup, token_store, toxicity
+from tapeloom.llm import chat_format, embedding_dedup, exact_dedup, line_dedup, mixing, ngram_join, packing, repair, sharding, substring_dedup, token_store, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_ngram_join": ngram_join.op10_ngram_join,
+    "op11_structure_repair": repair.op11_structure_repair,
     "op13_token_store": token_store.op13_token_store,
     "pipeline": corpus_pipeline.run,
 }
@@ -27,4 +28,5 @@ SQL = {
     "op8_substring_dedup": substring_dedup.OP8_SQL,
     "op9_chat_format": chat_format.OP9_SQL,
     "op10_ngram_join": ngram_join.OP10_SQL,
+    "op11_structure_repair": repair.OP11_SQL,
 }
