@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tapeloom.llm import chat_format, embedding_dedup, exact_dedup, line_dedup, mixing, ngram_join, packing, repair, sharding, substring_dedup, token_store, toxicity
+from tapeloom.llm import chat_format, embedding_dedup, exact_dedup, line_dedup, mixing, ngram_join, packing, prefix_trie, repair, sharding, substring_dedup, token_store, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_ngram_join": ngram_join.op10_ngram_join,
     "op11_structure_repair": repair.op11_structure_repair,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_token_store": token_store.op13_token_store,
     "pipeline": corpus_pipeline.run,
 }
@@ -29,4 +30,5 @@ SQL = {
     "op9_chat_format": chat_format.OP9_SQL,
     "op10_ngram_join": ngram_join.OP10_SQL,
     "op11_structure_repair": repair.OP11_SQL,
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
 }
