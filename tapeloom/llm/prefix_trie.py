@@ -63,9 +63,8 @@ def ordinals(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("row", F.monotonically_increasing_id())  # parts equal rows
     counted = table(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "role", "text").mapInArrow(number, "conv_id long, role string, text string, part int, own long"))
     totals = counted.groupBy("conv_id", "part").agg(F.max("own").alias("n"))
-    several = totals.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("part", "n"))).alias("parts")).where("size(parts) > 1")
-    before = several.select("conv_id", F.posexplode("parts").alias("k", "p"), "parts").where("k > 0")
-    before = table(before.select("conv_id", "p.part", F.aggregate(F.slice("parts", 1, F.col("k")), F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("before")))
+    parts = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = table(totals.select("conv_id", "part", F.sum("n").over(parts).alias("before")).where("before IS NOT NULL"))
     return counted.join(before, ["conv_id", "part"], "left").select("conv_id", (F.col("own") + F.coalesce("before", F.lit(0))).alias("d"), "role", "text")
 
 
