@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.stats import div
-from tapeloom.operators.temporal import asof, merge_intervals, range_join
+from tapeloom.operators.temporal import DAY_US, asof, merge_intervals, range_join
 
 #: Quote size left under each tier, and which tiers count as a fire. Fixed values.
 TIER_SIZE = {"observe": 1.0, "widen": 0.5, "size_cap": 0.25, "halt": 0.0}
@@ -209,3 +209,39 @@ def thin_venues(shares: DataFrame, by: list[str]) -> DataFrame:
     own = own.withColumn("_x", F.col("_e") - F.col("_v")).where("_x IS NOT NULL")
     ranked = own.withColumns({"_rv": F.row_number().over(w.orderBy("_v", "venue")), "_rx": F.row_number().over(w.orderBy("_x", "venue"))})
     return ranked.groupBy(*by).agg(F.min_by("venue", F.struct("_v", "venue")).alias("thin"), F.min_by("_x", F.struct("_v", "venue")).alias("thin_excess"), F.when(F.count("*") > 1, F.corr("_rv", "_rx")).alias("rho"))
+
+
+#: How far up the ladder a tier is. Fixed values.
+TIER_RANK = {"observe": 1, "widen": 2, "size_cap": 3, "halt": 4}
+
+
+def event_clock(prints: DataFrame, events: DataFrame, by: list[str], hold: int, pull: int, manage: int, slice_: int = DAY_US) -> DataFrame:
+    """prints with tier, nested, managed, kind, one and two: what events in force at a print say.
+
+    events: end_ts, seq, tier, nested, kind, one, two. From its end on (both ends of a hold count), an event holds its
+    tier for `hold`, its nest for `pull`, and its class (kind, one, two) for `manage`. Of tiers that overlap the highest
+    rules, of classes that of the last event, by end_ts and seq; else tier is none and kind unknown. An event
+    without a known tier is observe; events that end at 0 or before, or never, do not count.
+
+    Prints and events' ends are swept in order of time. A hold has one length, so the latest start of each tier
+    tells whether any is in force: the sweep carries one number a tier, within slices, and from slice to
+    slice a row a slice."""
+    known = F.coalesce(F.when(F.col("tier").isin(*TIER_RANK), F.col("tier")), F.lit("observe"))
+    ends = events.where(F.col("end_ts") > 0).select(*by, F.col("end_ts").alias("_t"), F.col("seq").alias("_s"), known.alias("_tier"), F.coalesce("nested", F.lit(False)).alias("_nested"), F.struct(F.col("end_ts").alias("at"), F.col("seq").alias("seq"), "kind", F.col("one").cast("double").alias("one"), F.col("two").cast("double").alias("two")).alias("_class"))
+    rows = prints.withColumns({"_t": F.col("ts"), "_q": F.lit(1)}).unionByName(ends.withColumn("_q", F.lit(0)), allowMissingColumns=True).withColumn("_slice", F.floor(F.col("_t") / slice_))
+    start = {**{f"_{name}": F.when(F.col("_tier") == name, F.col("_t")) for name in TIER_RANK}, "_nest": F.when(F.col("_nested"), F.col("_t")), "_last": F.col("_class")}
+    w = Window.partitionBy(*by, "_slice").orderBy("_t", "_q", "_s").rowsBetween(Window.unboundedPreceding, 0)
+    swept = rows.withColumns({c: F.max(x).over(w) for c, x in start.items()}).where("_q = 1")
+    into = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(*by, "_slice").agg(*(F.max(x).alias(c) for c, x in start.items())).select(*by, "_slice", *(F.max(c).over(into).alias(f"{c}_in") for c in start))
+    met = swept.join(carried, [*by, "_slice"], "left").withColumns({c: F.coalesce(c, f"{c}_in") for c in start})
+
+    def within(column: str, length: int) -> Column:
+        return F.coalesce(F.col("ts") <= F.col(column) + length, F.lit(False))
+
+    tier = F.lit("none")
+    for name in TIER_RANK:
+        tier = F.when(within(f"_{name}", hold), name).otherwise(tier)
+    managed = within("_last.at", manage)
+    said = {"tier": tier, "nested": within("_nest", pull), "managed": managed, "kind": F.when(managed, F.coalesce("_last.kind", F.lit("unknown"))).otherwise("unknown"), **{c: F.when(managed, F.col(f"_last.{c}")) for c in ("one", "two")}}
+    return met.select(*prints.columns, *(x.alias(c) for c, x in said.items()))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.fold import fold
 from tapeloom.functions.stats import div, log_change
-from tapeloom.operators.temporal import asof, before, forward, grid, range_join, runs
+from tapeloom.operators.clustering import affine_scan
+from tapeloom.operators.temporal import DAY_US, asof, before, forward, grid, nearest, range_join, runs
 
 BPS = 1e4
 
@@ -114,13 +116,10 @@ def least_burst(path: DataFrame, by: list[str]) -> DataFrame:
 
 
 def garch(returns: DataFrame, by: list[str], omega: float, alpha: float, beta: float) -> DataFrame:
-    """by, ts, h: the variance forecast before each return, from the unconditional variance on."""
-    def step(s, ts, r):
-        out = [(ts, s[0])]
-        s[0] = omega + alpha * r * r + beta * s[0]
-        return out
-
-    return fold(returns.where("r IS NOT NULL"), by, ["ts", "seq"], ["ts", "r"], lambda: [omega / (1 - alpha - beta)], step, "ts long, h double")
+    """by, ts, h: the variance forecast before each return, from the unconditional variance on; a scan by days."""
+    r = returns.where("r IS NOT NULL")
+    x = affine_scan(r, by, ["ts", "seq"], F.lit(beta), omega + alpha * F.col("r") * F.col("r"), omega / (1 - alpha - beta), DAY_US)
+    return x.select(*by, "ts", F.col("before").alias("h"))
 
 
 def kalman(rows: DataFrame, by: list[str], process: float, measure: float) -> DataFrame:
@@ -286,3 +285,103 @@ def scale_scan(points: DataFrame, by: list[str], steps: list[int]) -> DataFrame:
     middle = out.groupBy(*by).agg(F.median("tsrv_adj").alias("_m"))
     w = Window.partitionBy(*by).orderBy(F.abs(F.col("tsrv_adj") - F.col("_m")), "step")
     return out.join(middle, by).withColumn("nearest", F.row_number().over(w) == 1).drop("_m")
+
+
+class _Legs:
+    """A key's rows from the start that is tried on, and the extremes of the window behind it: queues of
+    places whose prices fall (rise), so that the first is the least (most) of the window."""
+
+    def __init__(self):
+        self.rows, self.base, self.at, self.seen = deque(), 0, 0, 0  # rows from place base; the start; the window's end
+        self.least, self.most = deque(), deque()
+        self.second = None  # of a second leg that waits for rows: its start, shape, next place, best price so far
+
+    def px(self, i: int) -> float:
+        return self.rows[i - self.base][2]
+
+    def ts(self, i: int) -> int:
+        return self.rows[i - self.base][0]
+
+    def end(self) -> int:
+        return self.base + len(self.rows)
+
+    def widen(self, to: int) -> None:
+        while self.seen < to:
+            x = self.px(self.seen)
+            for queue, sign in ((self.least, 1), (self.most, -1)):
+                while queue and sign * self.px(queue[-1]) > sign * x:
+                    queue.pop()
+                queue.append(self.seen)
+            self.seen += 1
+
+    def move(self, to: int) -> None:
+        """The start goes on to place `to`; rows before it are dropped."""
+        self.at = to
+        while self.rows and self.base < to:
+            self.rows.popleft()
+            self.base += 1
+        for queue in (self.least, self.most):
+            while queue and queue[0] < to:
+                queue.popleft()
+        self.seen = max(self.seen, to)
+
+
+def vshape_events(rows: DataFrame, by: list[str], least_pct: float = 0.8, most_us: int = 1_500_000, recovered: float = 0.5) -> DataFrame:
+    """by, start_ts, mid_ts, mid_seq, end_ts, shape, dp_pct, recovery of V shapes (-1) and inverted ones (+1).
+
+    From a start, the first leg goes to the lowest or highest price within most_us, whichever move is larger and of
+    least_pct or more; the second, within most_us of there, has to win back the share `recovered`. After an event the
+    search goes on behind it, after a first leg alone behind its end, else at the next row. Prices that are null or
+    NaN are skipped; the last two rows of a key start nothing. State is the rows of two legs."""
+    share = least_pct / 100
+
+    def emit(s: _Legs, over: bool) -> list[tuple]:
+        out = []
+        while s.at < s.end() - (2 if over else 0):
+            i = s.at
+            first = s.px(i)
+            if s.second is None:
+                j = max(s.seen, i + 1)
+                s.widen(j)
+                while j < s.end() and s.ts(j) <= s.ts(i) + most_us:
+                    j += 1
+                    s.widen(j)
+                if j == s.end() and not over:
+                    return out  # rows of the window may follow
+                low, high = s.least[0], s.most[0]
+                down, up = ((first - s.px(low)) / first, (s.px(high) - first) / first) if first > 0 else (0.0, 0.0)
+                if j == i + 1 or max(down, up) < share:
+                    s.move(i + 1)
+                    continue
+                mid, shape = (low, -1) if down >= share and down >= up else (high, 1)
+                s.second = [mid, shape, mid + 1, s.px(mid)]
+            mid, shape, k, best = s.second
+            while k < s.end() and s.ts(k) <= s.ts(mid) + most_us:
+                best = max(best, s.px(k)) if shape < 0 else min(best, s.px(k))
+                k += 1
+            if k == s.end() and not over:
+                s.second[2:] = k, best
+                return out
+            s.second, way = None, s.px(mid)
+            back = (best - way) / (first - way) if first != way else 0.0
+            if k > mid + 1 and back >= recovered:
+                out.append((s.ts(i), s.ts(mid), s.rows[mid - s.base][1], s.ts(k - 1), shape, 100 * abs(way - first) / first, back))
+                s.move(k)
+            else:
+                s.move(mid + 1)
+        return out
+
+    def step(s, ts, seq, px):
+        if px is None or math.isnan(px):
+            return ()
+        s.rows.append((ts, seq, px))
+        return emit(s, False)
+
+    return fold(rows, by, ["ts", "seq"], ["ts", "seq", "px"], _Legs, step, "start_ts long, mid_ts long, mid_seq long, end_ts long, shape int, dp_pct double, recovery double", lambda s: emit(s, True))
+
+
+def near_events(rows: DataFrame, events: DataFrame, by: list[str], within: int) -> DataFrame:
+    """rows with near: an event (ts) lies within `within` of ts on either side."""
+    marks = events.select(*by, "ts").distinct().withColumns({"seq": F.lit(0).cast("long"), "_mark": F.lit(1)})
+    found = nearest(rows, marks, by, ["_mark"])
+    return found.withColumn("near", F.coalesce(F.abs(F.col("ref_ts") - F.col("ts")) <= within, F.lit(False))).drop("ref_ts", "_mark")
