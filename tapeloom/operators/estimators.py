@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tapeloom.functions.stats import corr_or_null, div, draw
 from tapeloom.operators.flow import rolling_vpin, volume_buckets
 from tapeloom.operators.temporal import asof, before, range_join, runs
+from tapeloom.operators.vol import mc_garch_bars
+from tapeloom.sources.shared import table
 
 BPS = 1e4
 
@@ -139,6 +141,14 @@ def filter_noise(trades: DataFrame, bars: DataFrame, by: list[str], bar_s: float
     return out.withColumns({"process": rate * F.col("_dt"), "measure": F.greatest(share * share * F.col("_noise") * F.col("_noise"), F.lit(least))}).drop("_r", "_dt", "_noise", "h", "ref_ts")
 
 
+def detector_noise(trades: DataFrame, by: list[str], bar: int, slots: int, share: float = 1.0) -> DataFrame:
+    """trades with process and measure, as of filter_noise, from the composite variance of bars; trades before the first
+    bar take the first's."""
+    bars = table(mc_garch_bars(trades, by, bar, slots).select(*by, "ts", "seq", F.col("composite").alias("h")))
+    first = bars.groupBy(*by).agg(F.min_by("h", "ts").alias("h")).withColumns({"ts": F.lit(0).cast("long"), "seq": F.lit(0).cast("long")})
+    return filter_noise(trades.where("px > 0"), bars.unionByName(first), by, bar / 1e6, share)
+
+
 def forward_returns(decisions: DataFrame, trades: DataFrame, by: list[str], prints: int, horizon: int, volume: float) -> DataFrame:
     """decisions with r_prints, r_time and r_volume: log returns from the price in force over the next
     `prints` trades, over `horizon`, and up to the next close of a volume bar."""

@@ -12,6 +12,7 @@ from tapeloom.functions.fold import fold
 from tapeloom.functions.stats import div, log_change
 from tapeloom.operators.clustering import affine_scan
 from tapeloom.operators.temporal import DAY_US, asof, before, forward, grid, nearest, range_join, runs
+from tapeloom.sources.shared import table
 
 BPS = 1e4
 
@@ -141,6 +142,45 @@ def kalman(rows: DataFrame, by: list[str], process: float, measure: float) -> Da
     return fold(rows, by, ["ts", "seq"], ["ts", "seq", "px"], lambda: {"x": None, "p": 0.0, "t": 0}, step, "ts long, seq long, px double, z double")
 
 
+def kalman_by_print(rows: DataFrame, by: list[str], least: float = 1e-18) -> DataFrame:
+    """by, ts, seq, px, z: innovations as of kalman, with the variances of each print: process (of the time since the
+    print before) and measure. The first print of a key has z 0."""
+    def step(s, ts, seq, px, process, measure):
+        if px is None or px <= 0:
+            return ()
+        y = math.log(px)
+        if s["x"] is None:
+            s.update(x=y, p=max(measure, 1e-12))
+            return [(ts, seq, px, 0.0)]
+        p = s["p"] + max(process, least)
+        v = p + max(measure, least)
+        e = y - s["x"]
+        s.update(x=s["x"] + p / v * e, p=p * (1 - p / v))
+        return [(ts, seq, px, e / math.sqrt(v))]
+
+    return fold(rows, by, ["ts", "seq"], ["ts", "seq", "px", "process", "measure"], lambda: {"x": None, "p": 0.0}, step, "ts long, seq long, px double, z double")
+
+
+def mc_garch_bars(rows: DataFrame, by: list[str], bar: int, slots: int, alpha: float = 0.05, beta: float = 0.9, least: int = 4) -> DataFrame:
+    """by, ts, seq (of the bar's last trade), r, h, s, q, composite: the variance of each bar as that of its day (the sum
+    of squared returns), times that of its time of day (mean over days, 1 on average), times a GARCH(1, 1) of
+    what is left (1 on average). Keys with fewer than `least` returns have no bars."""
+    last = rows.where("px > 0").groupBy(*by, F.floor(F.col("ts") / bar).alias("_bar")).agg(F.max(F.struct("ts", "seq", F.ln("px").alias("_x"))).alias("_m"))
+    w = Window.partitionBy(*by)
+    bars = last.select(*by, "_m.*").withColumn("r", F.col("_x") - F.lag("_x").over(w.orderBy("ts"))).where("r IS NOT NULL").drop("_x")
+    bars = bars.withColumn("_n", F.count("*").over(w)).where(F.col("_n") >= least).drop("_n")
+    own = F.col("r") * F.col("r")
+    day = F.greatest(F.sum(own).over(Window.partitionBy(*by, F.floor(F.col("ts") / DAY_US))), F.lit(1e-18))
+    bars = table(bars.withColumns({"h": day, "_slot": F.floor((F.col("ts") % DAY_US) / bar) % slots}))
+    slot = bars.groupBy(*by, "_slot").agg(F.avg(own / F.col("h")).alias("_v"))
+    mean = F.avg("_v").over(w)
+    bars = bars.join(slot.select(*by, "_slot", F.when(mean > 0, F.col("_v") / mean).otherwise(F.col("_v")).alias("s")), [*by, "_slot"])
+    left = own / F.greatest(F.col("h") * F.col("s"), F.lit(1e-18))
+    q = affine_scan(bars, by, ["ts", "seq"], F.lit(beta), 1e-4 + alpha * left, 1.0, DAY_US, ["r", "h", "s"])
+    q = q.withColumn("q", F.col("before") / F.greatest(F.avg("before").over(w), F.lit(1e-12)))
+    return q.select(*by, "ts", "seq", "r", "h", "s", "q", (F.col("h") * F.col("s") * F.col("q")).alias("composite"))
+
+
 def crash_events(filtered: DataFrame, by: list[str], least_z: float) -> DataFrame:
     """by, run, start_ts, end_ts, end_seq, prints, dp_pct, direction, z_peak, first, last of the runs with
     |z| at the mark or over. direction and dp_pct: of the larger excursion from the first price, down if

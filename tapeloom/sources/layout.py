@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.stats import finite
@@ -92,5 +92,34 @@ def trades_from_json(lines: DataFrame) -> DataFrame:
     return out.where("px > 0 AND qty > 0 AND ts > 0 AND seq IS NOT NULL")
 
 
+#: Widest spread of a book, in bps, that is no stub. Fixed value.
+STUB_BPS = 200.0
+
+
+def books_from_json(lines: DataFrame) -> DataFrame:
+    """symbol, ts, bid, ask, bid_sz, ask_sz: the best levels of book messages, one JSON object a line (column value):
+    {"symbol", "time" (ms), "orderBook": {"bids": [[price, size], ...], "asks": ...}}, levels in any order.
+
+    The best bid is the highest price above zero, the best ask the lowest; of levels at one price the first gives the
+    size. Left out are lines that are no such object, books with a side that is empty or has no price above zero or
+    a price that is no number, best levels whose size is no number, and books that are crossed or wider than
+    STUB_BPS, as of levels far off the market."""
+    schema = "symbol string, time string, orderBook struct<bids: array<array<string>>, asks: array<array<string>>>"
+    m = lines.select(F.from_json("value", schema).alias("m")).select("m.symbol", F.col("m.time").try_cast("long").alias("_ms"), "m.orderBook.bids", "m.orderBook.asks")
+
+    def level(x: Column) -> Column:
+        return F.struct(F.get(x, 0).try_cast("double").alias("px"), F.get(x, 1).try_cast("double").alias("sz"))
+
+    for side in ("bids", "asks"):
+        m = m.withColumn(side, F.transform(side, level))
+        sound = F.coalesce(F.forall(side, lambda x: x["px"].isNotNull()), F.lit(False))
+        m = m.withColumn(side, F.when(sound, F.filter(side, lambda x: (x["px"] > 0) & ~F.isnan(x["px"]))))
+    best = m.withColumns({"bid": F.array_max(F.transform("bids", lambda x: x["px"])), "ask": F.array_min(F.transform("asks", lambda x: x["px"]))})
+    size = lambda side, px: F.get(F.filter(side, lambda x: x["px"] == F.col(px)), 0)["sz"]
+    out = best.select("symbol", (F.col("_ms") * 1000).alias("ts"), "bid", "ask", size("bids", "bid").alias("bid_sz"), size("asks", "ask").alias("ask_sz"))
+    wide = 1e4 * (F.col("ask") - F.col("bid")) / (0.5 * (F.col("ask") + F.col("bid")))
+    return out.where((F.col("ask") > F.col("bid")) & (wide <= STUB_BPS)).dropna(subset=["symbol", "ts", "bid_sz", "ask_sz"])
+
+
 def append_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
