@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.stats import div
+from tapeloom.functions.stats import div, draw
+from tapeloom.operators.inference import block_bootstrap, mean_stat
 from tapeloom.operators.temporal import DAY_US, asof, merge_intervals, range_join
 
 #: Quote size left under each tier, and which tiers count as a fire. Fixed values.
@@ -39,18 +40,17 @@ def fire_pauses(events: DataFrame, hold: int) -> DataFrame:
     return fired.withColumns({"start_ts": F.col("end_ts"), "end_ts": F.col("end_ts") + hold})
 
 
-def in_pause(rows: DataFrame, pauses: DataFrame, by: list[str], own: str | None = None) -> DataFrame:
+def in_pause(rows: DataFrame, pauses: DataFrame, by: list[str], own: str | None = None, width: int = 600_000_000) -> DataFrame:
     """rows with paused: a pause holds [start_ts, end_ts) around ts. own: a column of both; a row is not
-    barred by the pause of its own event. Pauses that overlap are one where no own event is exempt."""
+    barred by the pause of its own event. Pauses that overlap are one where no own event is exempt. Pauses are
+    cut at multiples of `width`, so a long one meets the rows within it and no others."""
     spans = merge_intervals(pauses, by, "start_ts", "end_ts") if own is None else pauses.select(*by, own, "start_ts", "end_ts")
-    width = spans.agg(F.max(F.col("end_ts") - F.col("start_ts"))).first()[0] or 1
-    starts = spans.withColumn("ts", F.col("start_ts"))
     keyed = rows.withColumn("_id", F.monotonically_increasing_id()) if "seq" not in rows.columns else rows.withColumn("_id", F.col("seq"))
-    met = range_join(keyed, starts, by, F.col("ts") - width, F.col("ts"), max(1, int(width)))
-    inside = (F.col("r_start_ts") <= F.col("ts")) & (F.col("ts") < F.col("r_end_ts"))
+    points = keyed.select(*by, "ts", "_id", *([own] if own is not None else []))
+    met = range_join(spans.where("end_ts > start_ts"), points, by, F.col("start_ts"), F.col("end_ts") - 1, width)
     if own is not None:
-        inside = inside & (F.col(own) != F.col(f"r_{own}"))
-    hit = met.where(inside).select(*by, "_id").distinct().withColumn("paused", F.lit(True))
+        met = met.where(F.col(own) != F.col(f"r_{own}"))
+    hit = met.select(*by, F.col("r__id").alias("_id")).distinct().withColumn("paused", F.lit(True))
     return keyed.join(hit, [*by, "_id"], "left").withColumn("paused", F.coalesce("paused", F.lit(False))).drop("_id")
 
 
@@ -92,13 +92,15 @@ def size_rules(events: DataFrame, p: str, move: str, cost: float = 4.0) -> DataF
     return rows.groupBy("rule").agg(F.count("*").alias("n"), F.avg("size").alias("size_mean"), F.count(F.when(F.col("size") > 0, 1)).alias("traded"), F.avg("pnl").alias("pnl_mean"), F.avg(F.when(F.col("size") > 0, (F.col("pnl") > 0).cast("double"))).alias("hit_rate"), F.avg("over").alias("lift"))
 
 
+#: The size of a wide quote, and the policies' names. Fixed values.
 WIDE = 0.5
 POLICIES = ["always_restore", "always_stay_wide", "ladder_only", "v_restore_confirm", "confirm_before_restore", "ladder_plus_v_restore", "ladder_plus_confirm_before_restore"]
 
 
-def size_path(policy: str, one: Column, two: Column, tier: Column, kind: Column) -> list[Column]:
+def size_path(policy: str, one: Column, two: Column, tier: Column, kind: Column, five: Column | None = None) -> list[Column]:
     """Relative quote sizes half a second, one, two and five seconds after an event, under a policy. one,
-    two: shares recovered after one and two seconds."""
+    two, five: shares recovered after one, two and five seconds; five stands in for two where that is null."""
+    two = two if five is None else F.coalesce(two, five)
     first, second = F.coalesce(one >= 0.5, F.lit(False)), F.coalesce(two >= 0.5, F.lit(False))
     ladder, flat = tier_size(tier), lambda x: [x] * 4
 
@@ -110,7 +112,7 @@ def size_path(policy: str, one: Column, two: Column, tier: Column, kind: Column)
 
     if policy.startswith("ladder_plus_"):
         base = {"ladder_plus_v_restore": "v_restore_confirm"}.get(policy, policy.removeprefix("ladder_plus_"))
-        return [F.when(ladder > 0, F.least(x, ladder)).otherwise(0.0) for x in size_path(base, one, two, tier, kind)]
+        return [F.when(ladder > 0, F.least(x, ladder)).otherwise(0.0) for x in size_path(base, one, two, tier, kind, five)]
     return {
         "always_restore": lambda: flat(F.lit(1.0)),
         "always_stay_wide": lambda: flat(F.lit(WIDE)),
@@ -121,10 +123,11 @@ def size_path(policy: str, one: Column, two: Column, tier: Column, kind: Column)
 
 
 def score_policies(events: DataFrame, cost: float = 2.0, policies: list[str] = POLICIES) -> DataFrame:
-    """policy, n, exposure, adverse, hole, drawdown: means over events (one, two, tier, kind, mo1, mo5 and
-    nested) of the size held, of what moves against it cost beyond `cost`, of the size held in deep tiers,
+    """policy, n, exposure, adverse, hole, drawdown: means over events (one, two, tier, kind, mo1, mo5,
+    nested and, if it is there, recovery after five seconds) of the size held, of what moves against it cost beyond `cost`, of the size held in deep tiers,
     and of the worse of the two moves against it."""
-    paths = F.explode(F.array(*(F.struct(F.lit(p).alias("policy"), F.array(*(x.cast("double") for x in size_path(p, F.col("one"), F.col("two"), F.col("tier"), F.col("kind")))).alias("path")) for p in policies)))
+    five = F.col("recovery") if "recovery" in events.columns else None
+    paths = F.explode(F.array(*(F.struct(F.lit(p).alias("policy"), F.array(*(x.cast("double") for x in size_path(p, F.col("one"), F.col("two"), F.col("tier"), F.col("kind"), five))).alias("path")) for p in policies)))
     rows = events.withColumn("_p", paths).select("*", "_p.*")
     size = lambda k: F.element_at("path", k)
     mean = (size(1) + size(2) + size(3) + size(4)) / 4
@@ -245,3 +248,42 @@ def event_clock(prints: DataFrame, events: DataFrame, by: list[str], hold: int,
     managed = within("_last.at", manage)
     said = {"tier": tier, "nested": within("_nest", pull), "managed": managed, "kind": F.when(managed, F.coalesce("_last.kind", F.lit("unknown"))).otherwise("unknown"), **{c: F.when(managed, F.col(f"_last.{c}")) for c in ("one", "two")}}
     return met.select(*prints.columns, *(x.alias(c) for c, x in said.items()))
+
+
+#: Marks of the kill criteria. Fixed values.
+KILLS = {"days": 5, "least": 20, "hit_least": 40, "hit_kill": 0.55, "hit_warn": 0.65, "stop_least": 30, "stop_share": 0.4, "cost_bps": 5.0}
+
+
+def evaluate_kills(trades: DataFrame, by: list[str], day: str, pnl: str, seq: str, early: Column, late: Column, stopped: Column, cost_bps: float = 2.0, floor_on: Column | None = None, skipped: bool = False, live: bool = False, draws: int = 800, seed: int = 42, marks: dict = KILLS) -> DataFrame:
+    """by, n, mean, low, high, early_mean, late_mean, hit_rate, stop_share, the criteria as flags (k1 to k8), hit_warn and
+    decision (Kill, Hold under `least` trades, else Promote_shadow).
+
+    k1: a mean of no more than 0 over `days` trading days with `least` trades or more; k2: an interval of the mean that holds 0;
+    k3: means of early and late days of unlike signs; k4: a low hit rate; k5: a high share of stops among all trades;
+    k6: costs over the mark; k7: the detector's floor was off (floor_on false for any trade) or it skipped; k8: live
+    orders. Flags that need `least` (hit_least, stop_least) trades are false under that. Trades without a pnl count for stops only.
+    The interval is of block sums under Poisson weights of the trades' hashes."""
+    x = F.when(~F.isnan(F.col(pnl).cast("double")), F.col(pnl).cast("double"))
+    on = F.lit(True) if floor_on is None else F.coalesce(floor_on, F.lit(True))
+    own = trades.select(*by, F.col(day).alias("_day"), F.col(seq).alias("_seq"), x.alias("_x"), early.alias("_early"), late.alias("_late"), stopped.alias("_stop"), on.alias("_on"))
+    part = lambda c: F.when(F.col(c), F.col("_x"))
+    total = own.groupBy(*by).agg(
+        F.count("_x").alias("n"), F.count("*").alias("_all"), F.avg("_x").alias("mean"), F.avg(part("_early")).alias("early_mean"), F.avg(part("_late")).alias("late_mean"), (F.count(part("_early")) + F.count(part("_late"))).alias("_halves"),
+        F.avg((F.col("_x") > 0).cast("double")).alias("hit_rate"), F.avg(F.coalesce(F.col("_stop"), F.lit(False)).cast("double")).alias("stop_share"), F.min("_on").alias("_floor"),
+    )
+    fine = own.where("_x IS NOT NULL")
+    blocks = fine.groupBy(*by, F.floor(draw(F.lit(seed), F.col("_seq")) * 64).alias("_blk")).agg(F.count("*").cast("double").alias("n"), F.sum("_x").alias("x"))
+    interval = block_bootstrap(blocks, by, "_blk", ["n", "x"], mean_stat, draws, seed).select(*by, "low", "high")
+    kill = rolling_kill(fine, by, "_day", "_x", marks["days"], marks["least"]).select(*by, F.col("tripped").alias("k1"))
+    out = total.join(interval, by, "left").join(kill, by, "left")
+    powered = F.col("n") >= marks["least"]
+    flags = {
+        "k1": F.col("k1"), "k2": powered & ~((F.col("low") > 0) | (F.col("high") < 0)), "k3": (F.col("early_mean") * F.col("late_mean") < 0) & (F.col("_halves") >= marks["least"]),
+        "k4": (F.col("n") >= marks["hit_least"]) & (F.col("hit_rate") < marks["hit_kill"]), "k5": (F.col("_all") >= marks["stop_least"]) & (F.col("stop_share") > marks["stop_share"]),
+        "k6": F.lit(cost_bps > marks["cost_bps"]), "k7": F.lit(skipped) | ~F.col("_floor"), "k8": F.lit(live),
+    }
+    out = out.withColumns({k: F.coalesce(c, F.lit(False)) for k, c in flags.items()})
+    warn = (F.col("n") >= marks["hit_least"]) & (F.col("hit_rate") < marks["hit_warn"]) & ~F.col("k4")
+    any_ = F.greatest(*(F.col(k) for k in flags))
+    decision = F.when(any_, "Kill").when(~powered, "Hold").otherwise("Promote_shadow")
+    return out.withColumns({"hit_warn": F.coalesce(warn, F.lit(False)), "decision": decision}).drop("_all", "_halves", "_floor")

@@ -40,10 +40,10 @@ def vpin_days(trades: DataFrame, by: list[str], day: int, scale: float = 50.0, w
 
 def sparse_points(points: DataFrame, by: list[str], returns: Column | int) -> DataFrame:
     """by, step, n, rv: realised variance on about `returns` sparse returns: every step-th point, the step
-    being the key's returns over their number."""
+    being the key's returns over their number, without its fraction."""
     n = F.count("*").over(Window.partitionBy(*by)) - 1
     want = returns if isinstance(returns, Column) else F.lit(returns)
-    own = points.withColumn("step", F.greatest(F.lit(1), F.floor(n / F.greatest(want, F.lit(1)))).cast("int")).where(F.col("k") % F.col("step") == 0)
+    own = points.withColumn("step", F.greatest(F.lit(1), F.floor(n / F.greatest(F.floor(want), F.lit(1)))).cast("int")).where(F.col("k") % F.col("step") == 0)
     r = own.withColumn("r", F.col("x") - F.lag("x").over(Window.partitionBy(*by).orderBy("k")))
     return r.groupBy(*by, "step").agg(F.count("r").alias("n"), F.sum(F.col("r") * F.col("r")).alias("rv"))
 
@@ -113,15 +113,41 @@ def touch_survival(tob: DataFrame, trades: DataFrame, by: list[str], tick: float
     return out.withColumn("rate", F.col("filled") / F.col("starts"))
 
 
-def unmet(events: DataFrame, others: DataFrame, by: list[str], slack: int) -> DataFrame:
+def size_survival(tob: DataFrame, trades: DataFrame, by: list[str], stride: int, horizon: int, side: str = "buy", shares: list[float] = [0.25, 0.5, 0.75]) -> DataFrame:
+    """by, share, size, starts, filled, rate, mean_us, median_us, monotone: virtual orders at the touch of each of the sizes that
+    are quantiles of the key's own touch, at every stride-th quote but the last two.
+
+    A buy rests at the bid, a sell at the ask. Trades against it, while the other side's quote is at or through its price,
+    take from it; it is filled when nothing is left within the horizon, and not where no quote follows in that time. monotone:
+    no larger size has a higher rate. Keys with under stride + 5 quotes, 20 sizes or 50 trades are left out."""
+    own, other, near = ("bid", "ask", -1.0) if side == "buy" else ("ask", "bid", 1.0)
+    w = Window.partitionBy(*by)
+    busy = trades.groupBy(*by).agg(F.count("*").alias("_t")).where("_t >= 50").select(*by)
+    q = tob.withColumns({"_k": F.row_number().over(w.orderBy("ts", "seq")) - 1, "_n": F.count("*").over(w), "_next": F.lead("ts").over(w.orderBy("ts", "seq"))}).where(F.col("_n") >= stride + 5).join(busy, by, "left_semi")
+    sized = F.when(F.col(f"{own}_sz") > 0, F.col(f"{own}_sz"))
+    cuts = q.groupBy(*by).agg(F.percentile(sized, F.array(*map(F.lit, shares))).alias("_cuts"), F.count(sized).alias("_c")).where("_c >= 20")
+    cuts = cuts.select(*by, F.explode(F.arrays_zip(F.array(*map(F.lit, shares)).alias("share"), F.col("_cuts").alias("size"))).alias("_z")).select(*by, "_z.share", "_z.size")
+    start = q.where((F.col("_k") % stride == 0) & (F.col("_k") < F.col("_n") - 2) & F.col(own).isNotNull()).select(*by, "ts", F.col("seq").alias("_start"), F.col(own).alias("_level"), (F.col("_next") <= F.col("ts") + horizon).alias("_live"))
+    hits = asof(trades.where((F.col("side") * near > 0) & (F.col("qty") > 0)).select(*by, "ts", "seq", "qty"), tob, by, [other])
+    through = (F.col(f"r_{other}") <= F.col("_level") + 1e-12) if side == "buy" else (F.col(f"r_{other}") >= F.col("_level") - 1e-12)
+    met = range_join(start.where("_live"), hits.drop("ref_ts"), by, F.col("ts") + 1, F.col("ts") + horizon, max(1, horizon)).where(through)
+    order = Window.partitionBy(*by, "_start").orderBy("r_ts", "r_seq").rowsBetween(Window.unboundedPreceding, 0)
+    taken = met.withColumn("_q", F.sum("r_qty").over(order)).select(*by, "_start", "_q", (F.col("r_ts") - F.col("ts")).alias("_wait"))
+    first = taken.join(cuts, by).where(F.col("_q") >= F.col("size")).groupBy(*by, "_start", "share").agg(F.min("_wait").alias("wait"))
+    out = start.join(cuts, by).join(first, [*by, "_start", "share"], "left").groupBy(*by, "share", "size").agg(F.count("*").alias("starts"), F.count("wait").alias("filled"), F.avg("wait").alias("mean_us"), F.median("wait").alias("median_us"))
+    out = out.withColumn("rate", F.col("filled") / F.col("starts"))
+    falls = F.coalesce(F.col("rate") <= F.lag("rate").over(w.orderBy("share")) + 1e-9, F.lit(True))
+    return out.withColumn("_falls", falls).withColumn("monotone", F.min("_falls").over(w) & (F.count("*").over(w) > 1)).drop("_falls")
+
+
+def unmet(events: DataFrame, others: DataFrame, by: list[str], slack: int, width: int = 600_000_000) -> DataFrame:
     """by, n, unique, unique_share: how many events (start_ts, end_ts) lie outside all the others, widened
-    by slack."""
-    width = others.agg(F.max(F.col("end_ts") - F.col("start_ts"))).first()[0] or 0
+    by slack. An event is met by one that starts within it, or by one that it starts within; intervals are cut at
+    multiples of `width`, so the longest does not make the join coarse."""
     own = events.withColumn("_id", F.monotonically_increasing_id()) if "run" not in events.columns else events.withColumn("_id", F.col("run"))
-    b = others.select(*by, F.col("start_ts").alias("ts"), "end_ts")
-    reach = max(1, int(width) + 2 * slack)
-    met = range_join(own.select(*by, "_id", "start_ts", "end_ts"), b, by, F.col("start_ts") - slack - width, F.col("end_ts") + slack, reach)
-    hit = met.where(F.col("r_end_ts") >= F.col("start_ts") - slack).select(*by, "_id").distinct().withColumn("_hit", F.lit(1))
+    inside = range_join(own.select(*by, "_id", "start_ts", "end_ts"), others.select(*by, F.col("start_ts").alias("ts")), by, F.col("start_ts") - slack, F.col("end_ts") + slack, width).select(*by, "_id")
+    around = range_join(others.select(*by, "start_ts", "end_ts"), own.select(*by, "_id", (F.col("start_ts") - slack).alias("ts")), by, F.col("start_ts"), F.col("end_ts"), width).select(*by, F.col("r__id").alias("_id"))
+    hit = inside.unionByName(around).distinct().withColumn("_hit", F.lit(1))
     out = own.join(hit, [*by, "_id"], "left").groupBy(*by).agg(F.count("*").alias("n"), F.count(F.when(F.col("_hit").isNull(), 1)).alias("unique"))
     return out.withColumn("unique_share", F.col("unique") / F.col("n"))
 
@@ -230,8 +256,7 @@ def window_imbalance(events: DataFrame, trades: DataFrame, by: list[str], span:
     span before an event, in it, and in the span after. Null where there are no trades."""
     w = Window.partitionBy(*by).orderBy("ts", "seq").rowsBetween(-(over - 1), 0)
     tape = trades.withColumn("imb", F.abs(div(F.sum(F.col("side") * F.col("qty")).over(w), F.sum("qty").over(w)))).select(*by, "ts", "imb")
-    length = (events.agg(F.max(F.col("end_ts") - F.col("start_ts"))).first()[0] or 0) + 2 * span
-    met = range_join(events.select(*by, "run", "start_ts", "end_ts"), tape, by, F.col("start_ts") - span, F.col("end_ts") + span, max(1, int(length)))
+    met = range_join(events.select(*by, "run", "start_ts", "end_ts"), tape, by, F.col("start_ts") - span, F.col("end_ts") + span, max(1, 2 * span))
     mean = lambda c: F.avg(F.when(c, F.col("r_imb")))
     sums = met.groupBy(*by, "run").agg(mean(F.col("r_ts") < F.col("start_ts")).alias("before"), mean((F.col("r_ts") >= F.col("start_ts")) & (F.col("r_ts") <= F.col("end_ts"))).alias("during"), mean(F.col("r_ts") > F.col("end_ts")).alias("after"))
     return events.join(sums, [*by, "run"], "left")
@@ -300,15 +325,16 @@ def expected_schedule(slices: DataFrame, by: list[str], volume: str, sigma: str,
     return slices.withColumn("child", total * weight / F.sum(weight).over(Window.partitionBy(*by)))
 
 
-def unwind_path(steps: DataFrame, k: str, n: int, total: float, urgency: float) -> DataFrame:
-    """steps with left: what is left of an order after k of n slices under linear impact, the solution of
-    x(k+1) = (2 + urgency) x(k) - x(k-1) from `total` to nothing."""
+def unwind_path(positions: DataFrame, total: str, n: int, urgency: float) -> DataFrame:
+    """positions once for each k of 0 to n, with left: what is left of `total` after k of n slices under linear impact, the
+    solution of x(k+1) = (2 + urgency) x(k) - x(k-1) from the total to nothing."""
     import math
 
+    steps = positions.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long"))))
     if urgency <= 0:
-        return steps.withColumn("left", total * (1 - F.col(k) / n))
+        return steps.withColumn("left", F.col(total) * (1 - F.col("k") / n))
     a = math.acosh(1 + urgency / 2)
-    return steps.withColumn("left", total * F.sinh(a * (n - F.col(k))) / math.sinh(a * n))
+    return steps.withColumn("left", F.col(total) * F.sinh(a * (n - F.col("k"))) / math.sinh(a * n))
 
 
 def synthetic_quotes(trades: DataFrame, by: list[str], bar: int) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.stats import div, draw, from_z, logistic_z, poisson_one
 from tapeloom.operators.options import norm_cdf
+from tapeloom.operators.validation import ranks
+from tapeloom.sources.shared import table
 
 Z95 = 1.959963984540054
 PAIR = ["n", "x", "y", "xx", "yy", "xy"]
@@ -58,17 +60,50 @@ def effect_stat(c: dict) -> Column:
     return div(c["xt"], c["nt"]) - div(c["xc"], c["nc"])
 
 
+def median_draws(rows: DataFrame, by: list[str], value: str, item: str, draws: int, seed: int, bins: int = 256) -> DataFrame:
+    """by, draw, v: the median of rows under Poisson weights of their items, exactly, for each draw.
+
+    Rows are ranked by ranges and cut into bins of equal numbers. Weights are summed by draw and bin, which merges
+    before it moves, and the sums tell which bin holds a draw's middle; only that bin's rows are weighed one by one."""
+    own = rows.where(F.col(value).isNotNull()).select(*by, F.col(item).alias("_item"), F.col(value).cast("double").alias("_v"))
+    own = ranks(own, by, "_v", "_item", "_r")
+    own = table(own.join(own.groupBy(*by).agg(F.count("*").alias("_n")), by).withColumn("_bin", F.floor(F.col("_r") * bins / F.col("_n"))).drop("_n"))
+    weight = poisson_one(draw(F.lit(seed), F.col("_item"), F.col("draw")))
+    drawn = own.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).groupBy(*by, "draw", "_bin").agg(F.sum(weight).alias("_w"))
+    w = Window.partitionBy(*by, "draw")
+    at = drawn.withColumns({"_end": F.sum("_w").over(w.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_w").over(w)})
+    at = at.withColumns({"_start": F.col("_end") - F.col("_w"), "_lo": F.floor((F.col("_all") - 1) / 2), "_hi": F.floor(F.col("_all") / 2)})
+    inside = lambda x: (F.col("_start") <= F.col(x)) & (F.col(x) < F.col("_end"))
+    held = table(at.where("_all > 0").where(inside("_lo") | inside("_hi")).select(*by, "draw", "_bin", "_start", "_lo", "_hi"))
+    near = own.join(held, [*by, "_bin"]).withColumn("_w", weight).where("_w > 0")
+    upto = F.sum("_w").over(Window.partitionBy(*by, "draw", "_bin").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumn("_end", F.col("_start") + upto).withColumn("_start", F.col("_end") - F.col("_w"))
+    middle = near.groupBy(*by, "draw").agg(F.max(F.when(inside("_lo"), F.col("_v"))).alias("_a"), F.max(F.when(inside("_hi"), F.col("_v"))).alias("_b"))
+    return middle.select(*by, "draw", ((F.col("_a") + F.col("_b")) / 2).alias("v"))
+
+
 def bootstrap_median(rows: DataFrame, by: list[str], value: str, item: str, draws: int = 400, seed: int = 0, alpha: float = 0.05) -> DataFrame:
-    """by, n, median, low, high: a percentile interval of the median of a panel's rows (one an item), under
-    Poisson weights of rows. For panels of days or cells, not for tapes."""
+    """by, n, median, low, high: a percentile interval of the median of rows (one an item), under Poisson weights."""
     own = rows.where(F.col(value).isNotNull())
-    weight = poisson_one(draw(F.lit(seed), F.col(item), F.col("draw")))
-    drawn = own.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_w", weight).where("_w > 0")
-    each = drawn.groupBy(*by, "draw").agg(F.percentile(value, F.lit(0.5), F.col("_w")).alias("v"))
+    each = median_draws(own, by, value, item, draws, seed)
     ends = each.groupBy(*by).agg(F.percentile("v", F.lit(alpha / 2)).alias("low"), F.percentile("v", F.lit(1 - alpha / 2)).alias("high"))
     return own.groupBy(*by).agg(F.count("*").alias("n"), F.median(value).alias("median")).join(ends, by)
 
 
+def compare_medians(rows: DataFrame, by: list[str], item: str, columns: list[str], draws: int = 500, seed: int = 11) -> DataFrame:
+    """by, series, n, mean, median, low, high, excludes_0: of each column, and of each difference of two of them within an
+    item (a_minus_b, over items that have both; left out under three). Draws weigh items, so all series are drawn jointly."""
+    series = [F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("value")) for c in columns]
+    series += [F.struct(F.lit(f"{a}_minus_{b}").alias("series"), (F.col(a) - F.col(b)).cast("double").alias("value")) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    own = rows.select(*by, item, F.explode(F.array(*series)).alias("_s")).select(*by, item, "_s.*").where("value IS NOT NULL AND NOT isnan(value)")
+    keys = [*by, "series"]
+    n = F.count("*").over(Window.partitionBy(*keys))
+    own = table(own.withColumn("_n", n).where((F.col("_n") >= 3) | ~F.col("series").contains("_minus_")).drop("_n"))
+    mean = own.groupBy(*keys).agg(F.avg("value").alias("mean"))
+    out = bootstrap_median(own, keys, "value", item, draws, seed).join(mean, keys)
+    return out.withColumn("excludes_0", (F.col("low") > 0) | (F.col("high") < 0))
+
+
 def shuffle_test(rows: DataFrame, by: list[str], block: list[str], x: str, y: str, item: str, draws: int = 200, seed: int = 0, ranks: bool = True) -> DataFrame:
     """by, n, observed, null_median, p: |correlation| of x and y (ranks: of their ordinal ranks) against
     shuffles of y within blocks. p: the share of shuffles that reach it. item: unique in a key. A row

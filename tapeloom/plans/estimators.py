@@ -51,7 +51,7 @@ QUARTIC = f"""{LP}, rr AS (SELECT venue, symbol, k, x, x - lag(x) OVER (PARTITIO
 o AS (SELECT venue, symbol, n, pow(1.0 / (4 * noise * noise) * iq, 1 / 3) AS best FROM q)"""
 
 
-@query("best_sparse_returns", f"""{QUARTIC}, s AS (SELECT lp.*, greatest(1, floor(n / greatest(best, 1)))::INT AS step FROM lp JOIN o USING (venue, symbol)), d AS (SELECT venue, symbol, step, x - lag(x) OVER (PARTITION BY venue, symbol ORDER BY k) AS r FROM s WHERE k % step = 0)
+@query("best_sparse_returns", f"""{QUARTIC}, s AS (SELECT lp.*, greatest(1, floor(n / greatest(floor(best), 1)))::INT AS step FROM lp JOIN o USING (venue, symbol)), d AS (SELECT venue, symbol, step, x - lag(x) OVER (PARTITION BY venue, symbol ORDER BY k) AS r FROM s WHERE k % step = 0)
 SELECT venue, symbol, any_value(best_r) AS best, d.step, count(r) AS n, {R('sum(r * r) * 1e3')} AS rv FROM d JOIN (SELECT venue, symbol, {R('best')} AS best_r FROM o) USING (venue, symbol) GROUP BY venue, symbol, d.step""")
 def best_sparse_returns(spark, sf):
     p = _points(spark, sf)
@@ -257,9 +257,11 @@ def order_schedules(spark, sf):
     return r6s(est.expected_schedule(s, CELL, "v", "sd", 100.0), "child", keep=(*CELL, "k"))
 
 
-@query("unwind_path", f", x(k, a, b) AS (SELECT 0::BIGINT, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL SELECT k + 1, b, (2 + 0.01) * b - a FROM x WHERE k < 20), t AS (SELECT a AS total FROM x WHERE k = 20) SELECT 20 - k AS k, {R('a / total')} AS \"left\" FROM x, t", recursive=True)
+@query("unwind_path", f""", x(k, a, b) AS (SELECT 0::BIGINT, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL SELECT k + 1, b, (2 + 0.01) * b - a FROM x WHERE k < 20), t AS (SELECT a AS total FROM x WHERE k = 20), p AS (SELECT venue, symbol, sum(side * qty) AS held FROM tape GROUP BY ALL)
+SELECT venue, symbol, held, 20 - k AS k, {R('held * a / total')} AS "left" FROM p, x, t""", recursive=True)
 def unwind_path(spark, sf):
-    return r6s(est.unwind_path(spark.range(21).withColumnRenamed("id", "k"), "k", 20, 1.0, 0.01), "left", keep=("k",))
+    held = market.tape(spark, sf).groupBy(*CELL).agg(F.sum(F.col("side") * F.col("qty")).alias("held"))
+    return r6s(est.unwind_path(held, "held", 20, 0.01), "left", keep=(*CELL, "held", "k"))
 
 
 @query("synthetic_quotes", f""", w AS (SELECT *, last_value(CASE WHEN side < 0 THEN px END IGNORE NULLS) OVER o AS b, last_value(CASE WHEN side > 0 THEN px END IGNORE NULLS) OVER o AS a FROM tape WHERE px > 0 WINDOW o AS (PARTITION BY venue, symbol ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
@@ -293,3 +295,30 @@ def normalized_names(spark, sf):
     s = market.tape(spark, sf).select("symbol", "venue").distinct()
     s = s.withColumns({"name": pick(SPOKEN, F.col("symbol") + 2 * F.col("venue")), "place": pick(PLACES, F.col("symbol") + F.col("venue"))})
     return s.select("symbol", "venue", names.underlying(F.col("name")).alias("underlying"), names.venue(F.col("place")).alias("spot"), names.instrument(F.col("name"), F.col("place")).alias("instrument"), names.base_symbol(F.col("name")).alias("base"))
+
+
+def _survival_sql(own: str, other: str, sign: str, through: str) -> str:
+    return f""", q AS (SELECT *, row_number() OVER {W} - 1 AS k, count(*) OVER (PARTITION BY venue, symbol) AS n, lead(ts) OVER {W} AS nx FROM tob), b AS (SELECT venue, symbol FROM tape GROUP BY ALL HAVING count(*) >= 50),
+c AS (SELECT venue, symbol, unnest([0.25, 0.5, 0.75]::DOUBLE[]) AS share, unnest(quantile_cont({own}_sz, [0.25, 0.5, 0.75])) AS size FROM q JOIN b USING (venue, symbol) WHERE n >= 15 AND {own}_sz > 0 GROUP BY venue, symbol HAVING count(*) >= 20),
+s AS (SELECT q.venue, q.symbol, seq AS start, ts, {own} AS level, coalesce(nx <= ts + {DAY}, false) AS live FROM q JOIN b USING (venue, symbol) WHERE n >= 15 AND k % 10 = 0 AND k < n - 2),
+h AS (SELECT t.venue, t.symbol, t.ts, t.seq, t.qty, o.{other} FROM (SELECT * FROM tape WHERE side {sign} 0) t ASOF JOIN tob o ON t.venue = o.venue AND t.symbol = o.symbol AND t.ts >= o.ts),
+m AS (SELECT s.venue, s.symbol, start, h.ts - s.ts AS wait, sum(qty) OVER (PARTITION BY s.venue, s.symbol, start ORDER BY h.ts, h.seq ROWS UNBOUNDED PRECEDING) AS taken FROM s JOIN h ON h.venue = s.venue AND h.symbol = s.symbol AND h.ts BETWEEN s.ts + 1 AND s.ts + {DAY} AND {through} WHERE live),
+f AS (SELECT m.venue, m.symbol, start, share, min(wait) AS wait FROM m JOIN c ON c.venue = m.venue AND c.symbol = m.symbol AND taken >= size GROUP BY ALL),
+r AS (SELECT s.venue, s.symbol, c.share, c.size, count(*) AS starts, count(wait) AS filled, avg(wait) AS mean_us, median(wait) AS median_us, count(wait) / count(*) AS rate FROM s JOIN c ON c.venue = s.venue AND c.symbol = s.symbol LEFT JOIN f ON f.venue = s.venue AND f.symbol = s.symbol AND f.start = s.start AND f.share = c.share GROUP BY ALL),
+e AS (SELECT *, coalesce(rate <= lag(rate) OVER (PARTITION BY venue, symbol ORDER BY share) + 1e-9, true) AS falls FROM r)
+SELECT venue, symbol, share, size, starts, filled, {R('mean_us / 1e6')} AS mean_s, {R('median_us / 1e6')} AS median_s, {R('rate')} AS rate, bool_and(falls) OVER (PARTITION BY venue, symbol) AS monotone FROM e"""
+
+
+def _size_survival(spark, sf, side):
+    s = est.size_survival(market.tob(spark, sf), market.tape(spark, sf), CELL, 10, DAY, side)
+    return s.select(*CELL, "share", "size", "starts", "filled", r6(F.col("mean_us") / 1e6).alias("mean_s"), r6(F.col("median_us") / 1e6).alias("median_s"), r6(F.col("rate")).alias("rate"), "monotone")
+
+
+@query("size_survival_bids", _survival_sql("bid", "ask", "<", "h.ask <= s.level + 1e-12"))
+def size_survival_bids(spark, sf):
+    return _size_survival(spark, sf, "buy")
+
+
+@query("size_survival_asks", _survival_sql("ask", "bid", ">", "h.bid >= s.level - 1e-12"))
+def size_survival_asks(spark, sf):
+    return _size_survival(spark, sf, "sell")
