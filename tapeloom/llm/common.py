@@ -6,6 +6,8 @@ import math
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-_made: list[str] = []
+#: Names of the tables that are made within the innermost tables_within(), if there is one.
+_within: ContextVar[list[str] | None] = ContextVar("tables_within", default=None)
 
 
 def table(df: DataFrame) -> DataFrame:
@@ -37,20 +40,28 @@ def table(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _made.append(path)
+    if (made := _within.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tables_made() -> list[str]:
-    """The paths of the tables that have been made and not released."""
-    return list(_made)
+@contextmanager
+def tables_within() -> Iterator[list[str]]:
+    """The paths of the tables that the block makes, in turn, whatever other threads make meanwhile. What is left in
+    the list when the block ends counts for the block around it too."""
+    made: list[str] = []
+    token = _within.set(made)
+    try:
+        yield made
+    finally:
+        _within.reset(token)
+        if (outer := _within.get()) is not None:
+            outer.extend(made)
 
 
 def release(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes tables; for when what was made from them is written."""
+    """Deletes tables that one's own work has made and nothing reads any more."""
     for name in paths:
-        if name in _made:
-            _made.remove(name)
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -45,3 +45,30 @@ def test_stage_on_odd_rows(spark, docs, place, name, stage):
             drawn = {(r["doc_id"], r["text"]) for r in got.collect()}
             assert drawn <= set(ROWS) and got.where("doc_id = 1").count() in (0, 2)
     assert stage(spark, docs.limit(0), place).count() == 0
+
+
+def test_results_live_side_by_side(spark, docs, place, tmp_path):
+    """A stage called again, on other rows, or tried anew, leaves earlier results as they are; so does a second run."""
+    docs.repartition(3).write.parquet(f"{tmp_path}/docs")
+    files = spark.read.parquet(f"{tmp_path}/docs")
+    first = p.drop_copies(spark, files, place)
+    other = p.drop_copies(spark, files.where("doc_id = 1"), place)
+    again, near = p.drop_copies(spark, files, place), p.drop_near_copies(spark, files, place)
+    assert (first.count(), other.count(), again.count(), near.count()) == (6, 1, 6, 7)
+    assert first.exceptAll(again).count() == 0
+    sf = "/root/testdata/sf0.001"
+    one, two = p.run(spark, sf), p.run(spark, sf)
+    assert one.count() == two.count() > 100
+
+
+def test_a_column_of_the_number_is_an_error(spark, docs, place):
+    with pytest.raises(ValueError, match="no column may be named"):
+        p.drop_copies(spark, docs.withColumn(p.ROW, F.lit(1)), place)
+
+
+def test_numbers_stay(spark, docs, tmp_path):
+    docs.repartition(4).write.parquet(f"{tmp_path}/docs")
+    files = p._numbered(spark.read.parquet(f"{tmp_path}/docs"))
+    one = {(r["doc_id"], r["text"], r[p.ROW]) for r in files.collect()}
+    two = {(r["doc_id"], r["text"], r[p.ROW]) for r in files.repartition(5).collect()}
+    assert one == two and len({x[2] for x in one}) == len(ROWS) == len(one)
