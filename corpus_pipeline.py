@@ -2,19 +2,20 @@
 
 A stage numbers the rows it is given, and decides each by itself: rows that share a doc_id, or have none,
 are rows of their own. Null texts count as empty. An empty table gives an empty table. Columns of documents
-are kept as they are, whatever their names (but for ROW, which no column may have).
+are kept as they are, whatever their names, but for ROW, which no column may have.
 
-What a stage returns is to be written before the next one is called: as soon as that has numbered and
-written its rows, it deletes the tables that the stage before has made."""
+A stage deletes the tables that it has made on the way; its result reads its own input and a table of the
+numbers of the rows that stay, which is no one else's. So results can be written in any order, again, or
+side by side."""
 
 from __future__ import annotations
 
-import functools
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import release, table, tables_made
+from tapeloom.llm.common import release, table, tables_within
 from tapeloom.llm.exact_dedup import exact_dedup
 from tapeloom.llm.mixing import mix
 from tapeloom.llm.ngram_join import ngram_join
@@ -22,29 +23,33 @@ from tapeloom.llm.packing import pack, pieces
 from tapeloom.llm.toxicity import score_toxicity
 
 ROW = "_number_of_the_row"
-#: Tables that the stage before has made.
-_left: list[str] = []
+FILE, INDEX = f"{ROW}_file", f"{ROW}_index"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a unique number of each row, written so that it stays."""
-    out = table(docs.withColumn(ROW, F.monotonically_increasing_id()))
-    release(docs.sparkSession, _left)
-    _left.clear()
-    return out
-
-
-def _stage(decide):
-    """A stage whose tables the next one deletes."""
-
-    @functools.wraps(decide)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        before = set(tables_made())
-        out = decide(spark, docs, sf_dir)
-        _left.extend(name for name in tables_made() if name not in before)
-        return out
-
-    return run_stage
+    """docs with a number of each row that stays the same however often it is read: the place in its file, where docs
+    is files as they are, which copies nothing; else docs is written first."""
+    for name in (ROW, FILE, INDEX):
+        if name in docs.columns:
+            raise ValueError(f"no column may be named {name}")
+    scan = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    if not scan or "_metadata" in docs.columns:
+        docs = table(docs)
+        if "_metadata" in docs.columns:
+            return table(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    placed = docs.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(INDEX))
+    # a row for each file
+    files = table(placed.select(FILE).distinct().select(FILE, F.row_number().over(Window.orderBy(FILE)).cast("long").alias(ROW)))
+    return placed.join(files, FILE).withColumn(ROW, F.col(ROW) * F.lit(1 << 40) + F.col(INDEX)).select(*(F.col(f"`{c}`") for c in docs.columns), ROW)
+
+
+def _staying(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of the numbered docs whose numbers decide(docs) has; its tables are deleted when they are known."""
+    with tables_within() as made:
+        rows = table(decide(docs).select(ROW))
+        release(docs.sparkSession, made[:-1])
+        del made[:-1]
+    return _stay(docs, rows)
 
 
 def _stay(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -65,43 +70,39 @@ def _by_row(docs: DataFrame) -> DataFrame:
     return docs.select(F.col(ROW).alias("doc_id"), "text")
 
 
-@_stage
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic. Empty texts score as empty examples do; without labels of
     both kinds all have one score, and stay unless that reaches the mark."""
-    docs = _numbered(docs)
-    scored = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), row=ROW)
-    return _stay(docs, scored.where("predicted = 0"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _staying(_numbered(docs), lambda d: score_toxicity(d, labels, row=ROW).where("predicted = 0"))
 
 
-@_stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, of the smallest doc_id, of each group of equal texts; of several such rows, the first.
     Null and empty texts are one group."""
-    docs = _numbered(docs)
-    return _stay(docs, _first(docs, exact_dedup(_by_row(docs)), "keep_id"))
+    return _staying(_numbered(docs), lambda d: _first(d, exact_dedup(_by_row(d)), "keep_id"))
 
 
-@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, of the smallest doc_id, of each group of near copies. Texts without words are no copies
     of each other here."""
-    docs = _numbered(docs)
-    return _stay(docs, _first(docs, ngram_join(_by_row(docs)), "class_id"))
+    return _staying(_numbered(docs), lambda d: _first(d, ngram_join(_by_row(d)), "class_id"))
 
 
-@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mixture draws; rows that share a doc_id and a cell are drawn alike."""
     docs = _numbered(docs)
     own = [c for c in (ROW, "doc_id", "text", "lang", "source", "topic") if c in docs.columns]
-    return _stay(docs, mix(docs.select(*own), row=ROW).where("sampled"))
+    return _staying(docs, lambda d: mix(d.select(*own), row=ROW).where("sampled"))
 
 
-@_stage
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document in the packed sequences; an empty text is one token."""
-    return pieces(pack(docs))
+    with tables_within() as made:
+        out = pieces(pack(docs))  # reads the last table only
+        release(spark, made[:-1])
+        del made[:-1]
+    return out
 
 
 STAGES = [
@@ -119,9 +120,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn, each on what the one before has left, written."""
     docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = table(docs)
-            release(spark, last)
-            last = tables_made()[-1:]
+        with tables_within() as made:
+            docs = stage(spark, docs, sf_dir)
+            if k + 1 < len(STAGES):
+                docs = table(docs)
+                release(spark, made[:-1])
+                del made[:-1]
+        release(spark, last)
+        last = list(made)
     return docs
