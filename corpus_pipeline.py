@@ -53,8 +53,9 @@ def _staying(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataF
 
 
 def _stay(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of the numbered docs whose number is in rows, which holds each once."""
-    return docs.join(rows.select(ROW), ROW, "left_semi").drop(ROW)
+    """The rows of the numbered docs whose number is in rows, which holds each once; joined in the same way however
+    few the rows are."""
+    return docs.join(rows.select(ROW).hint("merge"), ROW, "left_semi").drop(ROW)
 
 
 def _first(docs: DataFrame, groups: DataFrame, group: str) -> DataFrame:
