@@ -33,7 +33,8 @@ def corr_or_null(x: Column, y: Column, least: int = 3) -> Column:
     """Pearson's r over complete pairs; null under `least` pairs or without variance."""
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x), F.when(both, y)
-    return F.when((F.count(x) >= least) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y))
+    # not F.corr, which fails on a series without variance, whatever guards it
+    return F.when(F.count(x) >= least, F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
 
 
 def ordinal_rank(column: str, *ties: str, by: list[str] = ()) -> Column:
