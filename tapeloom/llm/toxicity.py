@@ -190,18 +190,18 @@ class Index:
         self.rows, self.cache = None, {}
 
     def _bound(self) -> None:
-        """The common terms' weights, a row an example, and the largest of each block; made where used."""
+        """The common terms' weights, a row a term, and the largest of each block; made where used."""
         n, common = len(self.ids), np.flatnonzero(self.is_common)
-        self.column = np.full(len(self.idf), -1)
-        self.column[common] = np.arange(len(common))
-        self.rows = np.zeros((n, len(common)), np.float32)
+        self.row = np.full(len(self.idf), -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), n), np.float32)
         for k, t in enumerate(common.tolist()):
             at = slice(self.first[t], self.first[t + 1])
-            self.rows[self.example[at], k] = self.weight[at]
+            self.rows[k, self.example[at]] = self.weight[at]
         start = np.arange(0, n, BLOCK)
-        self.most = np.maximum.reduceat(self.rows, start, axis=0) if n else np.zeros((0, len(common)), np.float32)
+        self.most = np.maximum.reduceat(self.rows, start, axis=1) if n else np.zeros((len(common), 0), np.float32)
         self.sizes = np.diff(np.append(start, n))
-        self.rest = np.linalg.norm(self.rows, axis=1)
+        self.rest = np.sqrt(sum(row.astype(np.float64) ** 2 for row in self.rows)) if len(common) else np.zeros(n)
 
     def _raw(self, vector: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         term, times = vector.reshape(-1, 2).T
@@ -224,24 +224,23 @@ class Index:
         """(examples, cosines) of the k nearest, and of all that tie with the last."""
         if self.rows is None:
             self._bound()
-        column = self.column[term]
-        common = column >= 0
+        row = self.row[term]
+        common = row >= 0
         dots = self._sums(term[~common], w[~common])
         if without is not None:
             dots[without] = -2.0
         at = None
         if common.any():
-            rest = np.zeros(self.rows.shape[1], np.float32)
-            rest[column[common]] = w[common]
+            row, rest = row[common, None], w[common, None]  # sums of products, as a text has few of the rows
             first = np.argpartition(dots, max(0, len(dots) - FIRST))[-FIRST:]
-            known = dots[first] + self.rows[first] @ rest
+            known = dots[first] + (self.rows[row, first] * rest).sum(0)
             least = np.partition(known, -NEIGHBOURS)[-NEIGHBOURS] if len(known) >= NEIGHBOURS else 0.0
-            most = np.minimum(np.repeat(self.most @ rest, self.sizes), np.linalg.norm(rest) * self.rest)
+            most = np.minimum(np.repeat((self.most[row[:, 0]] * rest).sum(0), self.sizes), np.linalg.norm(rest) * self.rest)
             most += dots
             at = np.flatnonzero(most >= max(least, 0.0) - TIE)
             for s in range(0, len(at), 4096):
                 part = at[s : s + 4096]
-                dots[part] += self.rows[part] @ rest
+                dots[part] += (self.rows[row, part] * rest).sum(0)
         at = np.flatnonzero(dots > 0) if at is None else at[dots[at] > 0]
         score = dots[at]
         if len(at) > NEIGHBOURS:
