@@ -70,12 +70,13 @@ def shards_for(rows: int, per_shard: int, least: int) -> int:
     return max(least, math.ceil(rows / per_shard))
 
 
-def packed(shard: np.ndarray, values: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
+def packed(shard: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(shard, its values as bytes) for each shard that has any; order within a shard is kept."""
     order = np.argsort(shard, kind="stable")
-    values, bounds = values[order], np.searchsorted(shard[order], np.arange(shards + 1))
-    for k in np.flatnonzero(np.diff(bounds)):
-        yield int(k), values[bounds[k] : bounds[k + 1]].tobytes()
+    shard, values = shard[order], values[order]
+    first = np.flatnonzero(np.diff(shard, prepend=-1))
+    for k, start, end in zip(shard[first].tolist(), first.tolist(), [*first[1:].tolist(), len(shard)]):
+        yield k, values[start:end].tobytes()
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -165,6 +166,16 @@ def split_by_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]
     return marked.where("NOT hit").drop("hit"), marked.where("hit").drop("hit")
 
 
+#: Most partitions of a shuffle by shards or buckets, however many of these the corpus needs: what a
+#: driver keeps of a shuffle grows with partitions x tasks. A task takes its shards one after another.
+MOST_PARTITIONS = 1 << 13
+
+
+def dealt(rows: DataFrame, groups: int, column: str, *order: str) -> DataFrame:
+    """rows dealt by column, which has `groups` values at most, and sorted by it (and order) in each partition."""
+    return rows.repartition(min(groups, MOST_PARTITIONS), column).sortWithinPartitions(column, *order)
+
+
 #: Most segments of a filter that is made by shards: each shard ORs its bits into one of them.
 SEGMENTS = 1 << 14
 

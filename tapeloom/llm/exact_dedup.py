@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import batch, shards_for, table
+from tapeloom.llm.common import batch, dealt, shards_for, table
 
 SLOTS, KICKS = 4, 200
 #: Digests a bucket is sized for: its task holds the new ones of these and its filter only.
@@ -200,8 +200,8 @@ class ExactIndex:
             touched = changes.select("bucket").distinct()
             own = self.filters.join(touched, "bucket", "left_semi")
             changes = changes.unionByName(own.select("bucket", F.lit(FILTER).alias("kind"), "filter"), allowMissingColumns=True)
-        dealt = changes.select("bucket", "kind", "digest", "keep_id", "n", "filter").repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "kind")
-        return table(dealt.mapInArrow(_apply, ROW))
+        rows = changes.select("bucket", "kind", "digest", "keep_id", "n", "filter")
+        return table(dealt(rows, self.buckets, "bucket", "kind").mapInArrow(_apply, ROW))
 
     def _with_filters(self, made: DataFrame) -> DataFrame:
         made = made.where(F.col("kind") == FILTER).select("bucket", "filter")
@@ -245,8 +245,7 @@ class ExactIndex:
         documents whose digest is in its bucket's filter meet the stored digests."""
         asked = _digests(docs, self.buckets).select("bucket", F.lit(ADD).alias("kind"), "digest", "doc_id", F.lit(None).cast("binary").alias("filter"))
         both = asked.unionByName(self.filters.select("bucket", F.lit(FILTER).alias("kind"), "filter"), allowMissingColumns=True)
-        dealt = both.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "kind")
-        seen = table(dealt.mapInArrow(_maybe, "doc_id long, digest binary, bucket int, maybe boolean"))
+        seen = table(dealt(both, self.buckets, "bucket", "kind").mapInArrow(_maybe, "doc_id long, digest binary, bucket int, maybe boolean"))
         found = seen.where("maybe").join(self.rows, ["bucket", "digest"], "left").select("doc_id", "digest", "keep_id", F.col("n").alias("group_size"))
         none = seen.where("NOT maybe").select("doc_id", "digest", F.lit(None).cast("long").alias("keep_id"), F.lit(None).cast("long").alias("group_size"))
         return found.unionByName(none).select("doc_id", F.lower(F.hex("digest")).alias("text_sha256"), "keep_id", "group_size")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import Bloom, batch, in_segments, merged_segments, mix64, packed, segments_for, shards_for, split_by_ids, table
+from tapeloom.llm.common import Bloom, batch, dealt, in_segments, merged_segments, mix64, packed, segments_for, shards_for, split_by_ids, table
 
 #: Bits of the twice-seen filter over all shards: 16 MB, whatever the corpus size.
 TWICE_BITS = 1 << 27
@@ -49,7 +49,7 @@ def _key_hashes(least: int, shards: int):
             values, counts = np.unique(np.array(seen, np.uint64), return_counts=True)
             values = np.concatenate([values, values[counts > 1]])
             seen.clear()
-            found = list(packed((values % np.uint64(shards)).astype(np.int64), values, shards))
+            found = list(packed((values % np.uint64(shards)).astype(np.int64), values))
             yield batch(schema, [k for k, _ in found], [data for _, data in found])
 
         for b in batches:
@@ -140,7 +140,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) ->
     segments, segment_bits = segments_for(shards, TWICE_BITS)
     spark = docs.sparkSession
     hashes = docs.select("text").mapInArrow(_key_hashes(least_chars, shards), "shard int, hashes binary")
-    twice = hashes.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_twice(segments, segment_bits), "segment int, map binary")
+    twice = dealt(hashes, shards, "shard").mapInArrow(_twice(segments, segment_bits), "segment int, map binary")
     filters = spark.sparkContext.broadcast(merged_segments(twice))
     suspects = table(docs.mapInArrow(_suspects(least_chars, shards, segments, segment_bits, filters), "key binary, doc_id long").distinct())
     keep = table(suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id")).where(F.col("n") >= least_docs))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import Bloom, batch, in_segments, merged_segments, mix64, packed, segments_for, shards_for, split_by_ids, table
+from tapeloom.llm.common import Bloom, batch, dealt, in_segments, merged_segments, mix64, packed, segments_for, shards_for, split_by_ids, table
 from tapeloom.llm.texts import Words, slices
 
 WINDOW = 35
@@ -60,7 +60,7 @@ def _index_and_probe(size: int, shards: int):
             values, counts = np.unique(np.concatenate(rolling), return_counts=True)
             for kind, part in ((ONCE, values[counts == 1]), (MORE, values[counts > 1]), (BLOCK, np.unique(np.concatenate(blocks)))):
                 shard, low = _split(part, shards)
-                yield _rows(kind, packed(shard, low, shards))
+                yield _rows(kind, packed(shard, low))
 
         for b in batches:
             for _, _, data, offs in slices(b.column(0)):
@@ -138,7 +138,7 @@ def _windows(window: int, size: int, shards: int, segments: int, segment_bits: i
             values["pos"] |= np.where(repeated, TWICE, 0).astype(np.uint32)
             settled = _spots(values[repeated & ~first])
             for kind, part, by in ((OPEN, values[first], "hash"), (SETTLED, settled, "doc")):
-                yield _rows(kind, packed(_shard_of(part[by], shards), part, shards))
+                yield _rows(kind, packed(_shard_of(part[by], shards), part))
 
         for b in batches:
             ids = b.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -200,7 +200,7 @@ def _settle(shards: int):
                 again = np.bincount(group, 1 + (values["pos"] >> np.uint32(31)))[group] > 1
                 spots.append(_spots(values[again]))
             spots = np.concatenate(spots)
-            yield _rows(SETTLED, packed(_shard_of(spots["doc"], shards), spots, shards))
+            yield _rows(SETTLED, packed(_shard_of(spots["doc"], shards), spots))
 
     return run
 
@@ -256,12 +256,11 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     shards = shards_for(docs.count(), 2000, 64)
     segments, segment_bits = segments_for(shards, ANCHOR_BITS)
     first = docs.select("text").mapInArrow(_index_and_probe(size, shards), SHARD)
-    maps = first.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_anchors(segments, segment_bits), "segment int, map binary")
+    maps = dealt(first, shards, "shard").mapInArrow(_anchors(segments, segment_bits), "segment int, map binary")
     anchors = spark.sparkContext.broadcast(merged_segments(maps))
     places = docs.mapInArrow(_windows(window, size, shards, segments, segment_bits, anchors), SHARD)
-    dealt = lambda rows: rows.repartition(shards, "shard").sortWithinPartitions("shard")
-    spots = dealt(places).mapInArrow(_settle(shards), SHARD)
-    return _apply(docs, table(dealt(spots).mapInArrow(_starts, "doc_id long, runs binary").where(F.col("doc_id") != NO_ID)), window)
+    spots = dealt(places, shards, "shard").mapInArrow(_settle(shards), SHARD)
+    return _apply(docs, table(dealt(spots, shards, "shard").mapInArrow(_starts, "doc_id long, runs binary").where(F.col("doc_id") != NO_ID)), window)
 
 
 def _apply(docs: DataFrame, starts: DataFrame, window: int) -> DataFrame:
