@@ -35,10 +35,12 @@ NEIGHBOURS, SOFT = 15, 0.05
 #: Rates are smoothed by so many examples, of which so many in one are toxic.
 PRIOR, RARE = 2.0, 0.1
 REJECT = 0.3
-#: A term that one in COMMON examples has, but not of more weight than its rarity gives, is common.
-#: Examples in a block; those whose cosines a query knows before it bounds the others; cosines that
-#: are nearer to each other than TIE are equal.
-COMMON, BLOCK, FIRST, TIE = 20, 256, 60, 1e-6
+#: A term that one in COMMON examples has is frequent; if it is not of more weight than its rarity gives,
+#: it is common. Examples in a block; blocks whose cosines a query knows before it bounds the others;
+#: cosines that are nearer to each other than TIE are equal.
+COMMON, BLOCK, FIRST, TIE = 20, 128, 2, 1e-6
+#: Groups of like examples, and rounds that find them; texts whose neighbours are sought together; postings read at once.
+GROUPS, ROUNDS, BATCH, POSTINGS = 16, 5, 128, 1 << 20
 #: Vectors whose neighbours a worker remembers.
 CACHE = 20_000
 #: Parts in which document frequencies are summed.
@@ -152,6 +154,24 @@ def _digest(vector: np.ndarray) -> bytes:
     return hashlib.blake2b(vector.tobytes(), digest_size=16).digest()
 
 
+_POSTING = np.dtype([("example", np.int32), ("weight", np.float32)])
+
+
+def _alike(rows: np.ndarray) -> np.ndarray:
+    """An order in which rows of like direction lie together: some rounds of spherical k-means. It decides how much the
+    search can skip, and nothing else."""
+    if not rows.size:
+        return np.arange(len(rows))
+    size = np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-30)
+    centre = rows[np.linspace(0, len(rows) - 1, GROUPS).astype(np.int64)]
+    for _ in range(ROUNDS):
+        centre = centre / np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-30)
+        group, share = (rows @ centre.T).argmax(1), np.zeros((GROUPS, len(rows)), np.float32)
+        share[group, np.arange(len(rows))] = 1 / size
+        centre = share @ rows
+    return np.argsort(group, kind="stable")
+
+
 class Index:
     """A block-max inverted index of weighted examples; small enough to broadcast.
 
@@ -186,22 +206,37 @@ class Index:
         order = np.argsort(term, kind="stable")
         self.first = np.searchsorted(term, np.arange(len(idf) + 1), sorter=order)
         self.example, self.weight = example[order], weight[order]
-        self.is_common = (np.diff(self.first) * COMMON > max(n, BLOCK)) & ~np.append(surer, True)
+        self.is_frequent = np.diff(self.first) * COMMON > max(n, BLOCK)
+        self.is_common = self.is_frequent & ~np.append(surer, True)
         self.rows, self.cache = None, {}
 
     def _bound(self) -> None:
-        """The common terms' weights, a row a term, and the largest of each block; made where used."""
-        n, common = len(self.ids), np.flatnonzero(self.is_common)
-        self.row = np.full(len(self.idf), -1)
-        self.row[common] = np.arange(len(common))
-        self.rows = np.zeros((len(common), n), np.float32)
-        for k, t in enumerate(common.tolist()):
-            at = slice(self.first[t], self.first[t + 1])
-            self.rows[k, self.example[at]] = self.weight[at]
-        start = np.arange(0, n, BLOCK)
-        self.most = np.maximum.reduceat(self.rows, start, axis=1) if n else np.zeros((len(common), 0), np.float32)
-        self.sizes = np.diff(np.append(start, n))
-        self.rest = np.sqrt(sum(row.astype(np.float64) ** 2 for row in self.rows)) if len(common) else np.zeros(n)
+        """Deals like examples to blocks, and makes a row of each example's weights of frequent terms, the surer
+        ones first, and the largest weights of common terms in each block; made where used."""
+        n = len(self.ids)
+        surer, common = (np.flatnonzero(x) for x in (self.is_frequent & ~self.is_common, self.is_common))
+        self.surer, terms = len(surer), np.concatenate([surer, common])
+        self.column = np.full(len(self.idf), -1)
+        self.column[terms] = np.arange(len(terms))
+
+        def filled(place: np.ndarray, rows: int, terms: np.ndarray) -> np.ndarray:
+            out = np.zeros((rows, len(terms)), np.float32)
+            for k, t in enumerate(terms.tolist()):
+                at = slice(self.first[t], self.first[t + 1])
+                out[place[self.example[at]], k] = self.weight[at]
+            return out
+
+        commonest = common[np.argsort(-np.diff(self.first)[common], kind="stable")[:BLOCK]]
+        self.order, self.blocks, place = _alike(filled(np.arange(n), n, commonest)), -(-n // BLOCK), np.empty(n, self.example.dtype)
+        place[self.order] = np.arange(n)
+        self.rows = filled(place, self.blocks * BLOCK, terms)
+        self.most = np.maximum.reduceat(self.rows[:, self.surer :], np.arange(0, len(self.rows), BLOCK), axis=0)
+        postings = np.empty(len(self.example), _POSTING)  # read together, as one number
+        postings["example"], postings["weight"] = place[self.example], self.weight
+        self.postings, self.spot = postings.view(np.int64), place
+        self.example = self.weight = None
+        #: Single precision may err by so much: weights are not negative, and a cosine is 1 at most.
+        self.slack = (len(terms) + 4) * 2.0**-24
 
     def _raw(self, vector: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         term, times = vector.reshape(-1, 2).T
@@ -212,65 +247,103 @@ class Index:
         return term, w / np.linalg.norm(w)
 
     def _sums(self, term: np.ndarray, w: np.ndarray) -> np.ndarray:
-        start, end = self.first[term], self.first[term + 1]
-        spans = list(map(slice, start.tolist(), end.tolist()))
-        if not spans:
-            return np.zeros(len(self.ids))
-        at, weight = np.concatenate([self.example[x] for x in spans]), np.concatenate([self.weight[x] for x in spans])
-        weight *= np.repeat(w.astype(np.float32), end - start)
-        return np.bincount(at, weight, len(self.ids))
+        """What rarer terms add, read off their postings."""
+        out, start = np.zeros(len(self.rows)), self.first[term]
+        size = self.first[term + 1] - start
+        end, w = np.cumsum(size), w.astype(np.float32)
+        cuts = [0, *np.searchsorted(end, np.arange(POSTINGS, end[-1], POSTINGS)).tolist(), len(end)] if len(end) and end[-1] else []
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            base = end[i - 1] if i else 0
+            at = np.repeat(start[i:j] - end[i:j] + size[i:j] + base, size[i:j])
+            at += np.arange(len(at))
+            read = self.postings.take(at).view(_POSTING)
+            out += np.bincount(read["example"], read["weight"] * np.repeat(w[i:j], size[i:j]), len(out))
+        return out
 
     def nearest(self, term: np.ndarray, w: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest, and of all that tie with the last."""
+        return self.nearest_to([(term, w, without)])[0]
+
+    def nearest_to(self, texts: list[tuple[np.ndarray, np.ndarray, int | None]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """nearest() of each of some texts, at most BATCH. A block of examples is multiplied at once with all texts that
+        it may hold neighbours of; those found in single precision, and all that may tie with them, are then summed in
+        double precision."""
         if self.rows is None:
             self._bound()
-        row = self.row[term]
-        common = row >= 0
-        dots = self._sums(term[~common], w[~common])
-        if without is not None:
-            dots[without] = -2.0
-        at = None
-        if common.any():
-            row, rest = row[common, None], w[common, None]  # sums of products, as a text has few of the rows
-            first = np.argpartition(dots, max(0, len(dots) - FIRST))[-FIRST:]
-            known = dots[first] + (self.rows[row, first] * rest).sum(0)
-            least = np.partition(known, -NEIGHBOURS)[-NEIGHBOURS] if len(known) >= NEIGHBOURS else 0.0
-            most = np.minimum(np.repeat((self.most[row[:, 0]] * rest).sum(0), self.sizes), np.linalg.norm(rest) * self.rest)
-            most += dots
-            at = np.flatnonzero(most >= max(least, 0.0) - TIE)
-            for s in range(0, len(at), 4096):
-                part = at[s : s + 4096]
-                dots[part] += (self.rows[row, part] * rest).sum(0)
-        at = np.flatnonzero(dots > 0) if at is None else at[dots[at] > 0]
-        score = dots[at]
-        if len(at) > NEIGHBOURS:
-            keep = score >= np.partition(score, -NEIGHBOURS)[-NEIGHBOURS] - TIE
-            at, score = at[keep], score[keep]
-        order = np.lexsort((at, -score))
-        return at[order], np.minimum(score[order], 1.0)
+        dots, own = np.zeros((len(texts), len(self.rows))), np.zeros((len(texts), self.rows.shape[1]), np.float32)
+        for k, (term, w, without) in enumerate(texts):
+            column = self.column[term]
+            own[k, column[column >= 0]] = w[column >= 0]
+            dots[k] = self._sums(term[column < 0], w[column < 0])
+            if without is not None:
+                dots[k, self.spot[without]] = -2.0
+        near = dots.astype(np.float32)
+        near += own[:, : self.surer] @ self.rows[:, : self.surer].T
+        own = np.ascontiguousarray(own[:, self.surer :])
+        most = near.reshape(len(texts), self.blocks, BLOCK).max(2) + own @ self.most.T
+        margin, done = 2 * self.slack + TIE, np.zeros(most.shape, bool)
+
+        def add(todo: np.ndarray) -> None:
+            for block in np.flatnonzero(todo.any(0)).tolist():
+                at, rows = np.flatnonzero(todo[:, block]), slice(block * BLOCK, (block + 1) * BLOCK)
+                near[at, rows] += own[at] @ self.rows[rows, self.surer :].T
+
+        # the blocks of the largest bounds give a cosine that the last neighbour has at least
+        first = np.argpartition(most, max(0, self.blocks - FIRST), axis=1)[:, -FIRST:]
+        np.put_along_axis(done, first, True, 1)
+        add(done)
+        known = np.take_along_axis(near.reshape(len(texts), self.blocks, BLOCK), first[:, :, None], 1).reshape(len(texts), -1)
+        least = np.maximum(np.partition(known, -NEIGHBOURS, axis=1)[:, -NEIGHBOURS], 0.0) - margin
+        add((most >= least[:, None]) & ~done)
+        found = []
+        for k, (term, w, _) in enumerate(texts):
+            at = np.flatnonzero(near[k] >= max(least[k], 1e-30))
+            if len(at) > NEIGHBOURS:
+                known = near[k, at]
+                at = at[known >= np.partition(known, -NEIGHBOURS)[-NEIGHBOURS] - margin]
+            column, score = self.column[term], dots[k, at]
+            column, w = column[column >= 0], w[column >= 0]
+            for s in range(0, len(at) if len(w) else 0, 4096):
+                score[s : s + 4096] += (self.rows[at[s : s + 4096, None], column] * w).sum(1)
+            at = self.order[at]
+            if len(at) > NEIGHBOURS:
+                keep = score >= np.partition(score, -NEIGHBOURS)[-NEIGHBOURS] - TIE
+                at, score = at[keep], score[keep]
+            order = np.lexsort((at, -score))
+            found.append((at[order], np.minimum(score[order], 1.0)))
+        return found
 
     def vote(self, best: np.ndarray, score: np.ndarray) -> float:
         w = 1 / (1 - score + SOFT)
         return float((w @ self.toxic[best] + PRIOR * self.base) / (w.sum() + PRIOR))
 
-    def own_vote(self, vector: np.ndarray) -> float:
-        """An example's vote without itself and its equals."""
-        return self.vote(*self.nearest(*self.weigh(vector), self.place[_digest(vector)]))
-
-    def score(self, term: np.ndarray, times: np.ndarray, knots: np.ndarray | None) -> tuple[float, np.ndarray, np.ndarray]:
-        """(score, neighbours, cosines) of a text's terms; terms of no example come last in idf."""
-        known = term < len(self.idf) - 1
-        if not known.any() or not len(self.ids):
-            return self.clean, np.zeros(0, np.int64), np.zeros(0)
-        key = _digest(np.stack([term, times]))
-        if key not in self.cache:
-            w = (1 + np.log(times)) * self.idf[term]
-            best, score = self.nearest(term[known], w[known] / np.linalg.norm(w))
-            raw = self.vote(best, score)
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[key] = raw if knots is None else float(np.interp(raw, *knots)), best, score
-        return self.cache[key]
+    def own_votes(self, vectors: list[np.ndarray]) -> list[float]:
+        """Examples' votes, each without itself and its equals."""
+        out: list[float] = []
+        for s in range(0, len(vectors), BATCH):
+            part = vectors[s : s + BATCH]
+            out.extend(self.vote(*x) for x in self.nearest_to([(*self.weigh(v), self.place[_digest(v)]) for v in part]))
+        return out
+
+    def scores(self, texts: list[tuple[np.ndarray, np.ndarray]], knots: np.ndarray | None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """(score, neighbours, cosines) of each text's (terms, times); terms of no example come last in idf."""
+        keys, out, new = [], {b"": (self.clean, np.zeros(0, np.int64), np.zeros(0))}, {}
+        for term, times in texts:
+            known = term < len(self.idf) - 1
+            keys.append(_digest(np.stack([term, times])) if known.any() and len(self.ids) else b"")
+            if keys[-1] in self.cache:
+                out[keys[-1]] = self.cache[keys[-1]]
+            elif keys[-1] not in out and keys[-1] not in new:
+                w = (1 + np.log(times)) * self.idf[term]
+                new[keys[-1]] = (term[known], w[known] / np.linalg.norm(w), None)
+        for s in range(0, len(new), BATCH):
+            part = list(new)[s : s + BATCH]
+            for key, (best, score) in zip(part, self.nearest_to([new[key] for key in part])):
+                raw = self.vote(best, score)
+                if len(self.cache) >= CACHE:
+                    self.cache.clear()
+                out[key] = self.cache[key] = raw if knots is None else float(np.interp(raw, *knots)), best, score
+        return [out[key] for key in keys]
 
 
 def calibration(votes: list[tuple[float, int]], base: float) -> np.ndarray | None:
@@ -330,7 +403,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most_examples: int = EXAM
     def vote(batches):
         schema = pa.schema([("vote", pa.float64()), ("toxic", pa.int32())])
         for b in batches:
-            yield batch(schema, [held.value.own_vote(np.frombuffer(v.as_buffer(), np.int32)) for v in b.column(2)], b.column(1))
+            yield batch(schema, held.value.own_votes([np.frombuffer(v.as_buffer(), np.int32) for v in b.column(2)]), b.column(1))
 
     votes = known.where("length(vector) > 0").repartition(32, "doc_id").mapInArrow(vote, "vote double, toxic int").collect() if size else []
     knots = calibration([(r["vote"], r["toxic"]) for r in votes], base)
@@ -341,9 +414,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most_examples: int = EXAM
             index, none = held.value, np.zeros(0, np.int64)
             scores, found = np.full(b.num_rows, index.clean), [(none, np.zeros(0))] * b.num_rows
             for i, rows, bounds, term, times in _counted(b.column(3), names.value):
-                for k, doc in enumerate(rows.tolist()):
-                    at = slice(bounds[k], bounds[k + 1])
-                    scores[i + doc], *found[i + doc] = index.score(term[at], times[at], knots)
+                own = [slice(*x) for x in zip(bounds[:-1], bounds[1:])]
+                for doc, known in zip(rows.tolist(), index.scores([(term[at], times[at]) for at in own], knots)):
+                    scores[i + doc], *found[i + doc] = known
             best, cosine = (np.concatenate([none, *x]) for x in zip(*found)) if found else (none, none)
             evidence = pa.StructArray.from_arrays([pa.array(index.ids[best.astype(np.int64)]), pa.array(cosine, pa.float64()), pa.array(index.toxic[best.astype(np.int64)])], fields=list(_EVIDENCE.value_type))
             ends = np.concatenate([[0], np.cumsum([len(x) for x, _ in found])]).astype(np.int32)
