@@ -34,14 +34,20 @@ def shared_dir(spark: SparkSession) -> str:
 _within: ContextVar[list[str] | None] = ContextVar("tables_within", default=None)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder, not used before, that counts as a table's."""
+    path = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    if (made := _within.get()) is not None:
+        made.append(path)
+    return path
+
+
 def table(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and any
     executor can read it after another is lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
-    if (made := _within.get()) is not None:
-        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

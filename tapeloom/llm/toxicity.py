@@ -6,24 +6,28 @@ never less, the surer it is more frequent in toxic examples (by log-likelihood r
 example count in a document's norm. Examples of equal vectors are one, with the share of them that is
 toxic as its label. An inverted index holds the examples' postings; those of a common term are cut
 into blocks of examples, with the largest weight of each. A query sums its rarer terms, bounds by block
-what its common terms can add, and reads these only where an example may be among the k nearest by
+what its common terms can add, and multiplies these only where a block may hold one of the k nearest by
 cosine, so these are exact, ties with the last included. Distance-weighted votes are calibrated by
 isotonic regression on the examples' own votes, each without itself. Every document is scored on its
-whole text; only the index, of bounded size, is broadcast.
+whole text; a task writes the index, of bounded size, to the shared folder, where workers read it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
+import pickle
+import uuid
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import batch, table
+from tapeloom.llm.common import batch, new_folder, table
 from tapeloom.llm.texts import Words, slices
 
 #: Labelled documents that are learned from, at most (about): bounds what the driver and tasks hold.
@@ -154,6 +158,11 @@ def _digest(vector: np.ndarray) -> bytes:
     return hashlib.blake2b(vector.tobytes(), digest_size=16).digest()
 
 
+def base_rate(n: int, toxic: int) -> float:
+    """The smoothed share of n examples that are toxic."""
+    return (toxic + PRIOR * RARE) / (n + PRIOR)
+
+
 _POSTING = np.dtype([("example", np.int32), ("weight", np.float32)])
 
 
@@ -184,7 +193,7 @@ class Index:
         ids, toxic = (np.asarray(examples.column(k).to_numpy()) for k in (0, 1))
         size = np.asarray(pc.binary_length(examples.column(2)).to_numpy()) // 8
         vectors = [np.frombuffer(v.as_buffer(), np.int32) for chunk in examples.column(2).chunks for v in chunk]
-        self.base = (int(toxic.sum()) + PRIOR * RARE) / (len(toxic) + PRIOR)
+        self.base = base_rate(len(toxic), int(toxic.sum()))
         none = toxic[size == 0]
         self.clean = (int(none.sum()) + PRIOR * self.base) / (len(none) + PRIOR)
         classes: dict[bytes, list] = {}
@@ -346,6 +355,45 @@ class Index:
         return [out[key] for key in keys]
 
 
+_KNOWN = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("vector", pa.binary())])
+
+
+class Held:
+    """The index of examples (doc_id, toxic, vector), which are bounded: a task writes it to a file of the shared folder,
+    and each worker reads that once. It never passes through the driver. weights: idf and surer, broadcast."""
+
+    _read: tuple[str, Index] | None = None
+
+    def __init__(self, examples: DataFrame, weights):
+        folder = new_folder(examples.sparkSession)
+
+        def write(batches):
+            index = Index(*weights.value, pa.Table.from_batches([b.cast(_KNOWN) for b in batches], _KNOWN))
+            store, root = fs.FileSystem.from_uri(folder)
+            store.create_dir(root)
+            name = uuid.uuid4().hex  # a task tried again has a file of its own
+            with store.open_output_stream(f"{root}/{name}") as out:
+                pickle.dump(index, out, pickle.HIGHEST_PROTOCOL)
+            yield batch(pa.schema([("name", pa.string())]), [name])
+
+        rows = examples.repartition(1).mapInArrow(write, "name string").collect()
+        self.folder, self.name, self.weights = folder, rows[0]["name"] if rows else None, weights
+
+    @property
+    def value(self) -> Index:
+        key = f"{self.folder}/{self.name}"
+        if Held._read is None or Held._read[0] != key:
+            Held._read = None
+            if self.name is None:  # there are no examples
+                index = Index(*self.weights.value, _KNOWN.empty_table())
+            else:
+                store, root = fs.FileSystem.from_uri(self.folder)
+                with store.open_input_stream(f"{root}/{self.name}") as data:
+                    index = pickle.load(io.BufferedReader(data))
+            Held._read = key, index
+        return Held._read[1]
+
+
 def calibration(votes: list[tuple[float, int]], base: float) -> np.ndarray | None:
     """Pools adjacent violators over (vote, label): the pools' middles and smoothed rates."""
     pools: list[list[float]] = []
@@ -396,9 +444,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most_examples: int = EXAM
     known = table(examples.select("doc_id", "toxic", "text").mapInArrow(_vectors(names), "doc_id long, toxic int, vector binary"))
     # the term after the last stands for each that no example has: as rare as can be, and no surer
     idf = np.append((np.log((total + 1) / (seen + 1)) + 1) * extra, np.log(total + 1) + 1)
-    index = Index(idf, extra > 1, known.toArrow())
-    base, held = index.base, spark.sparkContext.broadcast(index)
-    del index
+    labelled = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
+    held = Held(known, spark.sparkContext.broadcast((idf, extra > 1)))
 
     def vote(batches):
         schema = pa.schema([("vote", pa.float64()), ("toxic", pa.int32())])
@@ -406,7 +453,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most_examples: int = EXAM
             yield batch(schema, held.value.own_votes([np.frombuffer(v.as_buffer(), np.int32) for v in b.column(2)]), b.column(1))
 
     votes = known.where("length(vector) > 0").repartition(32, "doc_id").mapInArrow(vote, "vote double, toxic int").collect() if size else []
-    knots = calibration([(r["vote"], r["toxic"]) for r in votes], base)
+    knots = calibration([(r["vote"], r["toxic"]) for r in votes], base_rate(labelled["n"], labelled["t"]))
 
     def run(batches):
         schema = pa.schema([("_row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("evidence", _EVIDENCE)])

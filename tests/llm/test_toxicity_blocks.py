@@ -46,3 +46,21 @@ def test_many_at_once_by_brute_force(monkeypatch):
             near = np.flatnonzero((want >= least - 5e-7) & (want > 0))
             assert set(near) <= set(best) and np.allclose(want[best], score, atol=1e-6) and (np.diff(score) <= 0).all()
             assert (want[best] >= least - 2e-6).all()
+
+
+def test_the_index_stays_out_of_the_driver(spark, monkeypatch):
+    """The driver neither collects the examples' vectors nor builds their index."""
+    from pyspark.sql import DataFrame
+
+    from conftest import DATA
+
+    def refuse(*_):
+        raise AssertionError("an index in the driver")
+
+    seen, to_arrow = [], DataFrame.toArrow
+    monkeypatch.setattr(t.Index, "__init__", refuse)
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: seen.append(self.columns) or to_arrow(self))
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.001/{x}.parquet") for x in ("documents", "labels"))
+    rows = t.score_toxicity(docs, labels).select("score").collect()
+    assert len(rows) == docs.count() and len({r["score"] for r in rows}) > 1
+    assert "vector" not in sum(seen, [])
