@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import table
-from tapeloom.llm.texts import slices
+from tapeloom.llm.texts import WHITE, Words, slices
 
 END_ID, PAD_ID, LENGTH = 1, 0, 2048
 #: Bytes of text that are split into words at once; new words that are tokenised in one call, joined to
 #: texts of JOINED words; bytes of words and ids that a worker remembers, with ENTRY for each besides.
 SLICE = 2 << 20
 CALL, JOINED = 8_000, 100
-CACHE, ENTRY = 80 << 20, 160
+CACHE, ENTRY = 80 << 20, 28
 BLOCK = 1024
 PIECES = "array<struct<doc_id:bigint,start:bigint,length:bigint,doc_tokens:bigint>>"
 
@@ -39,26 +38,121 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-_ASCII, _MARK = np.zeros(256, bool), np.zeros(256, bool)
-_ASCII[[*range(65, 91), *range(97, 123)]] = True
-_MARK[list(b".,;:!?")] = True
+#: The bytes of a text by kind: ASCII letters, the apostrophe, other ASCII marks.
+LETTER, QUOTE, MARK = 1, 2, 3
+_KIND = bytearray(256)
+for _kind, _bytes in ((LETTER, [*range(65, 91), *range(97, 123)]), (MARK, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]), (QUOTE, [39])):
+    for _k in _bytes:
+        _KIND[_k] = _kind
+_MARKS = "".join(map(chr, range(128))).translate({k: None for k in range(128) if _KIND[k] not in (QUOTE, MARK)})
+#: Small letters that normalisation leaves alone.
+_SMALL = "".join(c for c in map(chr, [*range(97, 123), *range(0xDF, 0x100)]) if c != "÷")
 
 
 def split_marks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Puts a space between a letter (ASCII or Latin-1) and a mark after it, where the pre-tokeniser
-    splits anyway, so that a word is one entry of the cache whatever mark follows."""
-    at = np.flatnonzero(_MARK[data[2:]]) + 2
-    one, two = data[at - 1], data[at - 2]
-    at = at[_ASCII[one] | (two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7)]
-    return np.insert(data, at, 32), offs + np.searchsorted(at, offs, "left")
+    """Puts a space between a letter (ASCII or Latin-1) and a mark after it, and between a mark, but for the
+    apostrophe, and a letter after it, where the pre-tokeniser splits anyway, so that a word is one entry of
+    the cache whatever marks are beside it."""
+    kind = np.frombuffer(data.tobytes().translate(bytes(_KIND)), np.uint8)
+    letter, at = kind == LETTER, np.flatnonzero(data[:-1] == 0xC3)
+    at = at[(data[at + 1] != 0x97) & (data[at + 1] != 0xB7)]
+    letter[at] = letter[at + 1] = True
+    cut = np.flatnonzero(letter[:-1] & (kind[1:] >= QUOTE) | (kind[:-1] == MARK) & letter[1:]) + 1
+    return np.insert(data, cut, 32), offs + np.searchsorted(cut, offs, "left")
+
+
+def gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Runs of values, one after the other."""
+    end = np.cumsum(size)
+    return values[np.repeat(start - end + size, size) + np.arange(end[-1] if len(end) else 0)]
+
+
+class Runs:
+    """Runs of values, end to end in an array that doubles."""
+
+    def __init__(self, kind):
+        self.values, self.bounds, self.used, self.rows = np.empty(1 << 16, kind), np.zeros(1 << 12, np.int64), 0, 0
+
+    def add(self, values: np.ndarray, size: np.ndarray) -> None:
+        used, rows = self.used + len(values), self.rows + len(size)
+        if used > len(self.values):
+            self.values, old = np.empty(2 * used, self.values.dtype), self.values
+            self.values[: self.used] = old[: self.used]
+        if rows >= len(self.bounds):
+            self.bounds, old = np.zeros(2 * rows, np.int64), self.bounds
+            self.bounds[: self.rows + 1] = old[: self.rows + 1]
+        self.values[self.used : used] = values
+        self.bounds[self.rows + 1 : rows + 1] = self.used + np.cumsum(size)
+        self.used, self.rows = used, rows
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) of some."""
+        return self.bounds[rows], self.bounds[rows + 1] - self.bounds[rows]
+
+    def last(self, rows: int) -> Runs:
+        """What was added last."""
+        out, first = Runs(self.values.dtype), self.bounds[self.rows - rows]
+        out.add(self.values[first : self.used], np.diff(self.bounds[self.rows - rows : self.rows + 1]))
+        return out
+
+
+class Known:
+    """Words and their ids in arrays, which take a quarter of a dictionary's memory. A word is found by a hash
+    and told apart by its bytes; of words with one hash the first is kept."""
+
+    def __init__(self):
+        self.hash, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.words, self.ids = Runs(np.uint8), Runs("<u2")
+
+    def __len__(self) -> int:
+        return self.words.rows
+
+    @property
+    def held(self) -> int:
+        return self.words.used + 2 * self.ids.used + ENTRY * len(self)
+
+    def find(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The row of each word, or -1."""
+        row = np.full(len(hashes), -1, np.int64)
+        if len(self):
+            order = np.argsort(hashes)
+            at = np.minimum(np.searchsorted(self.hash, hashes[order]), len(self) - 1)
+            row[order] = np.where(self.hash[at] == hashes[order], self.row[at], -1)
+            begin, length = self.words.of(row)
+            maybe = np.flatnonzero((row >= 0) & (length == size))
+            found, own = row[maybe], size[maybe]
+            same = gather(self.words.values, begin[maybe], own) == gather(data, start[maybe], own)
+            row[:] = -1
+            if len(maybe):
+                row[maybe] = np.where(np.logical_and.reduceat(same, np.cumsum(own) - own), found, -1)
+        return row
+
+    def add(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarray, first: np.ndarray, n: np.ndarray) -> None:
+        """Words that were not found, with their ids."""
+        hashes, own = np.unique(hashes, return_index=True)
+        at = np.searchsorted(self.hash, hashes)
+        if len(self):
+            new = self.hash[np.minimum(at, len(self) - 1)] != hashes
+            hashes, own, at = hashes[new], own[new], at[new]
+        self.hash, self.row = np.insert(self.hash, at, hashes), np.insert(self.row, at, len(self) + np.arange(len(own)))
+        self.words.add(gather(data, start[own], size[own]), size[own])
+        self.ids.add(gather(ids, first[own], n[own]), n[own])
+
+    def forget(self) -> None:
+        """Leaves the later half."""
+        rows, gone = len(self) - len(self) // 2, len(self) // 2
+        left = self.row >= gone
+        self.hash, self.row = self.hash[left], self.row[left] - np.int32(gone)
+        self.words, self.ids = self.words.last(rows), self.ids.last(rows)
 
 
 class Encoder:
     """Ids of whole texts, word by word: this vocabulary's pre-tokeniser drops white space and never
     looks across it, and it lower-cases, so a text's ids are those of its lower-cased words in turn.
-    Words already seen cost a dictionary look-up. Text that may hold a special token, or combining
-    marks that join to some small letters only, is neither lower-cased nor split at marks first. A
-    tokenizer that does not work so, as probes show, is given whole texts."""
+    Each different word of a slice is looked up once. Text that may hold a special token, or combining
+    marks that join to some small letters only, is neither lower-cased nor split at marks first. New words
+    of small letters, which are normal and whole already, skip those steps of the tokenizer. A tokenizer
+    that does not work so, as probes show, is given whole texts, or new words with all steps."""
 
     _by_path: dict[str, Encoder] = {}
 
@@ -66,12 +160,34 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.held = Tokenizer.from_file(path), {}, 0
+        self.tokenizer, self.known = Tokenizer.from_file(path), Known()
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
-        probe = ["AB", "ab", "a b", "a", "b", "a.", "."]
-        whole, low, two, one, other, marked, mark = (e.ids for e in self.tokenizer.encode_batch_fast(probe, add_special_tokens=False))
-        self.by_word = whole == low and two == one + other and marked == one + mark
+        whole, low, two, one, other = self._probe("AB", "ab", "a b", "a", "b")
+        self.by_word = whole == low and two == one + other
+        for c in "aé":
+            for mark in _MARKS:
+                letter, alone, after, before = self._probe(c, mark, c + mark, mark + c)
+                self.by_word &= after == letter + alone and (mark == "'" or before == alone + letter)
+        self.plain, self.ends = self._plain(path)
+
+    def _probe(self, *texts: str) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
+
+    def _plain(self, path: str):
+        """The tokenizer for words of small letters, and which ids end a word; nothing if those words are not
+        left as they are, or their ends cannot be seen."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        if not (suffix := getattr(self.tokenizer.model, "end_of_word_suffix", None)):
+            return None, None
+        made, ends = Tokenizer.from_file(path), np.zeros(1 << 16, bool)
+        made.normalizer = normalizers.Sequence([])
+        made.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        ends[[k for word, k in self.tokenizer.get_vocab().items() if word.endswith(suffix)]] = True
+        probe = " ".join([*_SMALL, *(a + b for a in _SMALL for b in _SMALL), _SMALL])
+        ids = made.encode(probe, add_special_tokens=False).ids
+        return (made, ends) if [ids] == self._probe(probe) and ends[ids].sum() == len(probe.split()) else (None, None)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -79,18 +195,39 @@ class Encoder:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Tokenises words, many joined by spaces in one text, and tells them apart by offsets."""
-        for s in range(0, len(words), CALL):
-            own = [w.decode() for w in words[s : s + CALL]]
-            groups = [own[k : k + JOINED] for k in range(0, len(own), JOINED)]
-            found = self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
-            for k, (group, e) in enumerate(zip(groups, found)):
-                starts = np.cumsum([0, *(len(w) + 1 for w in group)])
-                bounds = 2 * np.searchsorted(np.array([a for a, _ in e.offsets], np.int64), starts)
-                ids, first = np.array(e.ids, "<u2").tobytes(), s + k * JOINED
-                self.cache.update((w, ids[i:j]) for w, i, j in zip(words[first : first + len(group)], bounds.tolist(), bounds[1:].tolist()))
-                self.held += len(ids) + int(starts[-1]) + ENTRY * len(group)
+    def _learn(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, number) of words. Many are joined by spaces in one text, and told apart by the ids that end
+        a word, or by offsets."""
+        small, lead = (data >= 97) & (data <= 122), data == 0xC3
+        small |= lead
+        small[1:] |= lead[:-1] & (data[1:] >= 0x9F) & (data[1:] <= 0xBF) & (data[1:] != 0xB7)
+        bad = np.concatenate([[0], np.cumsum(~small)])
+        plain = (bad[start + size] == bad[start]) & (self.plain is not None)
+        ids, n, total = [], np.zeros(len(size), np.int64), 0
+        first = np.zeros(len(size), np.int64)
+        for rows, by_ends in ((np.flatnonzero(plain), True), (np.flatnonzero(~plain), False)):
+            for s in range(0, len(rows), CALL):
+                own = rows[s : s + CALL]
+                end = np.cumsum(size[own])
+                text, at = np.insert(gather(data, start[own], size[own]), end, 32).tobytes(), [*(end - size[own] + np.arange(len(own))).tolist()]
+                cut = [*at[::JOINED], len(text)]
+                groups = [text[i:j].decode() for i, j in zip(cut, cut[1:])]
+                if by_ends:
+                    got = np.concatenate([np.array(e.ids, "<u2") for e in self.plain.encode_batch_fast(groups, add_special_tokens=False)])
+                    each = np.diff(np.flatnonzero(self.ends[got]), prepend=-1)
+                else:
+                    found = self.tokenizer.encode_batch(groups, add_special_tokens=False)
+                    got, each = np.concatenate([np.array(e.ids, "<u2") for e in found]), np.concatenate([self._each(g, e) for g, e in zip(groups, found)])
+                n[own], first[own] = each, total + np.cumsum(each) - each
+                ids.append(got)
+                total += len(got)
+        return np.concatenate([np.zeros(0, "<u2"), *ids]), first, n
+
+    @staticmethod
+    def _each(group: str, e) -> np.ndarray:
+        """How many ids each word of a text has."""
+        begins = np.cumsum([0, *(len(w) + 1 for w in group.split(" ")[:-1])])
+        return np.diff(np.searchsorted(np.array([a for a, _ in e.offsets], np.int64), begins))
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
@@ -99,14 +236,28 @@ class Encoder:
             return [np.array(self.tokenizer.encode(raw[s:e].decode(), add_special_tokens=False).ids, "<u2").tobytes() for s, e in zip(offs, offs[1:])]
         if not any(x in raw for x in (b"<|", b"\xcc", b"\xcd")):
             data, offs = split_marks(data, offs)
-            raw = data.tobytes().lower()
-        docs = [raw[s:e].split() for s, e in zip(offs, offs[1:])]
-        self._learn(list(set().union(*docs).difference(self.cache)))
-        out = [b"".join(map(self.cache.__getitem__, words)) for words in docs]
-        if self.held > CACHE:
-            self.cache = dict(islice(self.cache.items(), len(self.cache) // 2, None))
-            self.held //= 2
-        return out
+            data = np.frombuffer(data.tobytes().lower(), np.uint8)
+        words = Words(data, offs)
+        if not len(words):
+            return [b""] * (len(offs) - 1)
+        bounds = np.concatenate([[0], np.cumsum(words.end - words.start)]).astype(np.int64)
+        letters = pa.py_buffer(data.tobytes().translate(None, WHITE))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(bounds), letters]).dictionary_encode()
+        own, at = coded.dictionary, coded.indices.to_numpy()
+        data, bounds = np.frombuffer(own.buffers()[2], np.uint8), np.frombuffer(own.buffers()[1], np.int64)[: len(own) + 1]
+        start, size, hashes = bounds[:-1], np.diff(bounds), Words(data[: bounds[-1]], bounds).hash
+        row = self.known.find(hashes, data, start, size)
+        old, new = np.flatnonzero(row >= 0), np.flatnonzero(row < 0)
+        first, n = self.known.ids.of(row)
+        ids, first[new], n[new] = self._learn(data, start[new], size[new])
+        first[new] += n[old].sum()
+        ids, first[old] = np.concatenate([gather(self.known.ids.values, first[old], n[old]), ids]), np.cumsum(n[old]) - n[old]
+        self.known.add(hashes[new], data, start[new], size[new], ids, first[new], n[new])
+        if self.known.held > CACHE:
+            self.known.forget()
+        end = np.concatenate([[0], np.cumsum(n[at])])
+        flat, cut = gather(ids, first[at], n[at]).tobytes(), (2 * end[words.first]).tolist()
+        return [flat[i:j] for i, j in zip(cut, cut[1:])]
 
 
 TOKENS = "part int, start long, doc_id long, n long, ids binary"
