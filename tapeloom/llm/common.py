@@ -85,6 +85,11 @@ def packed(shard: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, bytes]]
         yield k, values[start:end].tobytes()
 
 
+def give_back() -> None:
+    """Arrow's free memory goes back to the machine; it would stay with a worker, also while that has no task."""
+    pa.default_memory_pool().release_unused()
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import os
 import zlib
+from functools import cached_property
+from weakref import WeakValueDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import table
+from tapeloom.llm.common import give_back, table
 from tapeloom.llm.texts import WHITE, Words, slices
 
 END_ID, PAD_ID, LENGTH = 1, 0, 2048
@@ -154,7 +156,7 @@ class Encoder:
     of small letters, which are normal and whole already, skip those steps of the tokenizer. A tokenizer
     that does not work so, as probes show, is given whole texts, or new words with all steps."""
 
-    _by_path: dict[str, Encoder] = {}
+    _by_path: WeakValueDictionary[str, Encoder] = WeakValueDictionary()  # of those that someone holds
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -191,9 +193,9 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> Encoder:
-        if path not in cls._by_path:
-            cls._by_path[path] = cls(path)
-        return cls._by_path[path]
+        if (made := cls._by_path.get(path)) is None:
+            made = cls._by_path[path] = cls(path)
+        return made
 
     def _learn(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, first, number) of words. Many are joined by spaces in one text, and told apart by the ids that end
@@ -260,15 +262,28 @@ class Encoder:
         return [flat[i:j] for i, j in zip(cut, cut[1:])]
 
 
+class Lent:
+    """An encoder that is made where a task needs it. To be broadcast: a worker keeps a broadcast value, here with the
+    words it has learned, from task to task, and loses it when it goes on to tasks that do not use it."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    @cached_property
+    def encoder(self) -> Encoder:
+        return Encoder.of(self.path)
+
+
 TOKENS = "part int, start long, doc_id long, n long, ids binary"
 TOKENS_ARROW = pa.schema([("part", pa.int32()), ("start", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
 
 def tokenise(docs: DataFrame, path: str) -> DataFrame:
     """The token table: a row for each document, null text as empty, each closed by the end id."""
+    lent = docs.sparkSession.sparkContext.broadcast(Lent(path))
 
     def run(batches):
-        encoder, part, start = Encoder.of(path), TaskContext.get().partitionId(), 0
+        encoder, part, start = lent.value.encoder, TaskContext.get().partitionId(), 0
         end = np.array([END_ID], "<u2").tobytes()
         for b in batches:
             for i, j, data, offs in slices(b.column(1), SLICE):
@@ -277,6 +292,7 @@ def tokenise(docs: DataFrame, path: str) -> DataFrame:
                 starts = start + np.cumsum(n) - n
                 start += int(n.sum())
                 yield pa.record_batch([pa.array(np.full(j - i, part, np.int32)), pa.array(starts), b.column(0).slice(i, j - i), pa.array(n), pa.array(ids, pa.binary())], schema=TOKENS_ARROW)
+                give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return table(rows.mapInArrow(run, TOKENS))

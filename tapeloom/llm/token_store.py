@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import batch, mix64, shared_dir, shards_for, table
-from tapeloom.llm.packing import SLICE, Encoder, default_tokenizer
+from tapeloom.llm.common import batch, give_back, mix64, shared_dir, shards_for, table
+from tapeloom.llm.packing import SLICE, Lent, default_tokenizer
 from tapeloom.llm.texts import slices
 
 END_ID = 2
@@ -144,12 +144,12 @@ _WRITTEN = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("shard", pa
 SHARD, PLACE = 0, 1
 
 
-def _writer(folder: str, path: str, end_id: int):
+def _writer(folder: str, lent, end_id: int):
     """Tokenises sorted rows (doc_id, text) and writes shard files; gives a row for each shard, and one for each run
     of a key in a shard."""
 
     def run(batches):
-        encoder, end = Encoder.of(path), np.array([end_id], "<u2").tobytes()
+        encoder, end = lent.value.encoder, np.array([end_id], "<u2").tobytes()
         store, root = fs.FileSystem.from_uri(folder)
         part, k, out, ends, at, docs, name = TaskContext.get().partitionId(), 0, None, [], 0, 0, ""
 
@@ -179,6 +179,7 @@ def _writer(folder: str, path: str, end_id: int):
                     if 2 * at >= SHARD_BYTES or docs >= SHARD_DOCS:
                         yield close()
                         out, k = None, k + 1
+                give_back()
         if out is not None:
             yield close()
 
@@ -331,7 +332,8 @@ def write_store(docs: DataFrame, path: str | None = None, end_id: int = END_ID)
     # row parts equal keys, so that a key of a third of all rows is many tasks
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     ordered = rows.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
-    written = table(ordered.mapInArrow(_writer(folder, path or default_tokenizer(), end_id), WRITTEN))
+    lent = ordered.sparkSession.sparkContext.broadcast(Lent(path or default_tokenizer()))
+    written = table(ordered.mapInArrow(_writer(folder, lent, end_id), WRITTEN))
     # a row for each 64 MB of ids or million documents
     before = F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("ids")
     shards = table(written.where(f"kind = {SHARD}").select("shard", "name", F.col("n").alias("docs"), "ids", before.alias("base")))

@@ -18,6 +18,7 @@ import hashlib
 import io
 import pickle
 import uuid
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import batch, new_folder, table
+from tapeloom.llm.common import batch, give_back, new_folder, table
 from tapeloom.llm.texts import Words, slices
 
 #: Labelled documents that are learned from, at most (about): bounds what the driver and tasks hold.
@@ -44,7 +45,7 @@ REJECT = 0.3
 #: cosines that are nearer to each other than TIE are equal.
 COMMON, BLOCK, FIRST, TIE = 20, 128, 2, 1e-6
 #: Groups of like examples, and rounds that find them; texts whose neighbours are sought together; postings read at once.
-GROUPS, ROUNDS, BATCH, POSTINGS = 16, 5, 128, 1 << 20
+GROUPS, ROUNDS, BATCH, POSTINGS = 16, 5, 128, 1 << 18
 #: Vectors whose neighbours a worker remembers.
 CACHE = 20_000
 #: Parts in which document frequencies are summed.
@@ -55,9 +56,10 @@ GAP = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 def _terms(column: pa.Array):
     """(first row, rows, row, term) of the terms of some texts, lower-cased."""
-    for i, j, data, offs in slices(pc.utf8_lower(column.fill_null(""))):
-        words = Words(data, offs, GAP)
-        yield i, j, words.doc, words.hash
+    for first, last, *_ in slices(column):
+        for i, j, data, offs in slices(pc.utf8_lower(column.slice(first, last - first).fill_null(""))):
+            words = Words(data, offs, GAP)
+            yield first + i, first + j, words.doc, words.hash
 
 
 def _distinct(batches):
@@ -360,9 +362,8 @@ _KNOWN = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("vector", pa
 
 class Held:
     """The index of examples (doc_id, toxic, vector), which are bounded: a task writes it to a file of the shared folder,
-    and each worker reads that once. It never passes through the driver. weights: idf and surer, broadcast."""
-
-    _read: tuple[str, Index] | None = None
+    where workers read it. It never passes through the driver. weights: idf and surer, broadcast. To be broadcast: a
+    worker keeps a broadcast value, here with the index, and loses it when it goes on to tasks that do not use it."""
 
     def __init__(self, examples: DataFrame, weights):
         folder = new_folder(examples.sparkSession)
@@ -377,21 +378,15 @@ class Held:
             yield batch(pa.schema([("name", pa.string())]), [name])
 
         rows = examples.repartition(1).mapInArrow(write, "name string").collect()
-        self.folder, self.name, self.weights = folder, rows[0]["name"] if rows else None, weights
-
-    @property
-    def value(self) -> Index:
-        key = f"{self.folder}/{self.name}"
-        if Held._read is None or Held._read[0] != key:
-            Held._read = None
-            if self.name is None:  # there are no examples
-                index = Index(*self.weights.value, _KNOWN.empty_table())
-            else:
-                store, root = fs.FileSystem.from_uri(self.folder)
-                with store.open_input_stream(f"{root}/{self.name}") as data:
-                    index = pickle.load(io.BufferedReader(data))
-            Held._read = key, index
-        return Held._read[1]
+        self.folder, self.name, self.weights = folder, rows[0]["name"] if rows else None, None if rows else weights.value
+
+    @cached_property
+    def index(self) -> Index:
+        if self.name is None:  # there are no examples, and so no terms
+            return Index(*self.weights, _KNOWN.empty_table())
+        store, root = fs.FileSystem.from_uri(self.folder)
+        with store.open_input_stream(f"{root}/{self.name}") as data:
+            return pickle.load(io.BufferedReader(data))
 
 
 def calibration(votes: list[tuple[float, int]], base: float) -> np.ndarray | None:
@@ -445,12 +440,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most_examples: int = EXAM
     # the term after the last stands for each that no example has: as rare as can be, and no surer
     idf = np.append((np.log((total + 1) / (seen + 1)) + 1) * extra, np.log(total + 1) + 1)
     labelled = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
-    held = Held(known, spark.sparkContext.broadcast((idf, extra > 1)))
+    held = spark.sparkContext.broadcast(Held(known, spark.sparkContext.broadcast((idf, extra > 1))))
 
     def vote(batches):
         schema = pa.schema([("vote", pa.float64()), ("toxic", pa.int32())])
         for b in batches:
-            yield batch(schema, held.value.own_votes([np.frombuffer(v.as_buffer(), np.int32) for v in b.column(2)]), b.column(1))
+            yield batch(schema, held.value.index.own_votes([np.frombuffer(v.as_buffer(), np.int32) for v in b.column(2)]), b.column(1))
 
     votes = known.where("length(vector) > 0").repartition(32, "doc_id").mapInArrow(vote, "vote double, toxic int").collect() if size else []
     knots = calibration([(r["vote"], r["toxic"]) for r in votes], base_rate(labelled["n"], labelled["t"]))
@@ -458,7 +453,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most_examples: int = EXAM
     def run(batches):
         schema = pa.schema([("_row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("evidence", _EVIDENCE)])
         for b in batches:
-            index, none = held.value, np.zeros(0, np.int64)
+            index, none = held.value.index, np.zeros(0, np.int64)
             scores, found = np.full(b.num_rows, index.clean), [(none, np.zeros(0))] * b.num_rows
             for i, rows, bounds, term, times in _counted(b.column(3), names.value):
                 own = [slice(*x) for x in zip(bounds[:-1], bounds[1:])]
@@ -468,6 +463,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most_examples: int = EXAM
             evidence = pa.StructArray.from_arrays([pa.array(index.ids[best.astype(np.int64)]), pa.array(cosine, pa.float64()), pa.array(index.toxic[best.astype(np.int64)])], fields=list(_EVIDENCE.value_type))
             ends = np.concatenate([[0], np.cumsum([len(x) for x, _ in found])]).astype(np.int32)
             yield batch(schema, b.column(0), b.column(1), b.column(2), scores, pa.ListArray.from_arrays(ends, evidence, type=_EVIDENCE))
+            give_back()
 
     rows = docs.select("_row", "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     scored = rows.mapInArrow(run, f"_row long, doc_id long, held_out boolean, score double, evidence {EVIDENCE}")
