@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.stats import div, ordinal_rank, r6
+from tapeloom.functions.stats import corr_or_null, div, ordinal_rank, r6
 from tapeloom.operators import flow, research, vol, xvenue
 from tapeloom.operators.temporal import asof
 from tapeloom.plans.base import query
@@ -215,7 +215,10 @@ def minute_joint_bars(spark, sf):
     bar = F.floor(F.col("ts") / (12 * HOUR)).alias("bar")
     q = market.tob(spark, sf).groupBy(*CELL, bar).agg(F.count("*").alias("quotes"), F.median(F.col("ask") - F.col("bid")).alias("spread"))
     t = market.tape(spark, sf).groupBy(*CELL, bar).agg(F.count("*").alias("trades"), F.sum(F.col("side") * F.col("qty")).alias("net"))
-    return q.join(t, [*CELL, "bar"], "full").groupBy("venue").agg(F.count("*").alias("bars"), F.count("quotes").alias("quoted"), F.count("trades").alias("traded"), r6(F.corr("spread", "net")).alias("corr"))
+    pairs = F.count(F.when(F.col("spread").isNotNull() & F.col("net").isNotNull(), 1))
+    out = q.join(t, [*CELL, "bar"], "full").groupBy("venue").agg(F.count("*").alias("bars"), F.count("quotes").alias("quoted"), F.count("trades").alias("traded"), pairs.alias("pairs"), corr_or_null(F.col("spread"), F.col("net"), 1).alias("corr"))
+    # bars of one spread have no correlation, which is NaN as in SQL
+    return out.select("venue", "bars", "quoted", "traded", F.when(F.col("pairs") > 0, F.coalesce(r6(F.col("corr")), F.lit(float("nan")))).alias("corr"))
 
 
 @query("common_bar_betas", f"""{CAL}, d AS (SELECT symbol, venue, ts // {DAY} AS bar, sum(r) AS r FROM cr GROUP BY ALL), v AS (SELECT symbol, count(DISTINCT venue) AS venues FROM d GROUP BY symbol),
