@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import DATA, TABLES, plain
+from tapeloom.functions.fold import fold
 from tapeloom.plans import registry
 
 
@@ -15,7 +17,7 @@ def both(spark, tmp_path):
 
     def run(name: str, sql: str) -> tuple[list, list]:
         con = duckdb.connect()
-        con.execute(f"COPY ({sql}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+        con.execute(f"COPY ({sql}) TO '{tmp_path}/events.parquet' (FORMAT parquet, ROW_GROUP_SIZE 2048)")
         for t in TABLES:
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path if t == 'events' else f'{DATA}/sf0.001'}/{t}.parquet'")
         got, want = registry.QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(registry.SQL[name]).df()
@@ -33,3 +35,26 @@ def copies(k: int, sf: str = "sf0.001") -> str:
 def test_spreads_all_alike_have_no_correlation(both):
     got, want = both("minute_joint_bars", f"SELECT * REPLACE (event_id * 3 AS event_id, 50.0 AS value) FROM '{DATA}/sf0.001/events.parquet'")
     assert got == want and len(got) == 3
+
+
+@pytest.fixture
+def late_broadcast(spark):
+    """Joins are planned by sorting both sides, and turn into broadcasts of the small one as they run."""
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "256k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in was.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_a_key_is_folded_whole_after_a_join_by_it(spark, late_broadcast):
+    rows = spark.range(0, 40000, 1, 8).select((F.col("id") % 5).alias("k"), F.col("id").alias("seq"))
+    other = spark.range(0, 40000, 1, 8).groupBy((F.col("id") % 5).alias("k")).agg(F.count("*").alias("most"))
+
+    def step(s, seq):
+        s.append(seq)
+
+    got = fold(rows.join(other, "k"), ["k"], ["seq"], ["seq"], list, step, "n long, sorted boolean", lambda s: [(len(s), s == sorted(s))])
+    assert sorted(map(tuple, got.collect())) == [(k, 8000, True) for k in range(5)]
