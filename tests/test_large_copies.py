@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import DATA, TABLES, plain
 from tapeloom.functions.fold import fold
+from tapeloom.operators.temporal import forward
 from tapeloom.plans import registry
 
 
@@ -58,3 +59,19 @@ def test_a_key_is_folded_whole_after_a_join_by_it(spark, late_broadcast):
 
     got = fold(rows.join(other, "k"), ["k"], ["seq"], ["seq"], list, step, "n long, sorted boolean", lambda s: [(len(s), s == sorted(s))])
     assert sorted(map(tuple, got.collect())) == [(k, 8000, True) for k in range(5)]
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_forward_reads_each_row_once(spark, strict):
+    """A frame from a row to the end of its slice is read anew for each row."""
+    import io
+    from contextlib import redirect_stdout
+
+    rows = lambda times: spark.createDataFrame([("a", t, i) for i, t in enumerate(times)], "k string, ts long, seq long")
+    asked, refs = [0, 1, 1, 4, 9, 10, 11, 30, 31], [1, 1, 4, 10, 12, 12, 30]
+    got = forward(rows(asked), rows(refs).withColumn("v", F.col("seq")), ["k"], ["v"], strict=strict, slice_=10)
+    want = [(t, *next(((r, j) for j, r in enumerate(refs) if (r > t if strict else r >= t)), (None, None))) for t in asked]
+    assert sorted(map(tuple, got.select("ts", "next_ts", "v").collect()), key=str) == sorted(want, key=str)
+    with redirect_stdout(io.StringIO()) as plan:
+        got.explain(True)
+    assert "unboundedfollowing" not in plan.getvalue().lower()
