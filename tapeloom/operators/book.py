@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.stats import div
 from tapeloom.operators.flow import quantiles
-from tapeloom.operators.temporal import asof, before, range_join
+from tapeloom.operators.temporal import ahead, asof, before, range_join
 
 BPS = 1e4
 
@@ -204,27 +206,40 @@ def crossed(tob: DataFrame, symbol: str, step: int) -> DataFrame:
 
 
 def refills(tob: DataFrame, by: list[str], drop: float, horizon: int, same: float = 1e-9) -> DataFrame:
-    """book_side, n, refilled, worsened: size drops at an unchanged price, by what comes first within
-    the horizon: half of the loss back at that price, or a worse price. A better price ends the wait."""
-    quotes = tob.select(*by, "ts", "seq", "bid", "ask", "bid_sz", "ask_sz")
-
-    def side(name, price, size, worse):
+    """book_side, n, refilled, worsened: size drops at an unchanged price, by what comes first (by seq) of the
+    later quotes within the horizon: half of the loss back at that price, or a worse price. A better price
+    ends the wait. A task holds the quotes of two horizons of a key, and looks on from each drop until one decides."""
+    def lost(price, size):
         was = before(size, by)
         fell = (F.abs(F.col(price) - before(price, by)) < same) & (was > F.col(size)) & (was - F.col(size) >= drop * was)
-        lost = quotes.withColumns({"_fell": fell, "lost": was - F.col(size)}).where("_fell").select(*by, "ts", "seq", F.col(price).alias("p0"), F.col(size).alias("s0"), "lost")
-        later = range_join(lost, quotes.select(*by, "ts", "seq", F.col(price).alias("p"), F.col(size).alias("s")), by, F.col("ts") + 1, F.col("ts") + horizon, horizon)
-        at = F.struct("r_ts", "r_seq")
-        move = (F.col("r_p") - F.col("p0")) * worse
-        first = later.groupBy(*by, "seq").agg(
-            F.min(F.when((F.abs(move) < same) & (F.col("r_s") - F.col("s0") >= 0.5 * F.col("lost")), at)).alias("back"),
-            F.min(F.when(move >= same, at)).alias("bad"),
-            F.min(F.when(move <= -same, at)).alias("good"),
-        )
-        return lost.join(first, [*by, "seq"], "left").select(F.lit(name).alias("book_side"), "back", "bad", "good")
-
-    rows = side("bid", "bid", "bid_sz", -1).unionByName(side("ask", "ask", "ask_sz", 1))
-    sooner = lambda a, *others: F.col(a).isNotNull() & ~F.coalesce(F.least(*(F.col(o) for o in others)) < F.col(a), F.lit(False))
-    return rows.groupBy("book_side").agg(F.count("*").alias("n"), F.count(F.when(sooner("back", "bad", "good"), 1)).alias("refilled"), F.count(F.when(sooner("bad", "back", "good"), 1)).alias("worsened"))
+        return F.when(fell, was - F.col(size))
+
+    quotes = tob.select(*by, "ts", "seq", "bid", "ask", "bid_sz", "ask_sz").withColumns({"bid_lost": lost("bid", "bid_sz"), "ask_lost": lost("ask", "ask_sz")})
+
+    def follow(g):
+        g = g.sort_values("seq", kind="stable")
+        ts, own, out = g["ts"].to_numpy(), ~g["_ahead"].to_numpy(bool), []
+        # the first place with a later time, and the one behind the last within the horizon, even where seq is not in the order of time
+        latest, earliest = np.maximum.accumulate(ts), np.minimum.accumulate(ts[::-1])[::-1]
+        for name, worse in (("bid", -1), ("ask", 1)):
+            price, size, gone = (g[c].to_numpy(float) for c in (name, f"{name}_sz", f"{name}_lost"))
+            drops, refilled, worsened = np.flatnonzero(own & ~np.isnan(gone)), 0, 0
+            for i, k, end in zip(drops, np.searchsorted(latest, ts[drops], "right"), np.searchsorted(earliest, ts[drops] + horizon, "right")):
+                width = 32
+                while k < end:
+                    part = slice(k, min(k + width, end))
+                    inside, move = (ts[part] > ts[i]) & (ts[part] <= ts[i] + horizon), (price[part] - price[i]) * worse
+                    back, bad = inside & (np.abs(move) < same) & (size[part] - size[i] >= 0.5 * gone[i]), inside & (move >= same)
+                    first = np.argmax(stop := back | bad | (inside & (move <= -same)))
+                    if stop[first]:
+                        refilled, worsened = refilled + back[first], worsened + bad[first]
+                        break
+                    k, width = k + width, 2 * width
+            out.append((name, len(drops), int(refilled), int(worsened)))
+        return pd.DataFrame(out, columns=["book_side", "n", "refilled", "worsened"])
+
+    each = ahead(quotes, horizon).groupBy(*by, "_slice").applyInPandas(follow, "book_side string, n long, refilled long, worsened long")
+    return each.where("n > 0").groupBy("book_side").agg(*(F.sum(c).alias(c) for c in ("n", "refilled", "worsened")))
 
 
 def depth_before_trades(trades: DataFrame, tob: DataFrame, by: list[str]) -> DataFrame:

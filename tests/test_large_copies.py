@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import DATA, TABLES, plain
 from tapeloom.functions.fold import fold
+from tapeloom.operators import book
 from tapeloom.operators.temporal import forward
 from tapeloom.plans import registry
 
@@ -75,3 +76,16 @@ def test_forward_reads_each_row_once(spark, strict):
     with redirect_stdout(io.StringIO()) as plan:
         got.explain(True)
     assert "unboundedfollowing" not in plan.getvalue().lower()
+
+
+def test_refills_of_copies_are_those_of_sql(both):
+    got, want = both("same_side_refill", copies(4))
+    assert got == want and len(got) == 2
+
+
+def test_refills_are_looked_for_in_two_horizons(spark):
+    """Each quote is dealt out twice, not once for each drop near it."""
+    quotes = spark.range(3000).selectExpr("1 AS k", "id AS ts", "id AS seq", "10.0D AS bid", "11.0D AS ask", "5.0D - id % 2 AS bid_sz", "4.0D AS ask_sz")
+    out = book.refills(quotes, ["k"], 0.1, 100_000)
+    assert [tuple(r) for r in out.collect()] == [("bid", 1500, 1499, 0)]
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
