@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tapeloom.functions.stats import corr_or_null, div, draw
 from tapeloom.operators.flow import rolling_vpin, volume_buckets
-from tapeloom.operators.temporal import asof, before, range_join, runs
+from tapeloom.operators.temporal import ahead, asof, before, range_join, runs
 from tapeloom.operators.vol import mc_garch_bars
 from tapeloom.sources.shared import table
 
@@ -96,6 +99,39 @@ def tick_profile(tob: DataFrame, by: list[str], tick: float, tol: float = 0.05)
     return own.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_t").alias("mean_ticks"), F.avg((F.abs(F.col("_t") - 1) <= tol).cast("double")).alias("one_tick"), F.avg(F.col("_t") - 1).alias("leeway"), F.percentile(F.col("_t") - 1, F.lit(0.9)).alias("leeway_p90"), F.avg(rel).alias("rel_tick_bps"), F.avg(excess).alias("excess_bps"))
 
 
+def _fill_waits(starts: DataFrame, hits: DataFrame, by: list[str], keep: list[str], horizon: int, sells: bool = False) -> DataFrame:
+    """by, keep, wait of starts (ts, level, size): the time to the hit (ts, seq, qty, px) with which those at or through the level,
+    later than the start and within the horizon, make up the size; null if none does, or the size is null. A task holds the
+    hits of two horizons of a key, and looks on from each start until it is filled."""
+    keys = [*by, "_slice"]
+    own = starts.select(*by, *keep, "ts", "level", "size", F.floor(F.col("ts") / horizon).alias("_slice"))
+    met = ahead(hits.select(*by, "ts", "seq", "qty", "px"), horizon)
+    way = -1.0 if sells else 1.0
+
+    def follow(s, h):
+        h = h.sort_values(["ts", "seq"], kind="stable")
+        ts, qty, px, waits = h["ts"].to_numpy(), h["qty"].to_numpy(float), way * h["px"].to_numpy(float), []
+        at, level, size = s["ts"].to_numpy(), way * s["level"].to_numpy(float) + 1e-12, s["size"].to_numpy(float)
+        for i, k, end in zip(range(len(s)), np.searchsorted(ts, at, "right"), np.searchsorted(ts, at + horizon, "right")):
+            width, taken, wait = 64, 0.0, None
+            while k < end and size[i] == size[i]:
+                part = slice(k, min(k + width, end))
+                through = px[part] <= level[i]
+                each = np.where(through, qty[part], 0.0)
+                each[0] += taken
+                total = np.cumsum(each)
+                first = np.argmax(filled := through & (total >= size[i]))
+                if filled[first]:
+                    wait = int(ts[k + first] - at[i])
+                    break
+                k, width, taken = k + width, 2 * width, total[-1]
+            waits.append(wait)
+        return s[[*by, *keep]].assign(wait=pd.array(waits, dtype="Int64"))
+
+    schema = StructType([*(own.schema[c] for c in (*by, *keep)), StructField("wait", LongType())])
+    return own.groupBy(*keys).cogroup(met.groupBy(*keys)).applyInPandas(follow, schema)
+
+
 def touch_survival(tob: DataFrame, trades: DataFrame, by: list[str], tick: float, offsets: list[int], stride: int, horizon: int) -> DataFrame:
     """by, offset, starts, filled, rate, mean_us, median_us: virtual bids of the touch's size, `offset` ticks
     under it, at every stride-th quote. Sell trades while the ask is at or through the bid take from its
@@ -103,13 +139,9 @@ def touch_survival(tob: DataFrame, trades: DataFrame, by: list[str], tick: float
     w = Window.partitionBy(*by).orderBy("ts", "seq")
     start = tob.withColumn("_k", F.row_number().over(w) - 1).where((F.col("_k") % stride == 0) & (F.col("bid_sz") > 0))
     start = start.withColumn("offset", F.explode(F.array(*map(F.lit, offsets)))).withColumn("level", F.col("bid") - F.col("offset") * tick)
-    start = start.select(*by, "ts", F.col("seq").alias("start"), "offset", "level", "bid_sz")
-    hits = asof(trades.where("side < 0 AND qty > 0"), tob, by, ["ask"]).where("ask IS NOT NULL").select(*by, "ts", "seq", "qty", "ask")
-    met = range_join(start, hits, by, F.col("ts") + 1, F.col("ts") + horizon, max(1, horizon)).where(F.col("r_ask") <= F.col("level") + 1e-12)
-    order = Window.partitionBy(*by, "start", "offset").orderBy("r_ts", "r_seq").rowsBetween(Window.unboundedPreceding, 0)
-    done = met.withColumn("_q", F.sum("r_qty").over(order)).where(F.col("_q") >= F.col("bid_sz"))
-    first = done.groupBy(*by, "start", "offset").agg(F.min(F.col("r_ts") - F.col("ts")).alias("wait"))
-    out = start.join(first, [*by, "start", "offset"], "left").groupBy(*by, "offset").agg(F.count("*").alias("starts"), F.count("wait").alias("filled"), F.avg("wait").alias("mean_us"), F.median("wait").alias("median_us"))
+    hits = asof(trades.where("side < 0 AND qty > 0"), tob, by, ["ask"]).where("ask IS NOT NULL")
+    waits = _fill_waits(start.withColumn("size", F.col("bid_sz")), hits.withColumn("px", F.col("ask")), by, ["offset"], max(1, horizon))
+    out = waits.groupBy(*by, "offset").agg(F.count("*").alias("starts"), F.count("wait").alias("filled"), F.avg("wait").alias("mean_us"), F.median("wait").alias("median_us"))
     return out.withColumn("rate", F.col("filled") / F.col("starts"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import DATA, TABLES, plain
 from tapeloom.functions.fold import fold
-from tapeloom.operators import book
+from tapeloom.operators import book, estimators
 from tapeloom.operators.temporal import forward
 from tapeloom.plans import registry
 
@@ -89,3 +89,33 @@ def test_refills_are_looked_for_in_two_horizons(spark):
     out = book.refills(quotes, ["k"], 0.1, 100_000)
     assert [tuple(r) for r in out.collect()] == [("bid", 1500, 1499, 0)]
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def paired(df) -> list[str]:
+    """The joins that pair rows by more than equal keys, which make rows with the square of what is near each other."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return [x for x in lines if "Join" in x and (">" in x or "<" in x)]
+
+
+def survival_tables(spark):
+    quotes = spark.range(1200).selectExpr("1 AS k", "id * 2 AS ts", "id AS seq", "100 - id % 7 + 0.0D AS bid", "101 - id % 5 + 0.0D AS ask", "1.0D + id % 11 AS bid_sz", "1.0D + id * 7 % 11 AS ask_sz")
+    trades = spark.range(1200).selectExpr("1 AS k", "id * 2 + 1 AS ts", "id AS seq", "1.0D + id % 3 AS qty", "IF(id % 2 = 0, -1.0D, 1.0D) AS side")
+    return quotes, trades
+
+
+def test_touch_survival_follows_each_start_alone(spark):
+    quotes, trades = survival_tables(spark)
+    out = estimators.touch_survival(quotes, trades, ["k"], 1.0, [0, 3], 10, 90)
+    assert not paired(out)
+    q, t = ([r.asDict() for r in x.orderBy("ts").collect()] for x in (quotes, trades))
+    hits = [(x["ts"], x["qty"], q[(x["ts"] - 1) // 2]["ask"]) for x in t if x["side"] < 0]
+    for r in out.collect():
+        waits = []
+        for s in q[::10]:
+            left = s["bid_sz"]
+            for ts, qty, ask in hits:
+                if s["ts"] < ts <= s["ts"] + 90 and ask <= s["bid"] - r["offset"] + 1e-12 and left > 0:
+                    left -= qty
+                    if left <= 0:
+                        waits.append(ts - s["ts"])
+        assert (r["starts"], r["filled"], r["mean_us"]) == (120, len(waits), sum(waits) / len(waits)) and 0 < len(waits) < 120
