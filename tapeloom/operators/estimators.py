@@ -159,14 +159,11 @@ def size_survival(tob: DataFrame, trades: DataFrame, by: list[str], stride: int,
     sized = F.when(F.col(f"{own}_sz") > 0, F.col(f"{own}_sz"))
     cuts = q.groupBy(*by).agg(F.percentile(sized, F.array(*map(F.lit, shares))).alias("_cuts"), F.count(sized).alias("_c")).where("_c >= 20")
     cuts = cuts.select(*by, F.explode(F.arrays_zip(F.array(*map(F.lit, shares)).alias("share"), F.col("_cuts").alias("size"))).alias("_z")).select(*by, "_z.share", "_z.size")
-    start = q.where((F.col("_k") % stride == 0) & (F.col("_k") < F.col("_n") - 2) & F.col(own).isNotNull()).select(*by, "ts", F.col("seq").alias("_start"), F.col(own).alias("_level"), (F.col("_next") <= F.col("ts") + horizon).alias("_live"))
+    start = q.where((F.col("_k") % stride == 0) & (F.col("_k") < F.col("_n") - 2) & F.col(own).isNotNull()).join(cuts.withColumnRenamed("size", "_size"), by)
+    start = start.withColumns({"level": F.col(own), "size": F.when(F.col("_next") <= F.col("ts") + horizon, F.col("_size"))})
     hits = asof(trades.where((F.col("side") * near > 0) & (F.col("qty") > 0)).select(*by, "ts", "seq", "qty"), tob, by, [other])
-    through = (F.col(f"r_{other}") <= F.col("_level") + 1e-12) if side == "buy" else (F.col(f"r_{other}") >= F.col("_level") - 1e-12)
-    met = range_join(start.where("_live"), hits.drop("ref_ts"), by, F.col("ts") + 1, F.col("ts") + horizon, max(1, horizon)).where(through)
-    order = Window.partitionBy(*by, "_start").orderBy("r_ts", "r_seq").rowsBetween(Window.unboundedPreceding, 0)
-    taken = met.withColumn("_q", F.sum("r_qty").over(order)).select(*by, "_start", "_q", (F.col("r_ts") - F.col("ts")).alias("_wait"))
-    first = taken.join(cuts, by).where(F.col("_q") >= F.col("size")).groupBy(*by, "_start", "share").agg(F.min("_wait").alias("wait"))
-    out = start.join(cuts, by).join(first, [*by, "_start", "share"], "left").groupBy(*by, "share", "size").agg(F.count("*").alias("starts"), F.count("wait").alias("filled"), F.avg("wait").alias("mean_us"), F.median("wait").alias("median_us"))
+    waits = _fill_waits(start, hits.withColumn("px", F.col(other)), by, ["share", "_size"], max(1, horizon), side != "buy").withColumnRenamed("_size", "size")
+    out = waits.groupBy(*by, "share", "size").agg(F.count("*").alias("starts"), F.count("wait").alias("filled"), F.avg("wait").alias("mean_us"), F.median("wait").alias("median_us"))
     out = out.withColumn("rate", F.col("filled") / F.col("starts"))
     falls = F.coalesce(F.col("rate") <= F.lag("rate").over(w.orderBy("share")) + 1e-9, F.lit(True))
     return out.withColumn("_falls", falls).withColumn("monotone", F.min("_falls").over(w) & (F.count("*").over(w) > 1)).drop("_falls")

@@ -119,3 +119,12 @@ def test_touch_survival_follows_each_start_alone(spark):
                     if left <= 0:
                         waits.append(ts - s["ts"])
         assert (r["starts"], r["filled"], r["mean_us"]) == (120, len(waits), sum(waits) / len(waits)) and 0 < len(waits) < 120
+
+
+@pytest.mark.parametrize("side", ["buy", "sell"])
+def test_size_survival_follows_each_start_alone(spark, side):
+    quotes, trades = survival_tables(spark)
+    out = estimators.size_survival(quotes, trades, ["k"], 11, 90, side)
+    assert not paired(out)
+    got = {r["share"]: (r["starts"], r["filled"]) for r in out.collect()}
+    assert [n for n, _ in got.values()] == [109] * 3 and got[0.25][1] >= got[0.5][1] >= got[0.75][1] > 0
