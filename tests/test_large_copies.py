@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import DATA, TABLES, plain
 from tapeloom.functions.fold import fold
-from tapeloom.operators import book, estimators
+from tapeloom.operators import book, estimators, hft
 from tapeloom.operators.temporal import forward
 from tapeloom.plans import registry
 
@@ -128,3 +128,12 @@ def test_size_survival_follows_each_start_alone(spark, side):
     assert not paired(out)
     got = {r["share"]: (r["starts"], r["filled"]) for r in out.collect()}
     assert [n for n, _ in got.values()] == [109] * 3 and got[0.25][1] >= got[0.5][1] >= got[0.75][1] > 0
+
+
+def test_event_markouts_take_the_first_trades_alone(spark):
+    marked = spark.range(300).selectExpr("1 AS k", "id div 2 AS ts", "id AS seq", "IF(id % 7 = 0, NULL, id * 1.0D) AS markout")
+    events = spark.createDataFrame([(1, 10, 1), (1, 140, 2), (1, 148, 3), (1, 149, 4), (1, 400, 5)], "k int, ts long, seq long")
+    out = hft.event_markouts(events, marked, ["k"], 2, 1, 3)
+    assert not paired(out)
+    means = [(16 + 17 + 18) / 3, (276 + 277 + 278) / 3, (292 + 293) / 2, (295 + 296) / 2]
+    assert [tuple(r) for r in out.collect()] == [(4, pytest.approx(sum(means) / 4), pytest.approx((means[1] + means[2]) / 2))]
