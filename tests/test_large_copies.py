@@ -137,3 +137,20 @@ def test_event_markouts_take_the_first_trades_alone(spark):
     assert not paired(out)
     means = [(16 + 17 + 18) / 3, (276 + 277 + 278) / 3, (292 + 293) / 2, (295 + 296) / 2]
     assert [tuple(r) for r in out.collect()] == [(4, pytest.approx(sum(means) / 4), pytest.approx((means[1] + means[2]) / 2))]
+
+
+def test_spread_response_sums_each_quote_once(spark):
+    tob = spark.range(400).selectExpr("1 AS k", "id div 2 * 3 AS ts", "id AS seq", "100.0D AS bid", "IF(id % 31 = 0, NULL, 100.0D + (id * 7 % 13) / 8) AS ask")
+    events = spark.createDataFrame([(1, t, i) for i, t in enumerate((0, 1, 4, 60, 61, 300, 601, 9000))], "k int, ts long, seq long")
+    out = hft.spread_response(events, tob, ["k"], [0, 5], 40)
+    assert not paired(out)
+    q = [(r["ts"], None if r["ask"] is None else r["ask"] - r["bid"]) for r in tob.orderBy("ts", "seq").collect()]
+    for r in out.collect():
+        change = []
+        for (e,) in events.select("ts").collect():
+            was = [x for t, x in q if e - 40 <= t <= e - 1]
+            now = [x for t, x in q if t <= e + r["lag"]][-1]
+            if len(was) >= 2 and now is not None:
+                base = [x for x in was if x is not None]
+                change.append(now - sum(base) / len(base))
+        assert (r["n"], r["change"]) == (len(change), pytest.approx(sum(change) / len(change))) and change
