@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -154,3 +156,9 @@ def test_spread_response_sums_each_quote_once(spark):
                 base = [x for x in was if x is not None]
                 change.append(now - sum(base) / len(base))
         assert (r["n"], r["change"]) == (len(change), pytest.approx(sum(change) / len(change))) and change
+
+
+@pytest.mark.parametrize("name", ["forward_next_quote", "next_mid_change", "innovation_lead", "nearest_quote", "quotes_near_vshapes", "size_near_events", "storms_near_trades"])
+def test_no_frame_runs_from_a_row_to_the_end(spark, name):
+    plan = registry.QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition" in plan and not re.search(r"(currentrow\$\(\)|\b1), unboundedfollowing", plan)
